@@ -44,12 +44,13 @@ def lenient_cast(c: str | Column, kind: str) -> Column:
     if kind == "dbl":
         return c.try_cast("double")
     if kind == "ts":
+        # ISO forms (date only, minutes, seconds, fractions, 'T') via the cast;
+        # US month/day forms as a fallback.
         return F.coalesce(
-            F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")),
-            F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm")),
-            F.try_to_timestamp(c, F.lit("yyyy-MM-dd'T'HH:mm:ss")),
-            F.try_to_timestamp(c, F.lit("yyyy-MM-dd")),
-        ).cast("timestamp_ntz")
+            F.trim(c).try_cast("timestamp_ntz"),
+            F.try_to_timestamp(F.trim(c), F.lit("M/d/yyyy H:mm")).cast("timestamp_ntz"),
+            F.try_to_timestamp(F.trim(c), F.lit("M/d/yyyy")).cast("timestamp_ntz"),
+        )
     if kind == "date":
         return F.to_date(lenient_cast(c, "ts"))
     if kind == "str":
