@@ -1,6 +1,6 @@
 """Query catalog: importing this package registers every named query."""
 
-from . import catalog, interaction, rendering, roundtrip  # noqa: F401  (registration side effects)
+from . import catalog, interaction, knowledge_plan, rendering, roundtrip  # noqa: F401  (registration side effects)
 from .catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
