@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
 from .topk import top_k_per_key
 
 WS = r"[ \t\n\x0B\f\r]+"           # whitespace, spelled out so Java and RE2 agree
@@ -31,7 +32,7 @@ def split_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Returns (doc_id, passage_no, text, word_count); passage_no counts from 1.
     """
     blocks = F.split(F.regexp_replace(F.col(text), r"\n#", "\n\n#"), r"\n[ \t\x0B\f\r]*\n")
-    p = docs.select(doc_id, F.posexplode(blocks).alias("block_no", "block"))
+    p = spread(docs.select(doc_id, text)).select(doc_id, F.posexplode(blocks).alias("block_no", "block"))
     p = p.select(doc_id, "block_no", F.filter(F.split(F.col("block"), WS), lambda w: w != "").alias("w"))
     p = p.filter(F.size("w") > 0)
     n_chunks = F.expr(f"CAST(ceil(size(w) / {max_words}) AS INT)")
@@ -100,8 +101,10 @@ def repair_text(c: str | Column) -> Column:
 # --- K4 ------------------------------------------------------------------------------
 
 def tokens(c: str | Column) -> Column:
+    """Lower-cased letter runs (``array_remove`` stays in generated code,
+    unlike a lambda filter)."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.filter(F.split(F.lower(c), NON_LETTER), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(c), NON_LETTER), "")
 
 
 def bm25_postings(docs: DataFrame, vocab: DataFrame | None, doc_id: str = "doc_id", text: str = "text",
@@ -112,19 +115,23 @@ def bm25_postings(docs: DataFrame, vocab: DataFrame | None, doc_id: str = "doc_i
     only tokens in ``vocab`` (the query terms) are exploded and counted, so
     the token shuffle shrinks to the query vocabulary.
     """
-    d = docs.select(F.col(doc_id).alias("doc_id"), tokens(text).alias("toks"))
-    d = d.withColumn("dl", F.size("toks"))
+    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    d = d.select("doc_id", tokens("text").alias("toks")).withColumn("dl", F.size("toks"))
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
-    t = d.select("doc_id", "dl", F.explode("toks").alias("term"))
+    # explode_outer: a plain explode makes Catalyst infer size(toks) > 0 and push
+    # that (a second tokenization) below the spread, into the scan.
+    t = d.select("doc_id", "dl", F.explode_outer("toks").alias("term"))
     if vocab is not None:
         t = t.join(vocab.select("term").distinct(), "term", "left_semi")
+    else:
+        t = t.filter(F.col("term").isNotNull())
     tf = t.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df_t = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # document frequency from the postings themselves (no second pass over the corpus)
+    tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    return tf.join(df_t, "term").select(
-        "term", "doc_id", (idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("w"))
+    return tf.select("term", "doc_id", (idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("w"))
 
 
 def retrieve_lexical(questions: DataFrame, docs: DataFrame, k: int = 3, qid: str = "question_id",

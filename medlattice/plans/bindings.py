@@ -49,20 +49,18 @@ class ClinicalTables:
             F.when(F.col("c_acctbal") < 0, F.to_date(F.lit("2001-12-31"))).alias("dod"),
         )
 
-    # -- admissions (orders + discharge = last shipment of the order) -------
-    @cached_property
-    def discharge(self) -> DataFrame:
-        li = self.raw("lineitem")
-        return li.groupBy(F.col("l_orderkey").alias("hadm_id")).agg(
-            F.max("l_shipdate").alias("dischtime"))
-
+    # -- admissions: orders; discharge = admit + (floor(price) mod 15) days,
+    #    still open (NULL) while the order is open; a projection, no join -------
     @cached_property
     def admissions(self) -> DataFrame:
         o = self.raw("orders")
-        base = o.select(
+        stay_days = (F.floor(F.col("o_totalprice")).cast("bigint") % 15).cast("int")
+        return o.select(
             F.col("o_orderkey").alias("hadm_id"),
             F.col("o_custkey").alias("subject_id"),
             F.col("o_orderdate").alias("admittime"),
+            F.when(F.col("o_orderstatus") != "O", F.timestamp_add("DAY", stay_days, F.col("o_orderdate")))
+            .alias("dischtime"),
             F.col("o_orderpriority").alias("admission_type"),
             F.col("o_orderstatus").alias("admission_location"),
             F.when(F.col("o_totalprice") > 250000, "HOME").otherwise("SKILLED NURSING")
@@ -70,7 +68,6 @@ class ClinicalTables:
             F.when(F.col("o_totalprice") >= 100000, "Medicare").otherwise("Other").alias("insurance"),
             F.lit("UNKNOWN").alias("race"),
         )
-        return base.join(self.discharge, "hadm_id", "left")
 
     @cached_property
     def drgcodes(self) -> DataFrame:
@@ -303,7 +300,8 @@ ORACLE_CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         CASE WHEN o_totalprice > 250000 THEN 'HOME' ELSE 'SKILLED NURSING' END AS discharge_location,
         CASE WHEN o_totalprice >= 100000 THEN 'Medicare' ELSE 'Other' END AS insurance,
         'UNKNOWN' AS race,
-        (SELECT max(l_shipdate) FROM lineitem WHERE l_orderkey = o_orderkey) AS dischtime
+        CASE WHEN o_orderstatus <> 'O'
+             THEN o_orderdate + to_days(CAST(CAST(floor(o_totalprice) AS BIGINT) % 15 AS INTEGER)) END AS dischtime
         FROM orders""", ()),
     "drgcodes": ("""SELECT l_orderkey AS hadm_id, 'APR' AS drg_type, CAST(l_partkey AS VARCHAR) AS drg_code,
         'DRG group ' || CAST(l_suppkey AS VARCHAR) AS description,

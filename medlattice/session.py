@@ -24,6 +24,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         SparkSession.builder.master(master or f"local[{cpus}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -56,3 +57,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate, on the shared checkpoint storage."""
     base = spark.conf.get(_CHECKPOINT_KEY, None) or ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/medlattice-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def spread(df):
+    """Round-robin a scan over the cluster's cores when it arrives in fewer
+    partitions than cores (a few large row groups) and the per-row work is
+    CPU-heavy (tokenizing text). At scale a scan has far more partitions
+    than cores and this is a no-op."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
