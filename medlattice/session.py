@@ -31,7 +31,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("MEDLATTICE_DRIVER_MEMORY", "8g"))
+        .config("spark.driver.memory", os.environ.get("MEDLATTICE_DRIVER_MEMORY", _default_heap()))
         # Broadcast only what is provably small; dictionaries are far below this.
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
     )
@@ -41,6 +41,17 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+def _default_heap() -> str:
+    """Local mode runs everything in the driver JVM: half the machine's memory,
+    between 2 and 16 GiB."""
+    try:
+        total = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    except (ValueError, OSError, AttributeError):
+        return "4g"
+    gib = max(2, min(16, int(total / 2**30 / 2)))
+    return f"{gib}g"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint directory; set a local one only if unset."""
     current = spark.conf.get(_CHECKPOINT_KEY, None)
