@@ -127,11 +127,14 @@ def bm25_postings(docs: DataFrame, vocab: DataFrame | None, doc_id: str = "doc_i
     else:
         t = t.filter(F.col("term").isNotNull())
     tf = t.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    # document frequency from the postings themselves (no second pass over the corpus)
-    tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("term")))
+    # Document frequency as an aggregate of the postings (partial, so a term
+    # found in every document is no hot partition) and joined back by term.
+    # It reads tf's own shuffle (ReusedExchange): the corpus is tokenized once.
+    df_t = tf.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
     idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    return tf.select("term", "doc_id", (idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("w"))
+    return tf.join(df_t, "term").select(
+        "term", "doc_id", (idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("w"))
 
 
 def retrieve_lexical(questions: DataFrame, docs: DataFrame, k: int = 3, qid: str = "question_id",

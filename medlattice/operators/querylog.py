@@ -12,20 +12,47 @@ DEFAULT_SESSION_GAP_MINUTES = 30  # our choice; the reference never closes a ses
 
 
 def sessionize(df: DataFrame, key: str = "subject_id", ts: str = "created_at",
-               gap_minutes: int = DEFAULT_SESSION_GAP_MINUTES, session_col: str = "session_id") -> DataFrame:
+               gap_minutes: int = DEFAULT_SESSION_GAP_MINUTES, session_col: str = "session_id",
+               bucket_minutes: int = 60) -> DataFrame:
     """Gaps-and-islands: a new session starts when the gap to the previous event
     of the same key exceeds ``gap_minutes``. Adds ``session_start`` and a
     deterministic ``session_id`` (key + start time).
 
-    One sort per key (the window spills to disk), no collect of the group.
+    Skew-safe in two levels, so one key holding a third of all events is not
+    sorted in one task:
+
+    1. events are windowed per (key, time bucket) and get a *local* session
+       start inside their bucket;
+    2. a per-bucket summary (one row per key and non-empty bucket, so tiny
+       even for a hot key) decides whether a bucket's first local session
+       continues the previous bucket's last session, and carries the true
+       start forward across any chain of such buckets.
+
+    The result does not depend on ``bucket_minutes``; it only sets how finely
+    a hot key is split.
     """
-    w = Window.partitionBy(key).orderBy(F.col(ts).asc())
-    prev = F.lag(ts).over(w)
-    gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(prev.cast("timestamp"))
-    starts = df.withColumn(
-        "_start", F.when(prev.isNull() | (gap > F.lit(gap_minutes * 60 * 1_000_000)), F.col(ts)))
-    wrun = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = starts.withColumn("session_start", F.max("_start").over(wrun)).drop("_start")
+    gap_us = gap_minutes * 60 * 1_000_000
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    b = df.withColumn("_us", us).withColumn("_bucket", F.floor(F.col("_us") / F.lit(bucket_minutes * 60 * 1_000_000)))
+    w = Window.partitionBy(key, "_bucket").orderBy("_us")
+    prev = F.lag("_us").over(w)
+    b = b.withColumn("_start", F.when(prev.isNull() | (F.col("_us") - prev > gap_us), F.col("_us")))
+    b = b.withColumn("_local", F.max("_start").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    summ = b.groupBy(key, "_bucket").agg(F.min("_us").alias("_first"), F.max("_us").alias("_last"),
+                                         F.max("_local").alias("_last_local"))
+    wb = Window.partitionBy(key).orderBy("_bucket")
+    prev_last = F.lag("_last").over(wb)
+    prev_last_local = F.lag("_last_local").over(wb)
+    prev_first = F.lag("_first").over(wb)
+    continues = prev_last.isNotNull() & (F.col("_first") - prev_last <= gap_us)
+    cand = (F.when(~continues, F.col("_first"))
+            .when(prev_last_local != prev_first, prev_last_local))      # previous bucket had a break
+    summ = summ.withColumn("_cand", cand).withColumn(
+        "_eff_first", F.last("_cand", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, 0)))
+    out = b.join(summ.select(key, "_bucket", "_first", "_eff_first"), [key, "_bucket"])
+    start_us = F.when(F.col("_local") == F.col("_first"), F.col("_eff_first")).otherwise(F.col("_local"))
+    out = out.withColumn("session_start", F.timestamp_micros(start_us).cast("timestamp_ntz")) \
+        .drop("_us", "_bucket", "_start", "_local", "_first", "_eff_first")
     return out.withColumn(session_col, F.concat(
         F.col(key).cast("string"), F.lit("@"), F.date_format("session_start", "yyyyMMdd'T'HHmmss.SSSSSS")))
 
