@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .scan import last_before, running_count
 
 # The reference's routing phrases, in its order (substring match
 # on the lower-cased question; 'my ' and 'i ' keep their trailing space).
@@ -158,8 +159,8 @@ def exchanges(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     """Pair each user turn with the first assistant turn before the next user
     turn: one row per question with ``answer`` (NULL when unanswered)."""
     t = turns.filter(F.col(role).isin("user", "assistant"))
-    w = Window.partitionBy(conv).orderBy(turn).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    t = t.withColumn("q_idx", F.sum(F.when(F.col(role) == "user", 1).otherwise(0)).over(w))
+    # running count of user turns per conversation, in two levels (scan.py)
+    t = running_count(t, conv, turn, F.col(role) == "user", "q_idx")
     t = t.filter(F.col("q_idx") > 0)
     return t.groupBy(conv, "q_idx").agg(
         F.min(F.when(F.col(role) == "user", F.col(turn))).alias("turn"),
@@ -172,10 +173,10 @@ def exchanges(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
 def previous_turn(ex: DataFrame, conv: str = "conv_id", order: str = "q_idx") -> DataFrame:
     """The last *successful* earlier exchange of the same conversation
     (memory only grows after a success, R3): previous question and answer."""
-    w = Window.partitionBy(conv).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ok = F.when(F.col("answer").isNotNull(), F.struct(F.col("question").alias("q"), F.col("answer").alias("a")))
-    prev = F.last(ok, ignorenulls=True).over(w)
-    return ex.withColumn("prev_question", prev["q"]).withColumn("prev_answer", prev["a"])
+    out = last_before(ex, conv, order, ok, "_prev")       # two-level carry-forward (scan.py)
+    return out.withColumn("prev_question", F.col("_prev.q")).withColumn("prev_answer", F.col("_prev.a")) \
+        .drop("_prev")
 
 
 def append_turns(ex: DataFrame) -> DataFrame:

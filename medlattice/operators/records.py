@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from .scan import rank_all_by_time
 from .topk import asc, desc, top_k_per_key
 
 # Default k per retrieval (the reference's method defaults).
@@ -187,7 +188,10 @@ def icu_stays(icustays: DataFrame) -> DataFrame:
         "subject_id", "stay_id", "hadm_id", "first_careunit", "last_careunit", "intime",
         (F.col("outtime") if "outtime" in cols else F.lit(None).cast("timestamp_ntz")).alias("outtime"),
         F.col("los").alias("los_days"))
-    ranked = _ranked(s, [desc("intime")], [c for c in ICU_COLS if c != "intime"], None)
+    # a full ranking (no limit): ranked per (subject, time bucket) plus offsets,
+    # so a subject with a third of all stays is not sorted in one task
+    ties = [F.col(c).asc_nulls_last() for c in ICU_COLS if c != "intime"]
+    ranked = rank_all_by_time(s, "subject_id", "intime", ties, "rn")
     return ranked.select("subject_id", "rn", *ICU_COLS)
 
 

@@ -34,3 +34,31 @@ def test_chain_across_buckets_is_one_session(spark):
     got = _sessions(df, 60)
     assert len({s for _, _, s in got}) == 3
     assert got == _sessions(df, 10 ** 7)
+
+
+def test_two_level_scans_equal_plain_windows(spark):
+    from pyspark.sql import Window
+    from medlattice.operators import scan
+    rows = [(k, i, (i * 7 + k) % 3 == 0, None if i % 4 else f"v{i}") for k in (1, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, o long, f boolean, v string")
+    w = Window.partitionBy("k").orderBy("o")
+    want_cnt = {(r["k"], r["o"]): r["c"] for r in df.withColumn(
+        "c", F.sum(F.col("f").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).collect()}
+    got_cnt = {(r["k"], r["o"]): r["c"] for r in scan.running_count(df, "k", "o", F.col("f"), "c", width=1).collect()}
+    assert got_cnt == want_cnt
+    want_last = {(r["k"], r["o"]): r["p"] for r in df.withColumn(
+        "p", F.last("v", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))).collect()}
+    got_last = {(r["k"], r["o"]): r["p"] for r in scan.last_before(df, "k", "o", F.col("v"), "p", width=3).collect()}
+    assert got_last == want_last
+
+
+def test_full_ranking_by_time_buckets(spark):
+    from pyspark.sql import Window
+    from medlattice.operators import scan
+    base = dt.datetime(2150, 1, 1)
+    rows = [(1, None if i % 9 == 0 else base + dt.timedelta(days=i * 3 % 40), i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, t timestamp_ntz, x long")
+    w = Window.partitionBy("k").orderBy(F.col("t").desc_nulls_first(), F.col("x").asc())
+    want = {r["x"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(w)).collect()}
+    got = {r["x"]: r["rn"] for r in scan.rank_all_by_time(df, "k", "t", [F.col("x").asc()], width_days=2).collect()}
+    assert got == want
