@@ -113,13 +113,50 @@ def warning_status(warning: str | Column) -> Column:
     return F.when(col_(warning) == 1, "Warning").otherwise("Normal")
 
 
+# --- wall-clock arithmetic on TIMESTAMP_NTZ ---------------------------------
+# Casting TIMESTAMP_NTZ to TIMESTAMP reads the wall clock in the session time
+# zone, so differences shift across daylight-saving changes and day
+# boundaries move. These helpers never involve a time zone.
+
+_US_PER_DAY = 86_400_000_000
+
+
+def epoch_us(c: str | Column) -> Column:
+    """Microseconds from 1970-01-01 00:00 to the wall-clock time (any session zone)."""
+    c = col_(c)
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+    secs = (F.hour(c) * 3600 + F.minute(c) * 60).cast("long")
+    return days * _US_PER_DAY + secs * 1_000_000 + (F.date_part(F.lit("SECOND"), c) * 1_000_000).cast("long")
+
+
+def ntz_from_epoch_us(us: Column) -> Column:
+    """Inverse of :func:`epoch_us`: a TIMESTAMP_NTZ."""
+    day = F.floor(us / F.lit(_US_PER_DAY))
+    rest = ((us - day * F.lit(_US_PER_DAY)) / F.lit(1_000_000)).cast("decimal(18,6)")
+    base = F.date_add(F.lit("1970-01-01").cast("date"), day.cast("int")).cast("timestamp_ntz")
+    return base + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), rest)
+
+
+def day_start(c: str | Column) -> Column:
+    """DATE_TRUNC('day', ts) for TIMESTAMP_NTZ, kept as TIMESTAMP_NTZ."""
+    return F.to_date(col_(c)).cast("timestamp_ntz")
+
+
+def utc_instant(c: str | Column) -> Column:
+    """The wall-clock time read as UTC, as a TIMESTAMP (for watermarks)."""
+    return F.timestamp_micros(epoch_us(c))
+
+
+def ntz_of_instant(c: str | Column) -> Column:
+    """Back from :func:`utc_instant` to TIMESTAMP_NTZ."""
+    return ntz_from_epoch_us(F.unix_micros(col_(c)))
+
+
 # --- F3: length of stay -----------------------------------------------------
 
 def los_days(start: str | Column, end: str | Column) -> Column:
     """EXTRACT(EPOCH FROM end - start) / 86400 as a double (NULL if either is)."""
-    s = col_(start).cast("timestamp")
-    e = col_(end).cast("timestamp")
-    return (F.unix_micros(e) - F.unix_micros(s)) / F.lit(86400e6)
+    return (epoch_us(end) - epoch_us(start)) / F.lit(86400e6)
 
 
 # --- F8 / F9: truncation ----------------------------------------------------

@@ -32,7 +32,7 @@ def sessionize(df: DataFrame, key: str = "subject_id", ts: str = "created_at",
     a hot key is split.
     """
     gap_us = gap_minutes * 60 * 1_000_000
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    us = S.epoch_us(ts)
     b = df.withColumn("_us", us).withColumn("_bucket", F.floor(F.col("_us") / F.lit(bucket_minutes * 60 * 1_000_000)))
     w = Window.partitionBy(key, "_bucket").orderBy("_us")
     prev = F.lag("_us").over(w)
@@ -51,7 +51,7 @@ def sessionize(df: DataFrame, key: str = "subject_id", ts: str = "created_at",
         "_eff_first", F.last("_cand", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, 0)))
     out = b.join(summ.select(key, "_bucket", "_first", "_eff_first"), [key, "_bucket"])
     start_us = F.when(F.col("_local") == F.col("_first"), F.col("_eff_first")).otherwise(F.col("_local"))
-    out = out.withColumn("session_start", F.timestamp_micros(start_us).cast("timestamp_ntz")) \
+    out = out.withColumn("session_start", S.ntz_from_epoch_us(start_us)) \
         .drop("_us", "_bucket", "_start", "_local", "_first", "_eff_first")
     return out.withColumn(session_col, F.concat(
         F.col(key).cast("string"), F.lit("@"), F.date_format("session_start", "yyyyMMdd'T'HHmmss.SSSSSS")))
@@ -112,7 +112,7 @@ def session_summary(turns: DataFrame, session: str = "session_id", ts: str = "cr
         session, "questions", "total_ms",
         F.when(F.col("questions") > 0, (F.col("total_ms") / F.col("questions")).cast("bigint"))
         .otherwise(F.lit(0).cast("bigint")).alias("avg_ms"),
-        ((F.unix_micros(F.col("_last").cast("timestamp")) - F.unix_micros(F.col("_first").cast("timestamp")))
+        ((S.epoch_us("_last") - S.epoch_us("_first"))
          / 1_000_000).cast("bigint").alias("duration_s"))
     w = Window.partitionBy(session).orderBy(F.col(ts).desc(), F.col(question).asc())
     recent = (turns.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= last_n)

@@ -15,6 +15,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import epoch_us
+
 
 def running_count(df: DataFrame, key: str, order: str, flag: Column, out: str, width: int = 1024) -> DataFrame:
     """``out`` = number of rows with ``flag`` true at or before this row
@@ -48,7 +50,7 @@ def rank_all_by_time(df: DataFrame, key: str, time_col: str, ties: Sequence[Colu
     local row numbers per (key, time bucket) plus the number of rows in the
     buckets that come first (the NULL bucket, then later buckets)."""
     width = width_days * 86_400 * 1_000_000
-    t = F.unix_micros(F.col(time_col).cast("timestamp"))
+    t = epoch_us(time_col)
     # NULL times rank first under DESC: give them the largest bucket
     b = df.withColumn("_bkt", F.coalesce(F.floor(t / F.lit(width)), F.lit(2 ** 62)))
     w = Window.partitionBy(key, "_bkt").orderBy(F.col(time_col).desc_nulls_first(), *ties)

@@ -53,7 +53,7 @@ def query_analytics(kb_queries: DataFrame, avg_digits: int | None = 6) -> DataFr
         a = F.avg(c)
         return F.round(a, avg_digits) if avg_digits is not None else a
 
-    g = kb_queries.groupBy(F.date_trunc("day", "created_at").alias("query_date")).agg(
+    g = kb_queries.groupBy(S.day_start("created_at").alias("query_date")).agg(
         F.count(F.lit(1)).alias("total_queries"),
         _avg("response_time_ms").alias("avg_response_time"),
         _avg("citation_count").alias("avg_citations"),

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import querylog, records, views
+from ..functions.scalar import day_start
 from .bindings import ClinicalTables, with_ctes
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -283,7 +284,7 @@ SELECT date_trunc('day', created_at) AS run_day, count(*) AS total_queries,
 FROM kb_queries GROUP BY 1""", "kb_queries"))
 def q_run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ClinicalTables(spark, sf_dir)
-    return querylog.run_summary(t.kb_queries, [F.date_trunc("day", "created_at").alias("run_day")])
+    return querylog.run_summary(t.kb_queries, [day_start("created_at").alias("run_day")])
 
 
 @register("session_rollup", with_ctes(f"""

@@ -195,7 +195,7 @@ GROUP BY 1""", "kb_queries"))
 def q_latency_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = ClinicalTables(spark, sf_dir).kb_queries.withColumn(
         "client_time_ms", F.col("response_time_ms") + ((F.col("query_id") % 37) * 3).cast("int"))
-    return Q.latency_compare(q, [F.date_trunc("day", "created_at").alias("day")])
+    return Q.latency_compare(q, [S.day_start("created_at").alias("day")])
 
 
 # --- W2 / R3 / F10 ----------------------------------------------------------------

@@ -1,7 +1,8 @@
 """Structured Streaming twins of the query-log analytics.
 
 Event time is TIMESTAMP_NTZ at rest; watermarks need TIMESTAMP, so the
-streams cast it (the session time zone is UTC). Every job checkpoints under
+streams read the wall clock as UTC (whatever the session time zone) and turn
+window bounds back into TIMESTAMP_NTZ. Every job checkpoints under
 ``spark.checkpoint.dir`` so it resumes after a failure, and sinks are
 idempotent (file sink commit log, or an overwrite per micro-batch).
 """
@@ -16,9 +17,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions import scalar as S
+
 
 def event_time(df: DataFrame, ts: str, out: str = "event_time") -> DataFrame:
-    return df.withColumn(out, F.col(ts).cast("timestamp"))
+    """Watermarks need TIMESTAMP: the NTZ wall clock read as UTC (independent
+    of the session time zone); outputs are turned back into NTZ."""
+    return df.withColumn(out, S.utc_instant(ts))
 
 
 # --- T1 ------------------------------------------------------------------------------
@@ -36,7 +41,7 @@ def stream_query_analytics(log: DataFrame, watermark: str = "1 day", ts: str = "
         F.sum(F.when(~F.col("success"), 1).otherwise(0)).alias("failed_queries"),
         F.approx_count_distinct("subject_id").alias("approx_unique_patients"),
     )
-    return g.select(F.col("w.start").alias("query_date"), "total_queries",
+    return g.select(S.ntz_of_instant("w.start").alias("query_date"), "total_queries",
                     (F.col("total_response_time_ms") / F.col("total_queries")).alias("avg_response_time"),
                     (F.col("total_citations") / F.col("total_queries")).alias("avg_citations"),
                     "successful_queries", "failed_queries", "approx_unique_patients")
@@ -53,8 +58,10 @@ def stream_sessions(log: DataFrame, gap: str = "30 minutes", watermark: str = "1
     g = s.groupBy(F.col(key), F.session_window("event_time", gap).alias("s")).agg(
         F.count(F.lit(1)).alias("query_count"), F.sum("response_time_ms").alias("total_response_time_ms"),
         F.max("event_time").alias("last_activity"))
-    return g.select(key, F.col("s.start").alias("start_time"), F.col("s.end").alias("session_end"),
-                    "last_activity", "query_count", "total_response_time_ms")
+    return g.select(key, S.ntz_of_instant("s.start").alias("start_time"),
+                    S.ntz_of_instant("s.end").alias("session_end"),
+                    S.ntz_of_instant("last_activity").alias("last_activity"), "query_count",
+                    "total_response_time_ms")
 
 
 # --- T3 ------------------------------------------------------------------------------
