@@ -262,7 +262,9 @@ def q_build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prompt per conversation question; the conversation id names the
     subject. Records are rendered only for the subjects asked about."""
     t = ClinicalTables(spark, sf_dir)
-    qs = Q.previous_turn(Q.exchanges(t.raw("conversations"))).withColumn("subject_id", F.col("conv_id"))
-    subjects = qs.select("subject_id").distinct()
+    conv = t.raw("conversations")
+    qs = Q.previous_turn(Q.exchanges(conv)).withColumn("subject_id", F.col("conv_id"))
+    # the subjects asked about, straight from the scan (not through the turn pairing)
+    subjects = conv.select(F.col("conv_id").alias("subject_id")).distinct()
     recs = R.render_records(parts_for(t, subjects))
     return R.build_prompts(qs, recs).select("conv_id", "q_idx", "prompt")
