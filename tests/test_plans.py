@@ -2,6 +2,8 @@
 cartesian products, partial top-k before the shuffle for ranked retrievals,
 and pushed-down filters / pruned columns at the scans."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as E
@@ -42,4 +44,5 @@ def test_scan_prunes_columns_and_pushes_filters(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint" in plan   # not every lineitem column
     icu = E.queries()["icu_stays"](spark, SMALL_SF)
-    assert "PushedFilters: [IsNotNull(o_orderpriority), EqualTo(o_orderpriority,1-URGENT)]" in _plan(icu)
+    pushed = re.search(r"PushedFilters: \[([^\]]*)\]", _plan(icu))
+    assert pushed and "EqualTo(o_orderpriority,1-URGENT)" in pushed.group(1)
