@@ -60,3 +60,45 @@ def rank_all_by_time(df: DataFrame, key: str, time_col: str, ties: Sequence[Colu
     summ = summ.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
     out_df = b.join(summ.select(key, "_bkt", "_off"), [key, "_bkt"])
     return out_df.withColumn(out, (F.col("_local") + F.col("_off")).cast("int")).drop("_bkt", "_local", "_off")
+
+
+def next_in_key(df: DataFrame, key: str, time_col: str, tie_col: str, carry: Sequence[str],
+                prefix: str = "next_", width_days: int = 1) -> DataFrame:
+    """For each row, the ``carry`` columns of the next row within ``key`` under
+    (``time_col`` ASC NULLS LAST, ``tie_col`` ASC), as ``prefix + name``:
+    ``lead`` per (key, time bucket), and for the last row of a bucket the first
+    row of the key's next non-empty bucket, taken from a per-bucket summary."""
+    width = width_days * 86_400 * 1_000_000
+    b = df.withColumn("_bkt", F.coalesce(F.floor(epoch_us(time_col) / F.lit(width)), F.lit(2 ** 62)))
+    payload = F.struct(*[F.col(c).alias(c) for c in carry])
+    w = Window.partitionBy(key, "_bkt").orderBy(F.col(time_col).asc_nulls_last(), F.col(tie_col).asc_nulls_last())
+    b = b.withColumn("_p", payload).withColumn("_local", F.lead("_p").over(w))
+    # the bucket's first row: least (time, tie), times in one bucket are all set or all NULL
+    summ = b.groupBy(key, "_bkt").agg(F.min_by("_p", F.struct(time_col, tie_col)).alias("_first"))
+    wb = Window.partitionBy(key).orderBy("_bkt")
+    summ = summ.withColumn("_carry", F.lead("_first").over(wb))
+    out_df = b.join(summ.select(key, "_bkt", "_carry"), [key, "_bkt"])
+    nxt = F.coalesce("_local", "_carry")
+    return out_df.select(*df.columns, *[nxt[c].alias(prefix + c) for c in carry])
+
+
+def percent_rank_all(df: DataFrame, value: str, out: str, width: float = 1 / 1024) -> DataFrame:
+    """``percent_rank() OVER (ORDER BY value)`` over the whole frame, without
+    moving every row into one task: rows collapse to a histogram of distinct
+    values (partial aggregation), each distinct value learns how many rows are
+    smaller from a window per value bucket plus an offset from a summary with
+    one row per non-empty bucket (bounded by the value range / ``width``, not by
+    the row count), and the rank is joined back on the value. NULL values get
+    NULL."""
+    hist = (df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_bkt", F.floor(F.col(value) / F.lit(width))))
+    w = Window.partitionBy("_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_local", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    summ = hist.groupBy("_bkt").agg(F.sum("_c").alias("_n"))
+    wb = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    summ = (summ.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
+            .withColumn("_total", F.sum("_n").over(Window.partitionBy())))
+    ranks = hist.join(summ.select("_bkt", "_off", "_total"), "_bkt").select(
+        value, F.when(F.col("_total") > 1, (F.col("_local") + F.col("_off")) / (F.col("_total") - 1))
+        .otherwise(F.lit(0.0)).alias(out))
+    return df.join(ranks, value, "left")
