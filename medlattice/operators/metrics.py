@@ -7,7 +7,7 @@ plain aggregate or key-ordered scan over the clinical tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -79,3 +79,118 @@ def event_rate_per_1000_days(admissions: DataFrame, events: DataFrame, flag: str
     return g.select(
         "admission_type", F.round("_days", 6).alias("patient_days"), "events",
         F.when(F.col("_days") > 0, F.round(F.col("events") * 1000 / F.col("_days"), 6)).alias("rate_per_1000_days"))
+
+
+# --- ICD-10 chapter by code range -------------------------------------------------
+
+# The high-level ICD-10-CM chapter groupings the corpus lists
+# (first code, last code, chapter), in its order. Codes outside them are 'Unlisted'.
+ICD10_CHAPTERS = (
+    ("A00", "B99", "Certain infectious and parasitic diseases"),
+    ("C00", "D49", "Neoplasms"),
+    ("E00", "E89", "Endocrine, nutritional and metabolic diseases"),
+    ("I00", "I99", "Diseases of the circulatory system"),
+    ("J00", "J99", "Diseases of the respiratory system"),
+    ("M00", "M99", "Diseases of the musculoskeletal system and connective tissue"),
+    ("N00", "N99", "Diseases of the genitourinary system"),
+    ("O00", "O9A", "Pregnancy, childbirth and the puerperium"),
+    ("P00", "P96", "Conditions originating in the perinatal period"),
+    ("Q00", "Q99", "Congenital malformations, deformations and chromosomal abnormalities"),
+    ("R00", "R99", "Symptoms, signs and abnormal clinical and laboratory findings"),
+    ("V00", "Y99", "External causes of morbidity"),
+    ("Z00", "Z99", "Factors influencing health status and contact with health services"),
+)
+
+
+def icd10_chapter(code: str | Column) -> Column:
+    """Chapter of an ICD-10 code by its first three characters (a CASE chain,
+    no join): ranges compare as strings, so 'O9A' closes the pregnancy block."""
+    c = F.upper(F.substring(F.col(code) if isinstance(code, str) else code, 1, 3))
+    out = None
+    for lo, hi, name in ICD10_CHAPTERS:
+        cond = (c >= F.lit(lo)) & (c <= F.lit(hi))
+        out = F.when(cond, F.lit(name)) if out is None else out.when(cond, F.lit(name))
+    return F.when(c.isNull(), F.lit(None)).otherwise(out.otherwise(F.lit("Unlisted")))
+
+
+def icd_chapter_counts(diagnoses: DataFrame) -> DataFrame:
+    """Per chapter: ICD-10 diagnosis rows, distinct patients and admissions."""
+    d = diagnoses.filter(F.col("icd_version") == 10).select(
+        "subject_id", "hadm_id", icd10_chapter("icd_code").alias("chapter"))
+    return d.groupBy("chapter").agg(
+        F.count(F.lit(1)).alias("diagnoses"),
+        F.countDistinct("subject_id").alias("patients"),
+        F.countDistinct("hadm_id").alias("admissions"))
+
+
+# --- lab reference ranges ----------------------------------------------------------
+
+# Generic adult reference ranges from the corpus, in its order:
+# (analyte, low for males, high for males, low for females, high for females).
+GENERIC_LAB_RANGES = (
+    ("WBC", 4.5, 11.0, 4.5, 11.0),
+    ("RBC", 4.5, 5.9, 4.1, 5.1),
+    ("Hemoglobin", 13.5, 17.5, 12.0, 15.5),
+    ("Hematocrit", 38.8, 50.0, 34.9, 44.5),
+    ("MCV", 80.0, 100.0, 80.0, 100.0),
+    ("Platelets", 150.0, 400.0, 150.0, 400.0),
+    ("Glucose", 70.0, 100.0, 70.0, 100.0),
+    ("BUN", 7.0, 20.0, 7.0, 20.0),
+    ("Creatinine", 0.7, 1.3, 0.6, 1.1),
+    ("Sodium", 135.0, 145.0, 135.0, 145.0),
+    ("Potassium", 3.5, 5.0, 3.5, 5.0),
+    ("Chloride", 98.0, 107.0, 98.0, 107.0),
+    ("Bicarbonate", 23.0, 29.0, 23.0, 29.0),
+    ("ALT", 7.0, 35.0, 7.0, 35.0),
+    ("AST", 10.0, 40.0, 10.0, 40.0),
+    ("Alkaline phosphatase", 30.0, 120.0, 30.0, 120.0),
+    ("Total bilirubin", 0.1, 1.2, 0.1, 1.2),
+    ("Albumin", 3.5, 5.0, 3.5, 5.0),
+)
+
+
+def generic_ranges(spark) -> DataFrame:
+    """(analyte, gender, low, high): two rows per analyte, 36 in all."""
+    rows = [(a, g, lo, hi) for a, ml, mh, fl, fh in GENERIC_LAB_RANGES for g, lo, hi in (("M", ml, mh), ("F", fl, fh))]
+    return spark.createDataFrame(rows, "analyte string, gender string, generic_low double, generic_high double")
+
+
+def lab_range_flags(labevents: DataFrame, analytes: DataFrame, patients: DataFrame) -> DataFrame:
+    """Flag each numeric lab result low / high / normal. The dataset's own
+    reference range takes precedence when either bound is present; otherwise
+    the generic range for the analyte and the patient's sex applies. The
+    generic table has a fixed 36 rows, so it is broadcast; the patient join is
+    a key join Spark plans by size."""
+    ranges = F.broadcast(generic_ranges(labevents.sparkSession))
+    le = labevents.select("subject_id", "hadm_id", "itemid", "charttime", "valuenum",
+                          "ref_range_lower", "ref_range_upper")
+    j = (le.join(analytes.select("itemid", "analyte"), "itemid", "left")
+         .join(patients.select("subject_id", "gender"), "subject_id", "left")
+         .join(ranges, ["analyte", "gender"], "left"))
+    own = F.col("ref_range_lower").isNotNull() | F.col("ref_range_upper").isNotNull()
+    low = F.when(own, F.col("ref_range_lower")).otherwise(F.col("generic_low"))
+    high = F.when(own, F.col("ref_range_upper")).otherwise(F.col("generic_high"))
+    src = F.when(own, F.lit("dataset")).when(F.col("generic_low").isNotNull(), F.lit("generic"))
+    v = F.col("valuenum")
+    flag = (F.when(v.isNull() | src.isNull(), F.lit(None))
+            .when(low.isNotNull() & (v < low), F.lit("low"))
+            .when(high.isNotNull() & (v > high), F.lit("high")).otherwise(F.lit("normal")))
+    return j.select("subject_id", "hadm_id", "itemid", "charttime", "valuenum", "analyte",
+                    low.alias("range_low"), high.alias("range_high"), src.alias("range_source"),
+                    flag.alias("range_flag"))
+
+
+def anion_gap(labevents: DataFrame, analytes: DataFrame) -> DataFrame:
+    """Per admission: the latest sodium, chloride and bicarbonate results and
+    the anion gap Na − (Cl + HCO₃) when all three exist. "Latest" is by chart
+    time, then the larger value, so the pick is deterministic; each admission
+    aggregates with map-side partials."""
+    names = {"Sodium": "sodium", "Chloride": "chloride", "Bicarbonate": "bicarbonate"}
+    le = (labevents.filter(F.col("valuenum").isNotNull() & F.col("charttime").isNotNull())
+          .join(analytes.filter(F.col("analyte").isin(*names)).select("itemid", "analyte"), "itemid")
+          .select("hadm_id", "subject_id", "analyte", "charttime", "valuenum"))
+    aggs = [F.max_by(F.when(F.col("analyte") == a, F.col("valuenum")),
+                     F.when(F.col("analyte") == a, F.struct("charttime", "valuenum"))).alias(c)
+            for a, c in names.items()]
+    g = le.groupBy("hadm_id", "subject_id").agg(*aggs)
+    return g.withColumn("anion_gap", F.round(F.col("sodium") - (F.col("chloride") + F.col("bicarbonate")), 6))

@@ -83,3 +83,96 @@ GROUP BY a.admission_type""", "admissions", "labevents"))
 def q_event_rate_per_1000_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ClinicalTables(spark, sf_dir)
     return M.event_rate_per_1000_days(t.admissions, t.labevents)
+
+
+# --- ICD-10 chapters: version-10 diagnosis codes get an ICD-10 shape (a letter
+#     from A-Z without U, then two digits) derived from the numeric code -------------
+
+_ICD_LETTERS = "ABCDEFGHIJKLMNOPQRSTVWXYZ"
+
+
+def _icd10_diagnoses(t: ClinicalTables) -> DataFrame:
+    k = F.col("icd_code").cast("bigint")
+    letter = F.element_at(F.array(*[F.lit(c) for c in _ICD_LETTERS]), (k % 25 + 1).cast("int"))
+    code = F.concat(letter, F.lpad(((k / 25).cast("bigint") % 100).cast("string"), 2, "0"))
+    return t.diagnoses_icd.withColumn("icd_code", code)
+
+
+def _chapter_sql(code: str) -> str:
+    c = f"upper(substr({code}, 1, 3))"
+    whens = " ".join(f"WHEN {c} >= '{lo}' AND {c} <= '{hi}' THEN '{name}'" for lo, hi, name in M.ICD10_CHAPTERS)
+    return f"CASE WHEN {c} IS NULL THEN NULL {whens} ELSE 'Unlisted' END"
+
+
+_ICD10_SQL = ("icd10", f"""SELECT subject_id, hadm_id, icd_version,
+    substr('{_ICD_LETTERS}', CAST(CAST(icd_code AS BIGINT) % 25 + 1 AS INTEGER), 1)
+    || lpad(CAST(CAST(CAST(icd_code AS BIGINT) // 25 AS BIGINT) % 100 AS VARCHAR), 2, '0') AS icd_code
+    FROM diagnoses_icd""")
+
+
+@register("icd_chapter_counts", with_ctes(f"""
+SELECT {_chapter_sql('icd_code')} AS chapter, count(*) AS diagnoses, count(DISTINCT subject_id) AS patients,
+       count(DISTINCT hadm_id) AS admissions
+FROM icd10 WHERE icd_version = 10 GROUP BY 1""", "diagnoses_icd", extra=(_ICD10_SQL,)))
+def q_icd_chapter_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.icd_chapter_counts(_icd10_diagnoses(ClinicalTables(spark, sf_dir)))
+
+
+# --- lab analytes: each lab item is bound to one of the corpus's analytes ----------
+
+_ANALYTES = [a for a, *_ in M.GENERIC_LAB_RANGES]
+
+
+def _analytes(t: ClinicalTables) -> DataFrame:
+    names = F.array(*[F.lit(a) for a in _ANALYTES])
+    return t.d_labitems.select(
+        "itemid", F.element_at(names, (F.col("itemid") % len(_ANALYTES) + 1).cast("int")).alias("analyte"))
+
+
+_ANALYTES_SQL = ("analytes", "SELECT itemid, list_extract([" + ", ".join(f"'{a}'" for a in _ANALYTES)
+                 + f"], CAST(itemid % {len(_ANALYTES)} + 1 AS INTEGER)) AS analyte FROM d_labitems")
+_RANGES_SQL = ("ranges", "SELECT * FROM (VALUES " + ", ".join(
+    f"('{a}', '{g}', {lo}, {hi})" for a, ml, mh, fl, fh in M.GENERIC_LAB_RANGES
+    for g, lo, hi in (("M", ml, mh), ("F", fl, fh))) + ") v(analyte, gender, generic_low, generic_high)")
+
+
+@register("lab_range_flags", with_ctes("""
+SELECT subject_id, hadm_id, itemid, charttime, valuenum, analyte, range_low, range_high, range_source,
+       CASE WHEN valuenum IS NULL OR range_source IS NULL THEN NULL
+            WHEN range_low IS NOT NULL AND valuenum < range_low THEN 'low'
+            WHEN range_high IS NOT NULL AND valuenum > range_high THEN 'high'
+            ELSE 'normal' END AS range_flag
+FROM (SELECT l.subject_id, l.hadm_id, l.itemid, l.charttime, l.valuenum, a.analyte,
+        CASE WHEN l.ref_range_lower IS NOT NULL OR l.ref_range_upper IS NOT NULL THEN l.ref_range_lower
+             ELSE r.generic_low END AS range_low,
+        CASE WHEN l.ref_range_lower IS NOT NULL OR l.ref_range_upper IS NOT NULL THEN l.ref_range_upper
+             ELSE r.generic_high END AS range_high,
+        CASE WHEN l.ref_range_lower IS NOT NULL OR l.ref_range_upper IS NOT NULL THEN 'dataset'
+             WHEN r.generic_low IS NOT NULL THEN 'generic' END AS range_source
+      FROM labevents l
+      LEFT JOIN analytes a ON l.itemid = a.itemid
+      LEFT JOIN patients p ON l.subject_id = p.subject_id
+      LEFT JOIN ranges r ON r.analyte = a.analyte AND r.gender = p.gender) x""",
+    "labevents", "d_labitems", "patients", extra=(_ANALYTES_SQL, _RANGES_SQL)))
+def q_lab_range_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ClinicalTables(spark, sf_dir)
+    return M.lab_range_flags(t.labevents, _analytes(t), t.patients)
+
+
+@register("anion_gap", with_ctes("""
+SELECT hadm_id, subject_id, sodium, chloride, bicarbonate, round(sodium - (chloride + bicarbonate), 6) AS anion_gap
+FROM (SELECT hadm_id, subject_id,
+        max(CASE WHEN analyte = 'Sodium' THEN valuenum END) AS sodium,
+        max(CASE WHEN analyte = 'Chloride' THEN valuenum END) AS chloride,
+        max(CASE WHEN analyte = 'Bicarbonate' THEN valuenum END) AS bicarbonate
+      FROM (SELECT l.hadm_id, l.subject_id, a.analyte, l.valuenum,
+              row_number() OVER (PARTITION BY l.hadm_id, l.subject_id, a.analyte
+                                 ORDER BY l.charttime DESC, l.valuenum DESC) AS rn
+            FROM labevents l JOIN analytes a ON l.itemid = a.itemid
+            WHERE a.analyte IN ('Sodium', 'Chloride', 'Bicarbonate')
+              AND l.valuenum IS NOT NULL AND l.charttime IS NOT NULL) s
+      WHERE rn = 1 GROUP BY hadm_id, subject_id) g""",
+    "labevents", "d_labitems", extra=(_ANALYTES_SQL,)))
+def q_anion_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = ClinicalTables(spark, sf_dir)
+    return M.anion_gap(t.labevents, _analytes(t))

@@ -64,3 +64,51 @@ def test_readmission_rules(spark):
     rate = {x["admission_type"]: (x["index_admissions"], x["readmissions"])
             for x in metrics.readmission_rate(metrics.readmission_30d(a)).collect()}
     assert rate == {"E": (2, 1), "U": (4, 1)}
+
+
+def test_icd10_chapter_boundaries(spark):
+    codes = ["A00", "b99.1", "C50", "D49", "D50", "O9A", "O99", "P97", "U07", "V01", "X59", "Z99", "123", None]
+    df = spark.createDataFrame([(c,) for c in codes], "code string")
+    got = dict((r["code"], r["ch"]) for r in df.select("code", metrics.icd10_chapter("code").alias("ch")).collect())
+    assert got["A00"] == got["b99.1"] == "Certain infectious and parasitic diseases"
+    assert got["C50"] == got["D49"] == "Neoplasms"
+    assert got["D50"] == got["P97"] == got["U07"] == got["123"] == "Unlisted"
+    assert got["O9A"] == got["O99"] == "Pregnancy, childbirth and the puerperium"
+    assert got["V01"] == got["X59"] == "External causes of morbidity"
+    assert got[None] is None
+
+
+def test_lab_range_flags_precedence_and_sex(spark):
+    d = dt.datetime(2150, 1, 1)
+    labs = spark.createDataFrame([
+        (1, 10, 1, d, 16.0, None, None),     # male hemoglobin 16: generic 13.5-17.5 -> normal
+        (2, 20, 1, d, 16.0, None, None),     # female hemoglobin 16: generic 12.0-15.5 -> high
+        (2, 20, 1, d, 16.0, 10.0, 20.0),     # the dataset's own range wins -> normal
+        (2, 20, 1, d, 5.0, 10.0, None),      # own lower bound only -> low
+        (1, 10, 2, d, 1.0, None, None),      # item without an analyte -> no flag
+        (1, 10, 1, d, None, None, None),     # no value -> no flag
+    ], "subject_id long, hadm_id long, itemid long, charttime timestamp_ntz, valuenum double, "
+       "ref_range_lower double, ref_range_upper double")
+    analytes = spark.createDataFrame([(1, "Hemoglobin")], "itemid long, analyte string")
+    patients = spark.createDataFrame([(1, "M"), (2, "F")], "subject_id long, gender string")
+    got = [(r["subject_id"], r["valuenum"], r["range_low"], r["range_source"], r["range_flag"])
+           for r in metrics.lab_range_flags(labs, analytes, patients).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, 16.0, 13.5, "generic", "normal"), (2, 16.0, 12.0, "generic", "high"),
+        (2, 16.0, 10.0, "dataset", "normal"), (2, 5.0, 10.0, "dataset", "low"),
+        (1, 1.0, None, None, None), (1, None, 13.5, "generic", None)], key=str)
+
+
+def test_anion_gap_takes_latest_results(spark):
+    d = dt.datetime
+    labs = spark.createDataFrame([
+        (1, 10, 1, d(2150, 1, 1), 130.0), (1, 10, 1, d(2150, 1, 2), 140.0),   # latest sodium 140
+        (1, 10, 2, d(2150, 1, 2), 100.0), (1, 10, 2, d(2150, 1, 2), 104.0),   # tie on time: larger value
+        (1, 10, 3, d(2150, 1, 1), 24.0),
+        (1, 11, 1, d(2150, 2, 1), 139.0),                                     # no chloride: no gap
+    ], "subject_id long, hadm_id long, itemid long, charttime timestamp_ntz, valuenum double")
+    analytes = spark.createDataFrame([(1, "Sodium"), (2, "Chloride"), (3, "Bicarbonate")],
+                                     "itemid long, analyte string")
+    got = {r["hadm_id"]: (r["sodium"], r["chloride"], r["bicarbonate"], r["anion_gap"])
+           for r in metrics.anion_gap(labs, analytes).collect()}
+    assert got == {10: (140.0, 104.0, 24.0, 12.0), 11: (139.0, None, None, None)}
