@@ -194,3 +194,42 @@ def anion_gap(labevents: DataFrame, analytes: DataFrame) -> DataFrame:
             for a, c in names.items()]
     g = le.groupBy("hadm_id", "subject_id").agg(*aggs)
     return g.withColumn("anion_gap", F.round(F.col("sodium") - (F.col("chloride") + F.col("bicarbonate")), 6))
+
+
+# --- blood-pressure class -------------------------------------------------------
+
+def bp_class(systolic: str, diastolic: str) -> Column:
+    """US adult hypertension class of one reading (mmHg), most severe first:
+    crisis ≥180/≥120, stage 2 ≥140/≥90, stage 1 130–139/80–89, elevated
+    120–129 with diastolic <80, else normal. NULL if either value is missing."""
+    s, d = F.col(systolic), F.col(diastolic)
+    return (F.when(s.isNull() | d.isNull(), F.lit(None))
+            .when((s >= 180) | (d >= 120), F.lit("Hypertensive crisis"))
+            .when((s >= 140) | (d >= 90), F.lit("Stage 2 hypertension"))
+            .when((s >= 130) | (d >= 80), F.lit("Stage 1 hypertension"))
+            .when(s >= 120, F.lit("Elevated")).otherwise(F.lit("Normal")))
+
+
+def bp_classification(readings: DataFrame) -> DataFrame:
+    """Pair systolic and diastolic readings charted for the same stay at the
+    same time (the higher value if one is charted twice) and classify each
+    pair. ``readings``: stay_id, subject_id, charttime, measure, value."""
+    g = readings.groupBy("stay_id", "subject_id", "charttime").agg(
+        F.max(F.when(F.col("measure") == "systolic", F.col("value"))).alias("systolic"),
+        F.max(F.when(F.col("measure") == "diastolic", F.col("value"))).alias("diastolic"))
+    pairs = g.filter(F.col("systolic").isNotNull() & F.col("diastolic").isNotNull())
+    return pairs.withColumn("bp_class", bp_class("systolic", "diastolic"))
+
+
+# --- net promoter score -------------------------------------------------------------
+
+def net_promoter_score(responses: DataFrame, period: Column) -> DataFrame:
+    """Per period: respondents, promoters (9–10), passives (7–8), detractors
+    (0–6) and NPS = % promoters − % detractors. Scores outside 0–10 are ignored."""
+    r = responses.filter(F.col("score").between(0, 10)).withColumn("period", period)
+    g = r.groupBy("period").agg(
+        F.count(F.lit(1)).alias("respondents"),
+        F.count_if(F.col("score") >= 9).alias("promoters"),
+        F.count_if(F.col("score").between(7, 8)).alias("passives"),
+        F.count_if(F.col("score") <= 6).alias("detractors"))
+    return g.withColumn("nps", F.round((F.col("promoters") - F.col("detractors")) * 100.0 / F.col("respondents"), 6))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import metrics as M
 from .bindings import ClinicalTables, with_ctes
 from .catalog import register
@@ -176,3 +177,48 @@ FROM (SELECT hadm_id, subject_id,
 def q_anion_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ClinicalTables(spark, sf_dir)
     return M.anion_gap(t.labevents, _analytes(t))
+
+
+# --- blood pressure: chart items with an even id are bound as systolic, odd ids as
+#     diastolic; the charted quantity is scaled into mmHg ------------------------------
+
+def _bp_readings(t: ClinicalTables) -> DataFrame:
+    ce = t.chartevents
+    even = F.col("itemid") % 2 == 0
+    m = F.when(even, "systolic").otherwise("diastolic")
+    v = F.when(even, F.col("valuenum") * 3 + 80).otherwise(F.col("valuenum") * 2 + 40)
+    return ce.select("stay_id", "subject_id", "charttime", m.alias("measure"), v.alias("value"))
+
+
+@register("bp_classification", with_ctes("""
+SELECT stay_id, subject_id, charttime, systolic, diastolic,
+       CASE WHEN systolic >= 180 OR diastolic >= 120 THEN 'Hypertensive crisis'
+            WHEN systolic >= 140 OR diastolic >= 90 THEN 'Stage 2 hypertension'
+            WHEN systolic >= 130 OR diastolic >= 80 THEN 'Stage 1 hypertension'
+            WHEN systolic >= 120 THEN 'Elevated' ELSE 'Normal' END AS bp_class
+FROM (SELECT stay_id, subject_id, charttime,
+        max(CASE WHEN itemid % 2 = 0 THEN valuenum * 3 + 80 END) AS systolic,
+        max(CASE WHEN itemid % 2 = 1 THEN valuenum * 2 + 40 END) AS diastolic
+      FROM chartevents GROUP BY stay_id, subject_id, charttime) g
+WHERE systolic IS NOT NULL AND diastolic IS NOT NULL""", "chartevents"))
+def q_bp_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.bp_classification(_bp_readings(ClinicalTables(spark, sf_dir)))
+
+
+# --- NPS per day: a 'purchase' event is a completed visit whose survey score is
+#     floor(value) mod 11 -------------------------------------------------------------
+
+def _survey(t: ClinicalTables) -> DataFrame:
+    e = t.raw("events").filter(F.col("event_type") == "purchase")
+    return e.select("ts", (F.floor(F.col("value")).cast("bigint") % 11).cast("int").alias("score"))
+
+
+@register("net_promoter_score", with_ctes("""
+SELECT period, count(*) AS respondents, count_if(score >= 9) AS promoters,
+       count_if(score BETWEEN 7 AND 8) AS passives, count_if(score <= 6) AS detractors,
+       round((count_if(score >= 9) - count_if(score <= 6)) * 100.0 / count(*), 6) AS nps
+FROM (SELECT date_trunc('day', ts) AS period, CAST(CAST(floor(value) AS BIGINT) % 11 AS INTEGER) AS score
+      FROM events WHERE event_type = 'purchase') s
+WHERE score BETWEEN 0 AND 10 GROUP BY period"""))
+def q_net_promoter_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.net_promoter_score(_survey(ClinicalTables(spark, sf_dir)), S.day_start("ts"))

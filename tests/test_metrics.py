@@ -112,3 +112,29 @@ def test_anion_gap_takes_latest_results(spark):
     got = {r["hadm_id"]: (r["sodium"], r["chloride"], r["bicarbonate"], r["anion_gap"])
            for r in metrics.anion_gap(labs, analytes).collect()}
     assert got == {10: (140.0, 104.0, 24.0, 12.0), 11: (139.0, None, None, None)}
+
+
+def test_bp_classes_and_pairing(spark):
+    d = dt.datetime(2150, 1, 1, 8)
+    rows = []
+    pairs = [(119, 79, "Normal"), (125, 79, "Elevated"), (125, 80, "Stage 1 hypertension"),
+             (135, 70, "Stage 1 hypertension"), (140, 70, "Stage 2 hypertension"), (120, 95, "Stage 2 hypertension"),
+             (180, 70, "Hypertensive crisis"), (150, 120, "Hypertensive crisis")]
+    for i, (s, dia, _) in enumerate(pairs):
+        t = d + dt.timedelta(hours=i)
+        rows += [(1, 7, t, "systolic", float(s)), (1, 7, t, "diastolic", float(dia))]
+    rows += [(2, 7, d, "systolic", 110.0), (2, 7, d, "systolic", 131.0), (2, 7, d, "diastolic", 70.0),
+             (3, 7, d, "systolic", 200.0)]                      # stay 3 has no diastolic: no pair
+    df = spark.createDataFrame(rows, "stay_id long, subject_id long, charttime timestamp_ntz, "
+                                     "measure string, value double")
+    got = sorted((r["stay_id"], r["systolic"], r["diastolic"], r["bp_class"])
+                 for r in metrics.bp_classification(df).collect())
+    want = sorted([(1, float(s), float(dia), c) for s, dia, c in pairs] + [(2, 131.0, 70.0, "Stage 1 hypertension")])
+    assert got == want
+
+
+def test_net_promoter_score(spark):
+    scores = [10, 9, 9, 8, 7, 6, 0, 3, 11, -1]           # 3 promoters, 2 passives, 3 detractors, 2 ignored
+    df = spark.createDataFrame([(1, s) for s in scores], "p int, score int")
+    r = metrics.net_promoter_score(df, F.col("p")).collect()[0]
+    assert (r["respondents"], r["promoters"], r["passives"], r["detractors"], r["nps"]) == (8, 3, 2, 3, 0.0)
