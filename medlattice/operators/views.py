@@ -32,15 +32,25 @@ def patient_summary(patients: DataFrame, admissions: DataFrame, icustays: DataFr
 
 
 def diagnosis_frequency(diagnoses: DataFrame, d_icd_diagnoses: DataFrame) -> DataFrame:
-    """V2: occurrences, distinct patients and admissions per (code, version, title)."""
+    """V2: occurrences, distinct patients and admissions per (code, version, title).
+
+    Aggregated on (code, version) before the dictionary join, so the title is
+    not carried through the distinct-count expansion and shuffles. Exact for
+    any dictionary: each title row of a key joins the key's counts once, and a
+    title repeated m times multiplies the occurrences by m, as the join would.
+    """
     d = diagnoses.select("subject_id", "hadm_id", "icd_code", "icd_version")
-    di = d_icd_diagnoses.select("icd_code", "icd_version", "long_title")
-    g = (d.join(di, ["icd_code", "icd_version"], "left")
-         .groupBy("icd_code", "icd_version", "long_title")
-         .agg(F.count(F.lit(1)).alias("occurrence_count"),
-              F.countDistinct("subject_id").alias("patient_count"),
-              F.countDistinct("hadm_id").alias("admission_count")))
-    return g.orderBy(F.col("occurrence_count").desc(), "icd_code", "icd_version")
+    g = d.groupBy("icd_code", "icd_version").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.countDistinct("subject_id").alias("patient_count"),
+        F.countDistinct("hadm_id").alias("admission_count"))
+    di = (d_icd_diagnoses.groupBy("icd_code", "icd_version", "long_title")
+          .agg(F.count(F.lit(1)).alias("_m")))
+    out = g.join(di, ["icd_code", "icd_version"], "left").select(
+        "icd_code", "icd_version", "long_title",
+        (F.col("_n") * F.coalesce(F.col("_m"), F.lit(1))).alias("occurrence_count"),
+        "patient_count", "admission_count")
+    return out.orderBy(F.col("occurrence_count").desc(), "icd_code", "icd_version")
 
 
 def query_analytics(kb_queries: DataFrame, avg_digits: int | None = 6) -> DataFrame:

@@ -138,3 +138,18 @@ def test_net_promoter_score(spark):
     df = spark.createDataFrame([(1, s) for s in scores], "p int, score int")
     r = metrics.net_promoter_score(df, F.col("p")).collect()[0]
     assert (r["respondents"], r["promoters"], r["passives"], r["detractors"], r["nps"]) == (8, 3, 2, 3, 0.0)
+
+
+def test_diagnosis_frequency_aggregates_before_the_dictionary_join(spark):
+    from medlattice.operators import views
+    dx = spark.createDataFrame([(1, 10, "A1", 10), (1, 11, "A1", 10), (2, 20, "A1", 10), (2, 20, "B2", 9),
+                                (3, 30, "C3", 10), (3, 30, None, 10)],
+                               "subject_id long, hadm_id long, icd_code string, icd_version int")
+    # A1 has two titles, B2 one title listed twice, C3 none
+    dd = spark.createDataFrame([("A1", 10, "alpha"), ("A1", 10, "alpha two"), ("B2", 9, "beta"), ("B2", 9, "beta")],
+                               "icd_code string, icd_version int, long_title string")
+    naive = (dx.join(dd, ["icd_code", "icd_version"], "left").groupBy("icd_code", "icd_version", "long_title")
+             .agg(F.count(F.lit(1)).alias("occurrence_count"), F.countDistinct("subject_id").alias("patient_count"),
+                  F.countDistinct("hadm_id").alias("admission_count")))
+    cols = ["icd_code", "icd_version", "long_title", "occurrence_count", "patient_count", "admission_count"]
+    assert _rows(views.diagnosis_frequency(dx, dd), cols) == _rows(naive, cols)
