@@ -22,6 +22,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -86,7 +88,12 @@ class ClinicalTables:
     def events_base(self) -> DataFrame:
         li = self.raw("lineitem")
         o = self.raw("orders").select(F.col("o_orderkey"), F.col("o_custkey").alias("subject_id"))
-        return li.join(o, li.l_orderkey == o.o_orderkey, "inner").drop("o_orderkey")
+        # Every event role is ranked or aggregated per subject. When the scan
+        # arrives in fewer splits than cores, the joined rows are spread on
+        # subject_id, so those windows and aggregates need no further shuffle
+        # and do not sort in one task (a no-op at scale).
+        joined = li.join(o, li.l_orderkey == o.o_orderkey, "inner").drop("o_orderkey")
+        return spread(joined, "subject_id", probe=li)
 
     @cached_property
     def diagnoses_icd(self) -> DataFrame:
