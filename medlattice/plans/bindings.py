@@ -39,6 +39,13 @@ class ClinicalTables:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
+    @cached_property
+    def orders_by_subject(self) -> DataFrame:
+        """orders for the subject-keyed roles (admissions, POE, ICU stays),
+        spread on the subject when the scan has fewer splits than cores."""
+        o = self.raw("orders")
+        return spread(o, "o_custkey", probe=o)
+
     # -- patients ----------------------------------------------------------
     @cached_property
     def patients(self) -> DataFrame:
@@ -55,7 +62,7 @@ class ClinicalTables:
     #    still open (NULL) while the order is open; a projection, no join -------
     @cached_property
     def admissions(self) -> DataFrame:
-        o = self.raw("orders")
+        o = self.orders_by_subject
         stay_days = (F.floor(F.col("o_totalprice")).cast("bigint") % 15).cast("int")
         return o.select(
             F.col("o_orderkey").alias("hadm_id"),
@@ -199,7 +206,7 @@ class ClinicalTables:
 
     @cached_property
     def poe(self) -> DataFrame:
-        o = self.raw("orders")
+        o = self.orders_by_subject
         return o.select(
             F.concat(F.col("o_custkey").cast("string"), F.lit("-"), F.col("o_orderkey").cast("string"))
             .alias("poe_id"),
@@ -217,7 +224,7 @@ class ClinicalTables:
 
     @cached_property
     def icustays(self) -> DataFrame:
-        o = self.raw("orders").filter(F.col("o_orderpriority") == "1-URGENT")
+        o = self.orders_by_subject.filter(F.col("o_orderpriority") == "1-URGENT")
         return o.select(
             F.col("o_orderkey").alias("stay_id"),
             F.col("o_custkey").alias("subject_id"),
