@@ -152,3 +152,32 @@ def test_dense_exact_and_approx_recall(spark):
     got = {(r["qid"], r["vid"]) for r in approx.collect()}
     truth = {(q, v) for (q, _), v in top.items()}
     assert len(got & truth) / len(truth) >= 0.5
+
+
+def test_stream_previous_turn_carries_state_across_batches(spark, tmp_path):
+    import time
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    rows = [(1, 0, "system", "be nice"), (1, 1, "user", "q1"), (1, 2, "assistant", "a1"),
+            (1, 3, "user", "q2"), (1, 4, "user", "q3"), (1, 5, "assistant", "a3"), (1, 6, "user", "q4"),
+            (2, 0, "assistant", "hello"), (2, 1, "user", "only")]
+    schema = "conv_id long, turn long, role string, text string"
+    turns = spark.createDataFrame(rows, schema)
+    batch = {(r["conv_id"], r["q_idx"]): (r["prev_question"], r["prev_answer"])
+             for r in Q.previous_turn(Q.exchanges(turns)).collect()}
+    src = tmp_path / "src"
+    src.mkdir()
+    # first file: conversation 1 up to q2 (unanswered); second file: the rest
+    for i, part in enumerate([rows[:4], rows[4:]]):
+        cols = list(zip(*part))
+        pq.write_table(pa.table({"conv_id": pa.array(cols[0], pa.int64()), "turn": pa.array(cols[1], pa.int64()),
+                                 "role": pa.array(cols[2]), "text": pa.array(cols[3])}), src / f"part-{i}.parquet")
+        time.sleep(1.1)                      # distinct modification times keep the file order
+    stream = jobs.file_stream(spark, str(src), "*.parquet", turns.schema, max_files_per_trigger=1)
+    ckpt = str(tmp_path / "ckpt")
+    out = jobs.run_available_now(spark, jobs.stream_previous_turn(stream), str(tmp_path / "out"), ckpt)
+    streamed = {(r["conv_id"], r["q_idx"]): (r["prev_question"], r["prev_answer"]) for r in out.collect()}
+    assert streamed == batch
+    commits = [p for p in (tmp_path / "ckpt" / "commits").iterdir() if not p.name.startswith(".")]
+    assert len(commits) >= 2                 # really two micro-batches
