@@ -9,7 +9,9 @@ from check_oracle import TABLES, _digest
 from tests.conftest import SMALL_SF
 
 TIME_SENSITIVE = ["los_days", "recent_admissions", "query_analytics", "run_summary", "latency_compare",
-                  "session_rollup", "session_summary", "icu_stays", "stream_sessions", "lenient_cast"]
+                  "session_rollup", "session_summary", "icu_stays", "stream_sessions", "lenient_cast",
+                  "readmission_30d", "los_statistics", "los_percentile_rank", "event_rate_per_1000_days",
+                  "net_promoter_score"]
 
 
 @pytest.fixture(scope="module")
