@@ -67,7 +67,8 @@ def next_in_key(df: DataFrame, key: str, time_col: str, tie_col: str, carry: Seq
     """For each row, the ``carry`` columns of the next row within ``key`` under
     (``time_col`` ASC NULLS LAST, ``tie_col`` ASC), as ``prefix + name``:
     ``lead`` per (key, time bucket), and for the last row of a bucket the first
-    row of the key's next non-empty bucket, taken from a per-bucket summary."""
+    row of the key's next non-empty bucket, taken from a per-bucket summary.
+    ``tie_col`` must be non-null (a row key), so both levels agree on the order."""
     width = width_days * 86_400 * 1_000_000
     b = df.withColumn("_bkt", F.coalesce(F.floor(epoch_us(time_col) / F.lit(width)), F.lit(2 ** 62)))
     payload = F.struct(*[F.col(c).alias(c) for c in carry])
