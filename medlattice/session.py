@@ -58,7 +58,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current:
         current = spark.sparkContext.getCheckpointDir()
     if not current:
-        current = tempfile.mkdtemp(prefix="medlattice-ckpt-", dir="/tmp")
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} is not set: on {master} it must name a folder that "
+                               "the driver and all executors share")
+        current = tempfile.mkdtemp(prefix="medlattice-ckpt-")
         spark.conf.set(_CHECKPOINT_KEY, current)
     spark.sparkContext.setCheckpointDir(current)
     return spark.sparkContext.getCheckpointDir() or current
