@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from medlattice.llm import decontaminate
 from medlattice.llm.common import table
 from medlattice.llm.simhash import hex_digits, simhash_groups
 
@@ -14,5 +15,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
 
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLES: dict[str, str] = {}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return hits.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"),
+                       F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                       decontaminate.contaminated().alias("contaminated"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op7_decontaminate": op7_decontaminate}
+ORACLES = {"op7_decontaminate": decontaminate.ORACLE}
