@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlattice.llm import decontaminate
+from medlattice.llm import decontaminate, secrets
 from medlattice.llm.common import table
 from medlattice.llm.simhash import hex_digits, simhash_groups
 
@@ -22,5 +22,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                        decontaminate.contaminated().alias("contaminated"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_decontaminate": op7_decontaminate}
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
+    count = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    return found.select("doc_id", *count, F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
+                        secrets.span_text(F.col("spans")).alias("spans"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op7_decontaminate": op7_decontaminate, "op8_secrets": op8_secrets}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE}
