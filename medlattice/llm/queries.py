@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlattice.llm import decontaminate, secrets
-from medlattice.llm.common import table
+from medlattice.llm import decontaminate, quality, secrets
+from medlattice.llm.common import crc_mod, table
 from medlattice.llm.simhash import hex_digits, simhash_groups
 
 
@@ -15,6 +15,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
 
 
+def held_out(m: int, remainder: int) -> F.Column:
+    """A row that nothing is learned from; a null id counts as one."""
+    return F.coalesce(crc_mod(F.col("doc_id"), m) == remainder, F.lit(True))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).select(
+        "doc_id", held_out(3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"),
@@ -30,5 +42,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op7_decontaminate": op7_decontaminate, "op8_secrets": op8_secrets}
+QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op7_decontaminate": op7_decontaminate,
+           "op8_secrets": op8_secrets}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE}
