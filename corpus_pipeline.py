@@ -9,16 +9,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from medlattice.llm import decontaminate, packing, quality, secrets, simhash
 from medlattice.llm.common import materialize, table
-from medlattice.llm.simhash import keep_one
+from medlattice.llm.queries import tokenizer_path
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score reaches 0.5 stay."""
+    model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
+    return quality.score(docs, model).where("score >= 0.5").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest doc_id."""
-    return keep_one(docs)
+    return simhash.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of whose words a twentieth or more stands in benchmark windows go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are masked and n_chars follows."""
+    return secrets.redact(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document, with its place in a training window."""
+    return packing.pack_documents(docs, tokenizer_path())
 
 
-STAGES = [("simhash near-dedup", drop_near_copies)]
+STAGES = [
+    ("quality classifier", keep_good),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scans", mask_secrets),
+    ("packing", pack_windows),
+]
 
 #: XXH64 fingerprints, tokenizer ids and a learned classifier have no SQL form;
 #: tests/llm holds the stages against brute force.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlattice.llm import decontaminate, quality, secrets
+from medlattice.llm import decontaminate, language, packing, quality, secrets
 from medlattice.llm.common import crc_mod, table
 from medlattice.llm.simhash import hex_digits, simhash_groups
 
@@ -15,11 +15,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_digits(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Place of a public tokenizer file on this machine (the same on every executor)."""
+    import public_tokenizers
+    return str(public_tokenizers.path(name))
+
+
 def held_out(m: int, remainder: int) -> F.Column:
     """A row that nothing is learned from; a null id counts as one."""
     return F.coalesce(crc_mod(F.col("doc_id"), m) == remainder, F.lit(True))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.identify(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) != 0)
+    return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
@@ -27,6 +38,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"),
@@ -42,6 +57,5 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op3_quality": op3_quality, "op7_decontaminate": op7_decontaminate,
-           "op8_secrets": op8_secrets}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_quality, op5_packing, op7_decontaminate, op8_secrets)}
 ORACLES = {"op7_decontaminate": decontaminate.ORACLE}
