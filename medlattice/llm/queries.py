@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlattice.llm import decontaminate, language, packing, quality, secrets
+from medlattice.llm import decontaminate, language, licenses, packing, quality, secrets, vector_search
 from medlattice.llm.common import crc_mod, table
 from medlattice.llm.simhash import hex_digits, simhash_groups
 
@@ -57,5 +57,17 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         secrets.span_text(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_quality, op5_packing, op7_decontaminate, op8_secrets)}
-ORACLES = {"op7_decontaminate": decontaminate.ORACLE}
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vector_search.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return vector_search.top_k(vectors, F.col("vec_id") % 50 == 0)
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_quality, op5_packing, op7_decontaminate, op8_secrets,
+                                   op9_vector_search, op10_licenses)}
+ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_vector_search": vector_search.ORACLE}
