@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlattice.llm import decontaminate, language, licenses, packing, quality, secrets, vector_search
+from medlattice.llm import decontaminate, language, licenses, packing, passages, quality, secrets, vector_search
 from medlattice.llm.common import crc_mod, table
 from medlattice.llm.simhash import hex_digits, simhash_groups
 
@@ -38,6 +38,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(3, 1).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
+def op4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = passages.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -68,6 +73,6 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("labels", ",").alias("labels"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_quality, op5_packing, op7_decontaminate, op8_secrets,
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_quality, op4_passages, op5_packing, op7_decontaminate, op8_secrets,
                                    op9_vector_search, op10_licenses)}
-ORACLES = {"op7_decontaminate": decontaminate.ORACLE, "op9_vector_search": vector_search.ORACLE}
+ORACLES = {"op4_passages": passages.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op9_vector_search": vector_search.ORACLE}
