@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlattice.llm import decontaminate, language, licenses, packing, passages, quality, secrets, vector_search
+from medlattice.llm import byte_repeats, decontaminate, language, licenses, packing, passages, quality, secrets, vector_search
 from medlattice.llm.common import crc_mod, table
 from medlattice.llm.simhash import hex_digits, simhash_groups
 
@@ -47,6 +47,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_byte_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = byte_repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return hits.select("doc_id", F.col("n_words").cast("long").alias("n_words"), F.col("n_hit").cast("long").alias("n_hit"),
@@ -73,6 +78,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("labels", ",").alias("labels"), "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_quality, op4_passages, op5_packing, op7_decontaminate, op8_secrets,
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_quality, op4_passages, op5_packing, op6_byte_repeats,
+                                   op7_decontaminate, op8_secrets,
                                    op9_vector_search, op10_licenses)}
 ORACLES = {"op4_passages": passages.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op9_vector_search": vector_search.ORACLE}
