@@ -17,7 +17,7 @@ from medlattice.llm.queries import tokenizer_path
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches 0.5 stay."""
     model = quality.fit(docs, quality.training_labels(table(spark, sf_dir, "labels")))
-    return quality.score(docs, model).where("score >= 0.5").select(docs.columns)
+    return quality.score(docs, model, "_stage_score").where("_stage_score >= 0.5").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

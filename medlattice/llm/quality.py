@@ -230,17 +230,17 @@ def vote(model: dict, texts: list[bytes | None], neighbours: int = NEIGHBOURS, b
     return np.clip(out, 0.0, 1.0)
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1) added at the end, replacing one of that
-    name; every row and other column stays. Null text counts as empty."""
-    docs = docs.drop("score")
+def score(docs: DataFrame, model: dict, column: str = "score") -> DataFrame:
+    """``docs`` with a new last column (0 to 1), replacing one of that name; every row and
+    other column stays. Null text counts as empty."""
+    docs = docs.drop(column)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for part in text_slices(batches):
             scores = vote(shared.value, byte_texts(part.column("text").cast(pa.string())))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, "score"])
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores)], names=[*part.schema.names, column])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
 def training_labels(labels: DataFrame, column: str = "quality") -> DataFrame:
