@@ -59,10 +59,14 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                        decontaminate.contaminated().alias("contaminated"))
 
 
+def is_kind(kind: str):
+    return lambda span: span["kind"] == kind
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in secrets.BASE_RULES]))
-    count = [F.size(F.filter("spans", lambda s, k=r.kind: s["kind"] == k)).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
+    count = [F.size(F.filter("spans", is_kind(r.kind))).cast("long").alias(f"n_{r.kind}") for r in secrets.BASE_RULES]
     return found.select("doc_id", *count, F.sha2(secrets.span_text(base), 256).alias("base_sha256"),
                         secrets.span_text(F.col("spans")).alias("spans"))
 
