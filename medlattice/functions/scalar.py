@@ -24,9 +24,10 @@ def col_(c: str | Column) -> Column:
 # --- S3 / N6: NA normalisation and lenient casts ---------------------------
 
 def na_normalize(c: str | Column) -> Column:
-    """NA words and empty cells become NULL (S3)."""
+    """NA words and empty cells become NULL (S3). The whole cell must be the word:
+    a padded word is text."""
     c = col_(c)
-    return F.when(F.trim(c).isin(*PANDAS_NA_WORDS), F.lit(None)).otherwise(c)
+    return F.when(c.isin(*PANDAS_NA_WORDS), F.lit(None)).otherwise(c)
 
 
 def lenient_cast(c: str | Column, kind: str) -> Column:

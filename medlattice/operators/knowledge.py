@@ -14,9 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..session import spread
 from .topk import top_k_per_key
 
 WS = r"[ \t\n\x0B\f\r]+"           # whitespace, spelled out so Java and RE2 agree
@@ -32,7 +30,7 @@ def split_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Returns (doc_id, passage_no, text, word_count); passage_no counts from 1.
     """
     blocks = F.split(F.regexp_replace(F.col(text), r"\n#", "\n\n#"), r"\n[ \t\x0B\f\r]*\n")
-    p = spread(docs.select(doc_id, text)).select(doc_id, F.posexplode(blocks).alias("block_no", "block"))
+    p = docs.select(doc_id, text).select(doc_id, F.posexplode(blocks).alias("block_no", "block"))
     p = p.select(doc_id, "block_no", F.filter(F.split(F.col("block"), WS), lambda w: w != "").alias("w"))
     p = p.filter(F.size("w") > 0)
     n_chunks = F.expr(f"CAST(ceil(size(w) / {max_words}) AS INT)")
@@ -115,12 +113,12 @@ def bm25_postings(docs: DataFrame, vocab: DataFrame | None, doc_id: str = "doc_i
     only tokens in ``vocab`` (the query terms) are exploded and counted, so
     the token shuffle shrinks to the query vocabulary.
     """
-    d = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     d = d.select("doc_id", tokens("text").alias("toks")).withColumn("dl", F.size("toks"))
     stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
     n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
     # explode_outer: a plain explode makes Catalyst infer size(toks) > 0 and push
-    # that (a second tokenization) below the spread, into the scan.
+    # that (a second tokenization) into the scan.
     t = d.select("doc_id", "dl", F.explode_outer("toks").alias("term"))
     if vocab is not None:
         t = t.join(vocab.select("term").distinct(), "term", "left_semi")
@@ -156,66 +154,65 @@ def retrieve_lexical(questions: DataFrame, docs: DataFrame, k: int = 3, qid: str
 
 # --- K5 ------------------------------------------------------------------------------
 
-def _block_topk(queries: pd.DataFrame, k: int):
-    qid = queries["qid"].to_numpy()
-    qm = np.stack(queries["vec"].to_numpy()).astype(np.float64)
-    qn = np.linalg.norm(qm, axis=1)
+BLOCK_ROWS = 4096
+TILE_QUERIES = 1024
+_HITS = "qid long, vid long, cosine double"
+
+
+def _unit(vectors) -> np.ndarray:
+    """Vectors as unit rows (a zero vector becomes NaN: its cosine is undefined)."""
+    m = np.stack([np.asarray(v, np.float64) for v in vectors])
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
+def _best(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.ndarray, k: int) -> pd.DataFrame:
+    """The k best of one block for every query, ties to the smaller id; products are
+    made for TILE_QUERIES queries at a time."""
+    order = np.argsort(vids, kind="stable")
+    vids, v = vids[order], v[order]
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for lo in range(0, len(q), TILE_QUERIES):
+        sims = np.round(q[lo:lo + TILE_QUERIES] @ v.T, 6)
+        ranked = np.nan_to_num(sims, nan=-np.inf)
+        for i, row in enumerate(ranked):
+            least = np.partition(row, -k)[-k] if len(row) > k else -np.inf
+            near = np.flatnonzero(row >= least)
+            near = near[np.argsort(-row[near], kind="stable")[:k]]
+            out.append((np.full(len(near), qids[lo + i]), vids[near], sims[i, near]))
+    return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("qid", "vid", "cosine"))})
 
-    def fn(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vm = np.stack(pdf["vec"].to_numpy()).astype(np.float64)
-            vn = np.linalg.norm(vm, axis=1)
-            denom = np.outer(qn, vn)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sims = np.where(denom > 0, (qm @ vm.T) / denom, np.nan)
-            sims = np.round(sims, 6)
-            ids = pdf["vid"].to_numpy()
-            kk = min(k, len(ids))
-            # order by (similarity desc, id asc) within the block
-            order = np.lexsort((np.broadcast_to(ids, sims.shape), -np.nan_to_num(sims, nan=-np.inf)), axis=1)
-            top = order[:, :kk]
-            rows = np.repeat(np.arange(len(qid)), kk)
-            cols = top.reshape(-1)
-            yield pd.DataFrame({"qid": qid[rows], "vid": ids[cols], "cosine": sims[rows, cols]})
-    return fn
+
+def _in_blocks(df: DataFrame, key: str, name: str, rows: int) -> tuple[DataFrame, int]:
+    """(name: block number, rows: its (id, vec)) with about ``rows`` vectors a block."""
+    blocks = max(1, math.ceil(df.count() / rows))
+    b = df.withColumn(name, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+    return b.groupBy(name).agg(F.collect_list(F.struct(F.col(key).alias("id"), "vec")).alias(f"{name}_rows")), blocks
 
 
 def retrieve_dense(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k: int = 5,
                    qid: str = "qid", qvec: str = "vec", vid: str = "vid", vvec: str = "vec",
-                   max_query_bytes: int = 64 * 1024 * 1024) -> DataFrame:
+                   block_rows: int = BLOCK_ROWS) -> DataFrame:
     """K5: exact top-k corpus vectors per query vector by cosine similarity.
 
-    The corpus stays partitioned; each Arrow batch is multiplied against the
-    query block in numpy and keeps only its local top-k per query, then a
-    window picks the global top-k. The query block is shipped to the tasks
-    only after its size is checked; a larger query set is processed in
-    chunks of at most ``max_query_bytes`` each (exact, no query dropped).
+    Both sides are packed into blocks of about ``block_rows`` vectors. Every query block
+    meets every corpus block once (an equality join on the block number), a task holds
+    one pair of blocks, keeps the k best per query, and a window picks the global k.
+    Nothing passes through the driver but the two row counts.
     """
-    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).cast("array<double>").alias("vec"))
-    c = corpus.select(F.col(vid).alias("vid"), F.col(vvec).cast("array<double>").alias("vec"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    n, dim = int(stats["n"] or 0), int(stats["dim"] or 0)
-    per_query = max(dim, 1) * 8 + 64
-    chunk = max(1, max_query_bytes // per_query)
-    schema = T.StructType([T.StructField("qid", T.LongType()), T.StructField("vid", T.LongType()),
-                           T.StructField("cosine", T.DoubleType())])
-    parts = []
-    n_chunks = max(1, math.ceil(n / chunk))
-    if n_chunks == 1:
-        q_chunks = [q]
-    else:  # hash chunks: no global ordering, each chunk about max_query_bytes
-        b = F.pmod(F.xxhash64("qid"), F.lit(n_chunks))
-        q_chunks = [q.filter(b == i) for i in range(n_chunks)]
-    for qc in q_chunks:
-        qpdf = qc.toPandas()   # bounded by max_query_bytes (checked above)
-        if qpdf.empty:
-            continue
-        parts.append(c.mapInPandas(_block_topk(qpdf, k), schema))
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
+    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
+    c = corpus.select(F.col(vid).alias("vid"), F.col(vvec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
+    qb, n = _in_blocks(q, "qid", "qb", block_rows)
+    cb, m = _in_blocks(c, "vid", "cb", block_rows)
+    pairs = (cb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(qb, "qb")
+             .repartition(n * m, "qb", "cb"))
+
+    def fn(batches):
+        for pdf in batches:
+            for qrows, crows in zip(pdf["qb_rows"], pdf["cb_rows"]):
+                yield _best(np.array([r["id"] for r in qrows]), _unit([r["vec"] for r in qrows]),
+                            np.array([r["id"] for r in crows]), _unit([r["vec"] for r in crows]), k)
+    local = pairs.select("qb_rows", "cb_rows").mapInPandas(fn, _HITS)
     top = top_k_per_key(local, ["qid"], [F.col("cosine").desc_nulls_last(), F.col("vid").asc()], k,
                         rank_col="rank", order_names=["cosine", "vid"])
     return top.select(F.col("qid").alias(qid), "rank", F.col("vid").alias(vid), "cosine")
@@ -223,28 +220,84 @@ def retrieve_dense(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k
 
 # --- K6 ------------------------------------------------------------------------------
 
-def retrieve_dense_approx(queries: DataFrame, corpus: DataFrame, k: int = 5, bucket_length: float = 0.5,
-                          num_hash_tables: int = 8, max_distance: float = 1.2, seed: int = 7,
-                          qid: str = "qid", qvec: str = "vec", vid: str = "vid", vvec: str = "vec") -> DataFrame:
-    """K6: approximate twin of K5 — random-projection LSH on unit vectors
-    (Euclidean distance d relates to cosine by cos = 1 - d^2/2), candidate
-    pairs from ``approxSimilarityJoin`` within ``max_distance``, then top-k.
-    Only colliding pairs are compared, so recall is below 1 by design."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    def unit(df, key, vec):
-        v = F.col(vec).cast("array<double>")
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-        return df.select(F.col(key).alias("id"), array_to_vector(F.transform(v, lambda x: x / norm)).alias("features"))
-
-    qv, cv = unit(queries, qid, qvec), unit(corpus, vid, vvec)
-    lsh = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
-                                      numHashTables=num_hash_tables, seed=seed).fit(cv)
-    pairs = lsh.approxSimilarityJoin(qv, cv, max_distance, distCol="dist").select(
-        F.col("datasetA.id").alias("qid"), F.col("datasetB.id").alias("vid"),
-        F.round(F.lit(1.0) - F.col("dist") * F.col("dist") / 2, 6).alias("cosine"))
-    top = top_k_per_key(pairs, ["qid"], [F.col("cosine").desc(), F.col("vid").asc()], k, rank_col="rank",
+class CellIndex:
+    """Corpus vectors by nearest k-means centroid (about sqrt(n) cells, fitted by Spark).
+    A query probes the cells whose centroid is nearly as close as its closest one
+    (``margin`` in cosine), at most ``max_share`` of all cells: few where the vectors
+    have structure, more where they have none. Cells larger than a block are dealt into
+    parts by a hash of the id."""
+
+    def __init__(self, corpus: DataFrame, margin: float = 0.4, max_share: float = 0.35, seed: int = 7,
+                 block_rows: int = BLOCK_ROWS):
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        self.margin, self.max_share = margin, max_share
+        c = corpus.select("vid", F.col("vec").cast("array<double>").alias("vec"))
+        norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+        unit = c.where(norm > 0).select("vid", F.transform("vec", lambda x: x / norm).alias("vec"))
+        n = unit.count()
+        features = unit.select(array_to_vector("vec").alias("features"))
+        model = KMeans(k=max(2, round(math.sqrt(max(n, 1)))), seed=seed, maxIter=10).fit(features)
+        self.centres = _unit(model.clusterCenters())                       # about sqrt(n) vectors
+        self.cells = unit.mapInPandas(self._nearest(), "vid long, vec array<double>, cell int")
+        self.sizes = self.cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn(
+            "parts", F.ceil(F.col("n") / F.lit(block_rows)).cast("int"))
+        self.held = np.zeros(len(self.centres), np.int64)
+        for r in self.sizes.collect():                                     # about sqrt(n) rows
+            self.held[r["cell"]] = r["n"]
+
+    def _nearest(self):
+        centres = self.centres
+
+        def fn(batches):
+            for pdf in batches:
+                if len(pdf):
+                    yield pdf.assign(cell=(_unit(pdf["vec"]) @ centres.T).argmax(axis=1).astype("int32"))
+        return fn
+
+    def probes(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, vec, cell): the cells that each query probes."""
+        centres, held, margin, most = self.centres, self.held, self.margin, max(1, math.floor(self.max_share * len(self.centres)))
+
+        def fn(batches):
+            for pdf in batches:
+                if len(pdf):
+                    near = np.nan_to_num(_unit(pdf["vec"]) @ centres.T, nan=-1.0)
+                    order = np.argsort(-near, axis=1, kind="stable")
+                    close = np.take_along_axis(near, order, 1) >= near.max(axis=1, keepdims=True) - margin
+                    close[:, most:] = False
+                    before = np.cumsum(held[order], axis=1) - held[order]
+                    i, j = np.nonzero((close | (before < k)) & (held[order] > 0))
+                    yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[i], "vec": pdf["vec"].to_numpy()[i], "cell": order[i, j].astype("int32")})
+        return queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL") \
+            .mapInPandas(fn, "qid long, vec array<double>, cell int")
+
+    def search(self, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+        asked = self.probes(queries, k)
+        load = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("chunks"))
+        shape = self.sizes.select("cell", "parts").join(load, "cell")
+        key = ["cell", "part", "chunk"]
+        left = (self.cells.join(shape, "cell").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
+                .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*key, "vid", "vec"))
+        right = (asked.join(shape, "cell").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+                 .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, "qid", "vec"))
+
+        def fn(rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(qs):
+                return pd.DataFrame({"qid": [], "vid": [], "cosine": []}).astype({"qid": "int64", "vid": "int64"})
+            return _best(qs["qid"].to_numpy(), _unit(qs["vec"]), rows["vid"].to_numpy(), _unit(rows["vec"]), k)
+        return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(fn, _HITS)
+
+
+def retrieve_dense_approx(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid", qvec: str = "vec",
+                          vid: str = "vid", vvec: str = "vec", **index_options) -> DataFrame:
+    """K6: approximate twin of K5 through ``CellIndex``: the best k of the vectors in the
+    probed cells (no distance cut), so recall is below 1 by design."""
+    q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("vec"))
+    c = corpus.select(F.col(vid).alias("vid"), F.col(vvec).alias("vec"))
+    hits = CellIndex(c, **index_options).search(q, k)
+    top = top_k_per_key(hits, ["qid"], [F.col("cosine").desc_nulls_last(), F.col("vid").asc()], k, rank_col="rank",
                         order_names=["cosine", "vid"])
     return top.select(F.col("qid").alias(qid), "rank", F.col("vid").alias(vid), "cosine")
 

@@ -133,20 +133,21 @@ def session_summary(turns: DataFrame, session: str = "session_id", ts: str = "cr
 # --- citations ----------------------------------------------------------------
 
 def flatten_citations(responses: DataFrame, query_id: str = "query_id",
-                      citations: str = "citations", excerpt_cut: int = 1000) -> DataFrame:
+                      citations: str = "citations", excerpt_cut: int = 1000, carry: tuple[str, ...] = ()) -> DataFrame:
     """citations[] -> retrievedReferences[] -> one row per reference.
 
     ``source_document`` is the URI's last segment ('Unknown' when missing),
     the excerpt is cut to 1000 code points (empty -> NULL), metadata holds
-    the URI and the location type ('S3' by default).
+    the URI and the location type ('S3' by default). ``carry``: further response
+    columns to keep.
     """
-    c = responses.select(query_id, F.posexplode(citations).alias("citation_pos", "_c"))
-    r = c.select(query_id, "citation_pos",
+    c = responses.select(query_id, *carry, F.posexplode(citations).alias("citation_pos", "_c"))
+    r = c.select(query_id, *carry, "citation_pos",
                  F.posexplode(F.col("_c.retrievedReferences")).alias("reference_pos", "_r"))
     uri = F.coalesce(F.col("_r.location.s3Location.uri"), F.lit(""))
     excerpt = F.col("_r.content.text")
     return r.select(
-        query_id, "citation_pos", "reference_pos",
+        query_id, *carry, "citation_pos", "reference_pos",
         S.source_name(uri).alias("source_document"),
         F.when(F.coalesce(excerpt, F.lit("")) == "", F.lit(None)).otherwise(F.substring(excerpt, 1, excerpt_cut))
         .alias("excerpt_text"),

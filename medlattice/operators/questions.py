@@ -60,35 +60,54 @@ def route_question(questions: DataFrame, question: str = "question", whole_word:
 
 # --- R4: request validation -------------------------------------------------------
 
+def _json_type(v: Column) -> Column:
+    """STRING, BOOLEAN, VOID (JSON null), OBJECT, ARRAY or a number's type; NULL if absent."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _falsy(v: Column) -> Column:
+    """Python's ``not x`` for a JSON value that may be absent."""
+    kind, text = _json_type(v), F.to_json(v)
+    number = ~kind.isin("STRING", "BOOLEAN", "VOID", "OBJECT", "ARRAY") & (text.try_cast("double") == 0)
+    return F.coalesce(v.isNull() | (kind == "VOID") | text.isin('""', "false", "[]", "{}") | number, F.lit(True))
+
+
+def _plain(v: Column) -> Column:
+    """A JSON string's own text, any other value as JSON."""
+    return F.when(_json_type(v) == "STRING", F.variant_get(v, "$", "string")).otherwise(F.to_json(v))
+
+
 def validate_requests(requests: DataFrame, patients: DataFrame, event: str = "event") -> DataFrame:
     """The handler's front half for a batch of raw request events.
 
-    ``body`` may be a JSON string, an object, or absent (direct invocation:
-    the event itself). Missing/empty/0 subject or question -> 400, unknown
-    subject -> 404, unparseable body -> 400, else 200.
+    ``body`` may be a JSON string, an object, or absent (direct invocation: the event
+    itself). Unparseable text -> 400; a body that is no object (null, a list, a number)
+    -> 500, as its fields cannot be asked for; an empty subject or question in Python's
+    sense (so not the strings "0" or "false") -> 400; unknown subject -> 404; else 200.
     """
-    body_txt = F.get_json_object(F.col(event), "$.body")
-    body = F.coalesce(body_txt, F.col(event))
-    valid_json = F.try_parse_json(body).isNotNull()
-    sid_txt = F.get_json_object(body, "$.subject_id")
-    question = F.get_json_object(body, "$.question")
-    sid_missing = sid_txt.isNull() | sid_txt.isin("", "0", "0.0", "false", "[]", "{}")
-    q_missing = question.isNull() | question.isin("", "0", "false", "[]", "{}")
-    parsed = requests.select(
-        "*", valid_json.alias("_valid"), sid_txt.alias("_sid_txt"), question.alias("question"),
-        sid_missing.alias("_sid_missing"), q_missing.alias("_q_missing"),
-        sid_txt.try_cast("double").try_cast("long").alias("subject_id"))
+    ev = F.try_parse_json(F.col(event))
+    given = F.try_variant_get(F.col("_ev"), "$.body", "variant")
+    body = (F.when(F.col("_given").isNull(), F.col("_ev"))
+            .when(_json_type(F.col("_given")) == "STRING", F.try_parse_json(F.variant_get("_given", "$", "string")))
+            .otherwise(F.col("_given")))
+    sid, question = (F.try_variant_get(F.col("_body"), f"$.{name}", "variant") for name in ("subject_id", "question"))
+    parsed = (requests.withColumn("_ev", ev).withColumn("_given", given).withColumn("_body", body)
+              .withColumn("_object", F.coalesce(_json_type(F.col("_body")) == "OBJECT", F.lit(False)))
+              .withColumn("_sid", F.when(F.col("_object"), sid)).withColumn("_q", F.when(F.col("_object"), question))
+              .withColumn("_sid_txt", _plain(F.col("_sid"))).withColumn("question", _plain(F.col("_q")))
+              .withColumn("subject_id", F.col("_sid_txt").try_cast("double").try_cast("long")))
     known = patients.select("subject_id").distinct().withColumn("_known", F.lit(True))
     j = parsed.join(known, "subject_id", "left")
-    status = (F.when(~F.col("_valid"), 400).when(F.col("_sid_missing"), 400)
-              .when(F.col("_q_missing"), 400).when(F.col("_known").isNull(), 404).otherwise(200))
-    error = (F.when(~F.col("_valid"), F.lit("Invalid JSON in request body"))
-             .when(F.col("_sid_missing"), F.lit("Missing required field: subject_id"))
-             .when(F.col("_q_missing"), F.lit("Missing required field: question"))
-             .when(F.col("_known").isNull(),
-                   F.concat(F.lit("Subject ID "), F.col("_sid_txt"), F.lit(" not found in database"))))
+    cases = ((F.col("_body").isNull(), 400, F.lit("Invalid JSON in request body")),
+             (~F.col("_object"), 500, F.lit("Internal server error")),
+             (_falsy(F.col("_sid")), 400, F.lit("Missing required field: subject_id")),
+             (_falsy(F.col("_q")), 400, F.lit("Missing required field: question")),
+             (F.col("_known").isNull(), 404, F.concat(F.lit("Subject ID "), F.col("_sid_txt"), F.lit(" not found in database"))))
+    status, error = F.lit(200), F.lit(None).cast("string")
+    for failed, code, message in reversed(cases):
+        status, error = F.when(failed, code).otherwise(status), F.when(failed, message).otherwise(error)
     return j.withColumn("status_code", status).withColumn("error", error) \
-        .drop("_valid", "_sid_txt", "_sid_missing", "_q_missing", "_known")
+        .drop("_ev", "_given", "_body", "_object", "_sid", "_q", "_sid_txt", "_known")
 
 
 # --- R5: error classification -------------------------------------------------------
@@ -127,7 +146,7 @@ def parse_model_response(responses: DataFrame, body: str = "body") -> DataFrame:
     b = F.col(body)
     keys = F.coalesce(F.json_object_keys(b), F.array().cast("array<string>"))
     content = F.get_json_object(b, "$.content")
-    is_list = F.json_array_length(content).isNotNull()
+    is_list = F.coalesce(_json_type(F.try_variant_get(F.try_parse_json(b), "$.content", "variant")) == "ARRAY", F.lit(False))
     first = F.coalesce(F.get_json_object(b, "$.content[0].text"), F.get_json_object(b, "$.content[0]"))
     answer = (F.when(F.array_contains(keys, "content"), F.when(is_list, first).otherwise(content))
               .when(F.array_contains(keys, "choices"), F.get_json_object(b, "$.choices[0].message.content"))

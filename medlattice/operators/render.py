@@ -109,8 +109,17 @@ def _ts(c: str, fmt: str) -> Column:
 
 
 def _num_text(c: str) -> Column:
-    """``f"{x}"`` of a float."""
-    return F.col(c).cast("string")
+    """``f"{x}"`` of a float: plain digits from 1e-4 up to 1e16, else a two-digit exponent."""
+    text = F.col(c).cast("string")
+    size = F.abs(F.col(c))
+    plain = F.regexp_replace(F.col(c).cast("decimal(38,18)").cast("string"), "0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    power = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
+    short = F.concat(F.regexp_replace(F.substring_index(text, "E", 1), "\\.0$", ""), F.lit("e"),
+                     F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    short = F.when(F.abs(power) > 99, F.concat(F.regexp_replace(F.substring_index(text, "E", 1), "\\.0$", ""), F.lit("e"),
+                                               F.when(power < 0, "-").otherwise("+"), F.abs(power).cast("string"))).otherwise(short)
+    return F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
 
 
 def _los(c: str) -> Column:

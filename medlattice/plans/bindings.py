@@ -12,7 +12,9 @@ supplier = procedure dictionary, events = query log / eMAR.
 
 Derived flags (NULLs, zeros, unmatched dictionary keys) are injected with
 deterministic CASE expressions so the N-rules (NULL order, truthiness) are
-exercised; no row is ever filtered out to make a check cheaper.
+exercised. Three roles are defined by a filter: DRG codes are the returned
+lines, ICU stays the urgent orders, and survey scores the purchase events; no
+other row is left out.
 """
 
 from __future__ import annotations
@@ -22,9 +24,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -39,13 +38,6 @@ class ClinicalTables:
     def raw(self, name: str) -> DataFrame:
         return read_table(self.spark, self.sf_dir, name)
 
-    @cached_property
-    def orders_by_subject(self) -> DataFrame:
-        """orders for the subject-keyed roles (admissions, POE, ICU stays),
-        spread on the subject when the scan has fewer splits than cores."""
-        o = self.raw("orders")
-        return spread(o, "o_custkey", probe=o)
-
     # -- patients ----------------------------------------------------------
     @cached_property
     def patients(self) -> DataFrame:
@@ -62,7 +54,7 @@ class ClinicalTables:
     #    still open (NULL) while the order is open; a projection, no join -------
     @cached_property
     def admissions(self) -> DataFrame:
-        o = self.orders_by_subject
+        o = self.raw("orders")
         stay_days = (F.floor(F.col("o_totalprice")).cast("bigint") % 15).cast("int")
         return o.select(
             F.col("o_orderkey").alias("hadm_id"),
@@ -95,12 +87,7 @@ class ClinicalTables:
     def events_base(self) -> DataFrame:
         li = self.raw("lineitem")
         o = self.raw("orders").select(F.col("o_orderkey"), F.col("o_custkey").alias("subject_id"))
-        # Every event role is ranked or aggregated per subject. When the scan
-        # arrives in fewer splits than cores, the joined rows are spread on
-        # subject_id, so those windows and aggregates need no further shuffle
-        # and do not sort in one task (a no-op at scale).
-        joined = li.join(o, li.l_orderkey == o.o_orderkey, "inner").drop("o_orderkey")
-        return spread(joined, "subject_id", probe=li)
+        return li.join(o, li.l_orderkey == o.o_orderkey, "inner").drop("o_orderkey")
 
     @cached_property
     def diagnoses_icd(self) -> DataFrame:
@@ -155,9 +142,9 @@ class ClinicalTables:
             .otherwise(F.col("l_quantity")).alias("valuenum"),
             F.lit("mg/dL").alias("valueuom"),
             F.when(F.col("l_discount") >= 0.08, "abnormal").alias("flag"),
-            F.when(F.col("l_linenumber") > 1, F.col("l_linenumber").cast("double"))
+            F.when((F.col("l_linenumber") > 1) & (F.col("l_linenumber") != 2), F.col("l_linenumber").cast("double"))
             .alias("ref_range_lower"),
-            F.lit(50.0).alias("ref_range_upper"),
+            F.when(F.col("l_linenumber") != 2, F.lit(50.0)).alias("ref_range_upper"),
         )
 
     @cached_property
@@ -206,7 +193,7 @@ class ClinicalTables:
 
     @cached_property
     def poe(self) -> DataFrame:
-        o = self.orders_by_subject
+        o = self.raw("orders")
         return o.select(
             F.concat(F.col("o_custkey").cast("string"), F.lit("-"), F.col("o_orderkey").cast("string"))
             .alias("poe_id"),
@@ -224,7 +211,7 @@ class ClinicalTables:
 
     @cached_property
     def icustays(self) -> DataFrame:
-        o = self.orders_by_subject.filter(F.col("o_orderpriority") == "1-URGENT")
+        o = self.raw("orders").filter(F.col("o_orderpriority") == "1-URGENT")
         return o.select(
             F.col("o_orderkey").alias("stay_id"),
             F.col("o_custkey").alias("subject_id"),
@@ -344,8 +331,8 @@ ORACLE_CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 0.0 ELSE l_quantity END AS valuenum,
         'mg/dL' AS valueuom,
         CASE WHEN l_discount >= 0.08 THEN 'abnormal' END AS flag,
-        CASE WHEN l_linenumber > 1 THEN CAST(l_linenumber AS DOUBLE) END AS ref_range_lower,
-        50.0::DOUBLE AS ref_range_upper
+        CASE WHEN l_linenumber > 1 AND l_linenumber <> 2 THEN CAST(l_linenumber AS DOUBLE) END AS ref_range_lower,
+        CASE WHEN l_linenumber <> 2 THEN 50.0::DOUBLE END AS ref_range_upper
         FROM events_base""", ("events_base",)),
     "d_labitems": ("""SELECT p_partkey AS itemid, p_name AS label, p_brand AS fluid, p_type AS category
         FROM part""", ()),

@@ -83,7 +83,12 @@ def _requests(t: ClinicalTables) -> DataFrame:
     et, uid, eid = F.col("event_type"), F.col("user_id").cast("string"), F.col("event_id").cast("string")
     inner = F.concat(F.lit('{"subject_id": '), (F.col("user_id") * 11).cast("string"),
                      F.lit(', "question": "What are my labs '), eid, F.lit('?"}'))
-    event = (F.when(et == "click", F.concat(F.lit('{"body": {"subject_id": '), uid,
+    odd = F.col("event_id") % 11
+    event = (F.when(odd == 0, F.lit('{"subject_id": "0", "question": "false"}'))     # non-empty strings are there
+             .when(odd == 1, F.concat(F.lit('{"body": {"subject_id": "'), uid, F.lit('", "question": "[]"}}')))
+             .when(odd == 2, F.lit('{"body": null}')).when(odd == 3, F.lit('{"body": [1, 2]}'))
+             .when(odd == 4, F.concat(F.lit('{"body": {"subject_id": '), uid, F.lit(', "question": {}}}')))
+             .when(et == "click", F.concat(F.lit('{"body": {"subject_id": '), uid,
                                              F.lit(', "question": "What is sepsis '), eid, F.lit('?"}}')))
              .when(et == "view", F.to_json(F.struct(inner.alias("body"))))
              .when(et == "purchase", F.concat(F.lit('{"subject_id": '), uid, F.lit(', "question": ""}')))
@@ -93,7 +98,11 @@ def _requests(t: ClinicalTables) -> DataFrame:
 
 
 _REQUESTS_SQL = """SELECT event_id AS request_id,
-  CASE WHEN event_type = 'click' THEN '{"body": {"subject_id": ' || CAST(user_id AS VARCHAR)
+  CASE WHEN event_id % 11 = 0 THEN '{"subject_id": "0", "question": "false"}'
+       WHEN event_id % 11 = 1 THEN '{"body": {"subject_id": "' || CAST(user_id AS VARCHAR) || '", "question": "[]"}}'
+       WHEN event_id % 11 = 2 THEN '{"body": null}' WHEN event_id % 11 = 3 THEN '{"body": [1, 2]}'
+       WHEN event_id % 11 = 4 THEN '{"body": {"subject_id": ' || CAST(user_id AS VARCHAR) || ', "question": {}}}'
+       WHEN event_type = 'click' THEN '{"body": {"subject_id": ' || CAST(user_id AS VARCHAR)
          || ', "question": "What is sepsis ' || CAST(event_id AS VARCHAR) || '?"}}'
        WHEN event_type = 'view' THEN CAST(json_object('body', '{"subject_id": ' || CAST(user_id * 11 AS VARCHAR)
          || ', "question": "What are my labs ' || CAST(event_id AS VARCHAR) || '?"}') AS VARCHAR)
@@ -103,25 +112,30 @@ _REQUESTS_SQL = """SELECT event_id AS request_id,
 FROM events"""
 
 
-@register("validate_requests", with_ctes("""
-SELECT request_id, subject_id, question, status_code, error FROM (
-  SELECT request_id, sid_txt, question, TRY_CAST(trunc(TRY_CAST(sid_txt AS DOUBLE)) AS BIGINT) AS subject_id,
-    CASE WHEN NOT valid THEN 400 WHEN sid_missing THEN 400 WHEN q_missing THEN 400
-         WHEN NOT EXISTS (SELECT 1 FROM patients p WHERE p.subject_id = TRY_CAST(trunc(TRY_CAST(sid_txt AS DOUBLE)) AS BIGINT))
-         THEN 404 ELSE 200 END AS status_code,
-    CASE WHEN NOT valid THEN 'Invalid JSON in request body'
-         WHEN sid_missing THEN 'Missing required field: subject_id'
-         WHEN q_missing THEN 'Missing required field: question'
-         WHEN NOT EXISTS (SELECT 1 FROM patients p WHERE p.subject_id = TRY_CAST(trunc(TRY_CAST(sid_txt AS DOUBLE)) AS BIGINT))
-         THEN 'Subject ID ' || sid_txt || ' not found in database' END AS error
-  FROM (SELECT request_id, json_valid(body) AS valid, sid_txt, question,
-          sid_txt IS NULL OR sid_txt IN ('', '0', '0.0', 'false', '[]', '{}') AS sid_missing,
-          question IS NULL OR question IN ('', '0', 'false', '[]', '{}') AS q_missing
-        FROM (SELECT request_id, body,
-                CASE WHEN json_valid(body) THEN json_extract_string(body, '$.subject_id') END AS sid_txt,
-                CASE WHEN json_valid(body) THEN json_extract_string(body, '$.question') END AS question
-              FROM (SELECT request_id, coalesce(json_extract_string(event, '$.body'), event) AS body FROM reqs) b) c) d
-) e""", "patients", extra=(("reqs", _REQUESTS_SQL),)))
+def _empty_json(kind: str, value: str) -> str:
+    """Python's ``not x`` by JSON type, in DuckDB."""
+    return (f"({kind} IS NULL OR {kind} = 'NULL' OR ({kind} = 'VARCHAR' AND {value} = '') OR ({kind} = 'BOOLEAN' AND {value} = 'false')"
+            f" OR ({kind} IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST({value} AS DOUBLE) = 0)"
+            f" OR ({kind} = 'ARRAY' AND {value} = '[]') OR ({kind} = 'OBJECT' AND {value} = '{{}}'))")
+
+
+@register("validate_requests", with_ctes(f"""
+SELECT request_id, subject_id, question,
+  CASE step WHEN 1 THEN 400 WHEN 2 THEN 500 WHEN 3 THEN 400 WHEN 4 THEN 400 WHEN 5 THEN 404 ELSE 200 END AS status_code,
+  CASE step WHEN 1 THEN 'Invalid JSON in request body' WHEN 2 THEN 'Internal server error'
+       WHEN 3 THEN 'Missing required field: subject_id' WHEN 4 THEN 'Missing required field: question'
+       WHEN 5 THEN 'Subject ID ' || sid || ' not found in database' END AS error
+FROM (SELECT *, CASE WHEN NOT valid THEN 1 WHEN json_type(body) <> 'OBJECT' THEN 2
+          WHEN {_empty_json('sid_type', 'sid')} THEN 3 WHEN {_empty_json('q_type', 'question')} THEN 4
+          WHEN subject_id IS NULL OR subject_id NOT IN (SELECT subject_id FROM patients) THEN 5 ELSE 0 END AS step
+      FROM (SELECT *, TRY_CAST(trunc(TRY_CAST(sid AS DOUBLE)) AS BIGINT) AS subject_id
+            FROM (SELECT *, json_extract_string(body, '$.subject_id') AS sid, json_extract_string(body, '$.question') AS question,
+                    json_type(body, '$.subject_id') AS sid_type, json_type(body, '$.question') AS q_type
+                  FROM (SELECT request_id, json_valid(txt) AS valid, CASE WHEN json_valid(txt) THEN CAST(txt AS JSON) END AS body
+                        FROM (SELECT request_id, CASE json_type(event, '$.body') WHEN 'VARCHAR' THEN json_extract_string(event, '$.body')
+                                WHEN 'NULL' THEN 'null' ELSE coalesce(CAST(json_extract(event, '$.body') AS VARCHAR), event) END AS txt
+                              FROM reqs) a) b) c) d) e""",
+    "patients", extra=(("reqs", _REQUESTS_SQL),)))
 def q_validate_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ClinicalTables(spark, sf_dir)
     out = Q.validate_requests(_requests(t), t.patients)
@@ -162,7 +176,8 @@ def q_classify_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _bodies(t: ClinicalTables) -> DataFrame:
     e = t.raw("events")
     et, eid = F.col("event_type"), F.col("event_id").cast("string")
-    body = (F.when(et == "click", F.concat(F.lit('{"content": [{"text": "answer '), eid, F.lit('"}], "id": 1}')))
+    body = (F.when(F.col("event_id") % 13 == 0, F.concat(F.lit('{"content": "['), eid, F.lit(', 2]"}')))   # text, no list
+            .when(et == "click", F.concat(F.lit('{"content": [{"text": "answer '), eid, F.lit('"}], "id": 1}')))
             .when(et == "view", F.concat(F.lit('{"content": "plain '), eid, F.lit('"}')))
             .when(et == "purchase", F.concat(F.lit('{"choices": [{"message": {"content": "choice '), eid,
                                                 F.lit('"}}]}')))
@@ -172,13 +187,21 @@ def _bodies(t: ClinicalTables) -> DataFrame:
 
 
 @register("parse_model_response", """
-SELECT event_id AS response_id,
-  CASE WHEN event_type = 'click' THEN 'answer ' || CAST(event_id AS VARCHAR)
-       WHEN event_type = 'view' THEN 'plain ' || CAST(event_id AS VARCHAR)
-       WHEN event_type = 'purchase' THEN 'choice ' || CAST(event_id AS VARCHAR)
-       WHEN event_type = 'signup' THEN 'done ' || CAST(event_id AS VARCHAR)
-       ELSE '{"other": ' || CAST(event_id AS VARCHAR) || '}' END AS answer
-FROM events""")
+SELECT response_id, CASE WHEN json_exists(body, '$.content') THEN
+         CASE WHEN json_type(body, '$.content') = 'ARRAY'
+              THEN coalesce(json_extract_string(body, '$.content[0].text'), json_extract_string(body, '$.content[0]'))
+              ELSE json_extract_string(body, '$.content') END
+       WHEN json_exists(body, '$.choices') THEN json_extract_string(body, '$.choices[0].message.content')
+       WHEN json_exists(body, '$.completion') THEN json_extract_string(body, '$.completion')
+       ELSE body END AS answer
+FROM (SELECT event_id AS response_id,
+        CASE WHEN event_id % 13 = 0 THEN '{"content": "[' || i || ', 2]"}'
+             WHEN event_type = 'click' THEN '{"content": [{"text": "answer ' || i || '"}], "id": 1}'
+             WHEN event_type = 'view' THEN '{"content": "plain ' || i || '"}'
+             WHEN event_type = 'purchase' THEN '{"choices": [{"message": {"content": "choice ' || i || '"}}]}'
+             WHEN event_type = 'signup' THEN '{"completion": "done ' || i || '"}'
+             ELSE '{"other": ' || i || '}' END AS body
+      FROM (SELECT event_id, event_type, CAST(event_id AS VARCHAR) AS i FROM events) e) b""")
 def q_parse_model_response(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.parse_model_response(_bodies(ClinicalTables(spark, sf_dir))).select("response_id", "answer")
 

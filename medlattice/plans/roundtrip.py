@@ -104,7 +104,7 @@ _NA_SQL = ", ".join("'" + w + "'" for w in S.PANDAS_NA_WORDS)
 
 
 @register("na_normalize", f"""
-SELECT event_id, raw, CASE WHEN trim(raw) IN ({_NA_SQL}) THEN NULL ELSE raw END AS normalized
+SELECT event_id, raw, CASE WHEN raw IN ({_NA_SQL}) THEN NULL ELSE raw END AS normalized
 FROM (SELECT event_id, CASE WHEN event_type = 'click' THEN 'NA' WHEN event_type = 'view' THEN ' None '
   WHEN event_type = 'error' THEN '' WHEN event_type = 'signup' THEN 'null' ELSE 'ok-' || CAST(event_id AS VARCHAR) END
   AS raw FROM events) r""")
@@ -119,7 +119,7 @@ def q_na_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("default_label", f"""
 SELECT CAST(p_partkey AS INTEGER) AS itemid,
-  CASE WHEN raw_label IS NULL OR trim(raw_label) IN ({_NA_SQL}) THEN 'Lab Item ' || CAST(p_partkey AS VARCHAR)
+  CASE WHEN raw_label IS NULL OR raw_label IN ({_NA_SQL}) THEN 'Lab Item ' || CAST(p_partkey AS VARCHAR)
        ELSE raw_label END AS label,
   p_brand AS fluid, p_type AS category
 FROM (SELECT *, CASE WHEN p_size % 10 = 0 THEN '' WHEN p_size % 10 = 1 THEN 'NA' ELSE p_name END AS raw_label
@@ -159,11 +159,20 @@ def q_column_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT subject_id, hadm_id, seq_num, icd_code, icd_version FROM (
   SELECT *, row_number() OVER (PARTITION BY hadm_id, seq_num
     ORDER BY icd_code ASC NULLS LAST, icd_version ASC NULLS LAST, subject_id ASC NULLS LAST) AS rn
-  FROM diagnoses_icd) d
-WHERE rn = 1 OR hadm_id IS NULL OR seq_num IS NULL""", "diagnoses_icd"))
+  FROM dx) d
+WHERE hadm_id IS NULL OR seq_num IS NULL
+   OR (rn = 1 AND NOT (hadm_id % 10 = 0 AND seq_num = 1))""", "diagnoses_icd", extra=(
+    ("dx", """SELECT subject_id, CASE WHEN hadm_id % 17 = 0 THEN NULL ELSE hadm_id // 2 END AS hadm_id,
+        CASE WHEN hadm_id % 19 = 0 THEN NULL ELSE seq_num END AS seq_num, icd_code, icd_version FROM diagnoses_icd"""),)))
 def q_insert_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnoses with repeated and NULL keys against a target that already holds the
+    first diagnosis of every tenth admission."""
     t = ClinicalTables(spark, sf_dir)
-    kept, _ = I.first_wins(t.diagnoses_icd, ["hadm_id", "seq_num"], order=["icd_code", "icd_version"])
+    dx = t.diagnoses_icd.select(
+        "subject_id", F.when(F.col("hadm_id") % 17 != 0, F.expr("hadm_id div 2")).alias("hadm_id"),
+        F.when(F.col("hadm_id") % 19 != 0, F.col("seq_num")).alias("seq_num"), "icd_code", "icd_version")
+    target = dx.where("hadm_id % 10 = 0 AND seq_num = 1")
+    kept, _ = I.first_wins(dx, ["hadm_id", "seq_num"], order=["icd_code", "icd_version"], existing=target)
     return kept
 
 
@@ -199,15 +208,6 @@ def q_table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.table_counts(spark, tables, COUNTED_TABLES)
 
 
-@register("row_cap", with_ctes("""
-SELECT poe_id, subject_id, ordertime FROM poe ORDER BY poe_id LIMIT 46000""", "poe"))
-def q_row_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ClinicalTables(spark, sf_dir)
-    p = t.poe.select("poe_id", "subject_id", "ordertime")
-    kept, _ = I.row_cap(p, SPECS["poe"].cap, [F.col("poe_id").asc_nulls_last()])
-    return kept
-
-
 def _patients_raw(t: ClinicalTables) -> DataFrame:
     p = t.patients
     return p.select(F.col("subject_id").cast("string").alias("subject_id"), "gender",
@@ -223,7 +223,7 @@ def q_module_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources two folders deep are found by listing, not by a fixed path."""
     t = ClinicalTables(spark, sf_dir)
     root = scratch_path(spark, "discover")
-    _write_csv(_patients_raw(t), f"{root}/mimic-iv-demo/2.2/hosp/patients.csv")
+    _write_csv(_patients_raw(t), f"{root}/export/2.2/hosp/patients.csv")
     listing = I.discover_sources(spark, root).filter(F.col("table") == "patients")
     modules = sorted({r["module"] for r in listing.select("module").distinct().collect()})
     paths = I.source_paths(spark, root)
@@ -277,14 +277,14 @@ def q_insert_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("subject_list", with_ctes("""
-SELECT * EXCLUDE (dod) FROM patients WHERE subject_id IN (SELECT user_id FROM events)""", "patients"))
+SELECT * FROM patients WHERE subject_id IN (SELECT user_id FROM events)""", "patients"))
 def q_subject_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ClinicalTables(spark, sf_dir)
     path = scratch_path(spark, "subjects") + "/demo_subject_id.csv"
     (t.raw("events").select(F.col("user_id").alias("subject_id")).distinct()
      .write.mode("overwrite").option("header", "true").csv(path))
     subjects = I.read_subject_list(spark, path)
-    return I.restrict_to_subjects(t.patients, subjects).drop("dod")
+    return I.restrict_to_subjects(t.patients, subjects)
 
 
 # ---------------------------------------------------------------------------
@@ -292,9 +292,10 @@ def q_subject_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def kb_responses(t: ClinicalTables) -> DataFrame:
-    """A retrieve-and-generate response per successful question that has a
-    matching document, in the service's nested shape: two citation groups,
-    three references (one with no location)."""
+    """A retrieve-and-generate response per successful question whose id is a document's,
+    in the service's nested shape, over the whole text: up to two citation groups with
+    one or two references (whole text, second half, first half without a location).
+    Every fifth response has no second group, every third one reference in it."""
     e = t.raw("events").filter(F.col("event_type") != "error").select("event_id", "ts")
     d = t.raw("documents").select("doc_id", "text", "lang", "source")
     j = e.join(d, e.event_id == d.doc_id, "inner")
@@ -308,17 +309,20 @@ def kb_responses(t: ClinicalTables) -> DataFrame:
                if with_location else F.lit(None).cast("struct<type:string,s3Location:struct<uri:string>>"))
         return F.struct(F.struct(text.alias("text")).alias("content"), loc.alias("location"))
 
-    refs0 = F.array(ref(F.substring("text", 1, 1500)))
-    refs1 = F.array(ref(F.substring("text", 1001, 1500)), ref(F.substring("text", 1, 200), with_location=False))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    second, first = ref(F.expr("substring(text, cast(char_length(text) div 2 as int) + 1)")), ref(F.left("text", half), with_location=False)
+    refs1 = F.when(F.col("doc_id") % 3 == 0, F.array(second)).otherwise(F.array(second, first))
+    groups = F.array(F.struct(F.array(ref(F.col("text"))).alias("retrievedReferences")), F.struct(refs1.alias("retrievedReferences")))
     return j.select(F.col("event_id").alias("query_id"), F.col("ts").alias("created_at"),
-                    F.array(F.struct(refs0.alias("retrievedReferences")),
-                            F.struct(refs1.alias("retrievedReferences"))).alias("citations"))
+                    F.when(F.col("doc_id") % 5 == 0, F.slice(groups, 1, 1)).otherwise(groups).alias("citations"))
 
 
 _REFS_SQL = """SELECT event_id AS query_id, ts AS created_at, 0 AS citation_pos, 0 AS reference_pos,
-    uri, substring(text, 1, 1500) AS excerpt, coalesce(ltype, 'S3') AS rtype FROM rj
-  UNION ALL SELECT event_id, ts, 1, 0, uri, substring(text, 1001, 1500), coalesce(ltype, 'S3') FROM rj
-  UNION ALL SELECT event_id, ts, 1, 1, '', substring(text, 1, 200), 'S3' FROM rj"""
+    uri, text AS excerpt, coalesce(ltype, 'S3') AS rtype FROM rj
+  UNION ALL SELECT event_id, ts, 1, 0, uri, substring(text, CAST(length(text) // 2 AS BIGINT) + 1), coalesce(ltype, 'S3') FROM rj
+    WHERE doc_id % 5 <> 0
+  UNION ALL SELECT event_id, ts, 1, 1, '', left(text, CAST(length(text) // 2 AS BIGINT)), 'S3' FROM rj
+    WHERE doc_id % 5 <> 0 AND doc_id % 3 <> 0"""
 _RJ_SQL = """SELECT e.event_id, e.ts, d.doc_id, d.text,
     CASE WHEN d.source = 'src0' THEN '' ELSE 's3://kb-docs/' || d.source || '/doc-' || CAST(d.doc_id AS VARCHAR) || '.md' END AS uri,
     CASE WHEN d.lang <> 'de' THEN 'S3' END AS ltype
@@ -339,7 +343,8 @@ def q_flatten_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("citation_count", with_ctes("""
-SELECT query_id, 2 AS citation_groups, 3 AS reference_count FROM (SELECT DISTINCT query_id FROM refs) q""",
+SELECT query_id, CAST(count(DISTINCT citation_pos) AS INTEGER) AS citation_groups, CAST(count(*) AS INTEGER) AS reference_count
+FROM refs GROUP BY query_id""",
     extra=_CITE_CTES[:2]))
 def q_citation_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = querylog.citation_counts(kb_responses(ClinicalTables(spark, sf_dir)))
@@ -361,7 +366,7 @@ SELECT query_id, citation_pos, reference_pos, source_document, excerpt_text, met
 FROM flat""", extra=_CITE_CTES))
 def q_citation_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     resp = kb_responses(ClinicalTables(spark, sf_dir))
-    flat = querylog.flatten_citations(resp).join(resp.select("query_id", "created_at"), "query_id")
+    flat = querylog.flatten_citations(resp, carry=("created_at",))
     path = scratch_path(spark, "kb_citations")
     for _ in range(2):  # a rerun must not duplicate
         out = sinks.citation_sink(spark, flat, path)
@@ -369,15 +374,20 @@ def q_citation_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("query_log_sink", with_ctes("""
-SELECT subject_id, query_text, CAST(NULL AS VARCHAR) AS session_id, response_time_ms, citation_count, success,
-  error_message, created_at,
-  sha256(concat_ws(chr(1), '\\N', CAST(subject_id AS VARCHAR), strftime(created_at, '%Y-%m-%d %H:%M:%S.%f'),
+SELECT subject_id, query_text, CASE WHEN success THEN 'answer to ' || query_text END AS response_text,
+  CASE WHEN event_type = 'view' THEN 'session-' || CAST(subject_id AS VARCHAR) END AS session_id, response_time_ms, citation_count, success,
+  error_message, CASE WHEN event_type = 'click' THEN 'direct-query' ELSE 'knowledge-base' END AS model_arn, created_at,
+  sha256(concat_ws(chr(1), CASE WHEN event_type = 'view' THEN 'session-' || CAST(subject_id AS VARCHAR) ELSE '\\N' END, CAST(subject_id AS VARCHAR), strftime(created_at, '%Y-%m-%d %H:%M:%S.%f'),
                    query_text)) AS query_key
 FROM kb_queries""", "kb_queries"))
 def q_query_log_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = ClinicalTables(spark, sf_dir).kb_queries.select(
-        "subject_id", "query_text", F.lit(None).cast("string").alias("session_id"), "response_time_ms",
-        "citation_count", "success", "error_message", "created_at")
+    et = F.col("event_type")
+    q = (ClinicalTables(spark, sf_dir).kb_queries
+         .withColumn("response_text", F.when(F.col("success"), F.concat(F.lit("answer to "), F.col("query_text"))))
+         .withColumn("session_id", F.when(et == "view", F.concat(F.lit("session-"), F.col("subject_id").cast("string"))))
+         .withColumn("model_arn", F.when(et == "click", "direct-query").otherwise("knowledge-base"))
+         .select(*sinks.QUERY_LOG_COLUMNS))
+    q = q.unionByName(q)                                   # a batch that holds every row twice
     path = scratch_path(spark, "kb_queries")
     for _ in range(2):
         out = sinks.query_log_sink(spark, q, path)

@@ -73,20 +73,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     base = spark.conf.get(_CHECKPOINT_KEY, None) or ensure_checkpoint_dir(spark)
     return f"{base.rstrip('/')}/medlattice-scratch/{name}-{uuid.uuid4().hex[:12]}"
 
-
-def spread(df, *keys, probe=None):
-    """Spread work over the cluster's cores when its input scan arrives in
-    fewer partitions than cores (a few large row groups), so the per-row work
-    after it (tokenizing, sorting for a window) is not done by one task.
-
-    With ``keys`` the rows are hash-partitioned on them (deterministic, and a
-    later window or aggregate on the same keys needs no further shuffle);
-    otherwise round-robin. ``probe`` is the plain scan whose split count
-    decides: asking a frame with joins for its partitions would run its
-    adaptive stages once, so callers pass the scan. At scale a scan has far
-    more splits than cores and this is a no-op."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if (probe if probe is not None else df).rdd.getNumPartitions() < cores:
-        return df.repartition(cores, *keys) if keys else df.repartition(cores)
-    return df

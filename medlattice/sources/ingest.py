@@ -2,7 +2,7 @@
 
 Per table: scan CSV as strings -> coerce (lenient casts, NA words, defaults,
 fallback columns) -> constraint split (good / quarantine with reasons) ->
-first-wins de-duplication -> optional row cap -> write. The reference aborts
+first-wins de-duplication -> foreign keys -> write. The reference aborts
 the whole load on the first bad row; we keep going and quarantine instead, so
 ``good + quarantine == input`` always holds.
 """
@@ -183,22 +183,6 @@ def first_wins(df: DataFrame, key: list[str], order: list[str] | None = None,
     return kept, df.exceptAll(kept)
 
 
-# --- S9: row cap ------------------------------------------------------------------
-
-def row_cap(df: DataFrame, cap: int | None, order: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """Keep the first ``cap`` rows under a declared total ``order``; return
-    (kept, dropped) so truncation is reported, never silent. ``cap=None`` keeps all.
-
-    A global sort + limit (range-partitioned sort; only ``cap`` rows reach the
-    final limit), and the complement by multiset difference, so duplicate
-    rows are split correctly.
-    """
-    if cap is None:
-        return df, df.limit(0)
-    kept = df.orderBy(*order).limit(cap)
-    return kept, df.exceptAll(kept)
-
-
 # --- S13: referential integrity --------------------------------------------------
 
 def referential_check(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
@@ -238,9 +222,8 @@ class IngestResult:
 
 
 def ingest_table(spark: SparkSession, spec: TableSpec, raw: DataFrame | None,
-                 existing: DataFrame | None = None, order: list[str] | None = None,
-                 apply_cap: bool = False) -> IngestResult:
-    """Coerce -> constraints -> first wins (or append) -> optional cap."""
+                 existing: DataFrame | None = None, order: list[str] | None = None) -> IngestResult:
+    """Coerce -> constraints -> first wins (or append)."""
     if raw is None:
         e = empty_table(spark, spec)
         return IngestResult(e, e.withColumn("reasons", F.lit(None).cast("string")), loaded=False)
@@ -249,10 +232,6 @@ def ingest_table(spark: SparkSession, spec: TableSpec, raw: DataFrame | None,
     if spec.policy == FIRST_WINS and spec.key:
         good, dups = first_wins(good, list(spec.key), order, existing)
         bad = bad.unionByName(dups.withColumn("reasons", F.lit("duplicate_key")))
-    if apply_cap and spec.cap is not None:
-        cap_order = [F.col(c).asc_nulls_last() for c in (order or []) + good.columns]
-        good, dropped = row_cap(good, spec.cap, cap_order)
-        bad = bad.unionByName(dropped.withColumn("reasons", F.lit("row_cap")))
     return IngestResult(good, bad)
 
 
@@ -296,4 +275,4 @@ def read_relational(spark: SparkSession, url: str, table: str, partition_column:
 __all__ = ["APPEND", "FIRST_WINS", "SPECS", "IngestResult", "coerce", "constraint_split",
            "discover_sources", "empty_table", "first_wins", "ingest_table", "load_all", "read_csv_strings",
            "read_relational", "read_source", "read_subject_list", "referential_check",
-           "restrict_to_subjects", "row_cap", "source_paths", "spark_schema", "table_counts"]
+           "restrict_to_subjects", "source_paths", "spark_schema", "table_counts"]

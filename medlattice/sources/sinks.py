@@ -11,10 +11,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The columns the reference writes per question and per citation.
+# The columns written per question.
 QUERY_LOG_COLUMNS = ["subject_id", "query_text", "response_text", "session_id", "response_time_ms",
                      "citation_count", "success", "error_message", "model_arn", "created_at"]
-CITATION_COLUMNS = ["query_id", "source_document", "excerpt_text", "metadata", "created_at"]
 
 
 def content_key(*cols: str | Column) -> Column:
@@ -25,37 +24,52 @@ def content_key(*cols: str | Column) -> Column:
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, None if there is none; any other failure is raised."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
-def append_new(spark: SparkSession, df: DataFrame, path: str, key: str) -> DataFrame:
-    """Append rows whose ``key`` is not yet in the table at ``path``; return the table."""
+def append_new(spark: SparkSession, df: DataFrame, path: str, key: str, ts: str | None = None) -> DataFrame:
+    """Append one row per ``key`` that is not yet in the table at ``path``; return the
+    table. With ``ts`` the table has one folder per day of that time, and only the days
+    of the new rows are read for the comparison (equal keys have equal times)."""
+    new = df.dropDuplicates([key])
+    if ts is not None:
+        new = new.withColumn("_day", F.coalesce(F.date_format(ts, "yyyyMMdd"), F.lit("none")))
     old = _existing(spark, path)
-    new = df if old is None else df.join(old.select(key), key, "left_anti")
-    new.write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    if old is not None:
+        if ts is not None:
+            old = old.withColumn("_day", F.col("_day").cast("string")).join(new.select("_day").distinct(), "_day", "left_semi")
+        new = new.join(old.select(key), key, "left_anti")
+    if ts is None:
+        new.write.mode("append").parquet(path)
+        return spark.read.parquet(path)
+    new.repartition("_day").write.mode("append").partitionBy("_day").parquet(path)
+    return spark.read.parquet(path).drop("_day")
 
 
 def query_log_sink(spark: SparkSession, log: DataFrame, path: str) -> DataFrame:
     """One row per question; ``query_key`` = hash(session, subject, time, text)."""
     keyed = log.withColumn("query_key", content_key(
         "session_id", "subject_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "query_text"))
-    return append_new(spark, keyed, path, "query_key")
+    return append_new(spark, keyed, path, "query_key", "created_at")
 
 
 def citation_sink(spark: SparkSession, citations: DataFrame, path: str) -> DataFrame:
     """One row per retrieved reference (callers pass successful queries only)."""
     keyed = citations.withColumn("citation_key", content_key("query_id", "citation_pos", "reference_pos"))
-    return append_new(spark, keyed, path, "citation_key")
+    return append_new(spark, keyed, path, "citation_key",
+                      "created_at" if "created_at" in citations.columns else None)
 
 
 def json_sink(results: DataFrame, path: str, ts: str = "created_at") -> None:
     """Result records as JSON, one folder per day (``query_<yyyymmdd>``
     in the reference's naming); rewriting a day replaces only that day."""
-    (results.withColumn("day", F.date_format(ts, "yyyyMMdd"))
+    (results.withColumn("day", F.date_format(ts, "yyyyMMdd")).repartition("day")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
      .partitionBy("day").json(path))

@@ -31,7 +31,6 @@ class TableSpec:
     columns: tuple[Col, ...]
     key: tuple[str, ...] = ()         # PK or UNIQUE key (first wins)
     policy: str = APPEND
-    cap: int | None = None            # reference demo row cap; off unless asked for
     optional: bool = True             # missing file -> empty table (S7)
     checks: tuple[tuple[str, str], ...] = ()          # (name, SQL predicate), NULL passes (N7)
     fks: tuple[tuple[str, str, str], ...] = ()        # (column, parent table, parent column)
@@ -68,10 +67,6 @@ STAY = ("stay_id", "icustays", "stay_id")
 ITEM = ("itemid", "d_items", "itemid")
 ICD_VERSION_CHECK = ("icd_version_in_9_10", "icd_version IN (9, 10)")
 
-# Row caps of the reference's demo load (off by default here).
-DEMO_ROW_CAPS = {"labevents": 108000, "prescriptions": 20000, "emar": 40000, "poe": 46000,
-                 "chartevents": 600000, "inputevents": 21000}
-
 SPECS: dict[str, TableSpec] = {s.name: s for s in [
     TableSpec("patients", "hosp", cols(
         "subject_id:int gender:str(1)? anchor_age:int? anchor_year:int? anchor_year_group:str(20)? dod:date?"),
@@ -99,7 +94,7 @@ SPECS: dict[str, TableSpec] = {s.name: s for s in [
         "subject_id:int hadm_id:int? specimen_id:int? itemid:int charttime:ts? storetime:ts? "
         "value:str(200)? valuenum:dbl? valueuom:str(50)? ref_range_lower:dbl? ref_range_upper:dbl? "
         "flag:str(10)? priority:str(10)? comments:str?"),
-        cap=DEMO_ROW_CAPS["labevents"], fks=(SUBJ, HADM)),
+        fks=(SUBJ, HADM)),
     TableSpec("d_icd_diagnoses", "hosp", cols("icd_code:str(10) icd_version:int long_title:str?"),
               key=("icd_code", "icd_version"), policy=FIRST_WINS, checks=(ICD_VERSION_CHECK,),
               defaults_if_absent={"icd_version": 10}),
@@ -117,16 +112,16 @@ SPECS: dict[str, TableSpec] = {s.name: s for s in [
         "subject_id:int hadm_id:int? pharmacy_id:int? poe_id:str? poe_seq:int? starttime:ts? stoptime:ts? "
         "drug_type:str? drug:str? gsn:str? ndc:str? prod_strength:str? form_rx:str? dose_val_rx:str? "
         "dose_unit_rx:str? form_val_disp:str? form_unit_disp:str(50)? doses_per_24_hrs:dbl? route:str(50)?"),
-        cap=DEMO_ROW_CAPS["prescriptions"], fks=(SUBJ, HADM)),
+        fks=(SUBJ, HADM)),
     TableSpec("emar", "hosp", cols(
         "subject_id:int hadm_id:int? emar_id:str(50) emar_seq:int? poe_id:str(50)? pharmacy_id:int? "
         "charttime:ts? medication:str? event_txt:str(100)? scheduletime:ts? storetime:ts?"),
-        key=("emar_id",), policy=FIRST_WINS, cap=DEMO_ROW_CAPS["emar"], fks=(SUBJ, HADM)),
+        key=("emar_id",), policy=FIRST_WINS, fks=(SUBJ, HADM)),
     TableSpec("poe", "hosp", cols(
         "poe_id:str(50) poe_seq:int? subject_id:int hadm_id:int? ordertime:ts? order_type:str(50)? "
         "order_subtype:str(100)? transaction_type:str(50)? discontinue_of_poe_id:str(50)? "
         "discontinued_by_poe_id:str(50)? order_provider_id:str(50)? order_status:str(50)?"),
-        key=("poe_id",), policy=FIRST_WINS, cap=DEMO_ROW_CAPS["poe"], fks=(SUBJ, HADM)),
+        key=("poe_id",), policy=FIRST_WINS, fks=(SUBJ, HADM)),
     TableSpec("drgcodes", "hosp", cols(
         "subject_id:int hadm_id:int drg_type:str(50)? drg_code:str(10)? description:str? "
         "drg_severity:short? drg_mortality:short?"),
@@ -142,7 +137,7 @@ SPECS: dict[str, TableSpec] = {s.name: s for s in [
     TableSpec("chartevents", "icu", cols(
         "subject_id:int hadm_id:int? stay_id:int? caregiver_id:int? charttime:ts? storetime:ts? "
         "itemid:int value:str(200)? valuenum:dbl? valueuom:str(50)? warning:short?"),
-        cap=DEMO_ROW_CAPS["chartevents"], fks=(SUBJ, HADM, STAY, ITEM)),
+        fks=(SUBJ, HADM, STAY, ITEM)),
     TableSpec("inputevents", "icu", cols(
         "subject_id:int hadm_id:int? stay_id:int? caregiver_id:int? starttime:ts? endtime:ts? storetime:ts? "
         "itemid:int amount:dbl? amountuom:str(50)? rate:dbl? rateuom:str(50)? orderid:int? linkorderid:int? "
@@ -150,7 +145,7 @@ SPECS: dict[str, TableSpec] = {s.name: s for s in [
         "ordercomponenttypedescription:str(200)? ordercategorydescription:str(100)? patientweight:dbl? "
         "totalamount:dbl? totalamountuom:str(50)? isopenbag:short? continueinnextdept:short? "
         "statusdescription:str(50)? originalamount:dbl? originalrate:dbl?"),
-        cap=DEMO_ROW_CAPS["inputevents"], fks=(SUBJ, HADM, STAY, ITEM)),
+        fks=(SUBJ, HADM, STAY, ITEM)),
 ]}
 
 # Load order: parents before children (foreign keys), as the reference loads.

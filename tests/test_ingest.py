@@ -21,7 +21,7 @@ def _write(path, header, rows):
 @pytest.fixture(scope="module")
 def clinical_root(tmp_path_factory):
     root = str(tmp_path_factory.mktemp("clinical"))
-    base = os.path.join(root, "physionet", "mimic-iv-demo", "2.2")
+    base = os.path.join(root, "physionet", "export", "2.2")
     hosp, icu = os.path.join(base, "hosp"), os.path.join(base, "icu")
     _write(f"{hosp}/patients.csv", ["subject_id", "gender", "anchor_age", "anchor_year", "anchor_year_group", "dod"], [
         ["1", "F", "52", "2150", "2011 - 2013", ""],
@@ -137,13 +137,6 @@ def test_referential_check_finds_orphans(spark, clinical_root):
     assert orphans == [77]
 
 
-def test_row_cap_reports_dropped_rows(spark):
-    df = spark.range(10).withColumn("v", F.col("id") % 3)
-    kept, dropped = I.row_cap(df, 4, [F.col("id").asc()])
-    assert sorted(r["id"] for r in kept.collect()) == [0, 1, 2, 3]
-    assert dropped.count() == 6
-
-
 def test_load_all_writes_and_counts_every_table(spark, clinical_root, tmp_path):
     counts = {r["table_name"]: r["row_count"] for r in I.load_all(spark, clinical_root, str(tmp_path)).collect()}
     assert list(counts) == COUNTED_TABLES or set(counts) == set(COUNTED_TABLES)

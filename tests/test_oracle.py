@@ -6,9 +6,10 @@ import pytest
 
 import __spark_entry__ as E
 from check_oracle import TABLES, _digest
+from medlattice.plans import ORACLES, QUERIES
 from tests.conftest import SMALL_SF
 
-NAMES = sorted(E.oracle_sql())
+NAMES = sorted(set(ORACLES) & set(QUERIES))
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +41,6 @@ def test_every_query_has_a_callable_and_entry_runs(spark):
     assert "status" in out.columns
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only_queries_run(spark, name):
     assert E.queries()[name](spark, SMALL_SF).count() > 0

@@ -44,14 +44,19 @@ def test_validate_requests(spark):
         (3, '{"subject_id": 10000032, "question": ""}'),
         (4, '{"subject_id": 0, "question": "q"}'),
         (5, '{"subject_id": 42, "question": "q"}'),
-        (6, '{"body": "{broken"}'),
+        (6, '{"body": "{broken"}'), (7, '{"body": null}'), (8, '{"body": [1]}'),
+        (9, '{"body": {"subject_id": "10000032", "question": "false"}}'), (10, '{"subject_id": "0", "question": "[]"}'),
+        (11, '{"subject_id": 10000032, "question": []}'), (12, '{"subject_id": false, "question": "q"}'), (13, '[1]'), (14, 'x'),
     ], "request_id int, event string")
     got = {r["request_id"]: (r["status_code"], r["error"]) for r in Q.validate_requests(reqs, patients).collect()}
     assert got[1] == (200, None) and got[2] == (200, None)
     assert got[3] == (400, "Missing required field: question")
     assert got[4] == (400, "Missing required field: subject_id")
     assert got[5] == (404, "Subject ID 42 not found in database")
-    assert got[6][0] == 400
+    assert got[6][0] == 400 and got[14][0] == 400
+    assert got[7][0] == got[8][0] == got[13][0] == 500
+    assert got[9] == (200, None) and got[10] == (404, "Subject ID 0 not found in database")
+    assert got[11] == (400, "Missing required field: question") and got[12] == (400, "Missing required field: subject_id")
 
 
 def test_parse_model_response_precedence(spark):
@@ -60,10 +65,10 @@ def test_parse_model_response_precedence(spark):
         (2, '{"content": "plain"}'),
         (3, '{"choices": [{"message": {"content": "c"}}]}'),
         (4, '{"completion": "done"}'),
-        (5, '{"content": null, "completion": "x"}'),
+        (5, '{"content": null, "completion": "x"}'), (6, '{"content": "[1,2]"}'),
     ], "id int, body string")
     got = {r["id"]: r["answer"] for r in Q.parse_model_response(bodies).collect()}
-    assert got == {1: "a", 2: "plain", 3: "c", 4: "done", 5: None}
+    assert got == {1: "a", 2: "plain", 3: "c", 4: "done", 5: None, 6: "[1,2]"}
 
 
 def test_previous_turn_skips_unanswered_and_stream_equals_batch(spark, tmp_path):
@@ -135,23 +140,42 @@ def test_bm25_equals_brute_force(spark):
         assert [(d, s) for _, d, s in sorted(res.get(qid, []))] == hits
 
 
-def test_dense_exact_and_approx_recall(spark):
-    rng = np.random.default_rng(3)
-    vecs = rng.normal(size=(120, 16))
+def _vectors(spark, vecs):
     df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)], "qid long, vec array<double>")
-    c = df.withColumnRenamed("qid", "vid")
-    exact = K.retrieve_dense(spark, df, c, k=3, max_query_bytes=16 * 200)   # forces several query chunks
-    top = {(r["qid"], r["rank"]): r["vid"] for r in exact.collect()}
-    assert all(top[(i, 1)] == i for i in range(120))                  # a vector's nearest is itself
+    return df, df.withColumnRenamed("qid", "vid")
+
+
+def test_dense_exact_in_blocks(spark):
+    vecs = np.random.default_rng(3).normal(size=(120, 16))
+    q, c = _vectors(spark, vecs)
+    top = {(r["qid"], r["rank"]): r["vid"] for r in K.retrieve_dense(spark, q, c, k=3, block_rows=40).collect()}
     unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
     sims = unit @ unit.T
-    for i in range(0, 120, 17):
+    for i in range(120):
         want = sorted(range(120), key=lambda j: (-round(sims[i, j], 6), j))[:3]
         assert [top[(i, r)] for r in (1, 2, 3)] == want
-    approx = K.retrieve_dense_approx(df, c, k=3, max_distance=1.5)
-    got = {(r["qid"], r["vid"]) for r in approx.collect()}
-    truth = {(q, v) for (q, _), v in top.items()}
-    assert len(got & truth) / len(truth) >= 0.5
+    assert K.retrieve_dense(spark, q.limit(0), c).count() == 0
+
+
+@pytest.mark.parametrize("kind,most_pairs,least_recall", [("driver", 0.40, 0.70), ("clustered", 0.10, 0.90)])
+def test_approximate_index_prunes_and_recalls(spark, kind, most_pairs, least_recall):
+    """Share of pairs compared and recall against the exact search."""
+    if kind == "driver":
+        e = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+        q, c = e.selectExpr("vec_id AS qid", "embedding AS vec"), e.selectExpr("vec_id AS vid", "embedding AS vec")
+    else:
+        rng = np.random.default_rng(5)
+        centres = rng.normal(size=(40, 16)) * 3
+        q, c = _vectors(spark, centres[rng.integers(40, size=1200)] + 0.3 * rng.normal(size=(1200, 16)))
+    n = c.count()
+    index = K.CellIndex(c)
+    share = index.probes(q, 5).join(index.sizes, "cell").agg({"n": "sum"}).first()[0] / n / n
+    exact = {(r["qid"], r["vid"]) for r in K.retrieve_dense(spark, q, c, k=5).collect()}
+    approx = [(r["qid"], r["vid"]) for r in K.retrieve_dense_approx(q, c, k=5).collect()]
+    assert len(approx) == 5 * n
+    recall = len(exact & set(approx)) / len(exact)
+    print(kind, "share", share, "recall", recall)
+    assert share <= most_pairs and recall >= least_recall
 
 
 def test_stream_previous_turn_carries_state_across_batches(spark, tmp_path):

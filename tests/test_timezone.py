@@ -6,12 +6,12 @@ import pytest
 
 import __spark_entry__ as E
 from check_oracle import TABLES, _digest
+from medlattice.plans import ORACLES, QUERIES
 from tests.conftest import SMALL_SF
 
-TIME_SENSITIVE = ["los_days", "recent_admissions", "query_analytics", "run_summary", "latency_compare",
-                  "session_rollup", "session_summary", "icu_stays", "stream_sessions", "lenient_cast",
-                  "readmission_30d", "los_statistics", "los_percentile_rank", "event_rate_per_1000_days",
-                  "net_promoter_score"]
+# every query whose result holds or compares times
+TIME_SENSITIVE = sorted(n for n, sql in ORACLES.items()
+                        if n in QUERIES and any(w in sql for w in ("time", "date", "created_at", "day")))
 
 
 @pytest.fixture(scope="module")
