@@ -7,6 +7,8 @@ oracle computes the same rows directly from the source tables.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,6 +193,33 @@ _BOUND_TABLES = ["patients", "admissions", "diagnoses_icd", "d_icd_diagnoses", "
                  "icustays", "d_items", "chartevents", "inputevents"]
 
 
+def _bound_keys() -> list[tuple[str, str, str, str]]:
+    """(child, column, parent, parent column) of every declared foreign key both of whose
+    tables are bound (drgcodes has no subject_id there)."""
+    return [(child, column, parent, parent_column) for child in _BOUND_TABLES for column, parent, parent_column in SPECS[child].fks
+            if parent in _BOUND_TABLES and (child, column) not in _ABSENT]
+
+
+_ABSENT = {("drgcodes", "subject_id"), ("emar", "hadm_id")}
+
+
+def _foreign_keys_sql() -> str:
+    each = [f"""SELECT '{c}' AS table_name, '{k}' AS key_column, '{p}' AS parent,
+      (SELECT count(*) FROM {c} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM {p} WHERE {pk} IS NOT NULL)) AS orphans"""
+            for c, k, p, pk in _bound_keys()]
+    return with_ctes(" UNION ALL ".join(each), *_BOUND_TABLES)
+
+
+@register("foreign_keys", _foreign_keys_sql())
+def q_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans under every bound foreign key."""
+    t = ClinicalTables(spark, sf_dir)
+    parts = [I.referential_check(getattr(t, c).select(k), k, getattr(t, p), pk).agg(F.count(F.lit(1)).alias("orphans"))
+             .select(F.lit(c).alias("table_name"), F.lit(k).alias("key_column"), F.lit(p).alias("parent"), "orphans")
+             for c, k, p, pk in _bound_keys()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _table_counts_sql() -> str:
     from ..sources.specs import COUNTED_TABLES
     parts = []

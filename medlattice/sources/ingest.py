@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as S
-from .specs import APPEND, COUNTED_TABLES, FIRST_WINS, SPECS, TableSpec
+from .specs import APPEND, COUNTED_TABLES, FIRST_WINS, LOAD_ORDER, SPECS, TableSpec
 
 _SPARK_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "short": T.ShortType(),
                 "dbl": T.DoubleType(), "ts": T.TimestampNTZType(), "date": T.DateType(),
@@ -60,9 +61,12 @@ def discover_sources(spark: SparkSession, root: str) -> DataFrame:
 
 
 def source_paths(spark: SparkSession, root: str) -> dict[str, list[str]]:
-    """Table -> file paths. The listing is a handful of rows (one per file)."""
+    """Table -> paths: a CSV file, or the folder of a table written in parts (one row per
+    source reaches the driver, not one per part file)."""
+    folder = F.regexp_extract("path", r"^(.*\.csv)/[^/]+$", 1)
+    sources = discover_sources(spark, root).select("table", F.when(folder != "", folder).otherwise(F.col("path")).alias("path"))
     out: dict[str, list[str]] = {}
-    for r in discover_sources(spark, root).collect():
+    for r in sources.distinct().orderBy("table", "path").collect():
         out.setdefault(r["table"], []).append(r["path"])
     return out
 
@@ -159,28 +163,31 @@ def first_wins(df: DataFrame, key: list[str], order: list[str] | None = None,
     reproducible (CSV line order does not survive a parallel read). Rows
     whose key has a NULL part never conflict and are all kept (N8).
 
-    Implemented as ``min(struct(...))`` per key: a hash aggregate with a
-    map-side partial, so a hot key is reduced before the shuffle instead of
-    being sorted in one task. Returns (kept, duplicates).
+    ``min(struct(...))`` per key has a map-side partial, so a hot key is reduced before
+    the shuffle instead of being sorted in one task. Only rows of keys with a rival are
+    looked at again for the duplicates. Returns (kept, duplicates).
     """
     rest = [c for c in df.columns if c not in key]
     order = [c for c in (order or []) if c in rest]
     ordered = order + [c for c in rest if c not in order]
-    fields = []
-    for i, c in enumerate(ordered):
-        fields += [F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}")]
-    null_key = F.lit(False)
-    for k in key:
-        null_key = null_key | F.col(k).isNull()
+    whole = F.struct(*[x for i, c in enumerate(ordered) for x in (F.col(c).isNull().alias(f"n{i}"), F.col(c).alias(f"v{i}"))])
+    null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
     keyed = df.filter(~null_key)
-    best = keyed.groupBy(*key).agg(F.min(F.struct(*fields)).alias("_m"))
-    kept = best.select(*key, *[F.col(f"_m.v{i}").alias(c) for i, c in enumerate(ordered)]) \
-        .select(*df.columns)
+    best = keyed.groupBy(*key).agg(F.min(whole).alias("_m"), F.count(F.lit(1)).alias("_n"))
     if existing is not None:
-        known = existing.select(*key).dropna().distinct()
-        kept = kept.join(known, key, "left_anti")
-    kept = kept.unionByName(df.filter(null_key))
-    return kept, df.exceptAll(kept)
+        known = existing.select(*key).dropna().distinct().withColumn("_known", F.lit(True))
+        best = best.join(known, key, "left")
+    else:
+        best = best.withColumn("_known", F.lit(None).cast("boolean"))
+    winners = best.where("_known IS NULL").select(*key, *[F.col(f"_m.v{i}").alias(c) for i, c in enumerate(ordered)]).select(*df.columns)
+    # of the rows of a key that has more than one, or is known, all but one winner are duplicates
+    contested = best.where("_n > 1 OR _known").select(*key, F.col("_m").alias("_best"), F.coalesce("_known", F.lit(False)).alias("_lost"))
+    rivals = (keyed.join(contested, key).withColumn("_win", ~F.col("_lost") & whole.eqNullSafe(F.col("_best")))
+              .groupBy(*df.columns, "_win").agg(F.count(F.lit(1)).alias("_c"))
+              .withColumn("_c", F.col("_c") - F.when(F.col("_win"), 1).otherwise(0)))
+    losers = rivals.select(*df.columns, F.explode(F.when(F.col("_c") > 0, F.sequence(F.lit(1), F.col("_c").cast("int")))
+                                                  .otherwise(F.array().cast("array<int>"))).alias("_i")).drop("_i")
+    return winners.unionByName(df.filter(null_key)), losers
 
 
 # --- S13: referential integrity --------------------------------------------------
@@ -191,6 +198,26 @@ def referential_check(child: DataFrame, column: str, parent: DataFrame, parent_c
     return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
 
 
+def referential_split(df: DataFrame, spec: TableSpec, parents: dict[str, DataFrame | None]) -> tuple[DataFrame, DataFrame]:
+    """(good, orphans) under every foreign key of ``spec``: an orphan keeps its row and
+    the names of the keys that no parent row has. A NULL key passes; a parent that is
+    not loaded is an empty table. Each key is one join with the parent's distinct keys."""
+    if not spec.fks:
+        return df, df.withColumn("reasons", F.lit(None).cast("string")).limit(0)
+    tagged, reasons = df, []
+    for i, (column, parent, parent_column) in enumerate(spec.fks):
+        table = parents.get(parent)
+        if table is None:
+            found = F.lit(False)
+        else:
+            keys = table.select(F.col(parent_column).alias(column)).dropna().distinct().withColumn(f"_found{i}", F.lit(True))
+            tagged = tagged.join(keys, column, "left")
+            found = F.coalesce(F.col(f"_found{i}"), F.lit(False))
+        reasons.append(F.when(F.col(column).isNotNull() & ~found, F.lit(f"{column}_not_in_{parent}")))
+    tagged = tagged.withColumn("reasons", F.concat_ws(",", *reasons)).select(*df.columns, "reasons")
+    return tagged.where("reasons = ''").drop("reasons"), tagged.where("reasons <> ''")
+
+
 # --- S14: table counts -------------------------------------------------------------
 
 def table_counts(spark: SparkSession, tables: dict[str, DataFrame | None],
@@ -235,18 +262,21 @@ def ingest_table(spark: SparkSession, spec: TableSpec, raw: DataFrame | None,
     return IngestResult(good, bad)
 
 
-def load_all(spark: SparkSession, root: str, out_dir: str, apply_caps: bool = False) -> DataFrame:
-    """3B: discover, ingest every table in FK order, write good + quarantine
-    (overwrite per table, so a rerun is safe), then count all 26 tables."""
+def load_all(spark: SparkSession, root: str, out_dir: str) -> DataFrame:
+    """3B: discover, ingest every table, parents first, split off the rows whose foreign
+    keys have no parent, write good + quarantine (overwrite per table, so a rerun is
+    safe), then count all 26 tables."""
     paths = source_paths(spark, root)
     written: dict[str, DataFrame | None] = {}
-    for name, spec in SPECS.items():
-        res = ingest_table(spark, spec, read_source(spark, spec, paths.get(name)), apply_cap=apply_caps)
+    for name in LOAD_ORDER:
+        spec = SPECS[name]
+        res = ingest_table(spark, spec, read_source(spark, spec, paths.get(name)))
         if not res.loaded:
             written[name] = None
             continue
-        res.good.write.mode("overwrite").parquet(f"{out_dir}/{name}")
-        res.quarantine.write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{name}")
+        good, orphans = referential_split(res.good, spec, written)
+        good.write.mode("overwrite").parquet(f"{out_dir}/{name}")
+        res.quarantine.unionByName(orphans).write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{name}")
         written[name] = spark.read.parquet(f"{out_dir}/{name}")
     return table_counts(spark, written, COUNTED_TABLES)
 
@@ -274,5 +304,5 @@ def read_relational(spark: SparkSession, url: str, table: str, partition_column:
 
 __all__ = ["APPEND", "FIRST_WINS", "SPECS", "IngestResult", "coerce", "constraint_split",
            "discover_sources", "empty_table", "first_wins", "ingest_table", "load_all", "read_csv_strings",
-           "read_relational", "read_source", "read_subject_list", "referential_check",
+           "read_relational", "read_source", "read_subject_list", "referential_check", "referential_split",
            "restrict_to_subjects", "source_paths", "spark_schema", "table_counts"]

@@ -137,6 +137,26 @@ def test_referential_check_finds_orphans(spark, clinical_root):
     assert orphans == [77]
 
 
+def test_foreign_keys_split_orphans_by_name(spark, clinical_root):
+    """Parents first; an orphan keeps its row and the names of its keys; a NULL key passes."""
+    written = {"patients": _ingest(spark, clinical_root, "patients").good, "admissions": _ingest(spark, clinical_root, "admissions").good}
+    dx = _ingest(spark, clinical_root, "diagnoses_icd").good
+    good, orphans = I.referential_split(dx, SPECS["diagnoses_icd"], written)
+    assert {(r["hadm_id"], r["reasons"]) for r in orphans.collect()} == {(77, "hadm_id_not_in_admissions")}
+    assert good.count() + orphans.count() == dx.count() and good.columns == dx.columns
+    stays = _ingest(spark, clinical_root, "icustays").good.withColumn("hadm_id", F.lit(None).cast("int"))
+    assert I.referential_split(stays, SPECS["icustays"], written)[1].count() == 0
+    assert I.referential_split(dx, SPECS["diagnoses_icd"], {"patients": None, "admissions": None})[0].count() == 0
+
+
+def test_load_all_quarantines_orphans(spark, clinical_root, tmp_path):
+    I.load_all(spark, clinical_root, str(tmp_path / "out"))
+    bad = spark.read.parquet(str(tmp_path / "out/_quarantine/diagnoses_icd"))
+    assert "hadm_id_not_in_admissions" in {r["reasons"] for r in bad.collect()}
+    kept = spark.read.parquet(str(tmp_path / "out/diagnoses_icd"))
+    assert kept.count() + bad.count() == 5 and kept.where("hadm_id = 77").count() == 0
+
+
 def test_load_all_writes_and_counts_every_table(spark, clinical_root, tmp_path):
     counts = {r["table_name"]: r["row_count"] for r in I.load_all(spark, clinical_root, str(tmp_path)).collect()}
     assert list(counts) == COUNTED_TABLES or set(counts) == set(COUNTED_TABLES)
