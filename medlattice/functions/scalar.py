@@ -71,17 +71,6 @@ def _try_int(c: Column, spark_type: str) -> Column:
 
 # --- N4: Python truthiness ---------------------------------------------------
 
-def truthy(c: str | Column) -> Column:
-    """Python ``bool(x)`` for a nullable scalar: NULL, 0, 0.0 and '' are false."""
-    c = col_(c)
-    return F.coalesce(
-        F.when(c.cast("string") == "", False)
-        .when(c.cast("double") == 0, False)
-        .otherwise(c.isNotNull()),
-        F.lit(False),
-    )
-
-
 def truthy_str(c: str | Column) -> Column:
     c = col_(c)
     return c.isNotNull() & (c != "")
@@ -170,10 +159,6 @@ def ellipsize(c: str | Column, n: int, always: bool = False) -> Column:
     return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n), F.lit("..."))).otherwise(c)
 
 
-def hard_truncate(c: str | Column, n: int) -> Column:
-    return F.substring(col_(c), 1, n)
-
-
 # --- F10: dates mentioned in text -------------------------------------------
 
 DATE_PATTERN = r"\d{4}-\d{2}-\d{2}"

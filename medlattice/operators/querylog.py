@@ -157,6 +157,20 @@ def flatten_citations(responses: DataFrame, query_id: str = "query_id",
     )
 
 
+def citation_previews(responses: DataFrame, query_id: str = "query_id", citations: str = "citations",
+                      cut: int = 200) -> DataFrame:
+    """The batch client's view of each reference: the file name of its source ('Unknown
+    source' without a location; an empty URI stays empty), an excerpt of ``cut`` code
+    points with '...' where the text is longer, and the short client's excerpt, which
+    always ends with '...'."""
+    r = (responses.select(query_id, F.posexplode(citations).alias("citation_pos", "_c"))
+         .select(query_id, "citation_pos", F.posexplode("_c.retrievedReferences").alias("reference_pos", "_r")))
+    uri = F.coalesce(F.col("_r.location.s3Location.uri"), F.lit("Unknown source"))
+    text = F.coalesce(F.col("_r.content.text"), F.lit(""))
+    return r.select(query_id, "citation_pos", "reference_pos", S.source_name(uri, missing="").alias("source"),
+                    S.ellipsize(text, cut).alias("excerpt"), S.ellipsize(text, cut, always=True).alias("short_excerpt"))
+
+
 def citation_counts(responses: DataFrame, citations: str = "citations") -> DataFrame:
     """Both counts the reference keeps — citation groups (logger) and
     flattened references (batch client)."""

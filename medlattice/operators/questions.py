@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from .scan import last_before, running_count
+from .scan import exact_quantiles, last_before, running_count
 
 # The reference's routing phrases, in its order (substring match
 # on the lower-cased question; 'my ' and 'i ' keep their trailing space).
@@ -157,18 +157,20 @@ def parse_model_response(responses: DataFrame, body: str = "body") -> DataFrame:
 
 # --- R9: latency ----------------------------------------------------------------------
 
-def latency_compare(log: DataFrame, keys: list[str | Column], server: str = "response_time_ms",
+def latency_compare(log: DataFrame, keys: list[Column], server: str = "response_time_ms",
                     client: str = "client_time_ms") -> DataFrame:
     """Client round trip vs server time: per-group mean overhead and
     exact median / p95 of the overhead (linear interpolation)."""
-    over = F.col(client) - F.col(server)
-    return log.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(server), 6).alias("avg_server_ms"),
-        F.round(F.avg(client), 6).alias("avg_client_ms"),
-        F.round(F.percentile(over, 0.5), 6).alias("p50_overhead_ms"),
-        F.round(F.percentile(over, 0.95), 6).alias("p95_overhead_ms"),
-    )
+    names = [f"_key{i}" for i in range(len(keys))]
+    rows = log.select("*", *[k.alias(n) for k, n in zip(keys, names)], (F.col(client) - F.col(server)).alias("_over"))
+    means = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(server), 6).alias("avg_server_ms"),
+                                     F.round(F.avg(client), 6).alias("avg_client_ms"))
+    spread = exact_quantiles(rows, names, "_over", {"p50_overhead_ms": 0.5, "p95_overhead_ms": 0.95}, 16.0)
+    spread = spread.select(*[F.col(n).alias(f"{n}_") for n in names], *[F.round(c, 6).alias(c) for c in ("p50_overhead_ms", "p95_overhead_ms")])
+    same = reduce(lambda a, b: a & b, [means[n].eqNullSafe(spread[f"{n}_"]) for n in names])
+    titles = log.select(*keys).columns
+    return means.join(spread, same, "left").select(*[F.col(n).alias(t) for n, t in zip(names, titles)], "n", "avg_server_ms",
+                                                   "avg_client_ms", "p50_overhead_ms", "p95_overhead_ms")
 
 
 # --- W2 / R3: conversation turns ----------------------------------------------------------

@@ -11,6 +11,7 @@ independent of the bucket width.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -103,3 +104,27 @@ def percent_rank_all(df: DataFrame, value: str, out: str, width: float = 1 / 102
         value, F.when(F.col("_total") > 1, (F.col("_local") + F.col("_off")) / (F.col("_total") - 1))
         .otherwise(F.lit(0.0)).alias(out))
     return df.join(ranks, value, "left")
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], width: float) -> DataFrame:
+    """One row per group of ``keys`` with its rows' exact quantiles (linear interpolation,
+    NULL values left out), without one buffer of all the distinct values of a group: rows
+    are ranked per (group, value bucket) and offset by the counts of the smaller buckets."""
+    b = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    b = b.withColumn("_bkt", F.floor(F.col("_v") / F.lit(width)))
+    below = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    summ = (b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_off", F.coalesce(F.sum("_n").over(below), F.lit(0)))
+            .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys))))
+    right = summ.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bkt").alias("_b"), "_off", "_all")
+    same = reduce(lambda x, y: x & y, [b[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)], b["_bkt"] == right["_b"])
+    local = Window.partitionBy(*keys, "_bkt").orderBy("_v")
+    at = b.join(right, same).withColumn("_i", F.row_number().over(local) - 1 + F.col("_off"))
+    out = []
+    for name, p in quantiles.items():
+        place = F.lit(p) * (F.col("_all") - 1)
+        low = F.floor(place)
+        part = F.when(F.col("_i") == low, F.col("_v") * (1 - (place - low))).when(
+            F.col("_i") == low + 1, F.col("_v") * (place - low))
+        out.append(F.sum(part).alias(name))
+    return at.groupBy(*keys).agg(*out)

@@ -371,6 +371,16 @@ def q_flatten_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return querylog.flatten_citations(kb_responses(ClinicalTables(spark, sf_dir)))
 
 
+@register("citation_previews", with_ctes("""
+SELECT query_id, citation_pos, reference_pos,
+  CASE WHEN citation_pos = 1 AND reference_pos = 1 THEN 'Unknown source' ELSE regexp_extract(uri, '[^/]*$') END AS source,
+  CASE WHEN length(excerpt) > 200 THEN left(excerpt, 200) || '...' ELSE excerpt END AS excerpt,
+  left(excerpt, 200) || '...' AS short_excerpt
+FROM refs""", extra=_CITE_CTES[:2]))
+def q_citation_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return querylog.citation_previews(kb_responses(ClinicalTables(spark, sf_dir)))
+
+
 @register("citation_count", with_ctes("""
 SELECT query_id, CAST(count(DISTINCT citation_pos) AS INTEGER) AS citation_groups, CAST(count(*) AS INTEGER) AS reference_count
 FROM refs GROUP BY query_id""",
