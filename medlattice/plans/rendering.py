@@ -165,13 +165,14 @@ def _sql_lit(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-def _profile_sql() -> str:
-    return """SELECT p.subject_id, p.gender, p.anchor_age, p.anchor_year_group,
+def _profile_sql(latest: bool = False) -> str:
+    return f"""SELECT p.subject_id, p.gender, p.anchor_age, p.anchor_year_group,
   coalesce(a.n, 0) AS total_admissions, coalesce(d.n, 0) AS unique_diagnoses,
   coalesce(i.n, 0) AS icu_stays, coalesce(r.n, 0) AS unique_medications,
   CASE WHEN p.dod IS NOT NULL THEN 'Deceased' ELSE 'Living' END AS status
+  {", a.latest AS most_recent_admission" if latest else ""}
 FROM patients p
-LEFT JOIN (SELECT subject_id, count(DISTINCT hadm_id) AS n FROM admissions GROUP BY 1) a ON p.subject_id = a.subject_id
+LEFT JOIN (SELECT subject_id, count(DISTINCT hadm_id) AS n, max(admittime) AS latest FROM admissions GROUP BY 1) a ON p.subject_id = a.subject_id
 LEFT JOIN (SELECT subject_id, count(DISTINCT icd_code) AS n FROM diagnoses_icd GROUP BY 1) d ON p.subject_id = d.subject_id
 LEFT JOIN (SELECT subject_id, count(DISTINCT stay_id) AS n FROM icustays GROUP BY 1) i ON p.subject_id = i.subject_id
 LEFT JOIN (SELECT subject_id, count(DISTINCT drug) AS n FROM prescriptions GROUP BY 1) r ON p.subject_id = r.subject_id"""
@@ -203,26 +204,49 @@ def q_render_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.render_records(parts_for(ClinicalTables(spark, sf_dir)))
 
 
-_BUNDLE_SIZES = {"admissions": "p_adm", "diagnoses": "p_dx", "procedures": "p_px", "labs": "p_labs",
-                 "medications": "p_rx", "med_admin": "p_emar", "orders": "p_poe", "icu_stays": "p_icu",
-                 "vitals": "p_vit", "inputs": "p_inp"}
+#: Output column -> (the part's CTE, the columns whose values are compared, in order; times
+#: marked *). The stays' column is named apart from the profile's count of them.
+_BUNDLE = {
+    "admissions": ("p_adm", ("hadm_id", "admittime*", "dischtime*", "admission_type", "drg_code", "drg_severity")),
+    "diagnoses": ("p_dx", ("icd_code", "icd_version", "long_title", "occurrence_count", "most_recent*")),
+    "procedures": ("p_px", ("icd_code", "long_title", "chartdate*", "occurrence_count")),
+    "labs": ("p_labs", ("label", "charttime*", "value", "flag", "fluid")),
+    "medications": ("p_rx", ("drug", "drug_type", "route", "starttime*", "dose_val_rx")),
+    "med_admin": ("p_emar", ("medication", "event_txt", "charttime*")),
+    "orders": ("p_poe", ("order_type", "order_subtype", "ordertime*", "order_status")),
+    "icu_stay_rows": ("p_icu", ("stay_id", "hadm_id", "last_careunit", "intime*")),
+    "vitals": ("p_vit", ("label", "category", "charttime*", "value", "status")),
+    "inputs": ("p_inp", ("label", "starttime*", "ordercategoryname", "statusdescription")),
+}
 
 
 def _bundle_sql() -> str:
-    cols = ", ".join(f"coalesce((SELECT count(*) FROM {t} WHERE {t}.subject_id = prof.subject_id), 0) AS n_{n}"
-                     for n, t in _BUNDLE_SIZES.items())
-    return f"SELECT prof.*, {cols} FROM prof"
+    joins, cols = "", ""
+    for name, (table, columns) in _BUNDLE.items():
+        texts = ", ".join(f"coalesce(strftime({c[:-1]}, '%Y-%m-%d %H:%M:%S'), '~')" if c.endswith("*")
+                          else f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)
+        joins += (f" LEFT JOIN (SELECT subject_id, string_agg(concat_ws('|', {texts}), ';' ORDER BY rn) AS t FROM {table}"
+                  f" GROUP BY subject_id) b_{table} ON b_{table}.subject_id = prof.subject_id")
+        cols += f", coalesce(b_{table}.t, '') AS {name}"
+    return ("SELECT prof.* EXCLUDE (most_recent_admission), strftime(most_recent_admission, '%Y-%m-%d %H:%M:%S')"
+            f" AS most_recent_admission{cols} FROM prof{joins}")
 
 
 @register("record_bundle", with_ctes(_bundle_sql(), *_PART_TABLES, extra=tuple(_parts_sql())
-                                     + (("prof", _profile_sql()),)))
+                                     + (("prof", _profile_sql(latest=True)),)))
 def q_record_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bundle's nested arrays, compared by their sizes (the content is
-    compared through ``render_record``)."""
+    """The bundle: the profile and, per part, its rows in rank order as text."""
     b = R.record_bundle(parts_for(ClinicalTables(spark, sf_dir)))
-    sizes = [F.size(f"part_{n}").cast("bigint").alias(f"n_{n}") for n in _BUNDLE_SIZES]
+
+    def row_text(columns):
+        def one(x):
+            return F.concat_ws("|", *[F.coalesce(F.date_format(x[c[:-1]], "yyyy-MM-dd HH:mm:ss") if c.endswith("*")
+                                                 else x[c].cast("string"), F.lit("~")) for c in columns])
+        return one
+    parts = [F.array_join(F.transform("part_icu_stays" if n == "icu_stay_rows" else f"part_{n}", row_text(c)), ";").alias(n) for n, (_, c) in _BUNDLE.items()]
     return b.select("subject_id", "gender", "anchor_age", "anchor_year_group", "total_admissions",
-                    "unique_diagnoses", "icu_stays", "unique_medications", "status", *sizes)
+                    "unique_diagnoses", "icu_stays", "unique_medications", "status",
+                    F.date_format("most_recent_admission", "yyyy-MM-dd HH:mm:ss").alias("most_recent_admission"), *parts)
 
 
 # --- R2 ------------------------------------------------------------------------------
@@ -232,8 +256,21 @@ _EXCHANGES_SQL = """SELECT conv_id, q_idx, min(turn) FILTER (WHERE role = 'user'
     arg_min(text, turn) FILTER (WHERE role = 'assistant') AS answer
   FROM (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)
                     OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q_idx
-        FROM conversations WHERE role IN ('user', 'assistant')) t
+        FROM dated WHERE role IN ('user', 'assistant')) t
   WHERE q_idx > 0 GROUP BY conv_id, q_idx"""
+# two of three turns mention dates, one of them twice
+_DATED_SQL = """SELECT conv_id, turn, role, text || CASE WHEN turn % 3 = 0 THEN '' ELSE
+    ' Seen on ' || strftime(DATE '2150-01-01' + CAST(conv_id * 3 + turn AS INTEGER), '%Y-%m-%d') || ' and on '
+    || strftime(DATE '2150-01-01' + CAST(conv_id * 5 AS INTEGER), '%Y-%m-%d') || ', '
+    || strftime(DATE '2150-01-01' + CAST(conv_id * 5 AS INTEGER), '%Y-%m-%d') || '.' END AS text FROM conversations"""
+
+
+def _dated(conv: DataFrame) -> DataFrame:
+    def day(n):
+        return F.date_format(F.date_add(F.lit("2150-01-01").cast("date"), n.cast("int")), "yyyy-MM-dd")
+    one, two = day(F.col("conv_id") * 3 + F.col("turn")), day(F.col("conv_id") * 5)
+    seen = F.concat(F.col("text"), F.lit(" Seen on "), one, F.lit(" and on "), two, F.lit(", "), two, F.lit("."))
+    return conv.withColumn("text", F.when(F.col("turn") % 3 == 0, F.col("text")).otherwise(seen))
 
 
 def _prompt_sql() -> str:
@@ -257,13 +294,14 @@ FROM ex WINDOW w AS (PARTITION BY conv_id ORDER BY q_idx ROWS BETWEEN UNBOUNDED
 
 
 @register("build_prompt", with_ctes(_prompt_sql(), *_PART_TABLES,
-                                    extra=_record_sql_ctes() + (("ex", _EXCHANGES_SQL), ("prevq", _PREVQ_SQL))))
+                                    extra=_record_sql_ctes() + (("dated", _DATED_SQL), ("ex", _EXCHANGES_SQL),
+                                                                  ("prevq", _PREVQ_SQL))))
 def q_build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One prompt per conversation question; the conversation id names the
     subject. Records are rendered only for the subjects asked about."""
     t = ClinicalTables(spark, sf_dir)
     conv = t.raw("conversations")
-    qs = Q.previous_turn(Q.exchanges(conv)).withColumn("subject_id", F.col("conv_id"))
+    qs = Q.previous_turn(Q.exchanges(_dated(conv))).withColumn("subject_id", F.col("conv_id"))
     # the subjects asked about, straight from the scan (not through the turn pairing)
     subjects = conv.select(F.col("conv_id").alias("subject_id")).distinct()
     recs = R.render_records(parts_for(t, subjects))
