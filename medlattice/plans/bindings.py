@@ -24,6 +24,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -89,6 +92,15 @@ class ClinicalTables:
         o = self.raw("orders").select(F.col("o_orderkey"), F.col("o_custkey").alias("subject_id"))
         return li.join(o, li.l_orderkey == o.o_orderkey, "inner").drop("o_orderkey")
 
+    def bind_events_once(self, subjects: DataFrame | None = None) -> None:
+        """Write the bound events (of ``subjects``, if given) to the shared scratch folder
+        and let every event role read that: one scan of lineitem and one binding join for
+        a query that uses several roles."""
+        path = scratch_path(self.spark, "events")
+        e = self.events_base if subjects is None else self.events_base.join(subjects, "subject_id", "left_semi")
+        e.write.parquet(path)
+        self.__dict__["events_base"] = self.spark.read.schema(e.schema).parquet(path)
+
     @cached_property
     def diagnoses_icd(self) -> DataFrame:
         return self.events_base.select(

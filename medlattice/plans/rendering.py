@@ -19,7 +19,10 @@ _PART_TABLES = ["patients", "admissions", "drgcodes", "diagnoses_icd", "d_icd_di
 
 def parts_for(t: ClinicalTables, subjects: DataFrame | None = None) -> R.RecordParts:
     """The 11 retrievals; with ``subjects`` every input is semi-joined first,
-    so a prompt batch for a few subjects never ranks everyone's events."""
+    so a prompt batch for a few subjects never ranks everyone's events. The bound
+    events are joined and written once, not once for each of the six event roles."""
+    t.bind_events_once(subjects)
+
     def sub(df: DataFrame) -> DataFrame:
         return df if subjects is None else df.join(subjects, "subject_id", "left_semi")
     return R.record_parts(
