@@ -53,15 +53,13 @@ def normalize_for_dedupe(c: str | Column) -> Column:
 def dedupe_passages(passages: DataFrame, keys: tuple[str, str] = ("doc_id", "passage_no"),
                     text: str = "text") -> DataFrame:
     """Drop repeated passages (after lower-casing and collapsing whitespace);
-    the first copy by (doc_id, passage_no) wins. ``min(struct)`` per content
-    hash is a partial aggregate, so a passage repeated in a third of all
-    documents is reduced map-side, not in one task."""
-    h = F.sha2(normalize_for_dedupe(text), 256)
-    others = [c for c in passages.columns if c not in keys]
-    best = passages.groupBy(h.alias("content_hash")).agg(
-        F.min(F.struct(*[F.col(k) for k in keys], *[F.col(c) for c in others])).alias("_m"),
-        F.count(F.lit(1)).alias("copies"))
-    return best.select(*[F.col(f"_m.{c}").alias(c) for c in list(keys) + others], "copies", "content_hash")
+    the first copy by (doc_id, passage_no) wins. Only the hash and the keys are
+    aggregated (with a map-side partial, so a passage repeated in a third of all
+    documents is reduced before the shuffle); the winners' texts are joined by key."""
+    hashed = passages.withColumn("content_hash", F.sha2(normalize_for_dedupe(text), 256))
+    best = hashed.groupBy("content_hash").agg(F.min(F.struct(*keys)).alias("_m"), F.count(F.lit(1)).alias("copies"))
+    winners = best.select(*[F.col(f"_m.{k}").alias(k) for k in keys], "copies", "content_hash")
+    return passages.join(winners, list(keys)).select(*passages.columns, "copies", "content_hash")
 
 
 # --- K3 ------------------------------------------------------------------------------

@@ -16,7 +16,9 @@ _WS = r"[ \t\n\x0B\f\r]+"
 _SPLIT_SQL = f"""
 WITH b AS (SELECT doc_id, blocks, generate_subscripts(blocks, 1) AS block_no
            FROM (SELECT doc_id, string_split_regex(regexp_replace(text, '\\n#', chr(10) || chr(10) || '#', 'g'),
-                                                   '\\n[ \\t\\x0B\\f\\r]*\\n') AS blocks FROM documents) d),
+                                                   '\\n[ \\t\\x0B\\f\\r]*\\n') AS blocks
+                 FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, chr(10), chr(10) || ' ' || chr(10))
+                                      ELSE replace(text, chr(10), chr(10) || '# ') END AS text FROM documents) m) d),
 w AS (SELECT doc_id, block_no, list_filter(string_split_regex(blocks[block_no], '{_WS}'), lambda x: x <> '') AS w
       FROM b),
 c AS (SELECT doc_id, block_no, w, unnest(range(0, CAST(ceil(len(w) / 200) AS BIGINT))) AS chunk_no
@@ -28,7 +30,12 @@ FROM c"""
 
 
 def passages(t: ClinicalTables) -> DataFrame:
-    return K.split_passages(t.raw("documents"))
+    """Passages of the documents, whose lines are set apart by blank lines (even ids) or
+    begin with headings (odd ids)."""
+    d = t.raw("documents")
+    marked = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit("\n"), F.lit("\n \n"))).otherwise(
+        F.replace("text", F.lit("\n"), F.lit("\n# ")))
+    return K.split_passages(d.withColumn("text", marked))
 
 
 @register("split_passages", _SPLIT_SQL)
@@ -47,19 +54,25 @@ def q_dedupe_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.dedupe_passages(passages(ClinicalTables(spark, sf_dir)))
 
 
-def _repair_sql(col: str) -> str:
-    expr = col
-    for bad, good in K.MOJIBAKE:
-        expr = f"replace({expr}, '{bad}', '{good}')"
-    return expr
+# Letters, and what their UTF-8 bytes look like when read as Windows-1252.
+_DAMAGE = (("\u00e9", "\u00c3\u00a9"), ("\u00e8", "\u00c3\u00a8"), ("\u00fc", "\u00c3\u00bc"), ("\u00f1", "\u00c3\u00b1"),
+           ("\u00e4", "\u00c3\u00a4"))
 
 
 @register("repair_text", f"""
-SELECT doc_id, {_repair_sql('text')} AS text, {_repair_sql('text')} <> text AS repaired FROM documents""")
+SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN text || ' 5 \u00b0C' ELSE text END AS text, doc_id % 3 <> 0 AS repaired
+FROM documents""")
 def q_repair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of three documents are damaged letter by letter and get a damaged degree sign;
+    the repair must give back what they were."""
     d = ClinicalTables(spark, sf_dir).raw("documents")
-    fixed = K.repair_text("text")
-    return d.select("doc_id", fixed.alias("text"), (fixed != F.col("text")).alias("repaired"))
+    damaged = F.col("text")
+    for good, bad in _DAMAGE:
+        damaged = F.replace(damaged, F.lit(good), F.lit(bad))
+    damaged = F.concat(damaged, F.lit(" 5 \u00c2\u00b0C"))
+    rows = d.select("doc_id", F.when(F.col("doc_id") % 3 != 0, damaged).otherwise(F.col("text")).alias("before"))
+    fixed = rows.select("doc_id", "before", K.repair_text("before").alias("text"))
+    return fixed.select("doc_id", "text", (F.col("text") != F.col("before")).alias("repaired"))
 
 
 _BM25_SQL = """
