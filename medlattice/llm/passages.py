@@ -12,8 +12,8 @@ from __future__ import annotations
 
 import ahocorasick
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,8 +45,8 @@ def anchors_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     if len(units) < repeats.WINDOW:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     grams = repeats.RangeHash(units).grams(GRAM)
-    places, _ = repeats.anchor_of_windows(grams, PER_WINDOW)
-    return places, grams[places]
+    anchors, _ = repeats.anchor_of_windows(grams, PER_WINDOW)
+    return 2 * anchors, grams[anchors]
 
 
 # ------------------------------------------------------------------- automata
@@ -80,14 +80,18 @@ def _locate(batches):
     buffer = repeats.BlockBuffer()
     for part in text_slices(batches):
         words = [t.split() if t else [] for t in byte_texts(part.column("text"))]
+        places = [[p // 2 for p in ps] for ps in part.column("places").to_pylist()]
         keys = zip(part.column("ord").to_pylist(), part.column("tk").to_pylist())
-        for (o, tk), text, located in zip(keys, byte_texts(part.column("text")), occurrences(words, part.column("places").to_pylist())):
+        for (o, tk), text, located in zip(keys, byte_texts(part.column("text")), occurrences(words, places)):
             units = word_units(text or b"")
             if not len(located) or len(units) < repeats.WINDOW:
                 continue
             first_hash, second_hash = repeats.RangeHash(units), repeats.RangeHash(units, repeats._BASES[1])
             grams = first_hash.grams(GRAM)
-            anchor, first, windows = repeats.blocks(grams, located, PER_WINDOW)
+            _, own = repeats.anchor_of_windows(grams, PER_WINDOW)
+            place, first, windows = repeats.blocks(own)
+            keep = np.isin(place // 2, located)
+            anchor, first, windows = place[keep] // 2, first[keep], windows[keep]
             whole = second_hash.of(first, first + windows + repeats.WINDOW - 1) ^ (anchor - first).astype(np.uint64)
             each = second_hash.grams(repeats.WINDOW)
             buffer.add(o, tk, grams[anchor], whole, first, windows,
@@ -97,22 +101,18 @@ def _locate(batches):
     yield buffer.drain()
 
 
-def _decide(entries: pd.DataFrame) -> pd.DataFrame:
+def _decide(entries: pa.Table) -> pa.Table:
     """Entries (h, a, lo, hi, payload) of some anchors: windows are equal if their anchor
-    and their own hash are. Returns the runs (h, a, i0, i1, wlo) that remove something."""
-    entries = entries.groupby(["h", "a"], sort=False).agg(lo=("lo", "min"), hi=("hi", "max"), payload=("payload", "first")).reset_index()
-    hashes = [np.frombuffer(p, np.uint64) for p in entries["payload"]]
-    size = np.array([len(x) for x in hashes], np.int64)
-    h = np.repeat(entries["h"].to_numpy(np.int64), size)
-    lo = np.repeat(entries["lo"].to_numpy(np.int64), size)
-    each = np.concatenate(hashes)
-    order = np.lexsort((each, h))
-    start = np.flatnonzero(np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (each[order][1:] != each[order][:-1]))))
-    least = np.empty(len(h), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(lo[order], start), np.diff(np.append(start, len(h))))
-    rows = [(int(x.h), int(x.a), *run) for x, wlo in zip(entries.itertuples(index=False), np.split(least, np.cumsum(size)[:-1]))
-            for run in repeats.runs(wlo, x.hi)]
-    return pd.DataFrame(rows, columns=["h", "a", "i0", "i1", "wlo"]).astype({"h": "int64", "a": "int64", "i0": "int32", "i1": "int32", "wlo": "int64"})
+    and their own hash are. Returns the runs of windows that remove something."""
+    (h, a), lo, hi, payloads = repeats.distinct_blocks(entries)
+    size = pc.binary_length(payloads).to_numpy().astype(np.int64) // 8
+    each = np.frombuffer(b"".join(payloads.to_pylist()), np.uint64)
+    anchor, document = np.repeat(h, size), np.repeat(lo, size)
+    order = np.lexsort((each, anchor))
+    start = np.flatnonzero(np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1]) | (each[order][1:] != each[order][:-1]))))
+    least = np.empty(len(anchor), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(document[order], start), np.diff(np.append(start, len(anchor))))
+    return repeats.verdicts(h, a, np.zeros(len(h), np.int64), hi, size, least)
 
 
 def _apply(batches):
@@ -141,14 +141,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Null, empty and blank texts have no words. The order of documents, null and repeated
     ids are treated as repeats says. Other columns are ignored."""
     rows = repeats.keyed(docs)
-    shared = repeats.shared_anchors(rows, anchors_of, repeats.bucket_count(rows, 0.011))
+    shared = materialize(repeats.shared_anchors(rows, anchors_of, repeats.bucket_count(rows, 0.011)), "shared")
     holding = rows.select("ord", "tk", "text").join(shared, "ord")
     located = materialize(holding.mapInArrow(_locate, repeats.OCCURRENCES), "blocks")
     entries = located.where("payload IS NOT NULL").select("h", "a", "lo", "hi", "payload")
     groups = max(1, -(-entries.count() // BLOCKS_AT_ONCE))
     verdicts = (entries.withColumn("grp", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("grp")
-                .applyInPandas(lambda x: _decide(x), "h long, a long, i0 int, i1 int, wlo long"))
-    spans = repeats.removed_spans(located, materialize(verdicts, "verdicts"))
+                .applyInArrow(lambda rows: _decide(rows), repeats.VERDICTS))
+    spans = materialize(repeats.removed_spans(located, materialize(verdicts, "verdicts")), "spans")
     return rows.join(spans, ["ord", "tk"], "left").select("doc_id", "text", "spans") \
         .mapInArrow(_apply, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
 

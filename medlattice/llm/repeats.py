@@ -5,7 +5,10 @@ windows that several documents share without shuffling every window, each window
 an anchor: of the ``gram``-unit grams in it, the leftmost with the smallest hash. Equal
 windows name equal anchors, at the same place in the window, so only documents that
 share an anchor can share a window (winnowing; about 2 / (WINDOW - gram + 2) of all
-positions are anchors).
+positions are anchors). With a ``split`` the windows of an anchor fall into two sides,
+those that hold at least ``split`` units before the anchor and those that do not; the key
+of a side also covers the units before or after the anchor that all its windows hold, so
+that a short gram still gives a telling key. A place is 2 * anchor + side.
 
 1. ``shared_anchors``: anchors are packed into compressed blobs by hash bucket, combined
    in each task first, and the places of anchors that occur in two documents come back.
@@ -22,13 +25,13 @@ by a hash of their text. Rows of the same doc_id never remove anything from each
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlattice.llm.common import byte_texts, materialize, text_slices
+from medlattice.llm.common import byte_texts, text_slices
 
 WINDOW = 50
 FLUSH_ANCHORS = 1 << 20
@@ -87,15 +90,16 @@ def anchor_of_windows(grams: np.ndarray, per_window: int) -> tuple[np.ndarray, n
     """(positions of all anchors ascending, position of each window's anchor)."""
     least = _sliding(grams, per_window, np.minimum)            # one value per window
     pad = np.zeros(per_window - 1, np.uint64)
-    some = np.flatnonzero(_sliding(np.concatenate((pad, least, pad)), per_window, np.maximum) == grams)
-    at = np.searchsorted(some, np.arange(len(least)))          # first candidate in the window
+    candidate = _sliding(np.concatenate((pad, least, pad)), per_window, np.maximum) == grams
+    some = np.flatnonzero(candidate)
+    at = (np.cumsum(candidate) - candidate)[:len(least)]       # first candidate in the window
     while True:
         wrong = np.flatnonzero(grams[some[at]] != least)
         if not len(wrong):
             break
         at[wrong] += 1
-    own = some[at]
-    return np.unique(own), own
+    own = some[at]                                             # never moves back
+    return own[_changes(own)], own
 
 
 # ---------------------------------------------------------------- 1. anchors
@@ -142,11 +146,11 @@ _NO_DOCUMENT = np.uint32(0xFFFFFFFF)
 
 
 def shared_anchors(docs: DataFrame, anchors_of, buckets: int) -> DataFrame:
-    """(ord, places array<int>): per document the places of its anchors that another
-    document has too. ``anchors_of(text) -> (places, hashes)``. ``docs`` from keyed()."""
+    """(ord, places array<int>): per document the places of its anchors whose key another
+    document has too. ``anchors_of(text) -> (places, keys)``. ``docs`` from keyed()."""
     def scan(batches):
         held: list[tuple] = []
-        size = 0
+        size = turn = 0
 
         def flush():
             ids = np.array([o for o, _, _ in held], np.int64)
@@ -158,12 +162,12 @@ def shared_anchors(docs: DataFrame, anchors_of, buckets: int) -> DataFrame:
             start = _changes(h)
             many = np.minimum.reduceat(ids[doc], start) != np.maximum.reduceat(ids[doc], start)
             local = np.repeat(many, np.diff(np.append(start, len(h))))
-            # anchors of several documents here: known to be shared, one entry stands for all
+            # keys of several documents here: known to be shared, one entry stands for all
             by_doc = np.argsort(doc[local], kind="stable")
             d, p = doc[local][by_doc], place[local][by_doc]
             edge = _changes(d)
             for a, b in zip(edge.tolist(), np.append(edge[1:], len(d)).tolist()):
-                yield -1, int(ids[d[a]]), p[a:b].astype(np.int32), None
+                yield (turn + a) % buckets, int(ids[d[a]]), p[a:b].astype(np.int32), None
             entry = ~local
             entry[start[many]] = True
             h, doc, place = h[entry], np.where(local[entry], _NO_DOCUMENT, doc[entry]).astype(np.uint32), place[entry]
@@ -182,17 +186,20 @@ def shared_anchors(docs: DataFrame, anchors_of, buckets: int) -> DataFrame:
                                               names=["bucket", "ord", "places", "blob"])
         for part in text_slices(batches):
             for o, text in zip(part.column("ord").to_pylist(), byte_texts(part.column("text"))):
-                places, hashes = anchors_of(text or b"")
+                places, keys = anchors_of(text or b"")
                 if len(places):
-                    held.append((o, places, hashes))
+                    held.append((o, places, keys))
                     size += len(places)
             if size >= FLUSH_ANCHORS:
                 yield rows()
-                held, size = [], 0
+                held, size, turn = [], 0, turn + 1
         yield rows()
 
-    def meet(blobs: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(b, np.uint64, np.uint32, np.uint32, np.int64) for b in blobs["blob"]]
+    def meet(rows: pa.Table) -> pa.Table:
+        known = rows.filter(pc.is_valid(rows.column("ord"))).select(["ord", "places"])
+        parts = [_unpack(b, np.uint64, np.uint32, np.uint32, np.int64) for b in rows.column("blob").to_pylist() if b is not None]
+        if not parts:
+            return known
         h = np.concatenate([x[0] for x in parts])
         lone = np.concatenate([x[1] != _NO_DOCUMENT for x in parts])
         ids = np.concatenate([x[3][np.minimum(x[1], max(0, len(x[3]) - 1))] if len(x[3]) else np.full(len(x[1]), -1) for x in parts])
@@ -202,26 +209,27 @@ def shared_anchors(docs: DataFrame, anchors_of, buckets: int) -> DataFrame:
         start = _changes(h)
         several = (np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)) | ~np.logical_and.reduceat(lone, start)
         keep = np.repeat(several, np.diff(np.append(start, len(h)))) & lone
-        ids, place = ids[keep], place[keep]
+        ids, place = ids[keep], place[keep].astype(np.int32)
         order = np.argsort(ids, kind="stable")
         ids, place = ids[order], place[order]
         edge = _changes(ids)
-        return pd.DataFrame({"ord": ids[edge], "places": pd.Series(np.split(place.astype(np.int32), edge[1:]) if len(edge) else [], dtype=object)})
+        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(ids)), pa.int32()), pa.array(place, pa.int32()))
+        met = pa.table({"ord": pa.array(ids[edge], pa.int64()), "places": lists}, schema=known.schema)
+        return pa.concat_tables([known, met])
 
-    packed = materialize(docs.select("ord", "text").mapInArrow(scan, "bucket int, ord long, places array<int>, blob binary"), "anchors")
-    local = packed.where("bucket < 0").select("ord", "places")
-    met = packed.where("bucket >= 0").select("bucket", "blob").groupBy("bucket").applyInPandas(meet, "ord long, places array<int>")
-    return local.unionByName(met).groupBy("ord").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places"))
+    packed = docs.select("ord", "text").mapInArrow(scan, "bucket int, ord long, places array<int>, blob binary")
+    return (packed.groupBy("bucket").applyInArrow(lambda rows: meet(rows), "ord long, places array<int>")
+            .groupBy("ord").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places")))
 
 
 # ------------------------------------------------------------------ 2. blocks
-def blocks(grams: np.ndarray, places: np.ndarray, per_window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, windows) of the runs of windows whose anchor is in places."""
-    _, own = anchor_of_windows(grams, per_window)
-    start = _changes(own)
-    count = np.diff(np.append(start, len(own)))
-    keep = np.isin(own[start], places)
-    return own[start][keep], start[keep], count[keep]
+def blocks(own: np.ndarray, split: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, first window, windows) of the runs of windows that share an anchor and
+    side, from the anchor of every window. Every place makes one run."""
+    side = (own - np.arange(len(own)) >= split).astype(np.int64) if split is not None else 0
+    code = 2 * own + side
+    start = _changes(code)
+    return code[start], start, np.diff(np.append(start, len(code)))
 
 
 OCCURRENCES = "h long, a long, ord long, tk long, first int, windows int, lo long, hi long, payload binary"
@@ -232,7 +240,7 @@ class BlockBuffer:
     """Occurrences of blocks, and one entry per distinct block with its payload and the
     smallest and largest document that holds it."""
 
-    def __init__(self, limit: int = 100_000):
+    def __init__(self, limit: int = 250_000):
         self.limit, self.rows, self.size, self.distinct = limit, [], 0, {}
 
     def add(self, o: int, tk: int, h: np.ndarray, a: np.ndarray, first: np.ndarray, windows: np.ndarray, payload) -> None:
@@ -268,11 +276,35 @@ class BlockBuffer:
         return pa.RecordBatch.from_arrays(columns, names=_NAMES)
 
 
-def runs(wlo: np.ndarray, hi: int) -> list[tuple[int, int, int]]:
-    """(first window, last window, smallest document) of the runs of equal values below hi."""
-    start = _changes(wlo)
-    end = np.append(start[1:], len(wlo)) - 1
-    return [(a, b, o) for a, b, o in zip(start.tolist(), end.tolist(), wlo[start].tolist()) if o < hi]
+def verdicts(h: np.ndarray, a: np.ndarray, first: np.ndarray, hi: np.ndarray, size: np.ndarray, least: np.ndarray) -> pa.Table:
+    """Runs (h, a, i0, i1, wlo) of windows with the same smallest document, of blocks with
+    ``size`` windows each, counted from ``first``; only where ``hi`` lies above it."""
+    block = np.repeat(np.arange(len(size)), size)
+    window = np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size) + first[block]
+    start = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (least[1:] != least[:-1])))) if len(block) else np.empty(0, np.int64)
+    end = np.append(start[1:], len(block)) - 1 if len(start) else start
+    keep = least[start] < hi[block[start]]
+    start, end = start[keep], end[keep]
+    return pa.table([pa.array(h[block[start]], pa.int64()), pa.array(a[block[start]], pa.int64()), pa.array(window[start], pa.int32()),
+                     pa.array(window[end], pa.int32()), pa.array(least[start], pa.int64())], names=["h", "a", "i0", "i1", "wlo"])
+
+
+VERDICTS = "h long, a long, i0 int, i1 int, wlo long"
+
+
+def distinct_blocks(entries: pa.Table, *keys: str) -> tuple:
+    """Entries with the same h, a (and further keys) as one: (key columns, lo, hi, payloads)."""
+    columns = [entries.column(k).to_numpy().astype(np.int64) for k in ("h", "a", *keys)]
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    start = np.flatnonzero(new)
+    lo = np.minimum.reduceat(entries.column("lo").to_numpy()[order], start)
+    hi = np.maximum.reduceat(entries.column("hi").to_numpy()[order], start)
+    return [c[start] for c in columns], lo, hi, entries.column("payload").take(pa.array(order[start]))
 
 
 def removed_spans(occurrences: DataFrame, verdicts: DataFrame) -> DataFrame:

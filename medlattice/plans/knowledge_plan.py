@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import knowledge as K
 from ..session import scratch_path
 from ..sources.documents import read_documents
-from .bindings import ClinicalTables, with_ctes
+from .bindings import ClinicalTables
 from .catalog import register
 
 _WS = r"[ \t\n\x0B\f\r]+"
