@@ -240,7 +240,7 @@ class BlockBuffer:
     """Occurrences of blocks, and one entry per distinct block with its payload and the
     smallest and largest document that holds it."""
 
-    def __init__(self, limit: int = 250_000):
+    def __init__(self, limit: int = 120_000):
         self.limit, self.rows, self.size, self.distinct = limit, [], 0, {}
 
     def add(self, o: int, tk: int, h: np.ndarray, a: np.ndarray, first: np.ndarray, windows: np.ndarray, payload) -> None:
