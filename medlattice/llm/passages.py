@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from medlattice.llm import repeats
-from medlattice.llm.common import byte_texts, materialize, text_slices
+from medlattice.llm.common import byte_texts, discard, materialize, text_slices
 
 GRAM = 20
 PER_WINDOW = repeats.WINDOW - GRAM + 1
@@ -148,7 +148,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     groups = max(1, -(-entries.count() // BLOCKS_AT_ONCE))
     verdicts = (entries.withColumn("grp", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("grp")
                 .applyInArrow(lambda rows: _decide(rows), repeats.VERDICTS))
-    spans = materialize(repeats.removed_spans(located, materialize(verdicts, "verdicts")), "spans")
+    verdicts = materialize(verdicts, "verdicts")
+    spans = materialize(repeats.removed_spans(located, verdicts), "spans")
+    for done in (shared, located, verdicts):
+        discard(done)
     return rows.join(spans, ["ord", "tk"], "left").select("doc_id", "text", "spans") \
         .mapInArrow(_apply, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")
 
