@@ -116,7 +116,7 @@ def test_merged_transforms(seed):
         for o in range(len(s) - window + 1):
             least[s[o:o + window]] = min(d, least.get(s[o:o + window], d))
     got = byte_repeats.smallest_documents(strings, documents, window, rng.choice([1, 10, 100]))
-    assert [g.tolist() for g in got] == [[least[s[o:o + window]] for o in range(len(s) - window + 1)] for s in strings]
+    assert got.tolist() == [least[s[o:o + window]] for s in strings for o in range(len(s) - window + 1)]
 
 
 def test_digest_of_kept_words(frame):
