@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from medlattice.llm.common import byte_texts, text_slices
+from medlattice.llm.common import byte_texts, discard, materialize, text_slices
 
 WINDOW = 50
 FLUSH_ANCHORS = 1 << 20
@@ -307,6 +307,43 @@ def distinct_blocks(entries: pa.Table, *keys: str) -> tuple:
     return [c[start] for c in columns], lo, hi, entries.column("payload").take(pa.array(order[start]))
 
 
+HOT_BLOCKS = 5_000
+SALTS = 64
+WINDOWS = "h long, a long, i int, own long, lo long, hi long"
+
+
+def hot_verdicts(blocks: DataFrame, windows_of, hot: int) -> DataFrame:
+    """Verdicts on the blocks (h, a, lo, hi, payload) of keys with very many of them, window
+    by window: Spark takes the smallest document of every (key, window hash), combined in
+    each task first, and joins it back, so that no task holds the blocks of a key. Windows
+    that over ``hot`` blocks hold are joined in SALTS parts. ``windows_of(payload)``: hashes
+    of the block's windows."""
+    def scan(batches):
+        for part in batches:
+            own = [windows_of(x) for x in part.column("payload").to_pylist()]
+            each = np.array([len(x) for x in own], np.int64)
+            row = np.repeat(np.arange(len(own)), each)
+            i = np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each)
+            h, a, lo, hi = (part.column(c).to_numpy()[row] for c in ("h", "a", "lo", "hi"))
+            flat = np.concatenate(own).view(np.int64) if own else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(a, pa.int64()), pa.array(i, pa.int32()),
+                                              pa.array(flat, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64())],
+                                             names=["h", "a", "i", "own", "lo", "hi"])
+    whole = blocks.groupBy("h", "a", "payload").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    windows = materialize(whole.mapInArrow(scan, WINDOWS), "windows")
+    least = windows.groupBy("h", "own").agg(F.min("lo").alias("wlo"), F.max("hi").alias("top"), F.count("*").alias("n"))
+    least = materialize(least.where("wlo < top").select("h", "own", "wlo", "n"), "least")
+    many = least.where(F.col("n") > hot).select("h", "own", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("wlo").alias("far"))
+    dealt = windows.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)).cast("int")).join(many, ["h", "own", "salt"], "left")
+    few = dealt.where("far IS NULL").join(least.where(F.col("n") <= hot), ["h", "own"])
+    columns = ["h", "a", F.col("i").alias("i0"), F.col("i").alias("i1")]
+    hit = dealt.where("far < hi").select(*columns, F.col("far").alias("wlo")).unionByName(few.where("wlo < hi").select(*columns, "wlo"))
+    verdicts = materialize(hit, "hot-verdicts")
+    for done in (windows, least):
+        discard(done)
+    return verdicts
+
+
 def removed_spans(occurrences: DataFrame, verdicts: DataFrame) -> DataFrame:
     """(ord, tk, spans): per document the unit ranges [start, end) to remove. ``verdicts``:
     (h, a, i0, i1, wlo): windows i0 to i1 of the block occur in document wlo."""

@@ -59,6 +59,23 @@ def test_bytes_match_brute_force(frame, hot_blocks):
     assert any(r[2] for r in got)
 
 
+def test_a_line_between_different_neighbours_meets_in_no_group_of_blocks(frame, monkeypatch):
+    rng = random.Random(6)
+    line = "this very line stands in each of the texts of this table, word by word"
+    rows = [(i, f"{rng.getrandbits(300):x} {line} {rng.getrandbits(300):x}") for i in range(60)]
+    decide = byte_repeats._decide
+
+    def guarded(table):
+        (h, *_), _ = byte_repeats._entries(table.column("blob").to_pylist())
+        assert np.unique(h, return_counts=True)[1].max() <= 10, "a group holds the windows of all documents"
+        return decide(table)
+    monkeypatch.setattr(byte_repeats, "_decide", guarded)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept))
+                 for r in byte_repeats.remove_repeats(frame(rows).coalesce(1), 5).collect())
+    assert got == brute(rows, "byte")
+    assert sum(r[2] > 0 for r in got) == 59
+
+
 def test_odd_rows(frame, odd_rows):
     """Every row comes back; the smallest id keeps a shared text, null ids come last, rows
     of one id do not remove each other."""
