@@ -6,10 +6,14 @@ slice can hold is compiled with pyahocorasick, and the whole texts of the slice
 through it, which locates every occurrence. An occurrence stands for a block of windows
 of WINDOW words; for the windows of each distinct block the smallest document that
 holds them is found, and a word goes if a window over it starts in a smaller document.
+The blocks of a phrase with over ``hot_blocks`` of them are decided by window, apart
+(repeats.hot_verdicts).
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -134,7 +138,11 @@ def _apply(batches):
                                          names=["doc_id", "n_words", "n_removed", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _windows_of(payload: bytes) -> np.ndarray:
+    return np.frombuffer(payload, np.uint64)
+
+
+def remove_repeats(docs: DataFrame, hot_blocks: int = repeats.HOT_BLOCKS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_words, n_removed, spans (word ranges
     removed) and kept (the remaining words, joined by one space).
 
@@ -146,11 +154,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     located = materialize(holding.mapInArrow(_locate, repeats.OCCURRENCES), "blocks")
     entries = located.where("payload IS NOT NULL").select("h", "a", "lo", "hi", "payload")
     groups = max(1, -(-entries.count() // BLOCKS_AT_ONCE))
-    verdicts = (entries.withColumn("grp", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("grp")
-                .applyInArrow(lambda rows: _decide(rows), repeats.VERDICTS))
-    verdicts = materialize(verdicts, "verdicts")
-    spans = materialize(repeats.removed_spans(located, verdicts), "spans")
-    for done in (shared, located, verdicts):
+    hot = materialize(entries.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > hot_blocks).select("h"), "hot")
+    verdicts = []
+    if not hot.isEmpty():
+        verdicts.append(repeats.hot_verdicts(entries.join(hot, "h", "left_semi"), _windows_of, hot_blocks))
+        entries = entries.join(hot, "h", "left_anti")
+    decided = (entries.withColumn("grp", F.pmod(F.xxhash64("h"), F.lit(groups))).groupBy("grp")
+               .applyInArrow(lambda rows: _decide(rows), repeats.VERDICTS))
+    verdicts.append(materialize(decided, "verdicts"))
+    spans = materialize(repeats.removed_spans(located, reduce(DataFrame.unionByName, verdicts)), "spans")
+    for done in (shared, located, hot, *verdicts):
         discard(done)
     return rows.join(spans, ["ord", "tk"], "left").select("doc_id", "text", "spans") \
         .mapInArrow(_apply, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")

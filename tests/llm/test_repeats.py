@@ -76,6 +76,31 @@ def test_a_line_between_different_neighbours_meets_in_no_group_of_blocks(frame,
     assert sum(r[2] > 0 for r in got) == 59
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_words_of_hot_phrases_match_brute_force(frame, seed):
+    rows = planted(seed, 40)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, len(r.spans), r.kept.encode()) for r in passages.remove_repeats(frame(rows), 2).collect())
+    assert got == brute(rows, "word")
+
+
+def test_a_phrase_between_different_neighbours_meets_in_no_group_of_blocks(frame, monkeypatch):
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):                                        # two copies of 49 words of one passage that only pairs of texts extend
+        own = [" ".join(f"{rng.getrandbits(40):x}" for _ in range(40)) for _ in range(2)]
+        rows.append((i, f"{own[0]} e{i // 2} {' '.join(f'p{k}' for k in range(49))} {own[1]}"))
+    decide = passages._decide
+
+    def guarded(table):
+        h = table.column("h").to_numpy()
+        assert not len(h) or np.unique(h, return_counts=True)[1].max() <= 10, "a group holds the blocks of all documents"
+        return decide(table)
+    monkeypatch.setattr(passages, "_decide", guarded)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, len(r.spans), r.kept.encode()) for r in passages.remove_repeats(frame(rows), 5).collect())
+    assert got == brute(rows, "word")
+    assert [r[2] for r in got] == [0, 50] * 30
+
+
 def test_odd_rows(frame, odd_rows):
     """Every row comes back; the smallest id keeps a shared text, null ids come last, rows
     of one id do not remove each other."""
