@@ -63,15 +63,20 @@ def fingerprint(text: bytes | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """(doc_id, fp): one row per input row; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, row: str | None = None) -> DataFrame:
+    """(doc_id, fp): one row per input row; fp holds the 64 bits as a signed long. With
+    ``row``, the name of a column of longs that numbers the rows, also (row, tk): that
+    number and a hash of the text."""
+    number = [] if row is None else [F.col(row).alias("row"), F.xxhash64(F.col("text").cast("string")).alias("tk")]
+    more = [] if row is None else ["row", "tk"]
+
     def scan(batches):
         for part in text_slices(batches):
             fps = np.array([fingerprint(t, words) for t in byte_texts(part.column("text"))], np.uint64)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64))],
-                                             names=["doc_id", "fp"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text")) \
-        .mapInArrow(scan, "doc_id long, fp long")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(fps.view(np.int64)),
+                                              *(part.column(c) for c in more)], names=["doc_id", "fp", *more])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"), *number) \
+        .mapInArrow(scan, ", ".join(f"{c} long" for c in ["doc_id", "fp", *more]))
 
 
 def hex_digits(fp: Column) -> Column:
@@ -236,19 +241,28 @@ def simhash_groups(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RA
     component_id unless its component has no other id. Other columns are ignored.
     """
     rows = materialize(fingerprints(docs, words), "fingerprints")
+    named = _named(rows, radius, blocks, cell_rows).select("fp", "component_id", "component_size")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "component_size")
+
+
+def _named(rows: DataFrame, radius: int, blocks: int, cell_rows: int) -> DataFrame:
+    """(fp, root, component_id, component_size) for every fingerprint of ``rows``
+    (doc_id, fp); root is the component's own fingerprint."""
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     roots = components(near_links(distinct.select("fp"), radius, blocks, cell_rows))
     classes = (distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
                .select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    named = classes.join(whole, "root").select("fp", "component_id", "component_size")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id", "component_size")
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents whose doc_id is their component's smallest: one per group of
-    near copies. Rows with a null doc_id are kept only where they are alone."""
-    groups = simhash_groups(docs, **options)
-    first = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    alone = docs.where("doc_id IS NULL")
-    return docs.join(first, "doc_id", "left_semi").select(docs.columns).unionByName(alone)
+    return classes.join(whole, "root").select("fp", "root", "component_id", "component_size")
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int = BLOCKS,
+             cell_rows: int = CELL_ROWS) -> DataFrame:
+    """One row of each group of near copies: the one with the smallest doc_id; a null id
+    comes after all others, and of equal ids the smaller hash of the text goes first."""
+    numbered = materialize(docs.withColumn("_keep_row", F.monotonically_increasing_id()), "numbered")
+    rows = materialize(fingerprints(numbered, words, "_keep_row"), "fingerprints")
+    named = _named(rows, radius, blocks, cell_rows).select("fp", "root")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tk", "row")).alias("first")
+    chosen = rows.join(named, "fp").groupBy("root").agg(first).select(F.col("first.row").alias("_keep_row"))
+    return numbered.join(chosen, "_keep_row", "left_semi").select(docs.columns)

@@ -98,6 +98,18 @@ def test_keep_one_leaves_the_smallest_of_each_group(frame):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == [3, 4, 5, None]
 
 
+def test_keep_one_leaves_one_row_of_each_group(frame):
+    """Null-id copies, repeated rows, and one id with two texts."""
+    rng = random.Random(4)
+    texts = [" ".join(f"v{rng.randrange(99)}" for _ in range(60)) for _ in range(5)]
+    docs = frame([(None, texts[0]), (None, texts[0].upper()), (None, texts[0]),          # among themselves
+                  (None, texts[1]), (8, texts[1]), (9, texts[1]),                        # against a document with an id
+                  (5, texts[2]), (5, texts[2]), (5, texts[2]),                           # repeated rows
+                  (2, texts[3]), (1, texts[4]), (2, texts[4])])                          # id 2 with two texts
+    kept = sorted(((r.doc_id, (r.text or "").lower()) for r in simhash.keep_one(docs).collect()), key=repr)
+    assert kept == sorted([(None, texts[0]), (8, texts[1]), (5, texts[2]), (2, texts[3]), (1, texts[4])], key=repr)
+
+
 def test_hex_digits(spark):
     rows = spark.createDataFrame([(-1,), (0,), (255,)], "fp long").select(simhash.hex_digits(F.col("fp")).alias("x")).collect()
     assert [r.x for r in rows] == ["f" * 16, "0" * 16, "0" * 14 + "ff"]
