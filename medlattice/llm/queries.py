@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from medlattice.llm import alignment, byte_repeats, decontaminate, language, licenses, packing, passages, pieces, quality, secrets, vector_search
+from medlattice.llm import alignment, byte_repeats, conversations, decontaminate, language, licenses, packing, passages, pieces, quality, secrets, vector_search
 from medlattice.llm.common import crc_mod, table
 from medlattice.llm.simhash import hex_digits, simhash_groups
 
@@ -82,6 +82,10 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("labels", ",").alias("labels"), "score")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summaries(conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("piece_bpe_32k.model")
     encoded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -99,5 +103,5 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_language, op3_quality, op4_passages, op5_packing, op6_byte_repeats,
                                    op7_decontaminate, op8_secrets,
-                                   op9_vector_search, op10_licenses, op12_sentencepiece, op13_alignment)}
+                                   op9_vector_search, op10_licenses, op11_conversations, op12_sentencepiece, op13_alignment)}
 ORACLES = {"op4_passages": passages.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op9_vector_search": vector_search.ORACLE}
