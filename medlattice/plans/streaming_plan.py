@@ -1,5 +1,5 @@
 """Streaming queries T1–T4 over ``events`` and ``conversations`` as file
-streams, drained with ``availableNow`` and read back from their sinks."""
+streams, drained with ``availableNow`` and read back from their sinks (T2: and the state)."""
 
 from __future__ import annotations
 
@@ -22,24 +22,19 @@ def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("event_type") != "error").alias("success"), F.col("ts").alias("created_at"))
 
 
-def _run(spark: SparkSession, name: str, stream: DataFrame, mode: str) -> DataFrame:
-    base = scratch_path(spark, name)
-    return jobs.run_available_now(spark, stream, f"{base}/out", f"{base}/checkpoint", mode)
-
-
 @register("stream_query_analytics", """
 WITH q AS (SELECT user_id AS subject_id, ts AS created_at, CASE WHEN event_id % 9 <> 0 THEN CAST(floor(value * 1000) AS INTEGER) END AS ms,
              CAST(json_extract(props, '$.k') AS INTEGER) AS cites, event_type <> 'error' AS success FROM events)
 SELECT date_trunc('day', created_at) AS query_date, count(*) AS total_queries,
   round(sum(ms) / count(ms), 6) AS avg_response_time, round(sum(cites) / count(cites), 6) AS avg_citations,
   count(*) FILTER (WHERE success) AS successful_queries, count(*) FILTER (WHERE NOT success) AS failed_queries
-FROM q GROUP BY 1
-HAVING date_trunc('day', min(created_at)) + INTERVAL 1 DAY <= (SELECT max(created_at) FROM q) - INTERVAL 1 DAY""")
+FROM q GROUP BY 1""")
 def q_stream_query_analytics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Closed days only; the approximate patient count is tested apart."""
+    """Every day of the log; the approximate patient count is tested apart."""
     log = _log_stream(spark, sf_dir).withColumn(
         "response_time_ms", F.when(F.col("query_id") % 9 != 0, F.col("response_time_ms")))
-    days = _run(spark, "stream_query_analytics", jobs.stream_query_analytics(log), "append")
+    base = scratch_path(spark, "stream_query_analytics")
+    days = jobs.stream_query_analytics(spark, log, f"{base}/days", f"{base}/checkpoint")
     return (days.drop("approx_unique_patients").withColumn("avg_response_time", F.round("avg_response_time", 6))
             .withColumn("avg_citations", F.round("avg_citations", 6)))
 
@@ -55,20 +50,28 @@ s AS (SELECT *, sum(new_s) OVER (PARTITION BY subject_id ORDER BY created_at
 agg AS (SELECT subject_id, min(created_at) AS start_time, max(created_at) + INTERVAL 30 MINUTE AS session_end,
           max(created_at) AS last_activity, count(*) AS query_count, sum(ms) AS total_response_time_ms
         FROM s GROUP BY subject_id, sid)
-SELECT * FROM agg WHERE session_end <= (SELECT max(created_at) FROM q) - INTERVAL 1 HOUR"""
+SELECT * FROM agg"""
 
 
 @register("stream_sessions", _SESSIONS_ORACLE)
 def q_stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, "stream_sessions", jobs.stream_sessions(_log_stream(spark, sf_dir)), "append")
-
-
-@register("stream_first_wins", "SELECT DISTINCT user_id AS subject_id FROM events")
+    """Every session: the closed ones from the sink, the open ones from the state store."""
+    base = scratch_path(spark, "stream_sessions")
+    closed = jobs.run_available_now(spark, jobs.stream_sessions(_log_stream(spark, sf_dir)), f"{base}/out", f"{base}/checkpoint")
+    return closed.unionByName(jobs.open_sessions(spark, f"{base}/checkpoint"))
+
+
+@register("stream_first_wins", """
+SELECT * EXCLUDE (rn) FROM (
+  SELECT event_id AS query_id, user_id AS subject_id, CAST(floor(value * 1000) AS INTEGER) AS response_time_ms,
+    CAST(json_extract(props, '$.k') AS INTEGER) AS citation_count, event_type <> 'error' AS success, ts AS created_at,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) e
+WHERE rn = 1""")
 def q_stream_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The subjects that the de-duplicated stream holds (which of a subject's rows
-    comes first depends on the micro-batches)."""
-    s = jobs.stream_first_wins(_log_stream(spark, sf_dir), ["subject_id"]).drop("event_time")
-    return _run(spark, "stream_first_wins", s, "append").select("subject_id").distinct()
+    """The first question of every subject by time, whichever micro-batch holds it."""
+    base = scratch_path(spark, "stream_first_wins")
+    return jobs.stream_first_wins(spark, _log_stream(spark, sf_dir), ["subject_id"], ["created_at", "query_id"],
+                                  f"{base}/target", f"{base}/checkpoint")
 
 
 _PREV_ORACLE = """
@@ -89,4 +92,5 @@ FROM ex WINDOW w AS (PARTITION BY conv_id ORDER BY q_idx ROWS BETWEEN UNBOUNDED
 def q_stream_previous_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = read_table(spark, sf_dir, "conversations").schema
     turns = jobs.file_stream(spark, sf_dir, "conversations.parquet", schema)
-    return _run(spark, "stream_previous_turn", jobs.stream_previous_turn(turns), "append")
+    base = scratch_path(spark, "stream_previous_turn")
+    return jobs.run_available_now(spark, jobs.stream_previous_turn(turns), f"{base}/out", f"{base}/checkpoint")

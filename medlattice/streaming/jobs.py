@@ -4,12 +4,14 @@ Event time is TIMESTAMP_NTZ at rest; watermarks need TIMESTAMP, so the
 streams read the wall clock as UTC (whatever the session time zone) and turn
 window bounds back into TIMESTAMP_NTZ. Every job checkpoints under
 ``spark.checkpoint.dir`` so it resumes after a failure, and sinks are
-idempotent (file sink commit log, or an overwrite per micro-batch).
+idempotent: the file sink by its commit log, tables kept by ``foreachBatch`` by
+the batch id, so a batch that is replayed after a failure changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import scalar as S
+from ..sources import ingest as I
 
 
 def event_time(df: DataFrame, ts: str, out: str = "event_time") -> DataFrame:
@@ -26,24 +29,94 @@ def event_time(df: DataFrame, ts: str, out: str = "event_time") -> DataFrame:
     return df.withColumn(out, S.utc_instant(ts))
 
 
+# --- tables kept by micro-batches ------------------------------------------------------
+
+class BatchTable:
+    """A table kept by ``foreachBatch``: one folder per batch id. A batch reads the folders
+    of smaller ids and overwrites its own, so replaying it gives the same table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _files(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def ids(self) -> list[int]:
+        """Batch ids whose folder is complete."""
+        path, fs = self._files()
+        if not fs.exists(path):
+            return []
+        found = [f.getPath() for f in fs.listStatus(path) if f.getPath().getName().startswith("batch=")]
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        return sorted(int(f.getName()[6:]) for f in found if fs.exists(done(f, "_SUCCESS")))
+
+    def read(self, ids: list[int]) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/batch={i}" for i in ids]) if ids else None
+
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+
+    def forget(self, ids: list[int]) -> None:
+        path, fs = self._files()
+        for i in ids:
+            fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, f"batch={i}"), True)
+
+
+def drain(stream: DataFrame, checkpoint: str, on_batch: Callable[[DataFrame, int], None]) -> None:
+    """Hand every available micro-batch to ``on_batch``, then stop."""
+    query = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(on_batch).start()
+    query.awaitTermination()
+
+
 # --- T1 ------------------------------------------------------------------------------
 
-def stream_query_analytics(log: DataFrame, watermark: str = "1 day", ts: str = "created_at") -> DataFrame:
-    """V3 as a tumbling one-day window, averages over the values that are there, and
-    an approximate distinct patient count (exact distinct is not supported in a
-    streaming aggregation). In append mode a day is written once the watermark
-    passes its end and its state is dropped; days still open are withheld."""
-    s = event_time(log, ts).withWatermark("event_time", watermark)
-    g = s.groupBy(F.window("event_time", "1 day").alias("w")).agg(
+_DAILY_SUMS = ["total_queries", "time_sum", "time_count", "citation_sum", "citation_count", "successful_queries", "failed_queries"]
+
+
+def daily_partials(log: DataFrame, ts: str = "created_at") -> DataFrame:
+    """What each day of some log rows adds to V3: sums, counts and a distinct-count sketch
+    of the patients. All of it can be merged."""
+    return log.groupBy(S.day_start(ts).alias("query_date")).agg(
         F.count(F.lit(1)).alias("total_queries"),
-        F.avg("response_time_ms").alias("avg_response_time"),
-        F.avg("citation_count").alias("avg_citations"),
-        F.sum(F.when(F.col("success"), 1).otherwise(0)).alias("successful_queries"),
-        F.sum(F.when(~F.col("success"), 1).otherwise(0)).alias("failed_queries"),
-        F.approx_count_distinct("subject_id").alias("approx_unique_patients"),
-    )
-    return g.select(S.ntz_of_instant("w.start").alias("query_date"), "total_queries",
-                    "avg_response_time", "avg_citations", "successful_queries", "failed_queries", "approx_unique_patients")
+        F.coalesce(F.sum(F.col("response_time_ms").cast("long")), F.lit(0)).alias("time_sum"), F.count("response_time_ms").alias("time_count"),
+        F.coalesce(F.sum(F.col("citation_count").cast("long")), F.lit(0)).alias("citation_sum"), F.count("citation_count").alias("citation_count"),
+        F.count_if(F.col("success")).alias("successful_queries"), F.count_if(~F.col("success")).alias("failed_queries"),
+        F.hll_sketch_agg("subject_id").alias("patients"))
+
+
+def merge_daily(partials: DataFrame) -> DataFrame:
+    return partials.groupBy("query_date").agg(*[F.sum(c).alias(c) for c in _DAILY_SUMS], F.hll_union_agg("patients").alias("patients"))
+
+
+def daily_analytics(merged: DataFrame) -> DataFrame:
+    """V3's columns from the merged sums; averages over the values that are there."""
+    def mean(part):
+        return F.when(F.col(f"{part}_count") > 0, F.col(f"{part}_sum") / F.col(f"{part}_count"))
+    return merged.select("query_date", "total_queries", mean("time").alias("avg_response_time"), mean("citation").alias("avg_citations"),
+                         "successful_queries", "failed_queries",
+                         F.coalesce(F.hll_sketch_estimate("patients"), F.lit(0)).alias("approx_unique_patients"))
+
+
+def upsert_daily(table: BatchTable) -> Callable[[DataFrame, int], None]:
+    """A micro-batch updates the daily rows: the table of the batch before it (one row a
+    day) is merged with the batch's partial rows and written under the batch's own id. A
+    replay reads the same predecessor and writes the same rows. Late rows of any age count."""
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        earlier = [i for i in table.ids() if i < batch_id]
+        rows, before = daily_partials(batch), table.read(earlier[-1:])
+        table.write(merge_daily(rows if before is None else before.unionByName(rows)), batch_id)
+        table.forget(earlier[:-1])                # the predecessor stays for a replay
+    return on_batch
+
+
+def stream_query_analytics(spark: SparkSession, log: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """V3 on a stream, every day of it, the current one included: drain what is available
+    into the daily table and return it."""
+    table = BatchTable(spark, path)
+    drain(log, checkpoint, upsert_daily(table))
+    latest = table.read(table.ids()[-1:])
+    return daily_analytics(merge_daily(daily_partials(spark.createDataFrame([], log.schema))) if latest is None else latest)
 
 
 # --- T2 ------------------------------------------------------------------------------
@@ -51,8 +124,8 @@ def stream_query_analytics(log: DataFrame, watermark: str = "1 day", ts: str = "
 def stream_sessions(log: DataFrame, gap: str = "30 minutes", watermark: str = "1 hour",
                     ts: str = "created_at", key: str = "subject_id") -> DataFrame:
     """K9 as ``session_window`` in append mode: a session is emitted once the
-    watermark passes its end, so sessions still open at the end of the input
-    are withheld (compare only closed sessions)."""
+    watermark passes its end. Sessions open at the end of the input stay in the
+    state store; :func:`open_sessions` reads them there."""
     s = event_time(log, ts).withWatermark("event_time", watermark)
     g = s.groupBy(F.col(key), F.session_window("event_time", gap).alias("s")).agg(
         F.count(F.lit(1)).alias("query_count"), F.sum("response_time_ms").alias("total_response_time_ms"),
@@ -63,13 +136,45 @@ def stream_sessions(log: DataFrame, gap: str = "30 minutes", watermark: str = "1
                     "total_response_time_ms")
 
 
+def open_sessions(spark: SparkSession, checkpoint: str, key: str = "subject_id") -> DataFrame:
+    """The sessions of :func:`stream_sessions` that the last committed batch left open,
+    read from the state store of the stopped query. With the sink's rows they are all
+    sessions of the input so far; the query can go on from its checkpoint afterwards."""
+    state = spark.read.format("statestore").load(checkpoint).select("value.*")
+    count, total, last = state.columns[-3:]                # the aggregates, in the order of the query
+    return state.select(key, S.ntz_of_instant("session_window.start").alias("start_time"),
+                        S.ntz_of_instant("session_window.end").alias("session_end"),
+                        S.ntz_of_instant(F.col(f"`{last}`")).alias("last_activity"), F.col(f"`{count}`").alias("query_count"),
+                        F.col(f"`{total}`").alias("total_response_time_ms"))
+
+
 # --- T3 ------------------------------------------------------------------------------
 
-def stream_first_wins(log: DataFrame, key: list[str], watermark: str = "30 days",
-                      ts: str = "created_at") -> DataFrame:
-    """S10 on a stream: at most one row per key within the watermark delay."""
-    s = event_time(log, ts).withWatermark("event_time", watermark)
-    return s.dropDuplicatesWithinWatermark(key)
+def upsert_first_wins(table: BatchTable, key: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+    """S10 against a stored target: a row of the batch is written if it beats the target's
+    row of its key under ``order`` (not by arrival) or the key is new. Rows with a NULL in
+    the key never conflict and are all kept."""
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        stored = table.read([i for i in table.ids() if i < batch_id])
+        new = batch.withColumn("_new", F.lit(True))
+        if stored is not None:
+            # only the target's rows of the batch's keys are ranked against it
+            asked = batch.select(*key).dropna().distinct()
+            new = new.unionByName(stored.join(asked, key, "left_semi").withColumn("_new", F.lit(False)))
+        rest = [c for c in batch.columns if c not in key and c not in order]
+        kept, _ = I.first_wins(new, key, [*order, *rest])
+        table.write(kept.where("_new").drop("_new"), batch_id)
+    return on_batch
+
+
+def stream_first_wins(spark: SparkSession, log: DataFrame, key: list[str], order: list[str], path: str, checkpoint: str) -> DataFrame:
+    """S10 on a stream: the first row of every key under ``order``, however the input was
+    cut into batches and however late a row came. A beaten row stays in the folder of its
+    batch and loses when the target is read."""
+    table = BatchTable(spark, path)
+    drain(log, checkpoint, upsert_first_wins(table, key, order))
+    rows = table.read(table.ids())
+    return spark.createDataFrame([], log.schema) if rows is None else I.first_wins(rows.select(*log.columns), key, order)[0]
 
 
 # --- T4 ------------------------------------------------------------------------------
@@ -79,59 +184,76 @@ PREV_OUT = T.StructType([
     T.StructField("turn", T.LongType()), T.StructField("question", T.StringType()),
     T.StructField("prev_question", T.StringType()), T.StructField("prev_answer", T.StringType()),
 ])
-PREV_STATE = T.StructType([
-    T.StructField("q_idx", T.LongType()), T.StructField("pending", T.StringType()),
+_MEMORY = T.StructType([
+    T.StructField("expected", T.LongType()), T.StructField("q_idx", T.LongType()), T.StructField("pending", T.StringType()),
     T.StructField("answered", T.BooleanType()), T.StructField("last_q", T.StringType()),
-    T.StructField("last_a", T.StringType()),
+    T.StructField("last_a", T.StringType()), T.StructField("waiting", T.StringType()),
 ])
 
 
-def _previous_turn_state(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Per conversation: the memory of the last answered exchange (R3) is the
-    state; each user turn is emitted with it (W2). Turns are applied in turn
-    order within a batch; later batches continue from the stored state."""
-    if state.exists:
-        q_idx, pending, answered, last_q, last_a = state.get
-    else:
-        q_idx, pending, answered, last_q, last_a = 0, None, True, None, None
-    rows = pd.concat(list(batches), ignore_index=True).sort_values("turn", kind="stable")
-    out = []
-    for role, turn, text in zip(rows["role"], rows["turn"], rows["text"]):
+def _previous_turn(idle_ms: int, first_turn: int):
+    """Per conversation: the memory of the last answered exchange (R3) is the state; each
+    user turn is emitted with it (W2)."""
+    def apply(conv, memory: list, turn: int, role, text, out: list) -> None:
+        memory[0] = turn + 1
         if role == "user":
-            q_idx += 1
-            out.append((key[0], q_idx, int(turn), text, last_q, last_a))
-            pending, answered = text, False
-        elif role == "assistant" and pending is not None and not answered:
-            last_q, last_a, answered = pending, text, True
-    state.update((q_idx, pending, answered, last_q, last_a))
-    if out:
-        yield pd.DataFrame(out, columns=[f.name for f in PREV_OUT.fields])
-
-
-def stream_previous_turn(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """W2 on a stream of conversation turns via ``applyInPandasWithState``."""
-    t = turns.filter(F.col("role").isin("user", "assistant")).select(
-        F.col(conv).alias("conv_id"), "turn", "role", "text")
+            memory[1] += 1
+            out.append((conv, memory[1], turn, text, memory[4], memory[5]))
+            memory[2], memory[3] = text, False
+        elif role == "assistant" and memory[2] is not None and not memory[3]:
+            memory[4], memory[5], memory[3] = memory[2], text, True
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        memory = list(state.get) if state.exists else [first_turn, 0, None, True, None, None, "{}"]
+        waiting, out = {int(t): v for t, v in json.loads(memory[6]).items()}, []
+        if state.hasTimedOut:
+            for turn in sorted(waiting):                       # a turn before these was lost
+                apply(key[0], memory, turn, *waiting[turn], out)
+            state.remove()
+        else:
+            seen = 0
+            for batch in batches:                              # turns of one Arrow batch are put in order, then go on or wait
+                batch = batch.sort_values("turn", kind="stable")
+                seen = max(seen, int(batch["arrived_ms"].max()))
+                for turn, role, text in zip(batch["turn"].tolist(), batch["role"], batch["text"]):
+                    if turn == memory[0]:
+                        apply(key[0], memory, turn, role, text, out)
+                    elif turn > memory[0]:
+                        waiting.setdefault(turn, (role, text))
+                while memory[0] in waiting:
+                    turn = memory[0]
+                    apply(key[0], memory, turn, *waiting.pop(turn), out)
+            memory[6] = json.dumps(waiting)
+            state.update(tuple(memory))
+            state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
+        if out:
+            yield pd.DataFrame(out, columns=PREV_OUT.names)
+    return run
+
+
+def stream_previous_turn(turns: DataFrame, conv: str = "conv_id", idle_ms: int = 3_600_000, first_turn: int = 0) -> DataFrame:
+    """W2 on a stream of conversation turns, numbered from ``first_turn``. Turns are applied
+    in turn order whatever order they come in: one that is ahead waits in the state until
+    those before it are there; a turn number counts once. After ``idle_ms`` without input a
+    conversation's waiting turns are applied (one was lost) and its state is dropped, so
+    the state holds active conversations only: the memory and the turns that wait."""
+    # idle by the arrival time, which is the event time here: a time-out on the wall clock
+    # would keep a query that drains its input running for ever
+    t = turns.select(F.col(conv).alias("conv_id"), "turn", "role", "text", F.current_timestamp().alias("arrived")) \
+        .withWatermark("arrived", "0 seconds").withColumn("arrived_ms", F.unix_millis("arrived"))
     return t.groupBy("conv_id").applyInPandasWithState(
-        _previous_turn_state, PREV_OUT, PREV_STATE, "append", GroupStateTimeout.NoTimeout)
+        _previous_turn(idle_ms, first_turn), PREV_OUT, _MEMORY, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- running ---------------------------------------------------------------------------
 
-def run_available_now(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str,
-                      mode: str = "append") -> DataFrame:
-    """Drain everything available, then stop; return the sink as a batch
-    DataFrame. Append mode uses the parquet file sink (exactly-once via its
-    commit log); complete mode rewrites a parquet table per micro-batch."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if mode == "complete":
-        def overwrite(batch: DataFrame, _epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
-        q = writer.outputMode("complete").foreachBatch(overwrite).start()
-    else:
-        q = writer.outputMode(mode).format("parquet").option("path", path).start()
-    q.awaitTermination()
-    return spark.read.parquet(path)
+def run_available_now(spark: SparkSession, stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Drain everything available into the parquet file sink (exactly-once via its commit
+    log), then stop; return the sink as a batch DataFrame."""
+    query = (stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+             .outputMode("append").format("parquet").option("path", path).start())
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(path)
 
 
 def file_stream(spark: SparkSession, directory: str, file_name: str, schema: T.StructType,
