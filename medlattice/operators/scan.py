@@ -106,6 +106,19 @@ def percent_rank_all(df: DataFrame, value: str, out: str, width: float = 1 / 102
     return df.join(ranks, value, "left")
 
 
+def dense_rank_all(df: DataFrame, value: str, out: str, width: int = 4096) -> DataFrame:
+    """``out`` = 0, 1, 2 … along the distinct integer values of ``value`` (NULLs left out):
+    a row number per value bucket plus offsets from a summary with one row per non-empty
+    bucket, so that no task sorts all values."""
+    values = df.select(value).dropna().distinct().withColumn("_bkt", F.floor(F.col(value) / F.lit(width)))
+    values = values.withColumn("_local", F.row_number().over(Window.partitionBy("_bkt").orderBy(value)) - 1)
+    summ = values.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    below = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    summ = summ.withColumn("_off", F.coalesce(F.sum("_n").over(below), F.lit(0))).select("_bkt", "_off")
+    ranked = values.join(summ, "_bkt").select(value, (F.col("_local") + F.col("_off")).cast("long").alias(out))
+    return df.join(ranked, value)
+
+
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], width: float) -> DataFrame:
     """One row per group of ``keys`` with its rows' exact quantiles (linear interpolation,
     NULL values left out), without one buffer of all the distinct values of a group: rows

@@ -13,9 +13,9 @@ supplier = procedure dictionary, events = query log / eMAR.
 Derived flags (NULLs, zeros, unmatched dictionary keys) are injected with
 deterministic CASE expressions so the N-rules (NULL order, truthiness) are
 exercised. Three roles are defined by a filter: DRG codes are the returned
-lines, ICU stays the urgent orders, and survey scores the purchase events.
-Responses (``roundtrip.kb_responses``) exist only for events whose id is a
-document's; no other row is left out.
+lines, ICU stays the urgent orders, and survey scores the purchase events. No
+other row is left out: every successful event has a response, over documents
+that take turns (``roundtrip.kb_responses``).
 """
 
 from __future__ import annotations

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import querylog
+from ..operators.scan import dense_rank_all
 from ..session import scratch_path
 from ..sources import ingest as I
 from ..sources import sinks
@@ -321,13 +322,15 @@ def q_subject_list(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def kb_responses(t: ClinicalTables) -> DataFrame:
-    """A retrieve-and-generate response per successful question whose id is a document's,
-    in the service's nested shape, over the whole text: up to two citation groups with
-    one or two references (whole text, second half, first half without a location).
-    Every fifth response has no second group, every third one reference in it."""
+    """A retrieve-and-generate response for every successful question, in the service's
+    nested shape, over the whole text of a document (the documents take turns by the
+    question's id): up to two citation groups with one or two references (whole text,
+    second half, first half without a location). Documents of every fifth id give no
+    second group, of every third one reference in it."""
     e = t.raw("events").filter(F.col("event_type") != "error").select("event_id", "ts")
     d = t.raw("documents").select("doc_id", "text", "lang", "source")
-    j = e.join(d, e.event_id == d.doc_id, "inner")
+    turn = F.pmod("event_id", F.lit(max(1, d.count())))
+    j = e.join(dense_rank_all(d, "doc_id", "_turn"), turn == F.col("_turn"), "inner")
     uri = F.when(F.col("source") == "src0", F.lit("")).otherwise(
         F.concat(F.lit("s3://kb-docs/"), F.col("source"), F.lit("/doc-"), F.col("doc_id").cast("string"),
                  F.lit(".md")))
@@ -355,7 +358,8 @@ _REFS_SQL = """SELECT event_id AS query_id, ts AS created_at, 0 AS citation_pos,
 _RJ_SQL = """SELECT e.event_id, e.ts, d.doc_id, d.text,
     CASE WHEN d.source = 'src0' THEN '' ELSE 's3://kb-docs/' || d.source || '/doc-' || CAST(d.doc_id AS VARCHAR) || '.md' END AS uri,
     CASE WHEN d.lang <> 'de' THEN 'S3' END AS ltype
-  FROM events e JOIN documents d ON e.event_id = d.doc_id WHERE e.event_type <> 'error'"""
+  FROM events e JOIN (SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS turn FROM documents) d
+    ON e.event_id % (SELECT count(*) FROM documents) = d.turn WHERE e.event_type <> 'error'"""
 _FLAT_SQL = """SELECT query_id, citation_pos, reference_pos,
     CASE WHEN uri = '' THEN 'Unknown' ELSE regexp_extract(uri, '[^/]*$') END AS source_document,
     CASE WHEN coalesce(excerpt, '') = '' THEN NULL ELSE substring(excerpt, 1, 1000) END AS excerpt_text,
