@@ -207,28 +207,33 @@ def q_render_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.render_records(parts_for(ClinicalTables(spark, sf_dir)))
 
 
-#: Output column -> (the part's CTE, the columns whose values are compared, in order; times
-#: marked *). The stays' column is named apart from the profile's count of them.
+#: Output column -> (the part's CTE, its columns in order; times marked *, fractions marked
+#: #). The stays' column is named apart from the profile's count of them.
 _BUNDLE = {
-    "admissions": ("p_adm", ("hadm_id", "admittime*", "dischtime*", "admission_type", "drg_code", "drg_severity")),
-    "diagnoses": ("p_dx", ("icd_code", "icd_version", "long_title", "occurrence_count", "most_recent*")),
+    "admissions": ("p_adm", ("hadm_id", "admittime*", "dischtime*", "admission_type", "admission_location", "discharge_location", "insurance",
+                             "race", "los_days#", "drg_code", "drg_description", "drg_severity", "drg_mortality")),
+    "diagnoses": ("p_dx", ("icd_code", "icd_version", "long_title", "seq_num", "occurrence_count", "most_recent*")),
     "procedures": ("p_px", ("icd_code", "long_title", "chartdate*", "occurrence_count")),
-    "labs": ("p_labs", ("label", "charttime*", "value", "flag", "fluid")),
-    "medications": ("p_rx", ("drug", "drug_type", "route", "starttime*", "dose_val_rx")),
-    "med_admin": ("p_emar", ("medication", "event_txt", "charttime*")),
-    "orders": ("p_poe", ("order_type", "order_subtype", "ordertime*", "order_status")),
-    "icu_stay_rows": ("p_icu", ("stay_id", "hadm_id", "last_careunit", "intime*")),
-    "vitals": ("p_vit", ("label", "category", "charttime*", "value", "status")),
-    "inputs": ("p_inp", ("label", "starttime*", "ordercategoryname", "statusdescription")),
+    "labs": ("p_labs", ("charttime*", "label", "fluid", "category", "value", "valuenum#", "valueuom", "flag", "ref_range_lower#", "ref_range_upper#")),
+    "medications": ("p_rx", ("drug", "drug_type", "route", "starttime*", "stoptime*", "dose_val_rx", "dose_unit_rx", "form_rx", "gsn", "ndc")),
+    "med_admin": ("p_emar", ("charttime*", "medication", "event_txt", "scheduletime*")),
+    "orders": ("p_poe", ("poe_id", "ordertime*", "order_type", "order_subtype", "transaction_type", "order_provider_id", "order_status")),
+    "icu_stay_rows": ("p_icu", ("stay_id", "hadm_id", "first_careunit", "last_careunit", "intime*", "outtime*", "los_days#")),
+    "vitals": ("p_vit", ("charttime*", "label", "category", "value", "valuenum#", "valueuom", "status")),
+    "inputs": ("p_inp", ("starttime*", "endtime*", "label", "amount#", "amountuom", "rate#", "rateuom", "ordercategoryname", "statusdescription")),
 }
 
 
 def _bundle_sql() -> str:
+    def text(c: str) -> str:
+        if c.endswith("*"):
+            return f"coalesce(strftime({c[:-1]}, '%Y-%m-%d %H:%M:%S'), '~')"
+        if c.endswith("#"):
+            return f"coalesce(CAST(CAST(round({c[:-1]} * 1000000) AS BIGINT) AS VARCHAR), '~')"
+        return f"coalesce(CAST({c} AS VARCHAR), '~')"
     joins, cols = "", ""
     for name, (table, columns) in _BUNDLE.items():
-        texts = ", ".join(f"coalesce(strftime({c[:-1]}, '%Y-%m-%d %H:%M:%S'), '~')" if c.endswith("*")
-                          else f"coalesce(CAST({c} AS VARCHAR), '~')" for c in columns)
-        joins += (f" LEFT JOIN (SELECT subject_id, string_agg(concat_ws('|', {texts}), ';' ORDER BY rn) AS t FROM {table}"
+        joins += (f" LEFT JOIN (SELECT subject_id, string_agg(concat_ws('|', {', '.join(map(text, columns))}), ';' ORDER BY rn) AS t FROM {table}"
                   f" GROUP BY subject_id) b_{table} ON b_{table}.subject_id = prof.subject_id")
         cols += f", coalesce(b_{table}.t, '') AS {name}"
     return ("SELECT prof.* EXCLUDE (most_recent_admission), strftime(most_recent_admission, '%Y-%m-%d %H:%M:%S')"
@@ -238,15 +243,24 @@ def _bundle_sql() -> str:
 @register("record_bundle", with_ctes(_bundle_sql(), *_PART_TABLES, extra=tuple(_parts_sql())
                                      + (("prof", _profile_sql(latest=True)),)))
 def q_record_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bundle: the profile and, per part, its rows in rank order as text."""
+    """The bundle: the profile and, per part, its rows in rank order as text with every
+    column of the part (fractions in millionths)."""
     b = R.record_bundle(parts_for(ClinicalTables(spark, sf_dir)))
 
+    def text(x, c):
+        if c.endswith("*"):
+            return F.date_format(x[c[:-1]], "yyyy-MM-dd HH:mm:ss")
+        return F.round(x[c[:-1]] * 1000000).cast("long").cast("string") if c.endswith("#") else x[c].cast("string")
+
     def row_text(columns):
-        def one(x):
-            return F.concat_ws("|", *[F.coalesce(F.date_format(x[c[:-1]], "yyyy-MM-dd HH:mm:ss") if c.endswith("*")
-                                                 else x[c].cast("string"), F.lit("~")) for c in columns])
-        return one
-    parts = [F.array_join(F.transform("part_icu_stays" if n == "icu_stay_rows" else f"part_{n}", row_text(c)), ";").alias(n) for n, (_, c) in _BUNDLE.items()]
+        return lambda x: F.concat_ws("|", *[F.coalesce(text(x, c), F.lit("~")) for c in columns])
+    parts = []
+    for name, (_, columns) in _BUNDLE.items():
+        part = "part_icu_stays" if name == "icu_stay_rows" else f"part_{name}"
+        held = [f.name for f in b.schema[part].dataType.elementType.fields if f.name != "rn"]
+        if sorted(held) != sorted(c.rstrip("*#") for c in columns):
+            raise ValueError(f"{name}: the part holds {held}")      # no column may be left out
+        parts.append(F.array_join(F.transform(part, row_text(columns)), ";").alias(name))
     return b.select("subject_id", "gender", "anchor_age", "anchor_year_group", "total_admissions",
                     "unique_diagnoses", "icu_stays", "unique_medications", "status",
                     F.date_format("most_recent_admission", "yyyy-MM-dd HH:mm:ss").alias("most_recent_admission"), *parts)
