@@ -32,6 +32,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: what the event roles read of a line
+_EVENT_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
+                  "l_shipdate"]
+
+
 class ClinicalTables:
     """Lazily built clinical-role DataFrames over one scale-factor directory."""
 
@@ -98,7 +103,9 @@ class ClinicalTables:
         and let every event role read that: one scan of lineitem and one binding join for
         a query that uses several roles."""
         path = scratch_path(self.spark, "events")
-        e = self.events_base if subjects is None else self.events_base.join(subjects, "subject_id", "left_semi")
+        e = self.events_base.select("subject_id", *_EVENT_COLUMNS)
+        if subjects is not None:
+            e = e.join(subjects, "subject_id", "left_semi")
         e.write.parquet(path)
         self.__dict__["events_base"] = self.spark.read.schema(e.schema).parquet(path)
 
