@@ -64,34 +64,57 @@ def dedupe_passages(passages: DataFrame, keys: tuple[str, str] = ("doc_id", "pas
 
 # --- K3 ------------------------------------------------------------------------------
 
-def _mojibake_map() -> list[tuple[str, str]]:
-    """UTF-8 bytes read as Windows-1252, for Latin-1, Greek and common
-    punctuation/math characters; built by rule, longest sequences first."""
-    chars = [chr(c) for c in range(0xA0, 0x100)] + [chr(c) for c in range(0x391, 0x3CA)]
-    chars += list("–—‘’‚“”„†‡•…‰‹›€™−≤≥≈≠→←↑↓")
-    out = {}
-    for ch in chars:
-        try:
-            bad = ch.encode("utf-8").decode("cp1252")
-        except UnicodeDecodeError:
-            continue
-        if bad != ch and len(bad) >= 2:
-            out[bad] = ch
-    return sorted(out.items(), key=lambda kv: (-len(kv[0]), kv[0]))
+def _damaged_bytes() -> list[str]:
+    """What each byte from 0x80 on looks like when read as Windows-1252; the five bytes
+    that it leaves undefined are the C1 controls of the same number."""
+    return [bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in range(0x80, 0x100)]
 
 
-MOJIBAKE = _mojibake_map()
+_SEEN = _damaged_bytes()
+_LEADS = "".join(_SEEN[0x42:0x75])                 # 0xC2 to 0xF4 begin a character of two to four bytes
+_TRAILS = "".join(_SEEN[:0x40])                    # 0x80 to 0xBF go on
+_TWO, _THREE, _FOUR = "".join(_SEEN[0x42:0x60]), "".join(_SEEN[0x60:0x70]), "".join(_SEEN[0x70:0x75])
+
+
+def _class(chars: str) -> str:
+    return "[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"
+
+
+#: damaged characters: a lead byte with the one to three bytes that belong to it
+DAMAGED = f"{_class(_TWO)}{_class(_TRAILS)}|{_class(_THREE)}{_class(_TRAILS)}{{2}}|{_class(_FOUR)}{_class(_TRAILS)}{{3}}"
+
+
+def damage_text(c: str | Column) -> Column:
+    """Text whose UTF-8 bytes were read as Windows-1252: the damage that K3 undoes."""
+    c = F.col(c) if isinstance(c, str) else c
+    return _latin_to_seen(F.decode(F.encode(c, "UTF-8"), "ISO-8859-1"))
+
+
+# ISO-8859-1 reads a byte as the character of its number; Windows-1252 differs in 0x80-0x9F only
+_NUMBERS, _LOOKS = "".join(map(chr, range(0x80, 0xA0))), "".join(_SEEN[:0x20])
+
+
+def _latin_to_seen(c: Column) -> Column:
+    return F.translate(c, _NUMBERS, _LOOKS)
 
 
 def repair_text(c: str | Column) -> Column:
-    """K3: undo UTF-8-read-as-Windows-1252 mojibake (``Â°C`` -> ``°C``) with a
-    chain of built-in replaces, applied only where a lead byte shows up."""
+    """K3: undo UTF-8-read-as-Windows-1252 mojibake (``Â°C`` -> ``°C``) in one pass.
+
+    The text is split at the damaged characters, each being a lead byte's letter with as
+    many followers as it announces; each of them alone is turned back to bytes and decoded.
+    What is repaired is never looked at again, so a repaired character cannot join the
+    next one to another damaged one. A sequence that is no character (an overlong form or
+    a surrogate) stays as it is. Text without a lead stays untouched."""
     c = F.col(c) if isinstance(c, str) else c
-    fixed = c
-    for bad, good in MOJIBAKE:
-        fixed = F.replace(fixed, F.lit(bad), F.lit(good))
-    leads = "".join(sorted({bad[0] for bad, _ in MOJIBAKE}))
-    return F.when(c.rlike("[" + leads + "]"), fixed).otherwise(c)
+
+    def undo(bad: Column) -> Column:
+        raw = F.encode(F.translate(bad, _LOOKS, _NUMBERS), "ISO-8859-1")
+        return F.coalesce(F.try_validate_utf8(raw.cast("string")), bad)
+    damaged = F.regexp_extract_all(c, F.lit(f"({DAMAGED})"), 1)
+    # each side is computed once; behind the last text there is no damaged character
+    pieces = F.zip_with(F.split(c, DAMAGED, -1), damaged, lambda text, bad: F.concat(text, F.coalesce(undo(bad), F.lit(""))))
+    return F.when(c.rlike(_class(_LEADS)), F.array_join(pieces, "")).otherwise(c)
 
 
 # --- K4 ------------------------------------------------------------------------------
@@ -220,17 +243,19 @@ def retrieve_dense(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k
 
 class CellIndex:
     """Corpus vectors by nearest k-means centroid (about sqrt(n) cells, fitted by Spark).
-    A query probes the cells whose centroid is nearly as close as its closest one
-    (``margin`` in cosine), at most ``max_share`` of all cells: few where the vectors
-    have structure, more where they have none. Cells larger than a block are dealt into
-    parts by a hash of the id."""
-
-    def __init__(self, corpus: DataFrame, margin: float = 0.4, max_share: float = 0.35, seed: int = 7,
+    A query probes every cell whose centroid is within ``margin`` (in cosine) of its closest
+    one: few where the vectors have structure, most where they have none. The margin is
+    not set but measured: the exact neighbours of ``sample`` corpus vectors (a fixed bound,
+    the least by a hash of the id) tell in which cells neighbours lie, and the margin is
+    the least that reaches them in a share of ``recall``. Cells larger than a block are
+    dealt into parts by a hash of the id."""
+
+    def __init__(self, corpus: DataFrame, recall: float = 0.95, sample: int = 256, seed: int = 7,
                  block_rows: int = BLOCK_ROWS):
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        self.margin, self.max_share = margin, max_share
+        self.recall, self.sample, self.margins = recall, sample, {}
         c = corpus.select("vid", F.col("vec").cast("array<double>").alias("vec"))
         norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
         unit = c.where(norm > 0).select("vid", F.transform("vec", lambda x: x / norm).alias("vec"))
@@ -245,6 +270,19 @@ class CellIndex:
         for r in self.sizes.collect():                                     # about sqrt(n) rows
             self.held[r["cell"]] = r["n"]
 
+    def margin(self, k: int) -> float:
+        """The least margin that reaches a share of ``recall`` of the k nearest neighbours
+        (other than themselves) of the sampled vectors."""
+        if k not in self.margins:
+            asked = self.cells.orderBy(F.xxhash64("vid"), "vid").limit(self.sample)
+            near = retrieve_dense(self.cells.sparkSession, asked.select(F.col("vid").alias("qid"), "vec"), self.cells.select("vid", "vec"), k + 1)
+            found = near.where("qid <> vid").join(self.cells.select("vid", "cell"), "vid").select("qid", "cell").collect()   # sample * k rows
+            rows = asked.select("vid", "vec").collect() if found else []                                                     # sample rows
+            to_centres = dict(zip([r["vid"] for r in rows], _unit([r["vec"] for r in rows]) @ self.centres.T)) if rows else {}
+            gaps = sorted(float(to_centres[r["qid"]].max() - to_centres[r["qid"]][r["cell"]]) for r in found)
+            self.margins[k] = gaps[math.ceil(self.recall * len(gaps)) - 1] + 1e-9 if gaps else 2.0
+        return self.margins[k]
+
     def _nearest(self):
         centres = self.centres
 
@@ -256,7 +294,7 @@ class CellIndex:
 
     def probes(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, vec, cell): the cells that each query probes."""
-        centres, held, margin, most = self.centres, self.held, self.margin, max(1, math.floor(self.max_share * len(self.centres)))
+        centres, held, margin = self.centres, self.held, self.margin(k)
 
         def fn(batches):
             for pdf in batches:
@@ -264,7 +302,6 @@ class CellIndex:
                     near = np.nan_to_num(_unit(pdf["vec"]) @ centres.T, nan=-1.0)
                     order = np.argsort(-near, axis=1, kind="stable")
                     close = np.take_along_axis(near, order, 1) >= near.max(axis=1, keepdims=True) - margin
-                    close[:, most:] = False
                     before = np.cumsum(held[order], axis=1) - held[order]
                     i, j = np.nonzero((close | (before < k)) & (held[order] > 0))
                     yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[i], "vec": pdf["vec"].to_numpy()[i], "cell": order[i, j].astype("int32")})
@@ -291,7 +328,8 @@ class CellIndex:
 def retrieve_dense_approx(queries: DataFrame, corpus: DataFrame, k: int = 5, qid: str = "qid", qvec: str = "vec",
                           vid: str = "vid", vvec: str = "vec", **index_options) -> DataFrame:
     """K6: approximate twin of K5 through ``CellIndex``: the best k of the vectors in the
-    probed cells (no distance cut), so recall is below 1 by design."""
+    probed cells (no distance cut), so recall is below 1 by design: about ``recall``, the
+    share that the index's margin was measured for."""
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).alias("vec"))
     c = corpus.select(F.col(vid).alias("vid"), F.col(vvec).alias("vec"))
     hits = CellIndex(c, **index_options).search(q, k)

@@ -54,23 +54,20 @@ def q_dedupe_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.dedupe_passages(passages(ClinicalTables(spark, sf_dir)))
 
 
-# Letters, and what their UTF-8 bytes look like when read as Windows-1252.
-_DAMAGE = (("\u00e9", "\u00c3\u00a9"), ("\u00e8", "\u00c3\u00a8"), ("\u00fc", "\u00c3\u00bc"), ("\u00f1", "\u00c3\u00b1"),
-           ("\u00e4", "\u00c3\u00a4"))
-
-
-@register("repair_text", f"""
-SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN text || ' 5 \u00b0C' ELSE text END AS text, doc_id % 3 <> 0 AS repaired
+@register("repair_text", """
+SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN text || ' 5 \u00b0C ' || chr(CAST(161 + doc_id % 700 AS INTEGER)) || chr(CAST(161 + doc_id * 31 % 700 AS INTEGER))
+  ELSE text END AS text, doc_id % 3 <> 0 AS repaired
 FROM documents""")
 def q_repair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two of three documents are damaged letter by letter and get a damaged degree sign;
-    the repair must give back what they were."""
+    """Two of three documents get a degree sign and a pair of the 700 characters from
+    U+00A1 on, and are damaged as a whole; the repair must give back what they were."""
     d = ClinicalTables(spark, sf_dir).raw("documents")
-    damaged = F.col("text")
-    for good, bad in _DAMAGE:
-        damaged = F.replace(damaged, F.lit(good), F.lit(bad))
-    damaged = F.concat(damaged, F.lit(" 5 \u00c2\u00b0C"))
-    rows = d.select("doc_id", F.when(F.col("doc_id") % 3 != 0, damaged).otherwise(F.col("text")).alias("before"))
+    letters = F.lit("".join(map(chr, range(161, 861))))
+
+    def letter(n):
+        return F.substring(letters, n.cast("int") + 1, F.lit(1))
+    marked = F.concat("text", F.lit(" 5 \u00b0C "), letter(F.col("doc_id") % 700), letter(F.col("doc_id") * 31 % 700))
+    rows = d.select("doc_id", F.when(F.col("doc_id") % 3 != 0, K.damage_text(marked)).otherwise(F.col("text")).alias("before"))
     fixed = rows.select("doc_id", "before", K.repair_text("before").alias("text"))
     return fixed.select("doc_id", "text", (F.col("text") != F.col("before")).alias("repaired"))
 

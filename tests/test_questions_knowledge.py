@@ -91,11 +91,25 @@ def test_previous_turn_skips_unanswered_and_stream_equals_batch(spark, tmp_path)
     assert streamed == batch
 
 
+def test_every_damaged_character_and_pair_is_repaired(spark):
+    """All characters whose damage can be told, alone and next to each other; the damage
+    is made here, byte by byte."""
+    def seen(text):
+        return "".join(chr(b) if b < 128 else bytes([b]).decode("cp1252", "replace").replace("\ufffd", chr(b)) for b in text.encode())
+    letters = [chr(c) for c in [*range(0xA0, 0x180), *range(0x370, 0x400), 0x800, 0x2013, 0x20AC, 0x4E2D, 0xD7FF, 0xE000, 0xFFFD, 0x1F600, 0x10FFFF]]
+    texts = letters + [a + b for a in letters[::3] for b in letters[::2]] + ["plain", "", "x y"]
+    df = spark.createDataFrame([(t, seen(t)) for t in texts], "t string, bad string")
+    rows = df.select("t", "bad", K.repair_text("bad").alias("fixed"), K.damage_text("t").alias("made")).collect()
+    assert all(r.fixed == r.t and r.made == r.bad for r in rows)
+    # no character: a surrogate's bytes and an overlong form stay
+    odd = ["\u00ed\u00a0\u20ac", "\u00c3", "\u00e2\u201a"]
+    assert [r.f for r in spark.createDataFrame([(t,) for t in odd], "t string").select(K.repair_text("t").alias("f")).collect()] == odd
+
+
 def test_mojibake_repair(spark):
     df = spark.createDataFrame([("Temp 37Â°C, 5 Î¼L, BMI â‰¥ 30",), ("plain",)], "t string")
     got = [r[0] for r in df.select(K.repair_text("t")).collect()]
     assert got == ["Temp 37°C, 5 μL, BMI ≥ 30", "plain"]
-    assert len(K.MOJIBAKE) > 150     # built by rule from character ranges
 
 
 def test_passages_and_dedupe(spark):
@@ -157,7 +171,7 @@ def test_dense_exact_in_blocks(spark):
     assert K.retrieve_dense(spark, q.limit(0), c).count() == 0
 
 
-@pytest.mark.parametrize("kind,most_pairs,least_recall", [("driver", 0.40, 0.70), ("clustered", 0.10, 0.90)])
+@pytest.mark.parametrize("kind,most_pairs,least_recall", [("driver", 0.90, 0.90), ("clustered", 0.10, 0.90)])
 def test_approximate_index_prunes_and_recalls(spark, kind, most_pairs, least_recall):
     """Share of pairs compared and recall against the exact search."""
     if kind == "driver":
