@@ -18,7 +18,7 @@ from ..operators.scan import dense_rank_all
 from ..session import scratch_path
 from ..sources import ingest as I
 from ..sources import sinks
-from ..sources.specs import SPECS
+from ..sources.specs import LOAD_ORDER, SPECS
 from .bindings import ClinicalTables, with_ctes
 from .catalog import register
 
@@ -213,12 +213,13 @@ def _foreign_keys_sql() -> str:
 
 @register("foreign_keys", _foreign_keys_sql())
 def q_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphans under every bound foreign key."""
-    t = ClinicalTables(spark, sf_dir)
-    parts = [I.referential_check(getattr(t, c).select(k), k, getattr(t, p), pk).agg(F.count(F.lit(1)).alias("orphans"))
-             .select(F.lit(c).alias("table_name"), F.lit(k).alias("key_column"), F.lit(p).alias("parent"), "orphans")
-             for c, k, p, pk in _bound_keys()]
-    return reduce(DataFrame.unionByName, parts)
+    """Orphans under every bound foreign key, from one scan of each table."""
+    t, keys = ClinicalTables(spark, sf_dir), _bound_keys()
+    t.bind_events_once()
+    names = {c for c, *_ in keys} | {p for _, _, p, _ in keys}
+    lost = I.key_orphans({n: getattr(t, n) for n in sorted(names)}, keys).groupBy("key").agg(F.sum("rows").alias("orphans"))
+    listed = spark.createDataFrame([(i, c, k, p) for i, (c, k, p, _) in enumerate(keys)], "key int, table_name string, key_column string, parent string")
+    return listed.join(lost, "key", "left").select("table_name", "key_column", "parent", F.coalesce("orphans", F.lit(0)).alias("orphans"))
 
 
 def _table_counts_sql() -> str:
@@ -317,6 +318,81 @@ def q_subject_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.restrict_to_subjects(t.patients, subjects)
 
 
+def _exported(name: str, df: DataFrame) -> DataFrame:
+    """A bound table as the hospital would export it, with some faults by rule: unknown
+    genders, patients that are there twice, an impossible ICD version."""
+    if name == "patients":
+        df = df.withColumn("gender", F.when(F.col("subject_id") % 50 == 0, "X").otherwise(F.col("gender")))
+        df = df.unionByName(df.where("subject_id % 40 = 1"))
+    if name == "diagnoses_icd":
+        df = df.withColumn("icd_version", F.when(F.col("hadm_id") % 30 == 0, 11).otherwise(F.col("icd_version")))
+    known = [c for c in df.columns if c in SPECS[name].column_names]
+    times = {f.name for f in df.schema.fields if f.dataType.typeName() in ("timestamp_ntz", "timestamp")}
+    return df.select(*[F.date_format(c, _TS_FMT).alias(c) if c in times else F.col(c).cast("string").alias(c) for c in known])
+
+
+def _load_sql() -> str:
+    """The load in SQL: checks, repeated keys, then orphans against the good parents, in
+    load order, so that a refused patient takes the admissions along."""
+    exported = {"patients": """SELECT * REPLACE (CASE WHEN subject_id % 50 = 0 THEN 'X' ELSE gender END AS gender) FROM patients
+                  UNION ALL SELECT * REPLACE (CASE WHEN subject_id % 50 = 0 THEN 'X' ELSE gender END AS gender) FROM patients WHERE subject_id % 40 = 1""",
+                "diagnoses_icd": "SELECT * REPLACE (CASE WHEN hadm_id % 30 = 0 THEN 11 ELSE icd_version END AS icd_version) FROM diagnoses_icd"}
+    absent = {"drgcodes": ["subject_id"], "patients": ["anchor_year"], "admissions": ["hospital_expire_flag"]}
+    ctes, report = [], []
+    for name in [n for n in LOAD_ORDER if n in _BOUND_TABLES]:
+        spec = SPECS[name]
+        missing = absent.get(name, [])
+        ctes.append((f"x_{name}", "SELECT *" + "".join(f", NULL AS {c}" for c in missing) + f" FROM ({exported.get(name, f'SELECT * FROM {name}')}) e"))
+        held = _COLUMNS[name] + missing
+        faults = []
+        for c in spec.columns:
+            if not c.nullable:
+                faults.append(f"CASE WHEN {c.name} IS NULL THEN '{c.name}_not_null' END")
+            if c.max_len is not None and c.name in held:
+                faults.append(f"CASE WHEN length(CAST({c.name} AS VARCHAR)) > {c.max_len} THEN '{c.name}_max_len_{c.max_len}' END")
+        faults += [f"CASE WHEN NOT coalesce({p}, true) THEN '{n}' END" for n, p in spec.checks]
+        ctes.append((f"f_{name}", f"SELECT *, concat_ws(',', '', {', '.join(faults) or 'NULL'}) AS faults FROM x_{name}"))
+        number = f"row_number() OVER (PARTITION BY {', '.join(spec.key)})" if spec.policy == I.FIRST_WINS and spec.key else "1"
+        whole = " OR ".join(f"{k} IS NULL" for k in spec.key) or "false"
+        ctes.append((f"u_{name}", f"SELECT *, CASE WHEN {whole} THEN 1 ELSE {number} END AS copy FROM f_{name} WHERE faults = ''"))
+        lost = [f"CASE WHEN {c} IS NOT NULL AND {c} NOT IN (SELECT {pc} FROM g_{p} WHERE {pc} IS NOT NULL) THEN '{c}_not_in_{p}' END"
+                for c, p, pc in spec.fks if c in held]
+        ctes.append((f"o_{name}", f"SELECT *, concat_ws(',', {', '.join(lost) or 'NULL'}) AS lost FROM u_{name} WHERE copy = 1"))
+        ctes.append((f"g_{name}", f"SELECT * FROM o_{name} WHERE lost = ''"))
+        report += [f"SELECT '{name}' AS table_name, substr(faults, 2) AS reasons FROM f_{name} WHERE faults <> ''",
+                   f"SELECT '{name}', 'duplicate_key' FROM u_{name} WHERE copy > 1", f"SELECT '{name}', lost FROM o_{name}"]
+    return with_ctes(f"SELECT table_name, reasons, count(*) AS row_count FROM ({' UNION ALL '.join(report)}) r GROUP BY 1, 2",
+                     *_BOUND_TABLES, extra=tuple(ctes))
+
+
+#: bound columns with a length limit or a key, by table
+_COLUMNS = {
+    "patients": ["subject_id", "gender", "anchor_age", "anchor_year_group"],
+    "admissions": ["hadm_id", "subject_id", "admittime", "dischtime", "admission_type", "admission_location", "discharge_location", "insurance", "race"],
+    "d_labitems": ["itemid", "label", "fluid", "category"], "d_items": ["itemid", "label", "category"],
+    "labevents": ["subject_id", "hadm_id", "itemid", "valueuom", "flag"],
+    "d_icd_diagnoses": ["icd_code"], "d_icd_procedures": ["icd_code"], "diagnoses_icd": ["subject_id", "hadm_id", "icd_code"],
+    "procedures_icd": ["subject_id", "hadm_id", "icd_code"], "prescriptions": ["subject_id", "hadm_id", "route"],
+    "emar": ["subject_id", "emar_id", "event_txt"],
+    "poe": ["poe_id", "subject_id", "hadm_id", "order_type", "order_subtype", "transaction_type", "order_provider_id", "order_status"],
+    "drgcodes": ["hadm_id", "drg_type", "drg_code"], "icustays": ["stay_id", "subject_id", "hadm_id", "first_careunit", "last_careunit"],
+    "chartevents": ["subject_id", "hadm_id", "stay_id", "itemid", "valueuom"],
+    "inputevents": ["subject_id", "hadm_id", "stay_id", "itemid", "amountuom", "rateuom", "ordercategoryname", "statusdescription"],
+}
+
+
+@register("load_all", _load_sql())
+def q_load_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every bound table written as CSV, loaded through the whole path, reported by table and
+    reason."""
+    t, root = ClinicalTables(spark, sf_dir), scratch_path(spark, "load")
+    t.bind_events_once()
+    for name in _BOUND_TABLES:
+        _write_csv(_exported(name, getattr(t, name)), f"{root}/export/{SPECS[name].module}/{name}.csv")
+    I.load_all(spark, f"{root}/export", f"{root}/tables")
+    return I.load_report(spark, f"{root}/tables")
+
+
 # ---------------------------------------------------------------------------
 # Query log sinks and citations
 # ---------------------------------------------------------------------------

@@ -10,9 +10,11 @@ the whole load on the first bad row; we keep going and quarantine instead, so
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,22 +200,42 @@ def referential_check(child: DataFrame, column: str, parent: DataFrame, parent_c
     return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
 
 
+def key_orphans(tables: dict[str, DataFrame | None], keys: list[tuple[str, str, str, str]]) -> DataFrame:
+    """All foreign keys (child, column, parent, parent column) in one pass: one scan per
+    table tags its rows' key values, as a child's and as a parent's, and one aggregate
+    finds the values that no parent has. Returns (key, value, rows): the key's place in
+    ``keys``, the value as text and the child rows that hold it. NULL passes; a parent that
+    is not loaded has no rows. A hot value is counted in each task before the shuffle."""
+    domains = sorted({(parent, column) for _, _, parent, column in keys})
+    tagged = []
+    for name, df in tables.items():
+        if df is None:
+            continue
+        roles = [(domains.index((parent, parent_column)), column, i) for i, (child, column, parent, parent_column) in enumerate(keys) if child == name]
+        roles += [(d, column, -1) for d, (parent, column) in enumerate(domains) if parent == name]
+        if roles:
+            each = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(column).cast("string").alias("value"), F.lit(i).alias("key")) for d, column, i in roles])
+            tagged.append(df.select(F.inline(each)).where("value IS NOT NULL"))
+    held = reduce(DataFrame.unionByName, tagged).groupBy("domain", "value", "key").agg(F.count(F.lit(1)).alias("rows"))
+    values = held.groupBy("domain", "value").agg(F.max(F.col("key") == -1).alias("known"), F.collect_list(F.struct("key", "rows")).alias("held"))
+    return values.where("NOT known").select("value", F.inline("held")).select("key", "value", "rows")
+
+
 def referential_split(df: DataFrame, spec: TableSpec, parents: dict[str, DataFrame | None]) -> tuple[DataFrame, DataFrame]:
     """(good, orphans) under every foreign key of ``spec``: an orphan keeps its row and
     the names of the keys that no parent row has. A NULL key passes; a parent that is
-    not loaded is an empty table. Each key is one join with the parent's distinct keys."""
+    not loaded is an empty table. The orphaned values of all keys come from one aggregate;
+    the rows themselves meet only these, which are few, so they need no shuffle of their own."""
     if not spec.fks:
         return df, df.withColumn("reasons", F.lit(None).cast("string")).limit(0)
-    tagged, reasons = df, []
-    for i, (column, parent, parent_column) in enumerate(spec.fks):
-        table = parents.get(parent)
-        if table is None:
-            found = F.lit(False)
-        else:
-            keys = table.select(F.col(parent_column).alias(column)).dropna().distinct().withColumn(f"_found{i}", F.lit(True))
-            tagged = tagged.join(keys, column, "left")
-            found = F.coalesce(F.col(f"_found{i}"), F.lit(False))
-        reasons.append(F.when(F.col(column).isNotNull() & ~found, F.lit(f"{column}_not_in_{parent}")))
+    keys = [(spec.name, column, parent, parent_column) for column, parent, parent_column in spec.fks]
+    tables = {parent: parents.get(parent) for _, parent, _ in spec.fks if parent != spec.name}
+    orphans = key_orphans({**tables, spec.name: df}, keys)
+    tagged = df
+    for i, (column, _, _) in enumerate(spec.fks):
+        lost = orphans.where(F.col("key") == i).select(F.col("value").alias(f"_lost{i}"))
+        tagged = tagged.join(lost, F.col(column).cast("string") == F.col(f"_lost{i}"), "left")
+    reasons = [F.when(F.col(f"_lost{i}").isNotNull(), F.lit(f"{column}_not_in_{parent}")) for i, (column, parent, _) in enumerate(spec.fks)]
     tagged = tagged.withColumn("reasons", F.concat_ws(",", *reasons)).select(*df.columns, "reasons")
     return tagged.where("reasons = ''").drop("reasons"), tagged.where("reasons <> ''")
 
@@ -262,25 +284,76 @@ def ingest_table(spark: SparkSession, spec: TableSpec, raw: DataFrame | None,
     return IngestResult(good, bad)
 
 
+MANIFEST = "current.json"
+
+
+def published(spark: SparkSession, out_dir: str) -> str | None:
+    """Folder of the last load that was finished, None before the first."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(out_dir, MANIFEST)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    return f"{out_dir}/{spark.read.schema('run string').json(path.toString()).first()['run']}"
+
+
+def publish(spark: SparkSession, out_dir: str, run: str) -> None:
+    """Switch the manifest to a load's folder: written aside, then renamed over the old one,
+    so a reader sees the old load or the new one, never a part."""
+    jvm = spark.sparkContext._jvm
+    target, aside = jvm.org.apache.hadoop.fs.Path(out_dir, MANIFEST), jvm.org.apache.hadoop.fs.Path(out_dir, f"_{MANIFEST}.{run}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(aside, True)
+    out.write(bytearray(f'{{"run": "{run}"}}', "utf-8"))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(context.makeQualified(aside), context.makeQualified(target), overwrite)
+
+
 def load_all(spark: SparkSession, root: str, out_dir: str) -> DataFrame:
     """3B: discover, ingest every table, parents first, split off the rows whose foreign
-    keys have no parent, write good + quarantine (overwrite per table, so a rerun is
-    safe), then count all 26 tables."""
+    keys have no parent, and write good and quarantine rows aside in a folder of this
+    load. Only when every table is there the load is published, so a load that fails or is
+    repeated leaves the last good one as it is. Counts all 26 tables."""
     paths = source_paths(spark, root)
-    written: dict[str, DataFrame | None] = {}
+    run = f"load-{uuid.uuid4().hex[:12]}"
+    base, written = f"{out_dir}/{run}", {}
     for name in LOAD_ORDER:
         spec = SPECS[name]
         res = ingest_table(spark, spec, read_source(spark, spec, paths.get(name)))
         if not res.loaded:
             written[name] = None
             continue
-        good, orphans = referential_split(res.good, spec, written)
-        good.write.mode("overwrite").parquet(f"{out_dir}/{name}")
-        res.quarantine.unionByName(orphans).write.mode("overwrite").parquet(f"{out_dir}/_quarantine/{name}")
-        written[name] = spark.read.parquet(f"{out_dir}/{name}")
+        # typed, checked and de-duplicated once; the key check and both writes read that
+        res.good.write.parquet(f"{base}/_checked/{name}")
+        good, orphans = referential_split(spark.read.schema(spark_schema(spec)).parquet(f"{base}/_checked/{name}"), spec, written)
+        good.write.parquet(f"{base}/{name}")
+        res.quarantine.unionByName(orphans).write.parquet(f"{base}/_quarantine/{name}")
+        written[name] = spark.read.schema(spark_schema(spec)).parquet(f"{base}/{name}")
+    publish(spark, out_dir, run)
     return table_counts(spark, written, COUNTED_TABLES)
 
 
+def load_report(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(table_name, reasons, row_count) of the published load: good rows under the empty
+    reason, the quarantined by reason."""
+    base = published(spark, out_dir)
+    if base is None:
+        raise FileNotFoundError(f"no finished load in {out_dir}")
+    parts = []
+    for name in LOAD_ORDER:
+        for folder, reason in ((f"{base}/{name}", F.lit("")), (f"{base}/_quarantine/{name}", F.col("reasons"))):
+            schema = spark_schema(SPECS[name]) if folder.endswith(f"{base}/{name}") else T.StructType([*spark_schema(SPECS[name]).fields, T.StructField("reasons", T.StringType())])
+            try:
+                parts.append(spark.read.schema(schema).parquet(folder).select(F.lit(name).alias("table_name"), reason.alias("reasons")))
+            except AnalysisException as missing:
+                if missing.getCondition() != "PATH_NOT_FOUND":
+                    raise
+    return reduce(DataFrame.unionByName, parts).groupBy("table_name", "reasons").agg(F.count(F.lit(1)).alias("row_count"))
+
+
 # --- S20 / S21 ---------------------------------------------------------------------------
 
 def read_subject_list(spark: SparkSession, path: str) -> DataFrame:
@@ -303,6 +376,6 @@ def read_relational(spark: SparkSession, url: str, table: str, partition_column:
 
 
 __all__ = ["APPEND", "FIRST_WINS", "SPECS", "IngestResult", "coerce", "constraint_split",
-           "discover_sources", "empty_table", "first_wins", "ingest_table", "load_all", "read_csv_strings",
+           "discover_sources", "empty_table", "first_wins", "ingest_table", "key_orphans", "load_all", "load_report", "publish", "published", "read_csv_strings",
            "read_relational", "read_source", "read_subject_list", "referential_check", "referential_split",
            "restrict_to_subjects", "source_paths", "spark_schema", "table_counts"]

@@ -151,9 +151,10 @@ def test_foreign_keys_split_orphans_by_name(spark, clinical_root):
 
 def test_load_all_quarantines_orphans(spark, clinical_root, tmp_path):
     I.load_all(spark, clinical_root, str(tmp_path / "out"))
-    bad = spark.read.parquet(str(tmp_path / "out/_quarantine/diagnoses_icd"))
+    base = I.published(spark, str(tmp_path / "out"))
+    bad = spark.read.parquet(f"{base}/_quarantine/diagnoses_icd")
     assert "hadm_id_not_in_admissions" in {r["reasons"] for r in bad.collect()}
-    kept = spark.read.parquet(str(tmp_path / "out/diagnoses_icd"))
+    kept = spark.read.parquet(f"{base}/diagnoses_icd")
     assert kept.count() + bad.count() == 5 and kept.where("hadm_id = 77").count() == 0
 
 
@@ -161,6 +162,37 @@ def test_load_all_writes_and_counts_every_table(spark, clinical_root, tmp_path):
     counts = {r["table_name"]: r["row_count"] for r in I.load_all(spark, clinical_root, str(tmp_path)).collect()}
     assert list(counts) == COUNTED_TABLES or set(counts) == set(COUNTED_TABLES)
     assert counts["patients"] == 4 and counts["labevents"] is None and counts["emar_detail"] is None
-    # a second load overwrites: counts unchanged
+    # a second load replaces the first: counts unchanged
+    first = I.published(spark, str(tmp_path))
     again = {r["table_name"]: r["row_count"] for r in I.load_all(spark, clinical_root, str(tmp_path)).collect()}
-    assert again == counts
+    assert again == counts and I.published(spark, str(tmp_path)) != first
+    report = {(r.table_name, r.reasons): r.row_count for r in I.load_report(spark, str(tmp_path)).collect()}
+    assert report["patients", ""] == 4 and report["patients", "duplicate_key"] == 1 and report["patients", "gender_m_f"] == 1
+
+
+def test_a_failed_load_leaves_the_last_one(spark, clinical_root, tmp_path, monkeypatch):
+    I.load_all(spark, clinical_root, str(tmp_path))
+    before, report = I.published(spark, str(tmp_path)), sorted(map(tuple, I.load_report(spark, str(tmp_path)).collect()))
+    real = I.referential_split
+
+    def broken(df, spec, parents):
+        if spec.name == "icustays":
+            raise RuntimeError("lost")
+        return real(df, spec, parents)
+    monkeypatch.setattr(I, "referential_split", broken)
+    with pytest.raises(RuntimeError):
+        I.load_all(spark, clinical_root, str(tmp_path))
+    assert I.published(spark, str(tmp_path)) == before
+    assert sorted(map(tuple, I.load_report(spark, str(tmp_path)).collect())) == report
+    assert I.published(spark, str(tmp_path / "none")) is None
+
+
+def test_key_orphans_in_one_pass(spark):
+    """Several keys of several tables, with a hot value, NULLs and a parent that is missing."""
+    child = spark.createDataFrame([(1, 5, None)] * 300 + [(2, 6, 7), (None, 9, 7), (3, 6, 8)], "a int, b int, c int")
+    parent = spark.createDataFrame([(1, 5), (1, 6), (3, None)], "id int, other int")
+    keys = [("child", "a", "parent", "id"), ("child", "b", "parent", "other"), ("child", "c", "absent", "id"), ("parent", "other", "child", "b")]
+    got = I.key_orphans({"child": child, "parent": parent, "absent": None}, keys)
+    assert sorted(map(tuple, got.collect())) == [(0, "2", 1), (1, "9", 1), (2, "7", 2), (2, "8", 1)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
