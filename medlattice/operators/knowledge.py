@@ -27,20 +27,16 @@ def split_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    max_words: int = 200) -> DataFrame:
     """Documents -> passages at blank lines and before markdown headings;
     passages longer than ``max_words`` are cut into consecutive word windows.
-    Returns (doc_id, passage_no, text, word_count); passage_no counts from 1.
+    Returns (doc_id, passage_no, text, word_count); passage_no counts from 1. Passages
+    are cut and numbered inside their document's row, without a shuffle.
     """
     blocks = F.split(F.regexp_replace(F.col(text), r"\n#", "\n\n#"), r"\n[ \t\x0B\f\r]*\n")
-    p = docs.select(doc_id, text).select(doc_id, F.posexplode(blocks).alias("block_no", "block"))
-    p = p.select(doc_id, "block_no", F.filter(F.split(F.col("block"), WS), lambda w: w != "").alias("w"))
-    p = p.filter(F.size("w") > 0)
-    n_chunks = F.expr(f"CAST(ceil(size(w) / {max_words}) AS INT)")
-    chunks = p.select(doc_id, "block_no", "w",
-                      F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("chunk_no"))
-    words = F.slice("w", F.col("chunk_no") * max_words + 1, max_words)
-    out = chunks.select(doc_id, "block_no", "chunk_no", F.array_join(words, " ").alias("text"),
-                        F.size(words).alias("word_count"))
-    w = Window.partitionBy(doc_id).orderBy("block_no", "chunk_no")
-    return out.select(doc_id, F.row_number().over(w).alias("passage_no"), "text", "word_count")
+    words = F.transform(blocks, lambda block: F.filter(F.split(block, WS), lambda w: w != ""))
+    # an empty block has no chunk: the sequence would run backward
+    chunks = F.transform(F.filter(words, lambda w: F.size(w) > 0), lambda w: F.transform(
+        F.sequence(F.lit(0), F.ceil(F.size(w) / max_words).cast("int") - 1), lambda i: F.slice(w, i * max_words + 1, max_words)))
+    out = docs.select(doc_id, F.posexplode(F.flatten(chunks)).alias("_at", "_words"))
+    return out.select(doc_id, (F.col("_at") + 1).alias("passage_no"), F.array_join("_words", " ").alias("text"), F.size("_words").alias("word_count"))
 
 
 # --- K2 ------------------------------------------------------------------------------

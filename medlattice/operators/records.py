@@ -99,15 +99,22 @@ def recent_admissions(admissions: DataFrame, drgcodes: DataFrame, k: int = 3) ->
 
 # Q4 ------------------------------------------------------------------------
 
+def _titles(dictionary: DataFrame) -> DataFrame:
+    """Titles of each code, and how often the dictionary holds each: a join before the
+    count would have counted an event once for each of them."""
+    return dictionary.groupBy("icd_code", "icd_version", "long_title").agg(F.count(F.lit(1)).alias("_repeats"))
+
+
 def diagnosis_counts(diagnoses: DataFrame, d_icd_diagnoses: DataFrame, admissions: DataFrame,
                      k: int = 10) -> DataFrame:
-    """Diagnoses grouped by (code, version, title, seq) with count and latest admit."""
+    """Diagnoses grouped by (code, version, title, seq) with count and latest admit. The
+    events are counted by code; the titles meet the groups only."""
     d = diagnoses.select("subject_id", "hadm_id", "seq_num", "icd_code", "icd_version")
-    dd = d_icd_diagnoses.select("icd_code", "icd_version", "long_title")
     a = admissions.select("hadm_id", "admittime")
-    g = (d.join(dd, ["icd_code", "icd_version"], "left").join(a, "hadm_id", "left")
-         .groupBy("subject_id", "icd_code", "icd_version", "long_title", "seq_num")
-         .agg(F.count(F.lit(1)).alias("occurrence_count"), F.max("admittime").alias("most_recent")))
+    codes = (d.join(a, "hadm_id", "left").groupBy("subject_id", "icd_code", "icd_version", "seq_num")
+             .agg(F.count(F.lit(1)).alias("_n"), F.max("admittime").alias("most_recent")))
+    g = codes.join(_titles(d_icd_diagnoses), ["icd_code", "icd_version"], "left").withColumn(
+        "occurrence_count", F.col("_n") * F.coalesce("_repeats", F.lit(1))).drop("_n", "_repeats")
     ranked = _ranked(g, [desc("occurrence_count"), asc("seq_num")],
                      ["icd_code", "icd_version", "long_title", "most_recent"], k)
     return ranked.select("subject_id", "rn", "icd_code", "icd_version", "long_title", "seq_num",
@@ -117,11 +124,11 @@ def diagnosis_counts(diagnoses: DataFrame, d_icd_diagnoses: DataFrame, admission
 # Q5 ------------------------------------------------------------------------
 
 def procedure_history(procedures: DataFrame, d_icd_procedures: DataFrame, k: int = 10) -> DataFrame:
-    p = procedures.select("subject_id", "icd_code", "icd_version", "chartdate")
-    dp = d_icd_procedures.select("icd_code", "icd_version", "long_title")
-    g = (p.join(dp, ["icd_code", "icd_version"], "left")
+    """Procedures grouped by (code, title, date) with their count; titles as in Q4."""
+    codes = procedures.groupBy("subject_id", "icd_code", "icd_version", "chartdate").agg(F.count(F.lit(1)).alias("_n"))
+    g = (codes.join(_titles(d_icd_procedures), ["icd_code", "icd_version"], "left")
          .groupBy("subject_id", "icd_code", "long_title", "chartdate")
-         .agg(F.count(F.lit(1)).alias("occurrence_count")))
+         .agg(F.sum(F.col("_n") * F.coalesce("_repeats", F.lit(1))).alias("occurrence_count")))
     ranked = _ranked(g, [desc("chartdate")], ["icd_code", "long_title", "occurrence_count"], k)
     return ranked.select("subject_id", "rn", "icd_code", "long_title", "chartdate", "occurrence_count")
 

@@ -121,23 +121,28 @@ def dense_rank_all(df: DataFrame, value: str, out: str, width: int = 4096) -> Da
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], width: float) -> DataFrame:
     """One row per group of ``keys`` with its rows' exact quantiles (linear interpolation,
-    NULL values left out), without one buffer of all the distinct values of a group: rows
-    are ranked per (group, value bucket) and offset by the counts of the smaller buckets."""
-    b = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    NULL values left out). Rows collapse to counts per (group, value) first, so a value that
+    a third of all rows hold is one row; the counts are summed per (group, value bucket)
+    and offset by the smaller buckets, so no buffer holds a group's distinct values."""
+    b = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     b = b.withColumn("_bkt", F.floor(F.col("_v") / F.lit(width)))
     below = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    summ = (b.groupBy(*keys, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
+    summ = (b.groupBy(*keys, "_bkt").agg(F.sum("_c").alias("_n"))
             .withColumn("_off", F.coalesce(F.sum("_n").over(below), F.lit(0)))
             .withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys))))
     right = summ.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bkt").alias("_b"), "_off", "_all")
     same = reduce(lambda x, y: x & y, [b[k].eqNullSafe(right[f"_k{i}"]) for i, k in enumerate(keys)], b["_bkt"] == right["_b"])
-    local = Window.partitionBy(*keys, "_bkt").orderBy("_v")
-    at = b.join(right, same).withColumn("_i", F.row_number().over(local) - 1 + F.col("_off"))
+    smaller = Window.partitionBy(*keys, "_bkt").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    # a value takes the places _i to _i + _c - 1 of its group
+    at = b.join(right, same).withColumn("_i", F.coalesce(F.sum("_c").over(smaller), F.lit(0)) + F.col("_off"))
     out = []
     for name, p in quantiles.items():
         place = F.lit(p) * (F.col("_all") - 1)
         low = F.floor(place)
-        part = F.when(F.col("_i") == low, F.col("_v") * (1 - (place - low))).when(
-            F.col("_i") == low + 1, F.col("_v") * (place - low))
+
+        def holds(rank):
+            return (F.col("_i") <= rank) & (rank < F.col("_i") + F.col("_c"))
+        part = (F.when(holds(low), F.col("_v") * (1 - (place - low))).otherwise(F.lit(0.0))
+                + F.when(holds(low + 1), F.col("_v") * (place - low)).otherwise(F.lit(0.0)))
         out.append(F.sum(part).alias(name))
     return at.groupBy(*keys).agg(*out)

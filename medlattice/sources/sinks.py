@@ -48,7 +48,8 @@ def append_new(spark: SparkSession, df: DataFrame, path: str, key: str, ts: str
     if ts is None:
         new.write.mode("append").parquet(path)
         return spark.read.parquet(path)
-    new.repartition("_day").write.mode("append").partitionBy("_day").parquet(path)
+    # a rebalance, unlike a repartition, splits a day that holds most rows over several tasks
+    new.hint("rebalance", "_day").write.mode("append").partitionBy("_day").parquet(path)
     return spark.read.parquet(path).drop("_day")
 
 
@@ -69,7 +70,7 @@ def citation_sink(spark: SparkSession, citations: DataFrame, path: str) -> DataF
 def json_sink(results: DataFrame, path: str, ts: str = "created_at") -> None:
     """Result records as JSON, one folder per day (``query_<yyyymmdd>``
     in the reference's naming); rewriting a day replaces only that day."""
-    (results.withColumn("day", F.date_format(ts, "yyyyMMdd")).repartition("day")
+    (results.withColumn("day", F.date_format(ts, "yyyyMMdd")).hint("rebalance", "day")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
      .partitionBy("day").json(path))
