@@ -12,20 +12,82 @@ from medlattice.llm.queries import op2_language, op3_quality
 SF = "/root/testdata/sf0.01"
 
 
-def test_models_are_distributions_and_match_direct_interpolation():
+def plain_kneser_ney(text, symbols=None):
+    """Interpolated Kneser-Ney counted anew with dictionaries: probability(history, symbol)."""
+    from collections import Counter, defaultdict
+    s = [0, 0, *language.symbols(text).tolist()]
+    counts = [Counter(tuple(s[i:i + 4]) for i in range(len(s) - 3))]
+    for _ in range(3):
+        counts.insert(0, Counter(g[1:] for g in counts[0]))
+    levels = []
+    for c in counts:
+        once, twice = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, v in c.items():
+            total[g[:-1]] += v
+            kinds[g[:-1]] += 1
+        levels.append((c, once / (once + 2 * twice) if once and twice else 0.5, total, kinds))
+
+    def p(history, symbol, order=4):
+        if order == 0:
+            return 1 / language.ALPHABET
+        c, d, total, kinds = levels[order - 1]
+        h = tuple(history[len(history) - order + 1:])
+        lower = p(history, symbol, order - 1)
+        return (max(c[(*h, symbol)] - d, 0) + d * kinds[h] * lower) / total[h] if total[h] else lower
+    return p
+
+
+def as_key(grams):
+    return np.array([((a << 16 | b) << 16 | c) << 16 | d for a, b, c, d in grams], np.uint64)
+
+
+def test_model_equals_kneser_ney_counted_anew():
     rng = random.Random(1)
-    text = "".join(rng.choice("abcd é") for _ in range(3000))
-    model = language.kneser_ney(*language.gram_counts(text))
-    for context in (0, 1, 38 * 38 + 2, 5000):
-        p = language._interpolated(model, 4, np.arange(38) + context * 38)
+    texts = ["".join(rng.choice("abcd éжя") for _ in range(3000)), "zzz yy xx " * 20]
+    built = language.build_model({str(i): language.gram_counts(t) for i, t in enumerate(texts)})
+    plain = [plain_kneser_ney(t) for t in texts]
+    letters = [0, *map(ord, "abcdéжяzyq日")]
+    grams = [tuple(rng.choice(letters) for _ in range(4)) for _ in range(600)]
+    seen = language.symbols(texts[0]).tolist()
+    grams += [tuple(seen[i:i + 4]) for i in range(0, 2000, 7)]
+    got = language._log_p(built, 4, as_key(grams))
+    for column, p in enumerate(plain):
+        assert np.allclose(got[:, column], [np.log(p(g[:3], g[3])) for g in grams], atol=2e-4)
+    model = language.kneser_ney(*language.gram_counts(texts[0]))
+    for context in ((0, 0, 0), tuple(seen[50:53]), (1, 2, 3)):
+        p = language._interpolated(model, 4, as_key([(*context, 0)]) + np.arange(language.ALPHABET, dtype=np.uint64))
         assert p.sum() == pytest.approx(1.0) and (p > 0).all()
-    built = language.build_model({"x": language.gram_counts(text), "y": language.gram_counts("zzz yy xx " * 20)})
-    keys = np.array(rng.sample(range(38 ** 4), 500) + language.gram_counts(text)[0].tolist())
-    assert np.allclose(language._log_p(built, 4, keys)[:, 0], np.log(language._interpolated(model, 4, keys)), atol=1e-4)
+
+
+def test_two_languages_of_one_script(frame):
+    """Letters keep their identity in any script: two made-up languages over the Cyrillic
+    letters, with the same word lengths, are told apart on held-out texts, and so are two
+    over Chinese signs."""
+    rng = random.Random(4)
+    rows, truth = [], {}
+    for script in (range(0x430, 0x450), range(0x4E00, 0x4F00)):
+        # the two languages use letters that agree modulo 11, in the same order
+        for shift in (0, 11):
+            letters = [chr(script[0] + k % 11 + shift % (len(script) - 11)) for k in range(11)]
+            words = ["".join(rng.choice(letters) for _ in range(rng.randint(3, 6))) for _ in range(30)]
+            name = f"{script[0]:x}-{shift}"
+            for _ in range(40):
+                truth[len(rows)] = name
+                rows.append((len(rows), " ".join(rng.choice(words) for _ in range(12)), name))
+    docs = None
+    for name in set(truth.values()):
+        part = frame([(i, t) for i, t, n in rows if n == name], name)
+        docs = part if docs is None else docs.unionByName(part)
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs, F.col("doc_id") % 4 != 0).collect()}
+    held = [i for i in truth if i % 4 == 0]
+    assert np.mean([found[i] == truth[i] for i in held]) > 0.95
 
 
 def test_symbols():
-    assert language.symbols("A1b").tolist() == [0, 1, 0, 2, 0]
+    assert language.symbols("A1b").tolist() == [0, 97, 0, 98, 0]
+    assert language.symbols("Жя").tolist() == [0, 0x436, 0x44F, 0]
+    assert 0xE000 <= language.symbols("\U00020000")[1] < 0xF900
     assert language.symbols(" 1 2 \n").tolist() == []
     assert len(language.symbols("é")) == 3             # a mark belongs to its letter
 
@@ -54,9 +116,20 @@ def test_identify_odd_rows(frame, odd_rows, spark):
     assert language.identify(frame([]), F.lit(True)).count() == 0
 
 
-def test_model_size_is_checked():
-    with pytest.raises(ValueError):
-        language.build_model({"x": language.gram_counts("some words")}, max_bytes=10)
+def test_many_languages_make_the_model_coarser(frame):
+    """A dirty column of languages: the least count rises, and every row gets its result."""
+    docs = None
+    for i in range(12):
+        part = frame([(10 * i + k, f"word{chr(97 + i)} and {chr(97 + i) * 5} again " * 5) for k in range(3)], f"lang {i}")
+        docs = part if docs is None else docs.unionByName(part)
+    table = language.language_counts(docs.select("text", "lang"))
+    assert language.least_count(table, 1 << 30) == 1
+    small = 40 * 8 * (8 + 4 * 12)
+    least = language.least_count(table, small)
+    assert least > 1 and table.where(F.col("n") >= least).select("key").distinct().count() * 8 * (8 + 4 * 12) <= small
+    model = language.fit(docs.select("text", "lang"), small)
+    size = sum(k.nbytes + v.nbytes for k, v in [*model["grams"].values(), *model["backoff"].values()])
+    assert size <= small and len(language.identify(docs, F.lit(True), max_bytes=small).collect()) == 36
 
 
 def test_held_out_language(spark):
