@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from medlattice.llm.common import LOWER, byte_texts, materialize, text_slices
+from medlattice.llm.common import LOWER, byte_texts, free_name, materialize, text_slices
 from medlattice.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -259,10 +259,13 @@ def _named(rows: DataFrame, radius: int, blocks: int, cell_rows: int) -> DataFra
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, radius: int = RADIUS, blocks: int = BLOCKS,
              cell_rows: int = CELL_ROWS) -> DataFrame:
     """One row of each group of near copies: the one with the smallest doc_id; a null id
-    comes after all others, and of equal ids the smaller hash of the text goes first."""
-    numbered = materialize(docs.withColumn("_keep_row", F.monotonically_increasing_id()), "numbered")
-    rows = materialize(fingerprints(numbered, words, "_keep_row"), "fingerprints")
+    comes after all others, and of equal ids the smaller hash of the text goes first. Null
+    and empty texts are near copies of each other; of repeated rows one stays; an empty
+    table stays empty; very long texts count whole. All columns stay as they are."""
+    number = free_name(docs, "_keep_row")
+    numbered = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    rows = materialize(fingerprints(numbered, words, number), "fingerprints")
     named = _named(rows, radius, blocks, cell_rows).select("fp", "root")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tk", "row")).alias("first")
-    chosen = rows.join(named, "fp").groupBy("root").agg(first).select(F.col("first.row").alias("_keep_row"))
-    return numbered.join(chosen, "_keep_row", "left_semi").select(docs.columns)
+    chosen = rows.join(named, "fp").groupBy("root").agg(first).select(F.col("first.row").alias(number))
+    return numbered.join(chosen, number, "left_semi").select(docs.columns)

@@ -52,6 +52,16 @@ def test_every_stage_takes_odd_rows(spark, frame, odd_rows):
             assert sum(r.start == 0 for r in after.collect()) == len(odd_rows)
 
 
+def test_columns_named_like_the_stages_own_stay(spark, frame):
+    docs = frame([(i, f"A text of some words, number {i}, with a few more words to count.") for i in range(6)] + [(9, None)])
+    docs = docs.withColumnsRenamed({"score": "_stage_score", "ord": "_keep_row", "fp": "_KEEP_ROW_"})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, SF)
+        assert after.dtypes == docs.dtypes
+        untouched = {repr(tuple(r)) for r in docs.collect()}
+        assert all(repr(tuple(r)) in untouched for r in after.collect())
+
+
 def test_general_interfaces_exist():
     assert callable(simhash.keep_one) and callable(decontaminate.drop_contaminated) and callable(secrets.redact)
     assert np.isfinite(quality.features(b"")[1]).all()
