@@ -1,11 +1,18 @@
-"""Repeated passages of words, located with Aho-Corasick automata.
-
-Recurring passages are confirmed first: GRAM-word phrases that at least two documents
-share (see repeats). For every slice of documents an automaton of the phrases that the
-slice can hold is compiled with pyahocorasick, and the whole texts of the slice stream
-through it, which locates every occurrence. An occurrence stands for a block of windows
-of WINDOW words; for the windows of each distinct block the smallest document that
-holds them is found, and a word goes if a window over it starts in a smaller document.
+"""Repeated passages of words, located by Aho-Corasick automata.
+
+1. Recurring passages are confirmed: of the GRAM-word phrases that the windows of WINDOW
+   words name (winnowing, see repeats), those that two documents hold are kept, by an
+   aggregate on the phrase's hash that each task combines first.
+2. The phrases are dealt into shards of about SHARD_PHRASES. Every word is written as one
+   of 32 symbols, so that a document is a short string and a phrase a 60-bit number. Every
+   document streams through the pyahocorasick automaton of every shard: a group is one
+   shard and one range of about RANGE_WORDS words of documents.
+3. The hits alone tell where phrases stand. A hit at which a window has its anchor opens a
+   block of windows; for the windows of each distinct block the smallest document that
+   holds them is found by the hash of the whole window, and a word goes if a window over
+   it starts in a smaller document. Two words with the same symbol give hits too many,
+   which find no equal window and remove nothing.
+
 The blocks of a phrase with over ``hot_blocks`` of them are decided by window, apart
 (repeats.hot_verdicts).
 """
@@ -24,9 +31,13 @@ from pyspark.sql import functions as F
 from medlattice.llm import repeats
 from medlattice.llm.common import byte_texts, discard, materialize, text_slices
 
-GRAM = 20
+GRAM = 12
 PER_WINDOW = repeats.WINDOW - GRAM + 1
-PHRASES_AT_ONCE = 40_000
+SYMBOL_BITS = 5                            # GRAM symbols fit a long
+FLUSH_ANCHORS = 1 << 20
+SHARD_PHRASES = 200_000                    # some 200 MB of automaton
+RANGE_WORDS = 8_000_000
+BYTES_A_WORD = 6
 BLOCKS_AT_ONCE = 50_000
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -44,57 +55,128 @@ def word_units(text: bytes) -> np.ndarray:
     return repeats.RangeHash(_SALT[raw]).of(edge[::2], edge[1::2])
 
 
-def anchors_of(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    units = word_units(text)
-    if len(units) < repeats.WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = repeats.RangeHash(units).grams(GRAM)
-    anchors, _ = repeats.anchor_of_windows(grams, PER_WINDOW)
-    return 2 * anchors, grams[anchors]
-
-
-# ------------------------------------------------------------------- automata
-def _code(i: int) -> str:
-    """Character for the i-th word of an automaton (surrogates left out)."""
-    i += 2
-    return chr(i if i < 0xD800 else i + 0x800)
-
-
-def occurrences(texts: list[list[bytes]], places: list[list[int]]) -> list[np.ndarray]:
-    """Every place in each text where some phrase starts. The phrases are the GRAM words
-    at ``places`` of the texts; each automaton holds at most PHRASES_AT_ONCE of them."""
-    phrases = list({tuple(words[p:p + GRAM]) for words, ps in zip(texts, places) for p in ps if p + GRAM <= len(words)})
-    found: list[list[int]] = [[] for _ in texts]
-    for lo in range(0, len(phrases), PHRASES_AT_ONCE):
-        codes: dict[bytes, str] = {}
-        machine = ahocorasick.Automaton()
-        for phrase in phrases[lo:lo + PHRASES_AT_ONCE]:
-            for word in phrase:
-                if word not in codes:
-                    codes[word] = _code(len(codes))
-            machine.add_word("".join(map(codes.__getitem__, phrase)), 0)
-        machine.make_automaton()
-        for out, words in zip(found, texts):
-            stream = "".join([codes.get(w, "\x01") for w in words])
-            out += [end - GRAM + 1 for end, _ in machine.iter(stream)]
-    return [np.unique(np.array(x, np.int64)) for x in found]
+def symbols_of(units: np.ndarray) -> np.ndarray:
+    """The symbol of each word, a printable ASCII byte."""
+    return (units >> np.uint64(64 - SYMBOL_BITS)).astype(np.uint8) + np.uint8(48)
+
+
+def phrase_codes(symbols: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The phrase at each place as a number, its first word in the highest bits."""
+    code = np.zeros(len(places), np.int64)
+    for i in range(GRAM):
+        code = code << SYMBOL_BITS | (symbols[places + i] - np.uint8(48))
+    return code
+
+
+# --------------------------------------------------------- 1. recurring phrases
+SCANNED = "h long, code long, lo long, hi long, ord long, tk long, symbols binary"
 
 
+def _scan(batches):
+    """Partition function: rows (ord, tk, text) to the distinct anchor phrases of a flush with
+    their smallest and largest document (h, code, lo, hi) and the symbols of each text of a
+    whole window (ord, tk, symbols), one for equal rows of the task."""
+    schema = pa.schema([(n, pa.binary() if n == "symbols" else pa.int64()) for n in ("h", "code", "lo", "hi", "ord", "tk", "symbols")])
+
+    def batch(values: dict) -> pa.RecordBatch:
+        size = len(next(iter(values.values())))
+        return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(size, f.type)
+                                           for f in schema], schema=schema)
+
+    def flush(held):
+        h, code = (np.concatenate([x[j] for x in held]) for j in (1, 2))
+        o = np.repeat(np.array([x[0] for x in held], np.int64), [len(x[1]) for x in held])
+        order = np.argsort(h, kind="stable")
+        start = repeats._changes(h[order])
+        return batch({"h": h[order][start].view(np.int64), "code": code[order][start],
+                      "lo": np.minimum.reduceat(o[order], start), "hi": np.maximum.reduceat(o[order], start)})
+
+    held, size, seen = [], 0, set()
+    for part in text_slices(batches):
+        texts = {"ord": [], "tk": [], "symbols": []}
+        for o, tk, text in zip(part.column("ord").to_pylist(), part.column("tk").to_pylist(), byte_texts(part.column("text"))):
+            units = word_units(text or b"")
+            if len(units) < repeats.WINDOW or (o, tk) in seen:
+                continue
+            seen.add((o, tk))
+            grams = repeats.RangeHash(units).grams(GRAM)
+            anchors, _ = repeats.anchor_of_windows(grams, PER_WINDOW)
+            symbols = symbols_of(units)
+            held.append((o, grams[anchors], phrase_codes(symbols, anchors)))
+            size += len(anchors)
+            for name, value in zip(texts, (o, tk, symbols.tobytes())):
+                texts[name].append(value)
+        if texts["ord"]:
+            yield batch(texts)
+        if size >= FLUSH_ANCHORS:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+# ----------------------------------------------------------------- 2. automata
+def automaton(codes: np.ndarray) -> ahocorasick.Automaton:
+    """The automaton of some phrases, given as numbers."""
+    codes = np.unique(codes)
+    shifts = SYMBOL_BITS * np.arange(GRAM - 1, -1, -1)
+    text = ((codes[:, None] >> shifts & (1 << SYMBOL_BITS) - 1).astype(np.uint8) + np.uint8(48)).tobytes().decode("ascii")
+    machine = ahocorasick.Automaton()
+    for at in range(0, len(text), GRAM):
+        machine.add_word(text[at:at + GRAM], 0)
+    machine.make_automaton()
+    return machine
+
+
+def hits(machine: ahocorasick.Automaton, symbols: str) -> list[int]:
+    """Every place at which a phrase of the automaton starts."""
+    return [end - GRAM + 1 for end, _ in machine.iter(symbols)]
+
+
+def _stream(find):
+    """Group function: documents (ord, tk, symbols) of a range and the phrases of a shard to
+    the places (ord, tk, places) of the documents that hold some."""
+    def run(texts: pa.Table, shard: pa.Table) -> pa.Table:
+        out = {"ord": [], "tk": [], "places": []}
+        lists = [np.asarray(x.values) for x in shard.column("codes")]
+        if lists and texts.num_rows:
+            machine = automaton(np.concatenate(lists))
+            for o, tk, symbols in zip(*(texts.column(c).to_pylist() for c in ("ord", "tk", "symbols"))):
+                places = find(machine, symbols.decode("ascii"))
+                if places:
+                    for name, value in zip(out, (o, tk, places)):
+                        out[name].append(value)
+        return pa.table([pa.array(out["ord"], pa.int64()), pa.array(out["tk"], pa.int64()), pa.array(out["places"], pa.list_(pa.int32()))],
+                        names=list(out))
+    return run
+
+
+def occurrences(texts: DataFrame, phrases: DataFrame, shards: int, ranges: int, find=hits) -> DataFrame:
+    """(ord, tk, places): where the phrases (h, code) stand in the texts (ord, tk, symbols)."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = (phrases.groupBy(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"))
+             .agg(F.collect_set("code").alias("codes")).select("shard", "codes", every(ranges).alias("range")))
+    streams = texts.select("ord", "tk", "symbols", F.pmod(F.xxhash64("ord", "tk"), F.lit(ranges)).cast("int").alias("range"),
+                           every(shards).alias("shard"))
+    found = (streams.groupBy("range", "shard").cogroup(dealt.groupBy("range", "shard"))
+             .applyInArrow(_stream(find), "ord long, tk long, places array<int>"))
+    return found.groupBy("ord", "tk").agg(F.flatten(F.collect_list("places")).alias("places"))
+
+
+# ------------------------------------------------------------------- 3. blocks
 def _locate(batches):
     buffer = repeats.BlockBuffer()
     for part in text_slices(batches):
-        words = [t.split() if t else [] for t in byte_texts(part.column("text"))]
-        places = [[p // 2 for p in ps] for ps in part.column("places").to_pylist()]
         keys = zip(part.column("ord").to_pylist(), part.column("tk").to_pylist())
-        for (o, tk), text, located in zip(keys, byte_texts(part.column("text")), occurrences(words, places)):
+        for (o, tk), text, located in zip(keys, byte_texts(part.column("text")), part.column("places")):
             units = word_units(text or b"")
-            if not len(located) or len(units) < repeats.WINDOW:
-                continue
             first_hash, second_hash = repeats.RangeHash(units), repeats.RangeHash(units, repeats._BASES[1])
             grams = first_hash.grams(GRAM)
             _, own = repeats.anchor_of_windows(grams, PER_WINDOW)
             place, first, windows = repeats.blocks(own)
-            keep = np.isin(place // 2, located)
+            hit = np.zeros(len(units), bool)
+            hit[located.values.to_numpy()] = True
+            keep = hit[place // 2]
             anchor, first, windows = place[keep] // 2, first[keep], windows[keep]
             whole = second_hash.of(first, first + windows + repeats.WINDOW - 1) ^ (anchor - first).astype(np.uint64)
             each = second_hash.grams(repeats.WINDOW)
@@ -142,15 +224,24 @@ def _windows_of(payload: bytes) -> np.ndarray:
     return np.frombuffer(payload, np.uint64)
 
 
-def remove_repeats(docs: DataFrame, hot_blocks: int = repeats.HOT_BLOCKS) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot_blocks: int = repeats.HOT_BLOCKS, shard_phrases: int = SHARD_PHRASES,
+                   range_words: int = RANGE_WORDS, find=hits) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_words, n_removed, spans (word ranges
-    removed) and kept (the remaining words, joined by one space).
+    removed) and kept (the remaining words, joined by one space). ``find(automaton,
+    symbols)`` gives the places of the phrases; nothing else does.
 
     Null, empty and blank texts have no words. The order of documents, null and repeated
-    ids are treated as repeats says. Other columns are ignored."""
+    ids are treated as repeats says. An empty table gives an empty table. A text of any
+    length is one row and streams whole. Other columns are ignored."""
     rows = repeats.keyed(docs)
-    shared = materialize(repeats.shared_anchors(rows, anchors_of, repeats.bucket_count(rows, 0.011)), "shared")
-    holding = rows.select("ord", "tk", "text").join(shared, "ord")
+    scanned = materialize(rows.select("ord", "tk", "text").mapInArrow(_scan, SCANNED), "scanned")
+    phrases = materialize(scanned.where("h IS NOT NULL").groupBy("h", "code").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+                          .where("lo < hi").select("h", "code"), "phrases")
+    shards = max(1, -(-phrases.count() // shard_phrases))
+    words = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(1, -(-words // (BYTES_A_WORD * range_words)))
+    shared = materialize(occurrences(scanned.where("symbols IS NOT NULL"), phrases, shards, ranges, find), "hits")
+    holding = rows.select("ord", "tk", "text").join(shared, ["ord", "tk"])
     located = materialize(holding.mapInArrow(_locate, repeats.OCCURRENCES), "blocks")
     entries = located.where("payload IS NOT NULL").select("h", "a", "lo", "hi", "payload")
     groups = max(1, -(-entries.count() // BLOCKS_AT_ONCE))
@@ -163,7 +254,7 @@ def remove_repeats(docs: DataFrame, hot_blocks: int = repeats.HOT_BLOCKS) -> Dat
                .applyInArrow(lambda rows: _decide(rows), repeats.VERDICTS))
     verdicts.append(materialize(decided, "verdicts"))
     spans = materialize(repeats.removed_spans(located, reduce(DataFrame.unionByName, verdicts)), "spans")
-    for done in (shared, located, hot, *verdicts):
+    for done in (scanned, phrases, shared, located, hot, *verdicts):
         discard(done)
     return rows.join(spans, ["ord", "tk"], "left").select("doc_id", "text", "spans") \
         .mapInArrow(_apply, "doc_id long, n_words long, n_removed long, spans array<struct<start:int,end:int>>, kept string")

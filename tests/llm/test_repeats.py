@@ -134,11 +134,37 @@ def test_pack_round_trip():
 
 
 def test_automata_find_every_place():
-    rng = random.Random(5)
-    texts = [[b"%d" % rng.randrange(3) for _ in range(80)] for _ in range(4)]
-    found = passages.occurrences(texts, [[0, 5], [], [60], [70]])
-    phrases = {tuple(texts[0][p:p + 20]) for p in (0, 5)} | {tuple(texts[2][60:80])}
-    assert [x.tolist() for x in found] == [[p for p in range(61) if tuple(t[p:p + 20]) in phrases] for t in texts]
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(0, 3, size=80).astype(np.uint8) + np.uint8(48) for _ in range(4)]
+    codes = np.concatenate([passages.phrase_codes(t, np.array(p)) for t, p in zip(texts, ([0, 5], [60], [68], [1]))])
+    phrases = {t[p:p + passages.GRAM].tobytes() for t, ps in zip(texts, ([0, 5], [60], [68], [1])) for p in ps}
+    machine = passages.automaton(codes)
+    for t in texts:
+        assert passages.hits(machine, t.tobytes().decode()) == [p for p in range(81 - passages.GRAM)
+                                                                if t[p:p + passages.GRAM].tobytes() in phrases]
+
+
+@pytest.mark.parametrize("shard_phrases,range_words", [(20, 500), (1000, 10), (3, 100_000)])
+def test_every_document_meets_every_shard(frame, shard_phrases, range_words):
+    rows = planted(9, 30)
+    out = passages.remove_repeats(frame(rows), shard_phrases=shard_phrases, range_words=range_words)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, len(r.spans), r.kept.encode()) for r in out.collect()) == brute(rows, "word")
+
+
+def test_without_hits_of_the_automata_nothing_is_removed(frame):
+    rows = planted(9, 30)
+    assert any(r[2] for r in brute(rows, "word"))
+    out = passages.remove_repeats(frame(rows), find=lambda machine, symbols: [])
+    assert {r.n_removed for r in out.collect()} == {0}
+
+
+def test_a_hot_row_and_a_long_text(frame):
+    """A third of the rows are one text without an id; one text has 400,000 words."""
+    rng = random.Random(3)
+    hot, long = words_text(rng, 120), words_text(rng, 400_000, 10 ** 6)
+    rows = [(None, hot)] * 20 + [(i, words_text(rng, 90, 10 ** 6)) for i in range(30)] + [(50, hot), (60, long), (61, "x " + long)]
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in passages.remove_repeats(frame(rows)).collect()}
+    assert {(None, 120, 120), (50, 120, 0), (60, 400_000, 0), (61, 400_001, 400_000)} < got and len(got) == 34
 
 
 @pytest.mark.parametrize("seed", range(40))
