@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from .topk import top_k_per_key
 
 WS = r"[ \t\n\x0B\f\r]+"           # whitespace, spelled out so Java and RE2 agree
@@ -58,6 +59,83 @@ def dedupe_passages(passages: DataFrame, keys: tuple[str, str] = ("doc_id", "pas
     return passages.join(winners, list(keys)).select(*passages.columns, "copies", "content_hash")
 
 
+def shingle_set(text: str | Column, size: int = 5) -> Column:
+    """Sorted distinct hashes of the runs of ``size`` words of a normalised text; fewer words
+    are one run, none (or null) the empty set."""
+    words = F.filter(F.split(normalize_for_dedupe(text), " "), lambda w: w != "")
+    # a lambda over the one array of words: written into the inner one, it would be split for every run
+    runs = F.transform(F.array(words), lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(1))),
+                                                             lambda i: F.xxhash64(F.array_join(F.slice(w, i, size), " "))))
+    return F.when(normalize_for_dedupe(text) != "", F.array_sort(F.array_distinct(runs[0]))).otherwise(F.array().cast("array<long>"))
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` through a table in the shared scratch folder: made once, however often it is read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def similar_sets(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+    """All pairs (a, b, similarity) of the sets (id, items) with a Jaccard similarity of at
+    least ``similarity``, each once. Exact, by prefixes: with the items of every set in one
+    order, rare ones first, two such sets share an item of their first
+    m - ceil(similarity * m) + 1. A pair meets on (item, length class), is dropped where the
+    lengths or the items after the first common one cannot reach the similarity, and is
+    verified on the whole sets. A common item stands in a prefix only where a set has hardly
+    any other; what then meets on it is split by length, and by AQE into pieces of both sides.
+    """
+    tiny = 1e-9
+    exploded = sets.select("id", F.size("items").alias("m"), F.explode("items").alias("item"))
+    seen = exploded.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    order = (exploded.join(seen, "item").groupBy("id", "m")
+             .agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("order")))
+    head = (F.col("m") - F.ceil(F.col("m") * similarity - tiny) + 1).cast("int")
+    index = (order.select("id", "m", F.posexplode(F.slice("order", F.lit(1), head)).alias("at", "o")).where("o.n > 1")
+             .select("id", "m", "at", "o.item", F.floor(F.log("m") / -math.log(similarity) + tiny).alias("step")))
+    short = index.select(F.col("id").alias("a"), F.col("m").alias("ma"), F.col("at").alias("at_a"), "item",
+                         F.explode(F.array("step", F.col("step") + 1)).alias("step"))
+    long = index.select(F.col("id").alias("b"), F.col("m").alias("mb"), F.col("at").alias("at_b"), "item", "step")
+    bar = (F.col("ma") + F.col("mb")) * similarity - tiny           # both >= bar <=> common * (1 + similarity) >= bar
+    rest = 1 + F.least(F.col("ma") - 1 - F.col("at_a"), F.col("mb") - 1 - F.col("at_b"))
+    met = (short.join(long, ["item", "step"])
+           .where((F.col("ma") < F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b"))))
+           .where((F.col("ma") >= F.col("mb") * similarity - tiny) & (rest * (1 + similarity) >= bar))
+           .select("a", "b").distinct())
+    whole = (met.join(sets.select(F.col("id").alias("a"), F.col("items").alias("_a")), "a")
+             .join(sets.select(F.col("id").alias("b"), F.col("items").alias("_b")), "b")
+             .select("a", "b", F.size("_a").alias("ma"), F.size("_b").alias("mb"), F.size(F.array_intersect("_a", "_b")).alias("common")))
+    return (whole.where(F.col("common") * (1 + similarity) >= bar)
+            .select("a", "b", (F.col("common") / (F.col("ma") + F.col("mb") - F.col("common"))).alias("similarity")))
+
+
+def near_copies(passages: DataFrame, keys: tuple[str, str] = ("doc_id", "passage_no"), text: str = "text",
+                size: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per passage. Passages with the same set of word shingles are a class, named by
+    its first passage (first_<key>) and counted (copies). ``links`` counts the other classes
+    with a Jaccard similarity of at least ``similarity``, ``best`` is the largest of these
+    similarities (null without links), and ``kept`` marks the first passage of each class
+    that no earlier class is linked with. Passages without words are one class without links.
+    Pairs are made between classes only, never between copies."""
+    hashed = passages.select(*keys, shingle_set(text, size).alias("items"))
+    hashed = hashed.withColumn("id", F.unhex(F.md5(F.array_join(F.col("items").cast("array<string>"), ","))))
+    hashed = _written(hashed, "shingles")
+    classes = _written(hashed.groupBy("id").agg(F.min(F.struct(*keys)).alias("first"), F.count(F.lit(1)).alias("copies"),
+                                                F.first("items").alias("items")), "classes")
+    pairs = similar_sets(classes.select("id", "items"), similarity)
+    pairs = (pairs.join(classes.select(F.col("id").alias("a"), F.col("first").alias("_a")), "a")
+             .join(classes.select(F.col("id").alias("b"), F.col("first").alias("_b")), "b"))
+    ends = pairs.select(F.explode(F.array(
+        F.struct(F.col("a").alias("id"), (F.col("_b") < F.col("_a")).alias("later"), "similarity"),
+        F.struct(F.col("b").alias("id"), (F.col("_a") < F.col("_b")).alias("later"), "similarity"))).alias("e")).select("e.*")
+    linked = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.max("similarity").alias("best"), F.max("later").alias("later"))
+    told = classes.drop("items").join(linked, "id", "left")
+    return hashed.drop("items").join(told, "id").select(
+        *keys, *[F.col(f"first.{k}").alias(f"first_{k}") for k in keys], "copies", F.coalesce("links", F.lit(0)).alias("links"),
+        F.round("best", 6).alias("best"),
+        (F.struct(*keys).eqNullSafe(F.col("first")) & ~F.coalesce("later", F.lit(False))).alias("kept"))
+
+
 # --- K3 ------------------------------------------------------------------------------
 
 def _damaged_bytes() -> list[str]:

@@ -54,6 +54,25 @@ def q_dedupe_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.dedupe_passages(passages(ClinicalTables(spark, sf_dir)))
 
 
+@register("near_copies", f"""
+WITH p AS ({_SPLIT_SQL}),
+n AS (SELECT doc_id, passage_no, list_filter(string_split_regex(lower(text), '{_WS}'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT doc_id, passage_no, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1),
+        lambda i: array_to_string(w[i : i + 4], ' ')))) AS items FROM n),
+c AS (SELECT items, min((doc_id, passage_no)) AS first, count(*) AS copies, row_number() OVER () AS id FROM s GROUP BY items),
+e AS (SELECT id, len(items) AS m, unnest(items) AS item FROM c),
+j AS (SELECT x.id AS a, y.id AS b, x.m + y.m - count(*) AS whole, count(*) AS common
+      FROM e x JOIN e y ON x.item = y.item AND x.id <> y.id AND 5 * x.m >= 4 * y.m AND 5 * y.m >= 4 * x.m
+      GROUP BY x.id, y.id, x.m, y.m HAVING 5 * count(*) >= 4 * (x.m + y.m - count(*))),
+l AS (SELECT a, count(*) AS links, max(common / whole) AS best, bool_or(d.first < k.first) AS later
+      FROM j JOIN c k ON a = k.id JOIN c d ON b = d.id GROUP BY a)
+SELECT s.doc_id, s.passage_no, c.first[1] AS first_doc_id, c.first[2] AS first_passage_no, c.copies, coalesce(links, 0) AS links,
+  round(best, 6) AS best, (s.doc_id = c.first[1] AND s.passage_no = c.first[2] AND NOT coalesce(later, false)) AS kept
+FROM s JOIN c ON s.items = c.items LEFT JOIN l ON c.id = l.a""")
+def q_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return K.near_copies(passages(ClinicalTables(spark, sf_dir)))
+
+
 @register("repair_text", """
 SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN text || ' 5 \u00b0C ' || chr(CAST(161 + doc_id % 700 AS INTEGER)) || chr(CAST(161 + doc_id * 31 % 700 AS INTEGER))
   ELSE text END AS text, doc_id % 3 <> 0 AS repaired

@@ -219,3 +219,53 @@ def test_stream_previous_turn_carries_state_across_batches(spark, tmp_path):
     assert streamed == batch
     commits = [p for p in (tmp_path / "ckpt" / "commits").iterdir() if not p.name.startswith(".")]
     assert len(commits) >= 2                 # really two micro-batches
+
+
+def _jaccard_brute(rows, size=5, bar=0.8):
+    sets = {}
+    for key, text in rows:
+        w = (text or "").lower().split()
+        sets[key] = frozenset(" ".join(w[i:i + size]) for i in range(max(len(w) - size + 1, 1))) if w else frozenset()
+    first, copies = {}, Counter(sets.values())
+    for key in sorted(sets):
+        first.setdefault(sets[key], key)
+    out = {}
+    for key, own in sets.items():
+        near = [(len(own & o) / len(own | o), first[o]) for o in first if o != own and own and len(own & o) >= bar * len(own | o) - 1e-9]
+        out[key] = (first[own], copies[own], len(near), round(max(near)[0], 6) if near else None,
+                    first[own] == key and all(f > key for _, f in near))
+    return out
+
+
+def _near(spark, rows):
+    df = spark.createDataFrame([(*key, text) for key, text in rows], "doc_id long, passage_no int, text string").repartition(4)
+    return {(r.doc_id, r.passage_no): ((r.first_doc_id, r.first_passage_no), r.copies, r.links, r.best, r.kept)
+            for r in K.near_copies(df).collect()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_near_copies_match_all_pairs(spark, seed):
+    rng = np.random.default_rng(seed)
+    base = [[f"w{x}" for x in rng.integers(0, 60, size=n)] for n in rng.integers(3, 90, size=12)]
+    rows = [((0, 1), None), ((0, 2), ""), ((0, 3), " \n"), ((0, 4), "One two"), ((0, 5), "one  TWO"), ((0, 6), "one two three four five")]
+    for i in range(150):
+        words = list(base[i % 12])
+        for _ in range(int(rng.integers(0, 4))):
+            words[int(rng.integers(0, len(words)))] = f"x{rng.integers(0, 4)}"
+        rows.append(((1 + i // 3, i % 3), " ".join(words + ["tail"] * int(rng.integers(0, 6)))))
+    got, want = _near(spark, rows), _jaccard_brute(rows)
+    assert got == want
+    assert sum(x[2] for x in want.values()) > 100
+
+
+def test_near_copies_of_a_hot_passage(spark):
+    """A third of all rows are one passage, another third share all of its runs but two."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [((i, 1), text) for i in range(60)] + [((i, 2), f"{text} end{i}") for i in range(60)] + [((i, 3), f"other {i} " * 5) for i in range(60)]
+    got = _near(spark, rows)
+    assert got == _jaccard_brute(rows)
+    assert got[(5, 1)] == ((0, 1), 60, 60, round(56 / 57, 6), False) and sum(x[4] for k, x in got.items() if k[1] < 3) == 1
+
+
+def test_near_copies_of_an_empty_table(spark):
+    assert K.near_copies(spark.createDataFrame([], "doc_id long, passage_no int, text string")).count() == 0
