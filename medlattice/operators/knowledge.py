@@ -278,6 +278,9 @@ def _best(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.ndarray, k: i
     return pd.DataFrame({name: np.concatenate([o[j] for o in out]) for j, name in enumerate(("qid", "vid", "cosine"))})
 
 
+PAIRS_A_TASK = 8
+
+
 def _in_blocks(df: DataFrame, key: str, name: str, rows: int) -> tuple[DataFrame, int]:
     """(name: block number, rows: its (id, vec)) with about ``rows`` vectors a block."""
     blocks = max(1, math.ceil(df.count() / rows))
@@ -290,17 +293,21 @@ def retrieve_dense(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k
                    block_rows: int = BLOCK_ROWS) -> DataFrame:
     """K5: exact top-k corpus vectors per query vector by cosine similarity.
 
-    Both sides are packed into blocks of about ``block_rows`` vectors. Every query block
-    meets every corpus block once (an equality join on the block number), a task holds
-    one pair of blocks, keeps the k best per query, and a window picks the global k.
-    Nothing passes through the driver but the two row counts.
+    Both sides are packed into blocks of about ``block_rows`` vectors, and every query block
+    meets every corpus block once. The blocks of the larger side are dealt into parts and
+    shuffled once; each part gets a copy of the other side's blocks, and a task goes through
+    the pairs of some parts, about PAIRS_A_TASK, one pair at a time, and keeps the k best per
+    query. A window picks the global k. Nothing passes through the driver but the two row
+    counts.
     """
     q = queries.select(F.col(qid).alias("qid"), F.col(qvec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
     c = corpus.select(F.col(vid).alias("vid"), F.col(vvec).cast("array<double>").alias("vec")).where("vec IS NOT NULL")
     qb, n = _in_blocks(q, "qid", "qb", block_rows)
     cb, m = _in_blocks(c, "vid", "cb", block_rows)
-    pairs = (cb.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(qb, "qb")
-             .repartition(n * m, "qb", "cb"))
+    stay, moved, at = (cb, qb, "cb") if m >= n else (qb, cb, "qb")
+    parts = min(max(n, m), math.ceil(n * m / PAIRS_A_TASK))
+    stay = stay.withColumn("part", F.pmod(at, F.lit(parts))).repartition(parts, "part")
+    pairs = stay.join(moved.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), "part")
 
     def fn(batches):
         for pdf in batches:

@@ -198,7 +198,8 @@ def icu_stays(icustays: DataFrame) -> DataFrame:
     # a full ranking (no limit): ranked per (subject, time bucket) plus offsets,
     # so a subject with a third of all stays is not sorted in one task
     ties = [F.col(c).asc_nulls_last() for c in ICU_COLS if c != "intime"]
-    ranked = rank_all_by_time(s, "subject_id", "intime", ties, "rn")
+    first = next(c for c in ICU_COLS if c != "intime")
+    ranked = rank_all_by_time(s, "subject_id", "intime", ties, "rn", first_tie=first)
     return ranked.select("subject_id", "rn", *ICU_COLS)
 
 

@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalar import epoch_us
 
@@ -45,41 +46,55 @@ def last_before(df: DataFrame, key: str, order: str, value: Column, out: str, wi
     return out_df.withColumn(out, F.coalesce("_local", "_carry")).drop("_bkt", "_v", "_local", "_carry")
 
 
+def _untimed(df: DataFrame, time_col: str, tie_col: str | None, width: int = 4096) -> Column:
+    """Bucket among the rows without a time: runs of ``width`` of a numeric ``tie_col`` that
+    orders them ascending, NULLs last; 0 for rows with a time, or without such a column."""
+    if tie_col is None or not isinstance(df.schema[tie_col].dataType, T.NumericType):
+        return F.lit(0).cast("long")
+    return F.when(F.col(time_col).isNotNull(), F.lit(0).cast("long")).otherwise(
+        F.coalesce(F.floor(F.col(tie_col) / F.lit(width)).cast("long"), F.lit(2 ** 62)))
+
+
 def rank_all_by_time(df: DataFrame, key: str, time_col: str, ties: Sequence[Column], out: str = "rn",
-                     width_days: int = 30) -> DataFrame:
+                     width_days: int = 30, first_tie: str | None = None) -> DataFrame:
     """Full ranking per key by ``time_col`` DESC NULLS FIRST, then ``ties``:
-    local row numbers per (key, time bucket) plus the number of rows in the
-    buckets that come first (the NULL bucket, then later buckets)."""
+    local row numbers per (key, bucket) plus the number of rows in the buckets that come
+    first: those without a time, cut by ``first_tie`` (the numeric column that ``ties``
+    begin with, ascending, NULLs last), then later times."""
     width = width_days * 86_400 * 1_000_000
     t = epoch_us(time_col)
     # NULL times rank first under DESC: give them the largest bucket
-    b = df.withColumn("_bkt", F.coalesce(F.floor(t / F.lit(width)), F.lit(2 ** 62)))
-    w = Window.partitionBy(key, "_bkt").orderBy(F.col(time_col).desc_nulls_first(), *ties)
+    b = df.withColumn("_bkt", F.coalesce(F.floor(t / F.lit(width)), F.lit(2 ** 62))).withColumn("_sub", _untimed(df, time_col, first_tie))
+    part = [key, "_bkt", "_sub"]
+    w = Window.partitionBy(*part).orderBy(F.col(time_col).desc_nulls_first(), *ties)
     b = b.withColumn("_local", F.row_number().over(w))
-    summ = b.groupBy(key, "_bkt").agg(F.count(F.lit(1)).alias("_n"))
-    wb = Window.partitionBy(key).orderBy(F.col("_bkt").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    summ = b.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    wb = Window.partitionBy(key).orderBy(F.col("_bkt").desc(), "_sub").rowsBetween(Window.unboundedPreceding, -1)
     summ = summ.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0)))
-    out_df = b.join(summ.select(key, "_bkt", "_off"), [key, "_bkt"])
-    return out_df.withColumn(out, (F.col("_local") + F.col("_off")).cast("int")).drop("_bkt", "_local", "_off")
+    out_df = b.join(summ.select(*part, "_off"), part)
+    return out_df.withColumn(out, (F.col("_local") + F.col("_off")).cast("int")).drop("_bkt", "_sub", "_local", "_off")
 
 
 def next_in_key(df: DataFrame, key: str, time_col: str, tie_col: str, carry: Sequence[str],
                 prefix: str = "next_", width_days: int = 1) -> DataFrame:
     """For each row, the ``carry`` columns of the next row within ``key`` under
     (``time_col`` ASC NULLS LAST, ``tie_col`` ASC), as ``prefix + name``:
-    ``lead`` per (key, time bucket), and for the last row of a bucket the first
-    row of the key's next non-empty bucket, taken from a per-bucket summary.
+    ``lead`` per (key, bucket), and for the last row of a bucket the first
+    row of the key's next non-empty bucket, taken from a per-bucket summary. Rows without
+    a time are cut into buckets by a numeric ``tie_col``.
     ``tie_col`` must be non-null (a row key), so both levels agree on the order."""
     width = width_days * 86_400 * 1_000_000
     b = df.withColumn("_bkt", F.coalesce(F.floor(epoch_us(time_col) / F.lit(width)), F.lit(2 ** 62)))
+    b = b.withColumn("_sub", _untimed(df, time_col, tie_col))
+    part = [key, "_bkt", "_sub"]
     payload = F.struct(*[F.col(c).alias(c) for c in carry])
-    w = Window.partitionBy(key, "_bkt").orderBy(F.col(time_col).asc_nulls_last(), F.col(tie_col).asc_nulls_last())
+    w = Window.partitionBy(*part).orderBy(F.col(time_col).asc_nulls_last(), F.col(tie_col).asc_nulls_last())
     b = b.withColumn("_p", payload).withColumn("_local", F.lead("_p").over(w))
     # the bucket's first row: least (time, tie), times in one bucket are all set or all NULL
-    summ = b.groupBy(key, "_bkt").agg(F.min_by("_p", F.struct(time_col, tie_col)).alias("_first"))
-    wb = Window.partitionBy(key).orderBy("_bkt")
+    summ = b.groupBy(*part).agg(F.min_by("_p", F.struct(time_col, tie_col)).alias("_first"))
+    wb = Window.partitionBy(key).orderBy("_bkt", "_sub")
     summ = summ.withColumn("_carry", F.lead("_first").over(wb))
-    out_df = b.join(summ.select(key, "_bkt", "_carry"), [key, "_bkt"])
+    out_df = b.join(summ.select(*part, "_carry"), part)
     nxt = F.coalesce("_local", "_carry")
     return out_df.select(*df.columns, *[nxt[c].alias(prefix + c) for c in carry])
 

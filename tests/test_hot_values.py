@@ -45,3 +45,21 @@ def test_repeated_dictionary_codes_count_as_in_a_join(spark):
     want = Counter((s, c, title) for (s, c, title, _), n in want.items() for _ in range(n))
     got = {(r.subject_id, r.icd_code, r.long_title): r.occurrence_count for r in records.procedure_history(p, t, k=50).collect()}
     assert got == dict(want)
+
+
+def test_rows_without_a_time_are_ranked_in_runs_of_their_ids(spark):
+    """A third of all rows lack a time and share one key."""
+    import datetime as dt
+    from pyspark.sql import Window
+    base = dt.datetime(2150, 1, 1)
+    rows = [(1 if i % 3 == 0 else i % 7, None if i % 3 == 0 else base + dt.timedelta(hours=i * 5 % 400), i * 37 % 30011) for i in range(30_000)]
+    df = spark.createDataFrame(rows, "k long, t timestamp_ntz, x long")
+    sub = df.where("t IS NULL").select(scan._untimed(df, "t", "x").alias("s")).groupBy("s").count()
+    assert sub.agg(F.max("count")).first()[0] <= 4096 and sub.count() == 8
+    w = Window.partitionBy("k").orderBy(F.col("t").desc_nulls_first(), F.col("x"))
+    got = scan.rank_all_by_time(df, "k", "t", [F.col("x").asc_nulls_last()], first_tie="x")
+    assert got.join(df.select("k", "x", F.row_number().over(w).alias("want")), ["k", "x"]).where("rn = want").count() == 30_000
+    up = Window.partitionBy("k").orderBy(F.col("t").asc_nulls_last(), "x")
+    want = df.select("k", "x", F.lead("x").over(up).alias("want"))
+    got = scan.next_in_key(df, "k", "t", "x", ["x"]).join(want, ["k", "x"])
+    assert got.where(F.col("next_x").eqNullSafe(F.col("want"))).count() == 30_000

@@ -269,3 +269,15 @@ def test_near_copies_of_a_hot_passage(spark):
 
 def test_near_copies_of_an_empty_table(spark):
     assert K.near_copies(spark.createDataFrame([], "doc_id long, passage_no int, text string")).count() == 0
+
+
+@pytest.mark.parametrize("n,m", [(7, 60), (60, 7)])
+def test_retrieve_dense_in_many_parts(spark, n, m):
+    """Either side may be the larger one; every query block meets every corpus block."""
+    rng = np.random.default_rng(n)
+    q, c = rng.normal(size=(n * 10, 6)), rng.normal(size=(m * 10, 6))
+    make = lambda name, x: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], f"{name} long, vec array<double>")
+    hits = K.retrieve_dense(spark, make("qid", q), make("vid", c), k=3, block_rows=10).collect()
+    cosine = (q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T
+    want = {(i, r + 1): int(v) for i, row in enumerate(cosine) for r, v in enumerate(np.argsort(-row)[:3])}
+    assert {(h.qid, h.rank): h.vid for h in hits} == want
