@@ -11,7 +11,7 @@ of a side also covers the units before or after the anchor that all its windows
 that a short gram still gives a telling key. A place is 2 * anchor + side.
 
 1. ``shared_anchors``: anchors are packed into compressed blobs by hash bucket, combined
-   in each task first, and the places of anchors that occur in two documents come back.
+   in each task first, and the places of anchors that occur in two texts come back.
 2. An operator's own ``locate`` finds the occurrences in whole texts and cuts the windows
    of each document into blocks, one per occurrence. Equal blocks of a task are combined.
 3. An operator's own ``decide`` tells for the windows of every distinct block the
@@ -146,10 +146,12 @@ _NO_DOCUMENT = np.uint32(0xFFFFFFFF)
 
 
 def shared_anchors(docs: DataFrame, anchors_of, buckets: int) -> DataFrame:
-    """(ord, places array<int>): per document the places of its anchors whose key another
-    document has too. ``anchors_of(text) -> (places, keys)``. ``docs`` from keyed()."""
+    """(tk, places array<int>): per distinct text the places of its anchors whose key another
+    text has too. ``anchors_of(text) -> (places, keys)``. ``docs``: (tk, ck, text), two hashes
+    of the text."""
     def scan(batches):
         held: list[tuple] = []
+        seen: set[tuple] = set()
         size = turn = 0
 
         def flush():
@@ -183,12 +185,15 @@ def shared_anchors(docs: DataFrame, anchors_of, buckets: int) -> DataFrame:
             found = list(flush()) if held else []
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in found], pa.int32()), pa.array([r[1] for r in found], pa.int64()),
                                                pa.array([r[2] for r in found], pa.list_(pa.int32())), pa.array([r[3] for r in found], pa.binary())],
-                                              names=["bucket", "ord", "places", "blob"])
+                                              names=["bucket", "tk", "places", "blob"])
         for part in text_slices(batches):
-            for o, text in zip(part.column("ord").to_pylist(), byte_texts(part.column("text"))):
+            for key, text in zip(zip(part.column("tk").to_pylist(), part.column("ck").to_pylist()), byte_texts(part.column("text"))):
+                if key in seen:
+                    continue
+                seen.add(key)
                 places, keys = anchors_of(text or b"")
                 if len(places):
-                    held.append((o, places, keys))
+                    held.append((key[0], places, keys))
                     size += len(places)
             if size >= FLUSH_ANCHORS:
                 yield rows()
@@ -196,30 +201,27 @@ def shared_anchors(docs: DataFrame, anchors_of, buckets: int) -> DataFrame:
         yield rows()
 
     def meet(rows: pa.Table) -> pa.Table:
-        known = rows.filter(pc.is_valid(rows.column("ord"))).select(["ord", "places"])
+        known = rows.filter(pc.is_valid(rows.column("tk")))
+        lists = known.column("places").combine_chunks()
+        out = [(np.repeat(known.column("tk").to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten().to_numpy())]
         parts = [_unpack(b, np.uint64, np.uint32, np.uint32, np.int64) for b in rows.column("blob").to_pylist() if b is not None]
-        if not parts:
-            return known
-        h = np.concatenate([x[0] for x in parts])
-        lone = np.concatenate([x[1] != _NO_DOCUMENT for x in parts])
-        ids = np.concatenate([x[3][np.minimum(x[1], max(0, len(x[3]) - 1))] if len(x[3]) else np.full(len(x[1]), -1) for x in parts])
-        place = np.concatenate([x[2] for x in parts])
-        order = np.argsort(h, kind="stable")
-        h, lone, ids, place = h[order], lone[order], ids[order], place[order]
-        start = _changes(h)
-        several = (np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)) | ~np.logical_and.reduceat(lone, start)
-        keep = np.repeat(several, np.diff(np.append(start, len(h)))) & lone
-        ids, place = ids[keep], place[keep].astype(np.int32)
-        order = np.argsort(ids, kind="stable")
-        ids, place = ids[order], place[order]
-        edge = _changes(ids)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(edge, len(ids)), pa.int32()), pa.array(place, pa.int32()))
-        met = pa.table({"ord": pa.array(ids[edge], pa.int64()), "places": lists}, schema=known.schema)
-        return pa.concat_tables([known, met])
-
-    packed = docs.select("ord", "text").mapInArrow(scan, "bucket int, ord long, places array<int>, blob binary")
-    return (packed.groupBy("bucket").applyInArrow(lambda rows: meet(rows), "ord long, places array<int>")
-            .groupBy("ord").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("places")))
+        if parts:
+            h = np.concatenate([x[0] for x in parts])
+            lone = np.concatenate([x[1] != _NO_DOCUMENT for x in parts])
+            ids = np.concatenate([x[3][np.minimum(x[1], max(0, len(x[3]) - 1))] if len(x[3]) else np.full(len(x[1]), -1) for x in parts])
+            place = np.concatenate([x[2] for x in parts])
+            order = np.argsort(h, kind="stable")
+            h, lone, ids, place = h[order], lone[order], ids[order], place[order]
+            start = _changes(h)
+            several = (np.minimum.reduceat(ids, start) != np.maximum.reduceat(ids, start)) | ~np.logical_and.reduceat(lone, start)
+            keep = np.repeat(several, np.diff(np.append(start, len(h)))) & lone
+            out.append((ids[keep], place[keep].astype(np.int32)))
+        tk, place = (np.concatenate([x[i] for x in out]) for i in (0, 1))
+        return pa.table([pa.array(tk, pa.int64()), pa.array(place, pa.int32())], names=["tk", "place"])
+
+    packed = docs.select("tk", "ck", "text").mapInArrow(scan, "bucket int, tk long, places array<int>, blob binary")
+    return (packed.groupBy("bucket").applyInArrow(lambda rows: meet(rows), "tk long, place int")
+            .groupBy("tk").agg(F.collect_set("place").alias("places")))
 
 
 # ------------------------------------------------------------------ 2. blocks
@@ -364,6 +366,6 @@ def merged(spans: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def bucket_count(docs: DataFrame, anchors_per_byte: float) -> int:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def bucket_count(size: int, anchors_per_byte: float) -> int:
+    """Buckets for the anchors of ``size`` bytes of text."""
     return max(1, int(size * anchors_per_byte / BUCKET_ANCHORS) + 1)
