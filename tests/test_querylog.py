@@ -3,6 +3,7 @@ for any bucket width; chains across many buckets stay one session."""
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from medlattice.operators import querylog
@@ -100,3 +101,24 @@ def test_stream_sessions_across_batches_with_late_data(spark, tmp_path):
     on_time = [(1, t(10, 0), t(10, 50), 3, 600), (2, t(10, 0), t(10, 30), 1, 50)]
     late = (1, t(9, 0), t(9, 30), 1, 999)
     assert got in (on_time, sorted(on_time + [late]))
+
+
+def test_append_new_compares_keys_before_rows(spark, tmp_path, monkeypatch):
+    """Rows that are new and not repeated are not de-duplicated whole, a batch that is stored
+    already writes nothing; repeats, null keys and partly stored batches give one row a key."""
+    from pyspark.sql import functions as F
+    from medlattice.sources.sinks import append_new
+
+    def keyed(first, last):
+        return spark.range(first, last).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.lit("x").alias("payload"))
+
+    path, rows = str(tmp_path / "t"), keyed(0, 400)
+    with monkeypatch.context() as m:
+        m.setattr(type(rows), "dropDuplicates", lambda *_: pytest.fail("whole rows are shuffled"))
+        append_new(spark, rows, path, "key")
+        files = sorted(p.name for p in (tmp_path / "t").glob("*.parquet"))
+        assert append_new(spark, rows, path, "key").count() == 400
+    assert sorted(p.name for p in (tmp_path / "t").glob("*.parquet")) == files
+    odd = spark.createDataFrame([(None, "n"), (None, "n"), ("k9999", "a"), ("k9999", "a")], "key string, payload string")
+    out = append_new(spark, rows.unionByName(rows).unionByName(keyed(400, 410)).unionByName(odd), path, "key")
+    assert out.count() == out.select("key").distinct().count() == 412
