@@ -200,34 +200,34 @@ def tokens(c: str | Column) -> Column:
     return F.array_remove(F.split(F.lower(c), NON_LETTER), "")
 
 
-def bm25_postings(docs: DataFrame, vocab: DataFrame | None, doc_id: str = "doc_id", text: str = "text",
-                  k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Per (term, doc) BM25 contribution ``idf * tf(k1+1) / (tf + k1(1-b+b*dl/avgdl))``.
-
-    Document length and corpus statistics need no shuffle of the tokens;
-    only tokens in ``vocab`` (the query terms) are exploded and counted, so
-    the token shuffle shrinks to the query vocabulary.
-    """
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    d = d.select("doc_id", tokens("text").alias("toks")).withColumn("dl", F.size("toks"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
+def term_counts(docs: DataFrame, vocab: DataFrame | None, *kept: str) -> DataFrame:
+    """(term, doc_id, dl, ``kept``, tf): how often the terms of ``vocab`` stand in ``docs``
+    (doc_id, text, ``kept``); only these are exploded and counted. dl: all tokens."""
+    d = docs.select("doc_id", *kept, tokens("text").alias("toks")).withColumn("dl", F.size("toks"))
     # explode_outer: a plain explode makes Catalyst infer size(toks) > 0 and push
     # that (a second tokenization) into the scan.
-    t = d.select("doc_id", "dl", F.explode_outer("toks").alias("term"))
+    t = d.select("doc_id", *kept, "dl", F.explode_outer("toks").alias("term"))
     if vocab is not None:
-        t = t.join(vocab.select("term").distinct(), "term", "left_semi")
+        t = t.join(vocab, "term", "left_semi")
     else:
         t = t.filter(F.col("term").isNotNull())
-    tf = t.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    # Document frequency as an aggregate of the postings (partial, so a term
-    # found in every document is no hot partition) and joined back by term.
-    # It reads tf's own shuffle (ReusedExchange): the corpus is tokenized once.
+    return t.groupBy(*kept, "term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def idf(tf: DataFrame, n_docs: int) -> DataFrame:
+    """(term, idf) of ``term_counts``: an aggregate with partials, so a term found in every
+    document is no hot partition."""
     df_t = tf.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, 1).otherwise(0)).alias("df"))
-    idf = F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return df_t.select("term", F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def bm25_weight(avgdl: float, k1: float = 1.2, b: float = 0.75) -> Column:
+    """BM25 contribution ``idf * tf(k1+1) / (tf + k1(1-b+b*dl/avgdl))`` of a row with idf, tf and dl."""
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl if avgdl > 0 else 1.0))
-    return tf.join(df_t, "term").select(
-        "term", "doc_id", (idf * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("w"))
+    return F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)
+
+
+DOCS_A_BLOCK = 1024
 
 
 def retrieve_lexical(questions: DataFrame, docs: DataFrame, k: int = 3, qid: str = "question_id",
@@ -235,10 +235,23 @@ def retrieve_lexical(questions: DataFrame, docs: DataFrame, k: int = 3, qid: str
     """K4: top-k documents per question by BM25 over distinct query terms.
     Scores are rounded to 6 places before ranking (sum order is not fixed);
     ties go to the smaller doc id. ``relevance_score`` scales each
-    question's scores to [0, 1] by its best score."""
+    question's scores to [0, 1] by its best score.
+
+    Documents are shuffled once, into blocks of about DOCS_A_BLOCK. Their terms are counted,
+    meet the questions' terms (broadcast while Spark takes them for small, else shuffled by
+    term), are added up and cut to the k best of each question inside the block, so neither
+    postings nor scores are shuffled, and what a task holds does not grow with the documents."""
     q = questions.select(F.col(qid).alias("qid"), F.explode(F.array_distinct(tokens(qtext))).alias("term"))
-    post = bm25_postings(docs, q, doc_id, text)
-    scores = q.join(post, "term").groupBy("qid", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
+    vocab = q.select("term").distinct()
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens("text"))).alias("avgdl")).first()
+    blocks = max(1, math.ceil(stats["n"] / DOCS_A_BLOCK))
+    d = d.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks))).repartition(blocks, "block")
+    tf = term_counts(d, vocab, "block")
+    asked = _written(q.join(idf(tf, int(stats["n"])), "term"), "asked-terms")    # its size, not that of the documents, decides the join
+    met = tf.join(asked, "term")
+    scores = (met.groupBy("block", "qid", "doc_id").agg(F.round(F.sum(bm25_weight(float(stats["avgdl"] or 0.0))), 6).alias("score"))
+              .drop("block"))
     top = top_k_per_key(scores, ["qid"], [F.col("score").desc(), F.col("doc_id").asc()], k, rank_col="rank",
                         order_names=["score", "doc_id"])
     best = F.max("score").over(Window.partitionBy("qid"))

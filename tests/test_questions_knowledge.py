@@ -281,3 +281,21 @@ def test_retrieve_dense_in_many_parts(spark, n, m):
     cosine = (q / np.linalg.norm(q, axis=1)[:, None]) @ (c / np.linalg.norm(c, axis=1)[:, None]).T
     want = {(i, r + 1): int(v) for i, row in enumerate(cosine) for r, v in enumerate(np.argsort(-row)[:3])}
     assert {(h.qid, h.rank): h.vid for h in hits} == want
+
+
+def test_lexical_scores_stay_in_their_block(spark, monkeypatch):
+    """Any number of blocks gives the same rows, repeated documents included, and neither
+    postings nor (question, document) scores are shuffled."""
+    docs = spark.createDataFrame([(i, " ".join(["alpha", "beta", "gamma", "delta"][: 1 + i % 4] * (1 + i % 3))) for i in range(40)] + [(7, "alpha beta")],
+                                 "doc_id long, text string")
+    qs = spark.createDataFrame([(1, "alpha delta"), (2, "gamma gamma beta"), (3, "nothing"), (4, None)], "question_id long, question string")
+    whole = K.retrieve_lexical(qs, docs)
+    want = sorted(whole.collect())
+    assert len(want) == 6
+    monkeypatch.setattr(K, "DOCS_A_BLOCK", 3)
+    got = K.retrieve_lexical(qs, docs)
+    assert sorted(got.collect()) == want
+    from __spark_entry__ import queries
+    plan = queries()["retrieve_lexical"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert dealt and not [line for line in dealt if "doc_id" in line], dealt
