@@ -264,6 +264,7 @@ def retrieve_lexical(questions: DataFrame, docs: DataFrame, k: int = 3, qid: str
 
 BLOCK_ROWS = 4096
 TILE_QUERIES = 1024
+ROWS_OUT = 16384
 _HITS = "qid long, vid long, cosine double"
 
 
@@ -335,6 +336,18 @@ def retrieve_dense(spark: SparkSession, queries: DataFrame, corpus: DataFrame, k
 
 # --- K6 ------------------------------------------------------------------------------
 
+def _probed(q: np.ndarray, centres: np.ndarray, held: np.ndarray, margin: float, k: int) -> np.ndarray:
+    """(queries, cells): which cells each of the unit vectors ``q`` probes: those within
+    ``margin`` of its closest one, and the closest ones until k vectors are in them."""
+    near = np.nan_to_num(q @ centres.T, nan=-1.0)
+    order = np.argsort(-near, axis=1, kind="stable")
+    close = np.take_along_axis(near, order, 1) >= near.max(axis=1, keepdims=True) - margin
+    before = np.cumsum(held[order], axis=1) - held[order]
+    out = np.zeros(near.shape, bool)
+    np.put_along_axis(out, order, (close | (before < k)) & (held[order] > 0), 1)
+    return out
+
+
 class CellIndex:
     """Corpus vectors by nearest k-means centroid (about sqrt(n) cells, fitted by Spark).
     A query probes every cell whose centroid is within ``margin`` (in cosine) of its closest
@@ -386,36 +399,57 @@ class CellIndex:
                     yield pdf.assign(cell=(_unit(pdf["vec"]) @ centres.T).argmax(axis=1).astype("int32"))
         return fn
 
-    def probes(self, queries: DataFrame, k: int) -> DataFrame:
-        """(qid, vec, cell): the cells that each query probes."""
+    def _sent(self, queries: DataFrame, k: int, groups: np.ndarray, name: str) -> DataFrame:
+        """(qid, vec, ``name``): each query with the numbers in ``groups`` (one a cell) of the
+        cells that it probes, each once. Rows leave in batches of at most ROWS_OUT vectors."""
         centres, held, margin = self.centres, self.held, self.margin(k)
 
         def fn(batches):
+            of = np.zeros((len(groups), int(groups.max()) + 1), np.int32)
+            of[np.arange(len(groups)), groups] = 1
             for pdf in batches:
-                if len(pdf):
-                    near = np.nan_to_num(_unit(pdf["vec"]) @ centres.T, nan=-1.0)
-                    order = np.argsort(-near, axis=1, kind="stable")
-                    close = np.take_along_axis(near, order, 1) >= near.max(axis=1, keepdims=True) - margin
-                    before = np.cumsum(held[order], axis=1) - held[order]
-                    i, j = np.nonzero((close | (before < k)) & (held[order] > 0))
-                    yield pd.DataFrame({"qid": pdf["qid"].to_numpy()[i], "vec": pdf["vec"].to_numpy()[i], "cell": order[i, j].astype("int32")})
+                for at in range(0, len(pdf), TILE_QUERIES):
+                    tile = pdf.iloc[at:at + TILE_QUERIES]
+                    i, j = np.nonzero(_probed(_unit(tile["vec"]), centres, held, margin, k) @ of)
+                    for lo in range(0, len(i), ROWS_OUT):
+                        to = i[lo:lo + ROWS_OUT]
+                        yield pd.DataFrame({"qid": tile["qid"].to_numpy()[to], "vec": tile["vec"].to_numpy()[to], name: j[lo:lo + ROWS_OUT].astype("int32")})
         return queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL") \
-            .mapInPandas(fn, "qid long, vec array<double>, cell int")
+            .mapInPandas(fn, f"qid long, vec array<double>, {name} int")
+
+    def probes(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, vec, cell): the cells that each query probes."""
+        return self._sent(queries, k, np.arange(len(self.centres)), "cell")
 
     def search(self, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-        asked = self.probes(queries, k)
-        load = asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("chunks"))
-        shape = self.sizes.select("cell", "parts").join(load, "cell")
-        key = ["cell", "part", "chunk"]
-        left = (self.cells.join(shape, "cell").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
-                .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*key, "vid", "vec"))
-        right = (asked.join(shape, "cell").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
+        """The k best of every query in each shard. Cells are laid together to shards of about
+        ``block_rows`` vectors, so a query is sent once to a shard, not to each of its cells;
+        there it meets the vectors of those cells only that it probes."""
+        shards = ((np.cumsum(self.held) - self.held) // block_rows).astype(np.int32)
+        sizes = np.bincount(shards, self.held)
+        shape = self.cells.sparkSession.createDataFrame([(i, max(1, math.ceil(n / block_rows))) for i, n in enumerate(sizes.tolist())], "shard int, parts int")
+        numbers = F.array(*[F.lit(i) for i in shards.tolist()])
+        asked = self._sent(queries, k, shards, "shard")
+        shape = shape.join(asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("chunks")), "shard")
+        key = ["shard", "part", "chunk"]
+        left = (self.cells.withColumn("shard", numbers[F.col("cell")]).join(shape, "shard")
+                .withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
+                .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(*key, "cell", "vid", "vec"))
+        right = (asked.join(shape, "shard").withColumn("chunk", F.pmod(F.xxhash64("qid"), F.col("chunks")).cast("int"))
                  .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(*key, "qid", "vec"))
+        centres, held, margin = self.centres, self.held, self.margin(k)
 
         def fn(rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-            if not len(rows) or not len(qs):
-                return pd.DataFrame({"qid": [], "vid": [], "cosine": []}).astype({"qid": "int64", "vid": "int64"})
-            return _best(qs["qid"].to_numpy(), _unit(qs["vec"]), rows["vid"].to_numpy(), _unit(rows["vec"]), k)
+            found = [pd.DataFrame({"qid": [], "vid": [], "cosine": []}).astype({"qid": "int64", "vid": "int64"})]
+            if len(rows) and len(qs):
+                q, v = _unit(qs["vec"]), _unit(rows["vec"])
+                wanted = np.concatenate([_probed(q[at:at + TILE_QUERIES], centres, held, margin, k) for at in range(0, len(q), TILE_QUERIES)])
+                for cell, at in rows.groupby("cell").indices.items():
+                    ask = np.flatnonzero(wanted[:, cell])
+                    if len(ask):
+                        found.append(_best(qs["qid"].to_numpy()[ask], q[ask], rows["vid"].to_numpy()[at], v[at], k))
+            hits = pd.concat(found[1:] or found)
+            return hits.sort_values(["qid", "cosine", "vid"], ascending=[True, False, True], na_position="last").groupby("qid").head(k)
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(fn, _HITS)
 
 

@@ -299,3 +299,29 @@ def test_lexical_scores_stay_in_their_block(spark, monkeypatch):
     plan = queries()["retrieve_lexical"](spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
     dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert dealt and not [line for line in dealt if "doc_id" in line], dealt
+
+
+def test_cell_index_search_is_exact_in_the_probed_cells(spark):
+    """Shards of any size give the best vectors of exactly the probed cells, and a query is
+    sent once to a shard, in batches of few vectors."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(400, 6))
+    c = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vid long, vec array<double>")
+    q = c.select(F.col("vid").alias("qid"), "vec")
+    index = K.CellIndex(c, sample=64)
+    cell = {r["vid"]: r["cell"] for r in index.cells.select("vid", "cell").collect()}
+    probed = {}
+    for r in index.probes(q, 3).select("qid", "cell").collect():
+        probed.setdefault(r["qid"], set()).add(r["cell"])
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 6)
+    want = {i: sorted(((-sims[i, v], v) for v in range(400) if cell[v] in probed[i]))[:3] for i in range(400)}
+    for block_rows in (4096, 60, 7):
+        got = {}
+        for r in index.search(q, 3, block_rows).collect():
+            got.setdefault(r["qid"], []).append((-r["cosine"], r["vid"]))
+        assert {i: sorted(rows)[:3] for i, rows in got.items()} == want
+    shards = np.arange(len(index.centres)) // 5
+    sent = index._sent(q, 3, shards, "shard").groupBy("qid", "shard").count()
+    assert sent.where("count > 1").count() == 0 and sent.count() < sum(map(len, probed.values()))
