@@ -8,11 +8,10 @@ model holds, for every order, one sorted array of n-gram keys (perfect hashes of
 the symbols as digits) and the log probabilities of all languages beside it. A text gets
 the language of lowest cross-entropy per symbol.
 
-Size bound of the broadcast model: ``max_bytes``. 4-grams below a least count are left out
-of the model, the smallest power of two with which all languages' arrays fit; the counting
-itself covers every row and grows with the input. So a column of many (or dirty) languages
-makes the model coarser, it never stops the query. With the default bound and few languages
-the least count is 1: nothing is left out.
+Size of the broadcast model: it holds every 4-gram that a training row holds, so it does not
+depend on how large the input is which of them count. It grows with the distinct 4-grams, not
+with the rows. ``max_bytes``, if a caller sets it, bounds it instead: 4-grams below a least
+count are then left out, the smallest power of two with which all languages' arrays fit.
 
 Rejection is calibrated on the scored training documents: a language's threshold is the
 cross-entropy that ``accept`` of its own documents stay below.
@@ -34,7 +33,6 @@ BITS = 16
 ALPHABET = 1 << BITS
 UNKNOWN = "und"
 ACCEPT = 0.995
-MAX_BYTES = 384 << 20
 _BORDER, _SKIP = 0, ALPHABET - 1
 _PRIVATE = 0xE000, 0xF900 - 0xE000            # numbers that are no letters, for letters beyond 16 bits
 _PIECE = 1 << 20
@@ -200,11 +198,11 @@ def least_count(table: DataFrame, max_bytes: int) -> int:
     return 1 << power
 
 
-def fit(training: DataFrame, max_bytes: int = MAX_BYTES) -> dict:
+def fit(training: DataFrame, max_bytes: int | None = None) -> dict:
     """Model from ``training`` (text, lang); rows with a null text or lang do not count.
-    What reaches the driver is bounded by ``max_bytes`` through the least count."""
+    All 4-grams reach the driver, or with ``max_bytes`` those that its least count leaves."""
     table = materialize(language_counts(training.where("text IS NOT NULL AND lang IS NOT NULL")), "gram-counts")
-    least = least_count(table, max_bytes)
+    least = 1 if max_bytes is None else least_count(table, max_bytes)
     kept = table if least == 1 else table.join(table.groupBy("key").agg(F.max("n").alias("most")).where(F.col("most") >= least), "key", "left_semi")
     arrow = kept.select("lang", "key", "n").toArrow()
     lang = arrow.column("lang").combine_chunks().dictionary_encode()
@@ -266,7 +264,7 @@ def entropies(docs: DataFrame, model: dict) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, label string, train boolean, best string, entropy double, posterior double, symbols long")
 
 
-def identify(docs: DataFrame, train, accept: float = ACCEPT, max_bytes: int = MAX_BYTES) -> DataFrame:
+def identify(docs: DataFrame, train, accept: float = ACCEPT, max_bytes: int | None = None) -> DataFrame:
     """Language of every row of ``docs`` (doc_id, text, lang). ``train``: condition for
     the rows that may be learned from; of these, rows with a lang are.
 

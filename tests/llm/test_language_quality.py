@@ -132,6 +132,14 @@ def test_many_languages_make_the_model_coarser(frame):
     assert size <= small and len(language.identify(docs, F.lit(True), max_bytes=small).collect()) == 36
 
 
+def test_no_gram_is_left_out_unless_asked_for(frame, monkeypatch):
+    """Which 4-grams count does not depend on the size of the input."""
+    monkeypatch.setattr(language, "least_count", lambda *_: 1024)
+    docs = frame([(0, "the cat and the dog"), (1, "a word that stands once")], "en")
+    held = language.fit(docs.select("text", "lang"))["grams"][language.ORDER][0]
+    assert len(held) == language.language_counts(docs.select("text", "lang")).count() > 0
+
+
 def test_held_out_language(spark):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = op2_language(spark, SF).collect()
