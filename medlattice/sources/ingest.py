@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import scalar as S
+from ..session import scratch_path
 from .specs import APPEND, COUNTED_TABLES, FIRST_WINS, LOAD_ORDER, SPECS, TableSpec
 
 _SPARK_TYPES = {"int": T.IntegerType(), "long": T.LongType(), "short": T.ShortType(),
@@ -231,6 +232,9 @@ def referential_split(df: DataFrame, spec: TableSpec, parents: dict[str, DataFra
     keys = [(spec.name, column, parent, parent_column) for column, parent, parent_column in spec.fks]
     tables = {parent: parents.get(parent) for _, parent, _ in spec.fks if parent != spec.name}
     orphans = key_orphans({**tables, spec.name: df}, keys)
+    aside = scratch_path(df.sparkSession, "orphans")       # found once; their size decides the joins, so few of them leave the table's rows in place
+    orphans.write.parquet(aside)
+    orphans = df.sparkSession.read.schema(orphans.schema).parquet(aside)
     tagged = df
     for i, (column, _, _) in enumerate(spec.fks):
         lost = orphans.where(F.col("key") == i).select(F.col("value").alias(f"_lost{i}"))

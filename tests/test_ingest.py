@@ -196,3 +196,23 @@ def test_key_orphans_in_one_pass(spark):
     assert sorted(map(tuple, got.collect())) == [(0, "2", 1), (1, "9", 1), (2, "7", 2), (2, "8", 1)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan
+
+
+def test_few_orphans_leave_the_rows_in_place(spark):
+    """The orphaned keys are found once; when they are few, the table's rows are not shuffled to meet them."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import functions as F
+    from medlattice.sources import ingest as I
+
+    child = spark.range(200000).select("id", (F.col("id") % 1000).alias("parent_id"))
+    spec = SimpleNamespace(name="child", fks=[("parent_id", "parent", "key")])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
+    try:
+        good, lost = I.referential_split(child, spec, {"parent": spark.range(998).select(F.col("id").alias("key"))})
+        for part, rows in ((good, 199600), (lost, 400)):
+            assert "Exchange hashpartitioning" not in part._jdf.queryExecution().executedPlan().toString()
+            assert part.count() == rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
