@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import knowledge as K
 from ..session import scratch_path
-from ..sources.documents import read_documents
+from ..sources.documents import read_documents, write_documents
 from .bindings import ClinicalTables
 from .catalog import register
 
@@ -169,9 +169,8 @@ def q_retrieve_dense_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'doc-' || CAST(doc_id AS VARCHAR) || '.md' AS document_name, text || chr(10) AS text FROM documents""")
 def q_document_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One markdown file per document in a folder, read back whole.
-    (Spark's text writer ends each file with a newline.)"""
+    (Each file ends with a newline, as Spark's text writer ends it.)"""
     d = ClinicalTables(spark, sf_dir).raw("documents")
     root = scratch_path(spark, "kb_docs")
-    (d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("document_name"), "text")
-     .repartition("document_name").write.mode("overwrite").partitionBy("document_name").text(root))
+    write_documents(d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".md")).alias("document_name"), "text"), root)
     return read_documents(spark, root).select("document_name", "text")

@@ -2,9 +2,64 @@
 
 from __future__ import annotations
 
+import os
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+FOLDERS = 256                       # a folder is listed by one task
+_NO_NAME = "__HIVE_DEFAULT_PARTITION__"
+_PLAIN = r"^[A-Za-z0-9][A-Za-z0-9 ._-]*$"
+
+
+def _mounted(spark: SparkSession, root: str) -> str | None:
+    """``root`` as a path that every task can open: a folder of the shared checkpoint storage
+    that is mounted as files. None elsewhere (an object store, HDFS)."""
+    shared = spark.sparkContext.getCheckpointDir() or ""
+    if root.startswith("file:"):
+        return "/" + root[len("file:"):].lstrip("/")
+    return root if root.startswith("/") and shared.startswith("file:") else None
+
+
+def write_documents(docs: DataFrame, root: str) -> None:
+    """One file per document of ``docs`` (document_name, text) under ``root``, each text with a
+    newline after it (NULL: the newline alone); texts of one name share its file, documents
+    without a name that of Hive's default name. A name that is no plain file name is given by
+    a folder of its own. Where ``root`` is mounted as files, each task
+    writes its documents itself, into FOLDERS folders: Spark's writer makes and commits a folder
+    for every document, and starts a process for the rights of each file there. A file gets its
+    name when it is complete, so a task that runs again replaces what it left."""
+    path = _mounted(docs.sparkSession, root)
+    if path is None:
+        docs.repartition("document_name").write.mode("overwrite").partitionBy("document_name").text(root)
+        return
+
+    def write(batches):
+        last, out, written = None, None, 0
+        for part in batches:
+            for folder, name, text in zip(*(part.column(c).to_pylist() for c in ("folder", "document_name", "text"))):
+                if (folder, name) != last:
+                    if out is not None:
+                        out.close()
+                        os.replace(f"{into}/.{label}", f"{into}/{label}")
+                    last, label = (folder, name), "document.md" if "=" in folder else name
+                    into = f"{path}/{folder}"
+                    os.makedirs(into, exist_ok=True)
+                    out, written = open(f"{into}/.{label}", "wb"), written + 1
+                out.write((text or "").encode() + b"\n")
+        if out is not None:
+            out.close()
+            os.replace(f"{into}/.{label}", f"{into}/{label}")
+        yield pa.RecordBatch.from_arrays([pa.array([written], pa.int64())], names=["written"])
+
+    name = F.coalesce(F.nullif(F.col("document_name"), F.lit("")), F.lit(_NO_NAME))
+    folder = F.when(name.rlike(_PLAIN), F.lpad(F.pmod(F.xxhash64(name), F.lit(FOLDERS)).cast("string"), 4, "0")).otherwise(
+        F.concat(F.lit("document_name="), F.url_encode(name)))
+    rows = docs.select(folder.alias("folder"), name.alias("document_name"), "text")
+    rows = rows.repartition("document_name").sortWithinPartitions("folder", "document_name")
+    rows.mapInArrow(write, "written long").agg(F.sum("written")).first()
+
 
 def read_documents(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """One row per file under ``root`` (any depth): ``document_name`` (the
