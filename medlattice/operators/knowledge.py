@@ -76,35 +76,64 @@ def _written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def similar_sets(sets: DataFrame, similarity: float = 0.8) -> DataFrame:
+COUNTERS = 1 << 17
+
+
+def common_order(sets: DataFrame, items: str = "items") -> bytes:
+    """How common the items of ``sets`` are: they are counted over all sets in COUNTERS counters,
+    by their value, and each counter's place among the others by its count, rarest first, is given
+    in two bytes. Items that share a counter share its place, so with their value as a tie this is
+    one order of all items, rare ones first as far as the counters tell them apart."""
+    at = F.pmod(F.col("item"), F.lit(COUNTERS)).cast("int")
+    counted = sets.select(F.explode(items).alias("item")).groupBy(at.alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    n = np.zeros(COUNTERS, np.int64)
+    for part in counted.collect():                                         # at most COUNTERS rows
+        n[part["at"]] = part["n"]
+    return (np.searchsorted(np.sort(n), n) * 65536 // COUNTERS).astype(">u2").tobytes()
+
+
+def prefix(items: str | Column, order: bytes, similarity: float) -> Column:
+    """The first m - ceil(similarity * m) + 1 of m items, rare ones first by ``common_order``."""
+    items = F.col(items) if isinstance(items, str) else items
+    place = F.lit(order)
+    placed = F.transform(items, lambda x: F.struct(F.substring(place, (F.pmod(x, F.lit(COUNTERS)) * 2 + 1).cast("int"), F.lit(2)).alias("n"), x.alias("item")))
+    m = F.size(items)
+    return F.transform(F.slice(F.array_sort(placed), F.lit(1), (m - F.ceil(m * similarity - 1e-9) + 1).cast("int")), lambda x: x["item"])
+
+
+def similar_sets(sets: DataFrame, prefixes: DataFrame, similarity: float = 0.8) -> DataFrame:
     """All pairs (a, b, similarity) of the sets (id, items) with a Jaccard similarity of at
-    least ``similarity``, each once. Exact, by prefixes: with the items of every set in one
-    order, rare ones first, two such sets share an item of their first
-    m - ceil(similarity * m) + 1. A pair meets on (item, length class), is dropped where the
+    least ``similarity``, each once; an id that stands in several rows has the same items in
+    all. Exact, by prefixes: with the items of every set in one order, rare ones first, two
+    such sets share an item of their first m - ceil(similarity * m) + 1 (``prefixes``: id, m,
+    head). A pair meets on (item, length class), is dropped where the
     lengths or the items after the first common one cannot reach the similarity, and is
     verified on the whole sets. A common item stands in a prefix only where a set has hardly
     any other; what then meets on it is split by length, and by AQE into pieces of both sides.
+    The places and lengths of an index row are packed, and only prefixes are shuffled by item.
     """
     tiny = 1e-9
-    exploded = sets.select("id", F.size("items").alias("m"), F.explode("items").alias("item"))
-    seen = exploded.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    order = (exploded.join(seen, "item").groupBy("id", "m")
-             .agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("order")))
-    head = (F.col("m") - F.ceil(F.col("m") * similarity - tiny) + 1).cast("int")
-    index = (order.select("id", "m", F.posexplode(F.slice("order", F.lit(1), head)).alias("at", "o")).where("o.n > 1")
-             .select("id", "m", "at", "o.item", F.floor(F.log("m") / -math.log(similarity) + tiny).alias("step")))
-    short = index.select(F.col("id").alias("a"), F.col("m").alias("ma"), F.col("at").alias("at_a"), "item",
-                         F.explode(F.array("step", F.col("step") + 1)).alias("step"))
-    long = index.select(F.col("id").alias("b"), F.col("m").alias("mb"), F.col("at").alias("at_b"), "item", "step")
-    bar = (F.col("ma") + F.col("mb")) * similarity - tiny           # both >= bar <=> common * (1 + similarity) >= bar
-    rest = 1 + F.least(F.col("ma") - 1 - F.col("at_a"), F.col("mb") - 1 - F.col("at_b"))
-    met = (short.join(long, ["item", "step"])
-           .where((F.col("ma") < F.col("mb")) | ((F.col("ma") == F.col("mb")) & (F.col("a") < F.col("b"))))
-           .where((F.col("ma") >= F.col("mb") * similarity - tiny) & (rest * (1 + similarity) >= bar))
+    step = F.floor(F.log("m") / -math.log(similarity) + tiny)
+    # length and place in one number; rows that meet under a clash of the key are told apart by the whole sets
+    index = prefixes.where("m > 0").select("id", step.alias("step"), F.posexplode("head").alias("at", "item"), "m").select(
+        "id", "step", "item", (F.shiftleft(F.col("m").cast("long"), 32) + F.col("at")).alias("m_at"))
+    key = F.xxhash64("item", "step").alias("key")
+    short = index.withColumn("step", F.explode(F.array("step", F.col("step") + 1))).select(F.col("id").alias("a"), F.col("m_at").alias("ma_at"), key)
+    long = index.select(F.col("id").alias("b"), F.col("m_at").alias("mb_at"), key)
+
+    def parts(c: str) -> tuple[Column, Column]:
+        return F.shiftright(c, 32), F.col(c).bitwiseAND(F.lit((1 << 32) - 1))
+    (ma, at_a), (mb, at_b) = parts("ma_at"), parts("mb_at")
+    bar = (ma + mb) * similarity - tiny                                     # both >= bar <=> common * (1 + similarity) >= bar
+    rest = 1 + F.least(ma - 1 - at_a, mb - 1 - at_b)
+    met = (short.join(long, "key").where((ma < mb) | ((ma == mb) & (F.col("a") < F.col("b"))))
+           .where((ma >= mb * similarity - tiny) & (rest * (1 + similarity) >= bar))
            .select("a", "b").distinct())
-    whole = (met.join(sets.select(F.col("id").alias("a"), F.col("items").alias("_a")), "a")
-             .join(sets.select(F.col("id").alias("b"), F.col("items").alias("_b")), "b")
+    once = sets.groupBy("id").agg(F.first("items").alias("items"))
+    whole = (met.join(once.select(F.col("id").alias("a"), F.col("items").alias("_a")), "a")
+             .join(once.select(F.col("id").alias("b"), F.col("items").alias("_b")), "b")
              .select("a", "b", F.size("_a").alias("ma"), F.size("_b").alias("mb"), F.size(F.array_intersect("_a", "_b")).alias("common")))
+    bar = (F.col("ma") + F.col("mb")) * similarity - tiny
     return (whole.where(F.col("common") * (1 + similarity) >= bar)
             .select("a", "b", (F.col("common") / (F.col("ma") + F.col("mb") - F.col("common"))).alias("similarity")))
 
@@ -120,16 +149,17 @@ def near_copies(passages: DataFrame, keys: tuple[str, str] = ("doc_id", "passage
     hashed = passages.select(*keys, shingle_set(text, size).alias("items"))
     hashed = hashed.withColumn("id", F.unhex(F.md5(F.array_join(F.col("items").cast("array<string>"), ","))))
     hashed = _written(hashed, "shingles")
-    classes = _written(hashed.groupBy("id").agg(F.min(F.struct(*keys)).alias("first"), F.count(F.lit(1)).alias("copies"),
-                                                F.first("items").alias("items")), "classes")
-    pairs = similar_sets(classes.select("id", "items"), similarity)
+    told = hashed.select(*keys, "id", F.size("items").alias("m"), prefix("items", common_order(hashed), similarity).alias("head"))
+    classes = _written(told.groupBy("id").agg(F.min(F.struct(*keys)).alias("first"), F.count(F.lit(1)).alias("copies"),
+                                              F.first("m").alias("m"), F.first("head").alias("head")), "classes")
+    pairs = similar_sets(hashed.select("id", "items"), classes.select("id", "m", "head"), similarity)
     pairs = (pairs.join(classes.select(F.col("id").alias("a"), F.col("first").alias("_a")), "a")
              .join(classes.select(F.col("id").alias("b"), F.col("first").alias("_b")), "b"))
     ends = pairs.select(F.explode(F.array(
         F.struct(F.col("a").alias("id"), (F.col("_b") < F.col("_a")).alias("later"), "similarity"),
         F.struct(F.col("b").alias("id"), (F.col("_a") < F.col("_b")).alias("later"), "similarity"))).alias("e")).select("e.*")
     linked = ends.groupBy("id").agg(F.count(F.lit(1)).alias("links"), F.max("similarity").alias("best"), F.max("later").alias("later"))
-    told = classes.drop("items").join(linked, "id", "left")
+    told = classes.drop("m", "head").join(linked, "id", "left")
     return hashed.drop("items").join(told, "id").select(
         *keys, *[F.col(f"first.{k}").alias(f"first_{k}") for k in keys], "copies", F.coalesce("links", F.lit(0)).alias("links"),
         F.round("best", 6).alias("best"),
