@@ -190,3 +190,27 @@ def test_merged_transforms(seed):
 def test_digest_of_kept_words(frame):
     row = passages.remove_repeats(frame([(1, " a\tb  c\n")])).first()
     assert hashlib.sha256(row.kept.encode()).hexdigest() == hashlib.sha256(b"a b c").hexdigest()
+
+
+def test_occurrences_of_hot_blocks_are_joined_in_packs():
+    """Spans of a hot block's occurrences: as by hand, one row for each text of a task's share."""
+    import pyarrow as pa
+    rng = random.Random(4)
+    rows, want = [], {}
+    for _ in range(40):
+        n, r = rng.randrange(1, 9), rng.randrange(1, 6)
+        o, tk, first = [rng.randrange(12) for _ in range(n)], [rng.randrange(2) for _ in range(n)], [rng.randrange(4000) for _ in range(n)]
+        runs = [(i, i + rng.randrange(3), rng.randrange(12)) for i in rng.sample(range(30), r)]
+        rows.append(dict(ords=o, tks=tk, firsts=first, **{f"{c}s": [x[j] for x in runs] for j, c in enumerate(("i0", "i1", "wlo"))}))
+        for ord_, t, f in zip(o, tk, first):
+            for i0, i1, wlo in runs:
+                if ord_ > wlo:
+                    want.setdefault((ord_, t), set()).update(range(f + i0, f + i1 + 50))
+    kinds = {c: pa.list_(pa.int32() if c in ("firsts", "i0s", "i1s") else pa.int64()) for c in rows[0]}
+    batch = pa.RecordBatch.from_pydict({c: pa.array([r[c] for r in rows], t) for c, t in kinds.items()})
+    out = [r for part in byte_repeats._hot_spans([batch]) for r in part.to_pylist()]
+    assert len(out) == len(want)
+    for r in out:
+        spans = [(s >> 32, s & 0xFFFFFFFF) for s in r["spans"]]
+        assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+        assert {x for b, e in spans for x in range(b, e)} == want[r["ord"], r["tk"]]
