@@ -12,7 +12,7 @@ that outgrows the threshold falls back to a shuffle join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -32,6 +32,11 @@ def _ranked(df: DataFrame, order, ties: list[str], k: int | None, key: str = "su
     return top_k_per_key(df, [key], list(order) + tie_cols, k, order_names=list(df.columns))
 
 
+def dealt(df: DataFrame, tasks: int | None) -> DataFrame:
+    """``df`` dealt by subject to ``tasks`` tasks, where what follows by subject stays; as it is without."""
+    return df if tasks is None else df.repartition(tasks, "subject_id")
+
+
 # Q1 ------------------------------------------------------------------------
 
 def subject_exists(requests: DataFrame, patients: DataFrame) -> DataFrame:
@@ -106,16 +111,20 @@ def _titles(dictionary: DataFrame) -> DataFrame:
 
 
 def diagnosis_counts(diagnoses: DataFrame, d_icd_diagnoses: DataFrame, admissions: DataFrame,
-                     k: int = 10) -> DataFrame:
+                     k: int = 10, tasks: int | None = None) -> DataFrame:
     """Diagnoses grouped by (code, version, title, seq) with count and latest admit. The
-    events are counted by code; the titles meet the groups only."""
+    events are counted by code; the titles meet the groups only, and where no title is held
+    twice under its code, so that none changes a count, only the first k groups per subject."""
     d = diagnoses.select("subject_id", "hadm_id", "seq_num", "icd_code", "icd_version")
     a = admissions.select("hadm_id", "admittime")
-    codes = (d.join(a, "hadm_id", "left").groupBy("subject_id", "icd_code", "icd_version", "seq_num")
+    codes = (dealt(d.join(a, "hadm_id", "left"), tasks).groupBy("subject_id", "icd_code", "icd_version", "seq_num")
              .agg(F.count(F.lit(1)).alias("_n"), F.max("admittime").alias("most_recent")))
-    g = codes.join(_titles(d_icd_diagnoses), ["icd_code", "icd_version"], "left").withColumn(
+    titles = _titles(d_icd_diagnoses)
+    if titles.where("_repeats > 1").isEmpty():
+        codes = _ranked(codes, [desc("_n"), asc("seq_num")], ["icd_code", "icd_version"], k).drop("rn")
+    g = codes.join(titles, ["icd_code", "icd_version"], "left").withColumn(
         "occurrence_count", F.col("_n") * F.coalesce("_repeats", F.lit(1))).drop("_n", "_repeats")
-    ranked = _ranked(g, [desc("occurrence_count"), asc("seq_num")],
+    ranked = _ranked(dealt(g, tasks), [desc("occurrence_count"), asc("seq_num")],
                      ["icd_code", "icd_version", "long_title", "most_recent"], k)
     return ranked.select("subject_id", "rn", "icd_code", "icd_version", "long_title", "seq_num",
                          "occurrence_count", "most_recent")
@@ -123,10 +132,15 @@ def diagnosis_counts(diagnoses: DataFrame, d_icd_diagnoses: DataFrame, admission
 
 # Q5 ------------------------------------------------------------------------
 
-def procedure_history(procedures: DataFrame, d_icd_procedures: DataFrame, k: int = 10) -> DataFrame:
-    """Procedures grouped by (code, title, date) with their count; titles as in Q4."""
-    codes = procedures.groupBy("subject_id", "icd_code", "icd_version", "chartdate").agg(F.count(F.lit(1)).alias("_n"))
-    g = (codes.join(_titles(d_icd_procedures), ["icd_code", "icd_version"], "left")
+def procedure_history(procedures: DataFrame, d_icd_procedures: DataFrame, k: int = 10, tasks: int | None = None) -> DataFrame:
+    """Procedures grouped by (code, title, date) with their count; titles as in Q4.
+
+    Every (date, code) gives at least one row and rows are ordered by them first, so the
+    titles meet the first k of these per subject only."""
+    first = Window.partitionBy("subject_id").orderBy(desc("chartdate"), asc("icd_code"))
+    p = procedures.select("subject_id", "icd_code", "icd_version", "chartdate").withColumn("_place", F.dense_rank().over(first))
+    codes = p.filter(F.col("_place") <= k).groupBy("subject_id", "icd_code", "icd_version", "chartdate").agg(F.count(F.lit(1)).alias("_n"))
+    g = (dealt(codes.join(_titles(d_icd_procedures), ["icd_code", "icd_version"], "left"), tasks)
          .groupBy("subject_id", "icd_code", "long_title", "chartdate")
          .agg(F.sum(F.col("_n") * F.coalesce("_repeats", F.lit(1))).alias("occurrence_count")))
     ranked = _ranked(g, [desc("chartdate")], ["icd_code", "long_title", "occurrence_count"], k)
@@ -208,7 +222,7 @@ def icu_stays(icustays: DataFrame) -> DataFrame:
 VITAL_CATEGORIES = ("Vital Signs", "Labs", "Respiratory")  # fixed values from the reference query
 
 
-def recent_vitals(chartevents: DataFrame, d_items: DataFrame, k: int = 20) -> DataFrame:
+def recent_vitals(chartevents: DataFrame, d_items: DataFrame, k: int = 20, tasks: int | None = None) -> DataFrame:
     """Charted values in the vital categories. LEFT JOIN + a filter on the right
     side is an inner join; the filtered dictionary is the small side."""
     di = d_items.filter(F.col("category").isin(*VITAL_CATEGORIES)).select("itemid", "label", "category")
@@ -216,7 +230,7 @@ def recent_vitals(chartevents: DataFrame, d_items: DataFrame, k: int = 20) -> Da
     j = ce.join(di, "itemid", "inner").select(
         "subject_id", "charttime", "label", "category", "value", "valuenum", "valueuom",
         S.warning_status("warning").alias("status"), "itemid")
-    ranked = _ranked(j, [desc("charttime")],
+    ranked = _ranked(dealt(j, tasks), [desc("charttime")],
                      ["itemid", "label", "category", "value", "valuenum", "valueuom", "status"], k)
     return ranked.select("subject_id", "rn", "charttime", "label", "category", "value", "valuenum",
                          "valueuom", "status")

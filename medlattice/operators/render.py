@@ -56,21 +56,23 @@ class RecordParts:
 
 def record_parts(patients, admissions, drgcodes, diagnoses, d_icd_diagnoses, procedures, d_icd_procedures,
                  labevents, d_labitems, prescriptions, emar, poe, icustays, chartevents, d_items,
-                 inputevents) -> RecordParts:
-    """Q13 part 1: the 11 retrievals for every subject, with the record's k."""
+                 inputevents, tasks: int | None = None) -> RecordParts:
+    """Q13 part 1: the 11 retrievals for every subject, with the record's k. With ``tasks`` every
+    part is left dealt by subject to that many tasks, so that gathering them moves no row again;
+    a subject's events then pass one task, so leave it out when one subject holds very many."""
     k = RECORD_K
     return RecordParts(
         profile=records.subject_profile(patients, admissions, diagnoses, icustays, prescriptions),
-        admissions=records.recent_admissions(admissions, drgcodes, k["admissions"]),
-        diagnoses=records.diagnosis_counts(diagnoses, d_icd_diagnoses, admissions, k["diagnoses"]),
-        procedures=records.procedure_history(procedures, d_icd_procedures, k["procedures"]),
-        labs=records.recent_labs(labevents, d_labitems, k["labs"]),
+        admissions=records.dealt(records.recent_admissions(admissions, drgcodes, k["admissions"]), tasks),
+        diagnoses=records.diagnosis_counts(diagnoses, d_icd_diagnoses, admissions, k["diagnoses"], tasks),
+        procedures=records.procedure_history(procedures, d_icd_procedures, k["procedures"], tasks),
+        labs=records.dealt(records.recent_labs(labevents, d_labitems, k["labs"]), tasks),
         medications=records.recent_prescriptions(prescriptions, k["medications"]),
-        med_admin=records.medication_administrations(emar, k["med_admin"]),
-        orders=records.provider_orders(poe, k["orders"]),
-        icu_stays=records.icu_stays(icustays),
-        vitals=records.recent_vitals(chartevents, d_items, k["vitals"]),
-        inputs=records.icu_inputs(inputevents, d_items, k["inputs"]),
+        med_admin=records.dealt(records.medication_administrations(emar, k["med_admin"]), tasks),
+        orders=records.dealt(records.provider_orders(poe, k["orders"]), tasks),
+        icu_stays=records.dealt(records.icu_stays(icustays), tasks),
+        vitals=records.recent_vitals(chartevents, d_items, k["vitals"], tasks),
+        inputs=records.dealt(records.icu_inputs(inputevents, d_items, k["inputs"]), tasks),
     )
 
 

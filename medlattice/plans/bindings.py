@@ -20,6 +20,7 @@ that take turns (``roundtrip.kb_responses``).
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 #: what the event roles read of a line
 _EVENT_COLUMNS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus",
                   "l_shipdate"]
+#: lines that one task joins or ranks, about
+LINES_A_TASK = 1 << 18
+#: lines of one subject from which on the events are not dealt by subject
+HOT_LINES = 1 << 22
 
 
 class ClinicalTables:
@@ -98,16 +103,37 @@ class ClinicalTables:
         o = self.raw("orders").select(F.col("o_orderkey"), F.col("o_custkey").alias("subject_id"))
         return li.join(o, li.l_orderkey == o.o_orderkey, "inner").drop("o_orderkey")
 
-    def bind_events_once(self, subjects: DataFrame | None = None) -> None:
+    @cached_property
+    def tasks(self) -> int:
+        """Tasks for work on all lines: as many as the session asks for, more for a large table."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.raw("lineitem").count() // LINES_A_TASK))
+
+    def events_dealt(self, subjects: DataFrame | None = None) -> DataFrame:
+        """The events (of ``subjects``, if given), joined in ``tasks`` tasks by order: what groups
+        them by stay or admission (among other columns) goes on in the same tasks, whose memory
+        does not grow with the table."""
+        li = self.raw("lineitem").select(*_EVENT_COLUMNS).repartition(self.tasks, "l_orderkey")
+        o = self.raw("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("subject_id"))
+        if subjects is not None:
+            o = o.join(subjects, "subject_id", "left_semi")
+        return li.join(o.repartition(self.tasks, "l_orderkey"), "l_orderkey").select("subject_id", *_EVENT_COLUMNS)
+
+    def bind_events_once(self, subjects: DataFrame | None = None) -> int | None:
         """Write the bound events (of ``subjects``, if given) to the shared scratch folder
         and let every event role read that: one scan of lineitem and one binding join for
-        a query that uses several roles."""
+        a query that uses several roles. They are dealt into buckets by subject, so what
+        ranks or counts them by subject does not shuffle them again, in a number of tasks
+        that grows with them. Returns that number. When one subject has over HOT_LINES the
+        buckets are not used, as the rankings cut its rows before they shuffle them: None."""
         path = scratch_path(self.spark, "events")
-        e = self.events_base.select("subject_id", *_EVENT_COLUMNS)
-        if subjects is not None:
-            e = e.join(subjects, "subject_id", "left_semi")
-        e.write.parquet(path)
-        self.__dict__["events_base"] = self.spark.read.schema(e.schema).parquet(path)
+        e = self.events_dealt(subjects)
+        name = f"medlattice_events_{uuid.uuid4().hex[:12]}"
+        e.repartition(self.tasks, "subject_id").write.format("parquet").option("path", path).bucketBy(self.tasks, "subject_id").saveAsTable(name)
+        dealt = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")            # the name only: the files are outside the warehouse
+        hot = not dealt.groupBy("subject_id").count().where(F.col("count") > HOT_LINES).isEmpty()
+        self.__dict__["events_base"] = self.spark.read.schema(e.schema).parquet(path) if hot else dealt
+        return None if hot else self.tasks
 
     @cached_property
     def diagnoses_icd(self) -> DataFrame:

@@ -21,14 +21,14 @@ def parts_for(t: ClinicalTables, subjects: DataFrame | None = None) -> R.RecordP
     """The 11 retrievals; with ``subjects`` every input is semi-joined first,
     so a prompt batch for a few subjects never ranks everyone's events. The bound
     events are joined and written once, not once for each of the six event roles."""
-    t.bind_events_once(subjects)
+    tasks = t.bind_events_once(subjects)
 
     def sub(df: DataFrame) -> DataFrame:
         return df if subjects is None else df.join(subjects, "subject_id", "left_semi")
     return R.record_parts(
         sub(t.patients), sub(t.admissions), t.drgcodes, sub(t.diagnoses_icd), t.d_icd_diagnoses,
         sub(t.procedures_icd), t.d_icd_procedures, sub(t.labevents), t.d_labitems, sub(t.prescriptions),
-        sub(t.emar), sub(t.poe), sub(t.icustays), sub(t.chartevents), t.d_items, sub(t.inputevents))
+        sub(t.emar), sub(t.poe), sub(t.icustays), sub(t.chartevents), t.d_items, sub(t.inputevents), tasks)
 
 
 # --- SQL twins of the render helpers -------------------------------------------------
