@@ -202,7 +202,9 @@ FROM (SELECT stay_id, subject_id, charttime,
       FROM chartevents GROUP BY stay_id, subject_id, charttime) g
 WHERE systolic IS NOT NULL AND diastolic IS NOT NULL""", "chartevents"))
 def q_bp_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.bp_classification(_bp_readings(ClinicalTables(spark, sf_dir)))
+    t = ClinicalTables(spark, sf_dir)
+    t.events_base = t.events_dealt()
+    return M.bp_classification(_bp_readings(t))
 
 
 # --- NPS per day: a 'purchase' event is a completed visit whose survey score is
