@@ -114,13 +114,21 @@ def diagnosis_counts(diagnoses: DataFrame, d_icd_diagnoses: DataFrame, admission
                      k: int = 10, tasks: int | None = None) -> DataFrame:
     """Diagnoses grouped by (code, version, title, seq) with count and latest admit. The
     events are counted by code; the titles meet the groups only, and where no title is held
-    twice under its code, so that none changes a count, only the first k groups per subject."""
+    twice under its code, so that none changes a count, only the first k groups per subject.
+    With ``tasks``, ``diagnoses`` lie by subject; where no admission is held twice either, only
+    the events of those k groups are joined with the admissions."""
+    group = ["subject_id", "icd_code", "icd_version", "seq_num"]
     d = diagnoses.select("subject_id", "hadm_id", "seq_num", "icd_code", "icd_version")
     a = admissions.select("hadm_id", "admittime")
-    codes = (dealt(d.join(a, "hadm_id", "left"), tasks).groupBy("subject_id", "icd_code", "icd_version", "seq_num")
-             .agg(F.count(F.lit(1)).alias("_n"), F.max("admittime").alias("most_recent")))
     titles = _titles(d_icd_diagnoses)
-    if titles.where("_repeats > 1").isEmpty():
+    single = titles.where("_repeats > 1").isEmpty()
+    if single and tasks is not None and a.dropna(subset=["hadm_id"]).groupBy("hadm_id").count().where("count > 1").isEmpty():
+        first = Window.partitionBy("subject_id").orderBy(desc("_n"), asc("seq_num"), asc("icd_code"), asc("icd_version"))
+        d = d.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*group)))
+        d = d.withColumn("_place", F.dense_rank().over(first)).filter(F.col("_place") <= k).drop("_n", "_place")
+    codes = (dealt(d.join(a, "hadm_id", "left"), tasks).groupBy(*group)
+             .agg(F.count(F.lit(1)).alias("_n"), F.max("admittime").alias("most_recent")))
+    if single:
         codes = _ranked(codes, [desc("_n"), asc("seq_num")], ["icd_code", "icd_version"], k).drop("rn")
     g = codes.join(titles, ["icd_code", "icd_version"], "left").withColumn(
         "occurrence_count", F.col("_n") * F.coalesce("_repeats", F.lit(1))).drop("_n", "_repeats")
@@ -220,18 +228,36 @@ def icu_stays(icustays: DataFrame) -> DataFrame:
 # Q11 -----------------------------------------------------------------------
 
 VITAL_CATEGORIES = ("Vital Signs", "Labs", "Respiratory")  # fixed values from the reference query
+#: items of a dictionary that is joined as it is, about what Spark sends to every task
+ITEMS_AT_HAND = 1 << 16
 
 
 def recent_vitals(chartevents: DataFrame, d_items: DataFrame, k: int = 20, tasks: int | None = None) -> DataFrame:
     """Charted values in the vital categories. LEFT JOIN + a filter on the right
-    side is an inner join; the filtered dictionary is the small side."""
+    side is an inner join; the filtered dictionary is the small side.
+
+    With ``tasks``, ``chartevents`` lie by subject. When the dictionary is too large to be sent
+    to them they stay there all the same: each (subject, item) meets it once and comes back to
+    that many tasks with what it holds of the item. Of the events of an item the first k are
+    enough, as within it they are ranked in one order."""
     di = d_items.filter(F.col("category").isin(*VITAL_CATEGORIES)).select("itemid", "label", "category")
-    ce = chartevents.select("subject_id", "itemid", "charttime", "value", "valuenum", "valueuom", "warning")
-    j = ce.join(di, "itemid", "inner").select(
-        "subject_id", "charttime", "label", "category", "value", "valuenum", "valueuom",
-        S.warning_status("warning").alias("status"), "itemid")
-    ranked = _ranked(dealt(j, tasks), [desc("charttime")],
-                     ["itemid", "label", "category", "value", "valuenum", "valueuom", "status"], k)
+    shown = ["value", "valuenum", "valueuom", "status"]
+    ce = chartevents.withColumn("status", S.warning_status("warning")).select("subject_id", "itemid", "charttime", *shown)
+    if tasks is None or di.limit(ITEMS_AT_HAND + 1).count() <= ITEMS_AT_HAND:
+        j = dealt(ce.join(di, "itemid", "inner"), tasks)
+    else:
+        # a join on both columns would deal the events anew by both; a window stays by subject,
+        # if what was dealt comes first in the union
+        pairs = ce.select("subject_id", "itemid").distinct().repartition(tasks, "itemid")
+        items = dealt(pairs.join(di, "itemid", "inner"), tasks).select(
+            "subject_id", "itemid", F.struct("label", "category").alias("_item"))
+        same = Window.partitionBy("subject_id", "itemid")
+        ce = ce.withColumn("_first", F.row_number().over(same.orderBy(desc("charttime"), *map(asc, shown)))).filter(F.col("_first") <= k)
+        j = items.unionByName(ce, allowMissingColumns=True).withColumn("_items", F.collect_list("_item").over(same))
+        j = j.filter("_first IS NOT NULL").withColumn("_item", F.explode("_items")).withColumns(
+            {"label": F.col("_item.label"), "category": F.col("_item.category")})
+    j = j.select("subject_id", "charttime", "label", "category", *shown, "itemid")
+    ranked = _ranked(j, [desc("charttime")], ["itemid", "label", "category", *shown], k)
     return ranked.select("subject_id", "rn", "charttime", "label", "category", "value", "valuenum",
                          "valueuom", "status")
 

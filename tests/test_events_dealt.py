@@ -131,3 +131,47 @@ def test_titles_meet_the_first_groups_only(spark, titles):
 
 def _text_last(v):
     return (v is None, v or "")
+
+
+VITALS = "subject_id long, itemid long, charttime timestamp_ntz, value string, valuenum double, valueuom string, warning int"
+
+
+def test_vitals_meet_their_items_by_subject(spark, monkeypatch):
+    """Items held twice or under two labels, without a category of vitals, unknown or NULL; equal times; an item read often."""
+    events = [(None if i % 13 == 0 else i % 3, None if i % 17 == 0 else 1 if i % 2 else i % 7, None if i % 19 == 0 else DAY + dt.timedelta(days=i % 5),
+               None if i % 4 else "high", None if i % 6 == 0 else float(i % 8), "bpm", i % 2) for i in range(160)]
+    names = [(1, "pulse", "Vital Signs"), (2, "b", "Labs"), (2, "a", "Respiratory"), (3, "c", "Labs"), (3, "c", "Labs"), (4, "d", "Routine"), (None, "e", "Labs")]
+    ce, di = spark.createDataFrame(events, VITALS), spark.createDataFrame(names, "itemid long, label string, category string")
+    for k in (1, 4, 200):
+        monkeypatch.setattr(records, "ITEMS_AT_HAND", 1 << 16)
+        want = _rows(records.recent_vitals(ce, di, k))
+        assert _rows(records.recent_vitals(ce, di, k, 3)) == want
+        monkeypatch.setattr(records, "ITEMS_AT_HAND", 5)
+        assert _rows(records.recent_vitals(ce, di, k, 3)) == want and len(want) > min(k, 100)
+
+
+def test_vitals_stay_by_subject(spark, lines, monkeypatch):
+    monkeypatch.setattr(records, "ITEMS_AT_HAND", 5)
+    t = ClinicalTables(spark, lines)
+    tasks = t.bind_events_once()
+    names = spark.createDataFrame([(i, "x", "Labs") for i in range(9)], "itemid long, label string, category string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _tree(records.recent_vitals(t.chartevents, names, 3, tasks)._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    dealt = [n for n in _nodes(plan) if n[0] == "Exchange"]
+    assert dealt and all(not [m for m in _nodes(n) if "Window" in m[0]] for n in dealt)
+
+
+@pytest.mark.parametrize("admissions", [[0, 1, 2, None, None], [0, 1, 1, 2, 2, 2]])
+def test_only_the_first_groups_meet_the_admissions(spark, admissions):
+    """Only while no admission is held twice, as one that is counts an event twice."""
+    events = [(None if i % 7 == 0 else i % 3, i % 5, None if i % 4 == 0 else i % 2, None if i == 40 else str(i % 6), 10 if i % 3 else 9) for i in range(90)]
+    d = spark.createDataFrame(events, "subject_id long, hadm_id long, seq_num int, icd_code string, icd_version int")
+    names = spark.createDataFrame([("0", 10, "a"), ("1", 10, "b"), ("1", 10, "c")], "icd_code string, icd_version int, long_title string")
+    a = spark.createDataFrame([(h, DAY + dt.timedelta(days=i)) for i, h in enumerate(admissions)], "hadm_id long, admittime timestamp_ntz")
+    for k in (1, 3):
+        got = records.diagnosis_counts(d, names, a, k, 3)
+        assert _rows(got) == _rows(records.diagnosis_counts(d, names, a, k))
+        assert ("dense_rank" in _plan(got)) == (len(set(admissions[:3])) == 3)
