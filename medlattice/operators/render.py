@@ -250,14 +250,15 @@ def header(profile: DataFrame) -> Column:
         F.lit("\n└─ Unique Medications: "), _s("unique_medications"), F.lit("\n\n"))
 
 
-def render_records(parts: RecordParts) -> DataFrame:
-    """Q14: (subject_id, record) — the text record for every subject.
+def render_records(parts: RecordParts, tasks: int | None = None) -> DataFrame:
+    """Q14: (subject_id, record) — the text record for every subject. With ``tasks`` the
+    lines and the profiles are dealt by subject to that many tasks first.
 
     One aggregation per subject: items are sorted by (section, rank); a
     section heading is emitted before the first item of a section and a blank
     line after its last, so empty sections vanish as in the reference.
     """
-    items = item_lines(parts)
+    items = records.dealt(item_lines(parts), tasks)
     headings = F.array(*[F.lit(h) for h in SECTION_HEADINGS])
     agg = items.groupBy("subject_id").agg(
         F.array_sort(F.collect_list(F.struct("section", "rn", "line"))).alias("_a"))
@@ -271,7 +272,7 @@ def render_records(parts: RecordParts) -> DataFrame:
                         F.when(last, F.lit("\n")).otherwise(F.lit("")))
 
     body = agg.select("subject_id", F.array_join(F.transform("_a", piece), "").alias("_body"))
-    prof = parts.profile
+    prof = records.dealt(parts.profile, tasks)
     return prof.join(body, "subject_id", "left").select(
         "subject_id", F.concat(header(prof), F.coalesce("_body", F.lit("")), F.lit(RULE + "\n")).alias("record"))
 

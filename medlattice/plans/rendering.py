@@ -20,15 +20,18 @@ _PART_TABLES = ["patients", "admissions", "drgcodes", "diagnoses_icd", "d_icd_di
 def parts_for(t: ClinicalTables, subjects: DataFrame | None = None) -> R.RecordParts:
     """The 11 retrievals; with ``subjects`` every input is semi-joined first,
     so a prompt batch for a few subjects never ranks everyone's events. The bound
-    events are joined and written once, not once for each of the six event roles."""
+    events are joined and written once, not once for each of the six event roles, and only
+    for these subjects. A batch's parts are each ranked in tasks of their own and dealt by
+    subject as lines, so that no task holds the buffers of all of them; without ``subjects``
+    the lines are too many to move again, and all parts stay by subject."""
     tasks = t.bind_events_once(subjects)
 
     def sub(df: DataFrame) -> DataFrame:
         return df if subjects is None else df.join(subjects, "subject_id", "left_semi")
     return R.record_parts(
-        sub(t.patients), sub(t.admissions), t.drgcodes, sub(t.diagnoses_icd), t.d_icd_diagnoses,
-        sub(t.procedures_icd), t.d_icd_procedures, sub(t.labevents), t.d_labitems, sub(t.prescriptions),
-        sub(t.emar), sub(t.poe), sub(t.icustays), sub(t.chartevents), t.d_items, sub(t.inputevents), tasks)
+        sub(t.patients), sub(t.admissions), t.drgcodes, t.diagnoses_icd, t.d_icd_diagnoses,
+        t.procedures_icd, t.d_icd_procedures, t.labevents, t.d_labitems, t.prescriptions,
+        sub(t.emar), sub(t.poe), sub(t.icustays), t.chartevents, t.d_items, t.inputevents, tasks if subjects is None else None)
 
 
 # --- SQL twins of the render helpers -------------------------------------------------
@@ -321,5 +324,5 @@ def q_build_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     qs = Q.previous_turn(Q.exchanges(_dated(conv))).withColumn("subject_id", F.col("conv_id"))
     # the subjects asked about, straight from the scan (not through the turn pairing)
     subjects = conv.select(F.col("conv_id").alias("subject_id")).distinct()
-    recs = R.render_records(parts_for(t, subjects))
+    recs = R.render_records(parts_for(t, subjects), t.tasks)
     return R.build_prompts(qs, recs).select("conv_id", "q_idx", "prompt")

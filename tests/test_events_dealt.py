@@ -175,3 +175,17 @@ def test_only_the_first_groups_meet_the_admissions(spark, admissions):
         got = records.diagnosis_counts(d, names, a, k, 3)
         assert _rows(got) == _rows(records.diagnosis_counts(d, names, a, k))
         assert ("dense_rank" in _plan(got)) == (len(set(admissions[:3])) == 3)
+
+
+def test_parts_of_a_prompt_batch_are_ranked_apart(spark):
+    """No task ranks the parts of a batch one after another: their lines are dealt after the union, and the
+    events, bound for the batch only, are not cut to its subjects again."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = _tree(QUERIES["build_prompt"](spark, SMALL_SF)._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    unions = [n for n in _nodes(plan) if n[0] == "Union"]
+    assert unions and all(any(n[0] == "Exchange" and n is not u and any(m is u for m in _nodes(n)) for n in _nodes(plan)) for u in unions)
+    cut = [n for n in _nodes(plan) if "LeftSemi" in n[1] and any("medlattice_events" in m[1] for m in _nodes(n))]
+    assert all(any(m[0] == "Window" for m in _nodes(n)) for n in cut)       # of the ranked rows, those with a stay
