@@ -4,9 +4,13 @@
    words name (winnowing, see repeats), those that two documents hold are kept, by an
    aggregate on the phrase's hash that each task combines first.
 2. The phrases are dealt into shards of about SHARD_PHRASES. Every word is written as one
-   of 32 symbols, so that a document is a short string and a phrase a 60-bit number. Every
-   document streams through the pyahocorasick automaton of every shard: a group is one
-   shard and one range of about RANGE_WORDS words of documents.
+   of 32 symbols, so that a document is a short string and a phrase a 60-bit number. The
+   shard of a phrase follows from the least of its runs of LEAD symbols (by a fixed order),
+   and so does that of every GRAM words of a document: neighbours mostly share it. So a
+   document is cut into stretches that overlap by GRAM - 1 words, one for each change of
+   shard, and each streams through the pyahocorasick automaton of its shard. Every place
+   meets all phrases that could start there, and some 3.4 symbols a word are streamed for
+   any number of shards. A group is one shard and about RANGE_WORDS words of stretches.
 3. The hits alone tell where phrases stand. A hit at which a window has its anchor opens a
    block of windows; for the windows of each distinct block the smallest document that
    holds them is found by the hash of the whole window, and a word goes if a window over
@@ -19,12 +23,14 @@ The blocks of a phrase with over ``hot_blocks`` of them are decided by window, a
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +43,17 @@ SYMBOL_BITS = 5                            # GRAM symbols fit a long
 FLUSH_ANCHORS = 1 << 20
 SHARD_PHRASES = 200_000                    # some 200 MB of automaton
 RANGE_WORDS = 8_000_000
+LEAD = 4
+LEADS = GRAM - LEAD + 1
+#: symbols streamed for a word: a run of equal shards has (LEADS + 1) / 2 places, GRAM - 1 symbols and a border more
+REACH = 1 + 2 * GRAM / (LEADS + 1)
+FLUSH_WORDS = 1 << 20
 BYTES_A_WORD = 6
 BLOCKS_AT_ONCE = 50_000
 _IS_BLANK = np.zeros(256, bool)
 _IS_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_RANK = np.random.default_rng(23).permutation(1 << LEAD * SYMBOL_BITS).astype(np.uint32)
+_BORDER = np.uint8(48 + (1 << SYMBOL_BITS))   # no symbol: no phrase goes across
 _SALT = np.random.default_rng(17).integers(1, 1 << 62, size=256, dtype=np.int64).view(np.uint64)
 
 
@@ -133,31 +146,111 @@ def hits(machine: ahocorasick.Automaton, symbols: str) -> list[int]:
     return [end - GRAM + 1 for end, _ in machine.iter(symbols)]
 
 
+def shard_table(shards: int) -> np.ndarray:
+    """The shard of the phrases whose least run of LEAD symbols has a rank, by rank."""
+    return (repeats.mixed(np.arange(len(_RANK), dtype=np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+def least_of_codes(codes: np.ndarray) -> np.ndarray:
+    """The rank of the least run of LEAD symbols of each phrase."""
+    shifts = SYMBOL_BITS * np.arange(LEADS)
+    return _RANK[codes[:, None] >> shifts & len(_RANK) - 1].min(axis=1)
+
+
+def stretches(symbols: np.ndarray, ends: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(shard, text, first place in the text, places) of the stretches of some texts, given
+    one behind the other (``ends``: where each ends; each has GRAM words or more)."""
+    own = (symbols - np.uint8(48)).astype(np.uint32)
+    runs = np.zeros(len(own) - LEAD + 1, np.uint32)
+    for i in range(LEAD):
+        runs = runs << np.uint32(SYMBOL_BITS) | own[i:len(own) - LEAD + 1 + i]
+    shard = table[repeats._sliding(_RANK[runs], LEADS, np.minimum)]
+    begins = np.concatenate(([0], ends[:-1]))
+    size = ends - begins - GRAM + 1                            # places of each text
+    text = np.repeat(np.arange(len(ends)), size)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    shard = shard[place + begins[text]]
+    start = np.flatnonzero(np.concatenate(([True], (shard[1:] != shard[:-1]) | (text[1:] != text[:-1]))))
+    return shard[start], text[start], place[start], np.diff(np.append(start, len(shard)))
+
+
+def _dealt(shards: int, ranges: int, flush_words: int):
+    """Partition function: texts (ord, tk, symbols) to blobs (range, shard, blob) of their
+    stretches, one a shard for about ``flush_words`` words."""
+    def run(batches):
+        table, turn = shard_table(shards), TaskContext.get().partitionId()
+        held, size = [], 0
+
+        def rows():
+            flat = np.concatenate([np.frombuffer(x, np.uint8) for _, _, x in held])
+            ends = np.cumsum([len(x) for _, _, x in held])
+            shard, text, first, places = stretches(flat, ends, table)
+            order = np.argsort(shard, kind="stable")
+            shard, text, first, places = (x[order] for x in (shard, text, first, places))
+            begin = np.concatenate(([0], ends[:-1]))[text] + first
+            ids, tks = (np.array([x[i] for x in held], np.int64) for i in (0, 1))
+            edge = repeats._changes(shard)
+            out = []
+            for a, b in zip(edge.tolist(), np.append(edge[1:], len(shard)).tolist()):
+                length = places[a:b] + GRAM                   # the words of all places, and a border
+                stop = np.cumsum(length)
+                taken = np.arange(stop[-1]) + np.repeat(begin[a:b] - (stop - length), length)
+                taken[stop - 1] = 0
+                letters = flat[taken]
+                letters[stop - 1] = _BORDER
+                some, index = np.unique(text[a:b], return_inverse=True)
+                out.append(repeats._pack(ids[some], tks[some], index.astype(np.uint32), first[a:b].astype(np.uint32), letters))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(edge), turn % ranges), pa.int32()), pa.array(shard[edge], pa.int32()),
+                                               pa.array(out, pa.binary())], names=["range", "shard", "blob"])
+        for batch in batches:
+            for o, tk, symbols in zip(*(batch.column(c).to_pylist() for c in ("ord", "tk", "symbols"))):
+                held.append((o, tk, symbols))
+                size += len(symbols)
+                if size >= flush_words:
+                    yield rows()
+                    held, size, turn = [], 0, turn + 1
+        if held:
+            yield rows()
+    return run
+
+
 def _stream(find):
-    """Group function: documents (ord, tk, symbols) of a range and the phrases of a shard to
-    the places (ord, tk, places) of the documents that hold some."""
-    def run(texts: pa.Table, shard: pa.Table) -> pa.Table:
+    """Group function: blobs of stretches of a range and the phrases of a shard to the places
+    (ord, tk, places) of the documents that hold some."""
+    def run(blobs: pa.Table, shard: pa.Table) -> pa.Table:
         out = {"ord": [], "tk": [], "places": []}
         lists = [np.asarray(x.values) for x in shard.column("codes")]
-        if lists and texts.num_rows:
+        if lists and blobs.num_rows:
             machine = automaton(np.concatenate(lists))
-            for o, tk, symbols in zip(*(texts.column(c).to_pylist() for c in ("ord", "tk", "symbols"))):
-                places = find(machine, symbols.decode("ascii"))
-                if places:
-                    for name, value in zip(out, (o, tk, places)):
-                        out[name].append(value)
+            for blob in blobs.column("blob").to_pylist():
+                ids, tks, text, first, letters = repeats._unpack(blob, np.int64, np.int64, np.uint32, np.uint32, np.uint8)
+                found = np.array(find(machine, letters.tobytes().decode("ascii")), np.int64)
+                if not len(found):
+                    continue
+                begin = np.concatenate(([0], np.flatnonzero(letters == _BORDER)[:-1] + 1))
+                piece = np.searchsorted(begin, found, side="right") - 1
+                text, place = text[piece], (found - begin[piece] + first[piece]).astype(np.int32)
+                order = np.argsort(text, kind="stable")
+                text, place = text[order], place[order]
+                edge = repeats._changes(text)
+                out["ord"] += ids[text[edge]].tolist()
+                out["tk"] += tks[text[edge]].tolist()
+                out["places"] += np.split(place, edge[1:])
         return pa.table([pa.array(out["ord"], pa.int64()), pa.array(out["tk"], pa.int64()), pa.array(out["places"], pa.list_(pa.int32()))],
                         names=list(out))
     return run
 
 
-def occurrences(texts: DataFrame, phrases: DataFrame, shards: int, ranges: int, find=hits) -> DataFrame:
+def occurrences(texts: DataFrame, phrases: DataFrame, shards: int, ranges: int, find=hits, flush_words: int = FLUSH_WORDS) -> DataFrame:
     """(ord, tk, places): where the phrases (h, code) stand in the texts (ord, tk, symbols)."""
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dealt = (phrases.groupBy(F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int").alias("shard"))
-             .agg(F.collect_set("code").alias("codes")).select("shard", "codes", every(ranges).alias("range")))
-    streams = texts.select("ord", "tk", "symbols", F.pmod(F.xxhash64("ord", "tk"), F.lit(ranges)).cast("int").alias("range"),
-                           every(shards).alias("shard"))
+    def shard_of(batches):
+        table = shard_table(shards)
+        for batch in batches:
+            code = batch.column("code")
+            yield pa.RecordBatch.from_arrays([pa.array(table[least_of_codes(code.to_numpy())], pa.int32()), code], names=["shard", "code"])
+    dealt = (phrases.select("code").mapInArrow(shard_of, "shard int, code long").groupBy("shard").agg(F.collect_set("code").alias("codes"))
+             .select("shard", "codes", F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("range")))
+    streams = texts.select("ord", "tk", "symbols").mapInArrow(_dealt(shards, ranges, flush_words), "range int, shard int, blob binary")
     found = (streams.groupBy("range", "shard").cogroup(dealt.groupBy("range", "shard"))
              .applyInArrow(_stream(find), "ord long, tk long, places array<int>"))
     return found.groupBy("ord", "tk").agg(F.flatten(F.collect_list("places")).alias("places"))
@@ -239,8 +332,8 @@ def remove_repeats(docs: DataFrame, hot_blocks: int = repeats.HOT_BLOCKS, shard_
                           .where("lo < hi").select("h", "code"), "phrases")
     shards = max(1, -(-phrases.count() // shard_phrases))
     words = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-words // (BYTES_A_WORD * range_words)))
-    shared = materialize(occurrences(scanned.where("symbols IS NOT NULL"), phrases, shards, ranges, find), "hits")
+    ranges = max(1, math.ceil(words / BYTES_A_WORD * min(shards, REACH) / (shards * range_words)))
+    shared = materialize(occurrences(scanned.where("symbols IS NOT NULL"), phrases, shards, ranges, find, min(FLUSH_WORDS, range_words)), "hits")
     holding = rows.select("ord", "tk", "text").join(shared, ["ord", "tk"])
     located = materialize(holding.mapInArrow(_locate, repeats.OCCURRENCES), "blocks")
     entries = located.where("payload IS NOT NULL").select("h", "a", "lo", "hi", "payload")

@@ -151,6 +151,33 @@ def test_every_document_meets_every_shard(frame, shard_phrases, range_words):
     assert sorted((r.doc_id, r.n_words, r.n_removed, len(r.spans), r.kept.encode()) for r in out.collect()) == brute(rows, "word")
 
 
+def test_streams_do_not_grow_with_the_shards(frame, tmp_path):
+    """With many shards some 3.4 symbols a word go through the automata, not one a word and shard."""
+    rows, streamed = planted(9, 60), tmp_path / "streamed"
+    words = sum(r[1] for r in brute(rows, "word"))
+    streamed.touch()
+
+    def find(machine, symbols):
+        with open(streamed, "a") as f:
+            f.write(f"{len(symbols)}\n")
+        return passages.hits(machine, symbols)
+    out = passages.remove_repeats(frame(rows), shard_phrases=3, range_words=1000, find=find)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, len(r.spans), r.kept.encode()) for r in out.collect()) == brute(rows, "word")
+    assert words < sum(map(int, streamed.read_text().split())) < 5 * words
+
+
+@pytest.mark.parametrize("shards", [1, 3, 40])
+def test_stretches_hold_every_place_once(shards):
+    """Each place of each text lies in one stretch, of the shard of the phrase there."""
+    rng = np.random.default_rng(shards)
+    texts = [rng.integers(48, 80, size=n).astype(np.uint8) for n in (12, 13, 300, 50, 700)]
+    table = passages.shard_table(shards)
+    shard, text, first, places = passages.stretches(np.concatenate(texts), np.cumsum([len(t) for t in texts]), table)
+    got = sorted((t, f + i, s) for s, t, f, n in zip(shard.tolist(), text.tolist(), first.tolist(), places.tolist()) for i in range(n))
+    whole = [(i, np.arange(len(t) - passages.GRAM + 1), t) for i, t in enumerate(texts)]
+    assert got == [(i, p, s) for i, at, t in whole for p, s in zip(at.tolist(), table[passages.least_of_codes(passages.phrase_codes(t, at))].tolist())]
+
+
 def test_without_hits_of_the_automata_nothing_is_removed(frame):
     rows = planted(9, 30)
     assert any(r[2] for r in brute(rows, "word"))
