@@ -17,9 +17,11 @@ joined by place, and each distinct part is encoded and aligned once per slice or
 (at most ``TABLE_PARTS`` parts). Slices hold at most ``SLICE_ROWS`` documents or about
 ``SLICE_CHARS`` bytes of text.
 
-Stages: documents -> slices, written (the texts are read and encoded once); id pairs of all
-slices summed; the sums sent back to the slices that asked, each getting one list as long
-as its own distinct pairs. Only vectors as long as a vocabulary pass through the driver.
+Stages: documents -> slices, written (the texts are read and encoded once) as small rows: a
+document each, ``PAIRS_A_ROW`` id pairs each, and the packed links of the slice; id pairs of
+all slices summed; the sums sent back to the slices that asked, where they are sorted by
+slice and meet its documents one slice at a time. So no task holds more than one slice, however
+many it has. Only vectors as long as a vocabulary pass through the driver.
 
 Defined results. A text that is null, empty, or holds U+2581 (its B bytes differ) has no
 tokens: zeros and empty groups. Repeated rows count and return each; a null id stays null;
@@ -37,6 +39,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark import TaskContext
@@ -45,9 +48,12 @@ from pyspark.sql import functions as F
 
 from medlattice.llm.common import materialize
 from medlattice.llm.pieces import MARK, slices
+from medlattice.llm.repeats import _pack, _unpack
 
 SLICE_ROWS = 4096
 SLICE_CHARS = 4_000_000
+CHUNK_CHARS = 125_000               # of a slice, cut into parts at once
+PAIRS_A_ROW = 256
 TABLE_PARTS = 200_000
 #: A's word pattern (a fixed value of the byte-level vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -186,9 +192,8 @@ class PartTable:
             self.groups.append(";".join(groups[lo:hi]))
 
 
-_SLICE = ("slice long, docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:long,groups:string>>, "
-          "exact_doc array<int>, exact_a array<int>, exact_n array<long>, "
-          "pair array<long>, pair_total array<long>, pair_doc array<int>, pair_at array<int>, pair_n array<long>")
+_SLICE = ("slice long, doc int, doc_id long, n_a long, n_b long, n_groups long, groups string, links binary, "
+          "exact_a array<int>, exact_n array<long>, at int, pair array<long>, pair_total array<long>")
 
 
 def _counted(owner: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,49 +202,61 @@ def _counted(owner: np.ndarray, value: np.ndarray, width: int) -> tuple[np.ndarr
     return both // max(width, 1), both % max(width, 1), n
 
 
-def _row(schema: pa.Schema, **values) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], f.type) for f in schema], schema=schema)
+def _slice_schema() -> pa.Schema:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32()),
+             "array<long>": pa.list_(pa.int64())}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split(" ") for x in _SLICE.split(", "))])
 
 
-def _slice_schema() -> pa.Schema:
-    ints, longs = pa.list_(pa.int32()), pa.list_(pa.int64())
-    doc = pa.struct([(n, pa.int64()) for n in ("doc_id", "n_a", "n_b", "n_groups")] + [("groups", pa.string())])
-    return pa.schema([("slice", pa.int64()), ("docs", pa.list_(doc)), ("exact_doc", ints), ("exact_a", ints), ("exact_n", longs),
-                      ("pair", longs), ("pair_total", longs), ("pair_doc", ints), ("pair_at", ints), ("pair_n", longs)])
+def _rows(schema: pa.Schema, n: int, **values) -> pa.RecordBatch:
+    """``n`` rows of some columns, the others null."""
+    return pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
 def aligned_slices(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per slice of documents: the documents with their groups (``a1,a2|b1;a3|b2``),
-    the exact links by document and A id, and the slice's distinct irregular pairs (A id *
-    size of B's vocabulary + B id) with their counts by document. A row without ``slice`` per
-    task holds the vector of its exact links: A ids in ``exact_a``, counts in ``exact_n``."""
+    """Small rows of slices of documents, of three kinds: a document (``doc``, its place in the
+    slice) with its groups (``a1,a2|b1;a3|b2``); at most PAIRS_A_ROW of the slice's distinct
+    irregular pairs (A id * size of B's vocabulary + B id) with their counts, from place ``at``
+    on; and ``links``, the exact links by document and A id and the others by document and
+    place, packed. ``pair`` is empty where there are none. A row without ``slice`` per task
+    holds the vector of its exact links: A ids in ``exact_a``, counts in ``exact_n``."""
     def run(batches):
         t, schema = pair(a_path, b_path), _slice_schema()
         table, total, seq = PartTable(t), np.zeros(t.n_a, np.int64), 0
         first = TaskContext.get().partitionId() << 32
-        for part in slices(batches, "text", SLICE_ROWS, SLICE_CHARS):
-            parts = [parts_of(x) if x and MARK not in x else [] for x in part.column("text").to_pylist()]
-            table.learn(set(chain.from_iterable(parts)))
-            rows = [[table.row[p] for p in ps] for ps in parts]
-            at = np.fromiter(chain.from_iterable(rows), np.int64)
-            doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-
-            def sums(column):
-                return np.bincount(doc, column.flat[at], len(rows)).astype(np.int64).tolist() if len(at) else [0] * len(rows)
-            found = zip(part.column("doc_id").to_pylist(), sums(table.tokens_a), sums(table.tokens_b), sums(table.n_groups),
-                        (";".join([table.groups[i] for i in r]) for r in rows))
-            exact, owner = table.exact.take(at)
-            total += np.bincount(exact, minlength=t.n_a)
-            e_doc, e_a, e_n = _counted(doc[owner], exact, t.n_a)
-            pairs, owner = table.pairs.take(at)
-            distinct, place, n = np.unique(pairs, return_inverse=True, return_counts=True)
-            p_doc, p_at, p_n = _counted(doc[owner], place, len(distinct))
-            yield _row(schema, slice=first + seq, docs=[dict(zip(("doc_id", "n_a", "n_b", "n_groups", "groups"), d)) for d in found],
-                       exact_doc=e_doc, exact_a=e_a, exact_n=e_n, pair=distinct, pair_total=n, pair_doc=p_doc, pair_at=p_at, pair_n=p_n)
+        for whole in slices(batches, "text", SLICE_ROWS, SLICE_CHARS):
+            number, before, links = first + seq, 0, []
+            for part in slices([whole], "text", SLICE_ROWS, CHUNK_CHARS):
+                parts = [parts_of(x) if x and MARK not in x else [] for x in part.column("text").to_pylist()]
+                table.learn(set(chain.from_iterable(parts)))
+                rows = [[table.row[p] for p in ps] for ps in parts]
+                n, at = len(rows), np.fromiter(chain.from_iterable(rows), np.int64)
+                doc = np.repeat(np.arange(n), [len(r) for r in rows])
+
+                def sums(column):
+                    return np.bincount(doc, column.flat[at], n).astype(np.int64) if len(at) else np.zeros(n, np.int64)
+                yield _rows(schema, n, slice=np.full(n, number), doc=np.arange(before, before + n), doc_id=part.column("doc_id"),
+                            n_a=sums(table.tokens_a), n_b=sums(table.tokens_b), n_groups=sums(table.n_groups),
+                            groups=[";".join([table.groups[i] for i in r]) for r in rows], pair=[[]] * n)
+                exact, owner = table.exact.take(at)
+                total += np.bincount(exact, minlength=t.n_a)
+                e_doc, e_a, e_n = _counted(doc[owner], exact, t.n_a)
+                pairs, owner = table.pairs.take(at)
+                distinct, place = np.unique(pairs, return_inverse=True)
+                p_doc, p_at, p_n = _counted(doc[owner], place, len(distinct))
+                links.append((e_doc + before, e_a, e_n, p_doc + before, distinct[p_at], p_n))
+                before += n
+            e_doc, e_a, e_n, p_doc, pairs, p_n = (np.concatenate(x).astype(np.int64) for x in zip(*links))
+            distinct, p_at = np.unique(pairs, return_inverse=True)
+            n = np.bincount(p_at, p_n, len(distinct)).astype(np.int64)
+            edge = np.arange(0, len(distinct), PAIRS_A_ROW)
+            yield _rows(schema, len(edge), slice=np.full(len(edge), number), at=edge, pair=[distinct[i:i + PAIRS_A_ROW] for i in edge],
+                        pair_total=[n[i:i + PAIRS_A_ROW] for i in edge])
+            yield _rows(schema, 1, slice=[number], links=[_pack(e_doc, e_a, e_n, p_doc, p_at.astype(np.int64), p_n, distinct)], pair=[[]])
             seq += 1
         used = np.flatnonzero(total)
         if len(used):
-            yield _row(schema, exact_a=used, exact_n=total[used])
+            yield _rows(schema, 1, exact_a=[used], exact_n=[total[used]])
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, _SLICE)
 
 
@@ -260,9 +277,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     """Per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and ``groups``.
     ``keep`` is applied to the groups before anything is written, so that a caller who needs
     a digest only does not store the texts of all groups."""
-    slim = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"),
-                                                  d["n_groups"].alias("n_groups"), keep(d["groups"]).alias("groups")))
-    written = materialize(aligned_slices(docs, a_path, b_path, doc_id, text).withColumn("docs", slim), "alignment")
+    written = materialize(aligned_slices(docs, a_path, b_path, doc_id, text)
+                          .withColumn("groups", F.when(F.col("doc").isNotNull(), keep(F.col("groups")))), "alignment")
     tokenizers = pair(a_path, b_path)
     vector, sums = link_counts(written, tokenizers)
     sums = materialize(sums, "pair-counts")
@@ -273,40 +289,28 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
     np.maximum.at(best, tokenizers.same[mapped], vector[mapped])
 
     live = written.where("slice IS NOT NULL")
-    asked = live.select("slice", F.posexplode("pair").alias("at", "pair"))
-    answers = asked.join(sums, "pair").groupBy("slice").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("found"))
-    kind = written.schema["docs"].dataType.elementType["groups"].dataType
-    settled = live.drop("pair_total").join(answers.select("slice", F.col("found.n").alias("pair_total")), "slice", "left")
+    asked = live.select("slice", "at", F.posexplode("pair").alias("from", "pair")).select("slice", (F.col("at") + F.col("from")).alias("at"), "pair")
+    answers = asked.join(sums, "pair").select(F.col("slice").alias("asker"), "at", "n")
+    held = live.where("doc IS NOT NULL OR links IS NOT NULL").select("slice", "doc", "doc_id", "n_a", "n_b", "n_groups", "groups", "links")
+    kind = written.schema["groups"].dataType
     same, n_b = tokenizers.same, tokenizers.n_b
     best_exact = (vector > 0) & (vector == best[same]) & mapped
 
-    def run(batches):
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-
-                def flat(name):
-                    return np.asarray(row.column(name).flatten(), np.int64)
-                found = row.column("docs").flatten()
-                n = len(found)
-                doc, a, times = flat("exact_doc"), flat("exact_a"), flat("exact_n")
-                links = np.zeros(n, np.int64)
-                n_best, total = links.copy(), links.copy()
-                for d, count, top, t in ((doc, vector[a], best_exact[a], times), _irregular(flat, best, n_b)):
-                    np.add.at(links, d, t)
-                    np.add.at(total, d, t * count)
-                    np.add.at(n_best, d, t * top)
-                columns = [found.field(c) for c in ("doc_id", "n_a", "n_b", "n_groups")] + [pa.array(x) for x in (links, n_best, total)]
-                yield pa.RecordBatch.from_arrays(columns + [found.field("groups")],
-                                                 names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+    def settle(rows: pa.Table, found: pa.Table) -> pa.Table:
+        """The documents of one slice, from its rows and the counts that it asked for."""
+        packed = next(x for x in rows.column("links").to_pylist() if x is not None)
+        e_doc, e_a, e_n, p_doc, p_at, p_n, pairs = _unpack(packed, *[np.int64] * 7)
+        known = np.zeros(len(pairs), np.int64)
+        known[found.column("at").to_numpy()] = found.column("n").to_numpy()
+        rows = rows.filter(pc.is_valid(rows.column("doc"))).sort_by("doc")
+        links = np.zeros(rows.num_rows, np.int64)
+        n_best, total = links.copy(), links.copy()
+        count = known[p_at]
+        for d, count, top, t in ((e_doc, vector[e_a], best_exact[e_a], e_n), (p_doc, count, count == best[pairs[p_at] % n_b], p_n)):
+            np.add.at(links, d, t)
+            np.add.at(total, d, t * count)
+            np.add.at(n_best, d, t * top)
+        return pa.table([rows.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")] + [pa.array(x) for x in (links, n_best, total)]
+                        + [rows.column("groups")], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
     out = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long"
-    return settled.mapInArrow(run, f"{out}, groups {kind.simpleString()}")
-
-
-def _irregular(flat, best: np.ndarray, n_b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Document, corpus-wide count, is it the B id's highest, and times, of a slice's irregular links."""
-    at = flat("pair_at")
-    if not len(at):
-        return (np.zeros(0, np.int64),) * 4
-    count = flat("pair_total")[at]
-    return flat("pair_doc"), count, count == best[flat("pair")[at] % n_b], flat("pair_n")
+    return held.groupBy("slice").cogroup(answers.groupBy("asker")).applyInArrow(settle, f"{out}, groups {kind.simpleString()}")

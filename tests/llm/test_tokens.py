@@ -153,3 +153,15 @@ def test_digest_before_writing(spark, frame):
     got = alignment.align(frame([(1, "a b"), (2, "")]), A_PATH, B_PATH, keep=lambda g: F.when(g == "", "").otherwise(F.sha2(g, 256)))
     plain = {r.doc_id: r.groups for r in alignment.align(frame([(1, "a b"), (2, "")]), A_PATH, B_PATH).collect()}
     assert {r.doc_id: r.groups for r in got.collect()} == {1: hashlib.sha256(plain[1].encode()).hexdigest(), 2: ""}
+
+
+def test_slices_are_small_rows(spark, frame):
+    """No row holds more than some pairs, and the counts of a slice are never one list of Spark's."""
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(60)) for _ in range(300)]
+    slices = alignment.aligned_slices(frame(list(enumerate(texts))), A_PATH, B_PATH).collect()
+    pairs = [len(s.pair) for s in slices if s.slice is not None]
+    assert max(pairs) == alignment.PAIRS_A_ROW and sum(pairs) > 2 * alignment.PAIRS_A_ROW
+    assert sorted(s.doc_id for s in slices if s.doc_id is not None) == list(range(300))
+    plan = alignment.align(frame([(1, "a b"), (2, "")]), A_PATH, B_PATH)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
