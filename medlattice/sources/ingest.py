@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,14 +143,17 @@ def violations(spec: TableSpec) -> list[tuple[str, Column]]:
     return out
 
 
-def constraint_split(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
+def constraint_split(df: DataFrame, spec: TableSpec, hold: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Return (good, quarantine). Quarantine keeps the row and a comma-joined
-    ``reasons`` list; nothing is dropped."""
+    ``reasons`` list; nothing is dropped. ``hold`` writes a frame and reads it back, so that
+    what both sides need is made once."""
     checks = violations(spec)
     if not checks:
+        df = hold(df) if hold else df
         return df, df.withColumn("reasons", F.lit(None).cast("string")).limit(0)
     reasons = F.concat_ws(",", *[F.when(v, F.lit(n)) for n, v in checks])
     tagged = df.withColumn("reasons", reasons)
+    tagged = hold(tagged) if hold else tagged
     good = tagged.filter(F.col("reasons") == "").drop("reasons")
     bad = tagged.filter(F.col("reasons") != "")
     return good, bad
@@ -157,7 +162,7 @@ def constraint_split(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFra
 # --- S10: first wins ------------------------------------------------------------
 
 def first_wins(df: DataFrame, key: list[str], order: list[str] | None = None,
-               existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+               existing: DataFrame | None = None, hold: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """``INSERT … ON CONFLICT DO NOTHING``: keep the first row per key, within
     the batch and against rows already in the target (``existing`` wins).
 
@@ -169,7 +174,18 @@ def first_wins(df: DataFrame, key: list[str], order: list[str] | None = None,
     ``min(struct(...))`` per key has a map-side partial, so a hot key is reduced before
     the shuffle instead of being sorted in one task. Only rows of keys with a rival are
     looked at again for the duplicates. Returns (kept, duplicates).
+
+    With ``hold``, which writes a frame and reads it back, the keys are counted first, without
+    the other columns: rows whose key has no rival stay where they are, and only rivals are
+    ranked.
     """
+    if hold is not None and existing is None:
+        null_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
+        keyed = df.filter(~null_key)
+        contested = hold(keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*key))
+        kept, losers = first_wins(hold(keyed.join(contested, key, "left_semi").select(*df.columns)), key, order)
+        alone = keyed.join(contested, key, "left_anti").select(*df.columns)
+        return alone.unionByName(kept).unionByName(df.filter(null_key)), losers
     rest = [c for c in df.columns if c not in key]
     order = [c for c in (order or []) if c in rest]
     ordered = order + [c for c in rest if c not in order]
@@ -203,23 +219,39 @@ def referential_check(child: DataFrame, column: str, parent: DataFrame, parent_c
 
 def key_orphans(tables: dict[str, DataFrame | None], keys: list[tuple[str, str, str, str]]) -> DataFrame:
     """All foreign keys (child, column, parent, parent column) in one pass: one scan per
-    table tags its rows' key values, as a child's and as a parent's, and one aggregate
-    finds the values that no parent has. Returns (key, value, rows): the key's place in
+    table and role tags its rows' key values, an aggregate counts those of the children, and
+    one join finds the values that no parent has. Returns (key, value, rows): the key's place in
     ``keys``, the value as text and the child rows that hold it. NULL passes; a parent that
     is not loaded has no rows. A hot value is counted in each task before the shuffle."""
     domains = sorted({(parent, column) for _, _, parent, column in keys})
-    tagged = []
-    for name, df in tables.items():
-        if df is None:
+
+    def kind(i: int) -> str:
+        """What the values of a key are compared as: whole numbers as such, others as text."""
+        child, column, parent, parent_column = keys[i]
+        types = [tables[t].schema[c].dataType for t, c in ((child, column), (parent, parent_column)) if tables.get(t) is not None]
+        return "bigint" if all(isinstance(t, T.IntegralType) for t in types) else "string"
+    kinds, found = [kind(i) for i in range(len(keys))], []
+    for compared in sorted(set(kinds)):
+        asked, known = [], []
+        for name, df in tables.items():
+            if df is None:
+                continue
+            roles = [(domains.index((parent, parent_column)), column, i) for i, (child, column, parent, parent_column) in enumerate(keys)
+                     if child == name and kinds[i] == compared]
+            parts = sorted({(domains.index((parent, column)), column) for i, (_, _, parent, column) in enumerate(keys) if parent == name and kinds[i] == compared})
+            if roles:
+                each = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(column).cast(compared).alias("value"), F.lit(i).alias("key")) for d, column, i in roles])
+                asked.append(df.select(F.inline(each)).where("value IS NOT NULL"))
+            if parts:
+                each = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(column).cast(compared).alias("value")) for d, column in parts])
+                known.append(df.select(F.inline(each)).where("value IS NOT NULL"))
+        if not asked:
             continue
-        roles = [(domains.index((parent, parent_column)), column, i) for i, (child, column, parent, parent_column) in enumerate(keys) if child == name]
-        roles += [(d, column, -1) for d, (parent, column) in enumerate(domains) if parent == name]
-        if roles:
-            each = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(column).cast("string").alias("value"), F.lit(i).alias("key")) for d, column, i in roles])
-            tagged.append(df.select(F.inline(each)).where("value IS NOT NULL"))
-    held = reduce(DataFrame.unionByName, tagged).groupBy("domain", "value", "key").agg(F.count(F.lit(1)).alias("rows"))
-    values = held.groupBy("domain", "value").agg(F.max(F.col("key") == -1).alias("known"), F.collect_list(F.struct("key", "rows")).alias("held"))
-    return values.where("NOT known").select("value", F.inline("held")).select("key", "value", "rows")
+        held = reduce(DataFrame.unionByName, asked).groupBy("domain", "value", "key").agg(F.count(F.lit(1)).alias("rows"))
+        if known:
+            held = held.join(reduce(DataFrame.unionByName, known), ["domain", "value"], "left_anti")
+        found.append(held.select("key", F.col("value").cast("string").alias("value"), "rows"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def referential_split(df: DataFrame, spec: TableSpec, parents: dict[str, DataFrame | None]) -> tuple[DataFrame, DataFrame]:
@@ -238,7 +270,11 @@ def referential_split(df: DataFrame, spec: TableSpec, parents: dict[str, DataFra
     tagged = df
     for i, (column, _, _) in enumerate(spec.fks):
         lost = orphans.where(F.col("key") == i).select(F.col("value").alias(f"_lost{i}"))
-        tagged = tagged.join(lost, F.col(column).cast("string") == F.col(f"_lost{i}"), "left")
+        kind = df.schema[column].dataType
+        if isinstance(kind, T.IntegralType):
+            tagged = tagged.join(lost.select(F.col(f"_lost{i}").cast(kind).alias(f"_lost{i}")), F.col(column) == F.col(f"_lost{i}"), "left")
+        else:
+            tagged = tagged.join(lost, F.col(column).cast("string") == F.col(f"_lost{i}"), "left")
     reasons = [F.when(F.col(f"_lost{i}").isNotNull(), F.lit(f"{column}_not_in_{parent}")) for i, (column, parent, _) in enumerate(spec.fks)]
     tagged = tagged.withColumn("reasons", F.concat_ws(",", *reasons)).select(*df.columns, "reasons")
     return tagged.where("reasons = ''").drop("reasons"), tagged.where("reasons <> ''")
@@ -275,15 +311,17 @@ class IngestResult:
 
 
 def ingest_table(spark: SparkSession, spec: TableSpec, raw: DataFrame | None,
-                 existing: DataFrame | None = None, order: list[str] | None = None) -> IngestResult:
-    """Coerce -> constraints -> first wins (or append)."""
+                 existing: DataFrame | None = None, order: list[str] | None = None,
+                 hold: Callable[[DataFrame], DataFrame] | None = None) -> IngestResult:
+    """Coerce -> constraints -> first wins (or append). ``hold`` writes a frame and reads
+    it back: the source is then read once, for good and quarantined rows."""
     if raw is None:
         e = empty_table(spark, spec)
         return IngestResult(e, e.withColumn("reasons", F.lit(None).cast("string")), loaded=False)
     typed = coerce(raw, spec)
-    good, bad = constraint_split(typed, spec)
+    good, bad = constraint_split(typed, spec, hold)
     if spec.policy == FIRST_WINS and spec.key:
-        good, dups = first_wins(good, list(spec.key), order, existing)
+        good, dups = first_wins(good, list(spec.key), order, existing, hold)
         bad = bad.unionByName(dups.withColumn("reasons", F.lit("duplicate_key")))
     return IngestResult(good, bad)
 
@@ -326,13 +364,18 @@ def load_all(spark: SparkSession, root: str, out_dir: str) -> DataFrame:
     base, written = f"{out_dir}/{run}", {}
     for name in LOAD_ORDER:
         spec = SPECS[name]
-        res = ingest_table(spark, spec, read_source(spark, spec, paths.get(name)))
+        places = (f"{base}/_checked/{name}-{i}" for i in count())
+
+        def hold(df: DataFrame) -> DataFrame:
+            path = next(places)
+            df.write.parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+        # typed, checked and counted by key once; the key check and both writes read that
+        res = ingest_table(spark, spec, read_source(spark, spec, paths.get(name)), hold=hold)
         if not res.loaded:
             written[name] = None
             continue
-        # typed, checked and de-duplicated once; the key check and both writes read that
-        res.good.write.parquet(f"{base}/_checked/{name}")
-        good, orphans = referential_split(spark.read.schema(spark_schema(spec)).parquet(f"{base}/_checked/{name}"), spec, written)
+        good, orphans = referential_split(res.good, spec, written)
         good.write.parquet(f"{base}/{name}")
         res.quarantine.unionByName(orphans).write.parquet(f"{base}/_quarantine/{name}")
         written[name] = spark.read.schema(spark_schema(spec)).parquet(f"{base}/{name}")

@@ -216,3 +216,33 @@ def test_few_orphans_leave_the_rows_in_place(spark):
             assert part.count() == rows
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_load_all_reads_a_source_once(spark, clinical_root, tmp_path, monkeypatch):
+    """Good and quarantined rows come from what was read and checked, not from the source again."""
+    real, files = I.ingest_table, []
+
+    def spied(*args, **kwargs):
+        res = real(*args, **kwargs)
+        if res.loaded:
+            files.extend(f for df in (res.good, res.quarantine) for f in df.inputFiles())
+        return res
+    monkeypatch.setattr(I, "ingest_table", spied)
+    I.load_all(spark, clinical_root, str(tmp_path))
+    assert files and not [f for f in files if ".csv" in f]
+
+
+def test_first_wins_on_held_keys(spark, tmp_path):
+    """Keys that are counted first give the same winners and duplicates: repeated, null and
+    lone keys, equal rows, a hot key."""
+    rows = [(1, "b", 2), (1, "a", None), (1, "a", None), (2, "c", 1), (None, "d", 1), (None, "d", 1), (3, None, 4), (3, "x", 4)] + [(9, "h", i % 7) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, name string, n int")
+    held = []
+
+    def hold(frame):
+        held.append(str(tmp_path / f"held-{len(held)}"))
+        frame.write.parquet(held[-1])
+        return spark.read.schema(frame.schema).parquet(held[-1])
+    for key in (["k"], ["k", "n"]):
+        for plain, own in zip(I.first_wins(df, key, ["name"]), I.first_wins(df, key, ["name"], hold=hold)):
+            assert sorted(map(repr, own.collect())) == sorted(map(repr, plain.collect())) and own.columns == plain.columns
