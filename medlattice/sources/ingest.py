@@ -219,8 +219,8 @@ def referential_check(child: DataFrame, column: str, parent: DataFrame, parent_c
 
 def key_orphans(tables: dict[str, DataFrame | None], keys: list[tuple[str, str, str, str]]) -> DataFrame:
     """All foreign keys (child, column, parent, parent column) in one pass: one scan per
-    table and role tags its rows' key values, an aggregate counts those of the children, and
-    one join finds the values that no parent has. Returns (key, value, rows): the key's place in
+    table tags its rows' key values, as a child's and as a parent's, and one aggregate (one
+    for numbers, one for texts) finds the values that no parent has. Returns (key, value, rows): the key's place in
     ``keys``, the value as text and the child rows that hold it. NULL passes; a parent that
     is not loaded has no rows. A hot value is counted in each task before the shuffle."""
     domains = sorted({(parent, column) for _, _, parent, column in keys})
@@ -232,25 +232,25 @@ def key_orphans(tables: dict[str, DataFrame | None], keys: list[tuple[str, str,
         return "bigint" if all(isinstance(t, T.IntegralType) for t in types) else "string"
     kinds, found = [kind(i) for i in range(len(keys))], []
     for compared in sorted(set(kinds)):
-        asked, known = [], []
+        of = {d: [i for i, key in enumerate(keys) if key[2:] == d and kinds[i] == compared] for d in domains}
+        slots = max(map(len, of.values()))
+        tagged = []
         for name, df in tables.items():
             if df is None:
                 continue
-            roles = [(domains.index((parent, parent_column)), column, i) for i, (child, column, parent, parent_column) in enumerate(keys)
-                     if child == name and kinds[i] == compared]
-            parts = sorted({(domains.index((parent, column)), column) for i, (_, _, parent, column) in enumerate(keys) if parent == name and kinds[i] == compared})
+            roles = [(at, keys[i][1], slot) for at, d in enumerate(domains) for slot, i in enumerate(of[d]) if keys[i][0] == name]
+            roles += [(at, d[1], -1) for at, d in enumerate(domains) if d[0] == name and of[d]]
             if roles:
-                each = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(column).cast(compared).alias("value"), F.lit(i).alias("key")) for d, column, i in roles])
-                asked.append(df.select(F.inline(each)).where("value IS NOT NULL"))
-            if parts:
-                each = F.array(*[F.struct(F.lit(d).alias("domain"), F.col(column).cast(compared).alias("value")) for d, column in parts])
-                known.append(df.select(F.inline(each)).where("value IS NOT NULL"))
-        if not asked:
+                each = F.array(*[F.struct(F.lit(at).alias("domain"), F.col(column).cast(compared).alias("value"), F.lit(slot).alias("slot")) for at, column, slot in roles])
+                tagged.append(df.select(F.inline(each)).where("value IS NOT NULL"))
+        if not tagged:
             continue
-        held = reduce(DataFrame.unionByName, asked).groupBy("domain", "value", "key").agg(F.count(F.lit(1)).alias("rows"))
-        if known:
-            held = held.join(reduce(DataFrame.unionByName, known), ["domain", "value"], "left_anti")
-        found.append(held.select("key", F.col("value").cast("string").alias("value"), "rows"))
+        # one number a key of the domain, so that the aggregate holds no lists
+        rows = [F.count_if(F.col("slot") == slot).alias(f"rows{slot}") for slot in range(slots)]
+        values = reduce(DataFrame.unionByName, tagged).groupBy("domain", "value").agg(F.bool_or(F.col("slot") == -1).alias("known"), *rows)
+        numbers = F.array(*[F.lit(i) for d in domains for i in of[d] + [-1] * (slots - len(of[d]))])
+        each = F.array(*[F.struct(F.get(numbers, F.col("domain") * slots + slot).alias("key"), F.col(f"rows{slot}").alias("rows")) for slot in range(slots)])
+        found.append(values.where("NOT known").select(F.col("value").cast("string").alias("value"), F.inline(each)).where("rows > 0").select("key", "value", "rows"))
     return reduce(DataFrame.unionByName, found)
 
 
