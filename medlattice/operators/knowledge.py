@@ -296,6 +296,9 @@ def retrieve_lexical(questions: DataFrame, docs: DataFrame, k: int = 3, qid: str
 BLOCK_ROWS = 4096
 TILE_QUERIES = 1024
 ROWS_OUT = 16384
+#: vectors and queries that one task of the cell index holds at most
+SHARD_ROWS = 1 << 16
+ASKED_ROWS = 1 << 17
 GROUP = 32
 _HITS = "qid long, vid long, cosine double"
 _HIT_TYPES = pa.schema([("qid", pa.int64()), ("vid", pa.int64()), ("cosine", pa.float64())])
@@ -396,6 +399,14 @@ def _probed(q: np.ndarray, centres: np.ndarray, held: np.ndarray, margin: float,
     return out
 
 
+def _grid(vectors: int, queries: int, cores: int) -> tuple[int, int]:
+    """Vectors of a shard and queries of a chunk: as many as a task may hold, fewer while that
+    leaves cores idle. Each vector is sent once for each chunk and each query once for each
+    shard, so the larger both are, the less is shuffled."""
+    side = math.ceil(math.sqrt(2 * cores))
+    return tuple(min(most, max(BLOCK_ROWS, math.ceil(n / side))) for n, most in ((vectors, SHARD_ROWS), (queries, ASKED_ROWS)))
+
+
 class CellIndex:
     """Corpus vectors by nearest k-means centroid (about sqrt(n) cells, fitted by Spark).
     A query probes every cell whose centroid is within ``margin`` (in cosine) of its closest
@@ -462,23 +473,30 @@ class CellIndex:
                     for lo in range(0, len(i), ROWS_OUT):
                         to = i[lo:lo + ROWS_OUT]
                         yield pd.DataFrame({"qid": tile["qid"].to_numpy()[to], "vec": tile["vec"].to_numpy()[to], name: j[lo:lo + ROWS_OUT].astype("int32")})
-        return queries.select("qid", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL") \
-            .mapInPandas(fn, f"qid long, vec array<double>, {name} int")
+        # single precision stays as it is: half the bytes, the same numbers
+        kind = queries.schema["vec"].dataType.simpleString()
+        kind = kind if kind == "array<float>" else "array<double>"
+        return queries.select("qid", F.col("vec").cast(kind).alias("vec")).where("vec IS NOT NULL") \
+            .mapInPandas(fn, f"qid long, vec {kind}, {name} int")
 
     def probes(self, queries: DataFrame, k: int) -> DataFrame:
         """(qid, vec, cell): the cells that each query probes."""
         return self._sent(queries, k, np.arange(len(self.centres)), "cell")
 
-    def search(self, queries: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
         """The k best of every query in each shard. Cells are laid together to shards of about
-        ``block_rows`` vectors, so a query is sent once to a shard, not to each of its cells;
-        there it meets the vectors of those cells only that it probes."""
+        ``block_rows`` vectors (if not given, as many as a task may hold: see _grid), so a query is
+        sent once to a shard, not to each of its cells; there it meets the vectors of those cells
+        only that it probes, some queries at a time."""
+        asked_rows = block_rows
+        if block_rows is None:
+            block_rows, asked_rows = _grid(int(self.held.sum()), queries.count(), self.cells.sparkSession.sparkContext.defaultParallelism)
         shards = ((np.cumsum(self.held) - self.held) // block_rows).astype(np.int32)
         sizes = np.bincount(shards, self.held)
         shape = self.cells.sparkSession.createDataFrame([(i, max(1, math.ceil(n / block_rows))) for i, n in enumerate(sizes.tolist())], "shard int, parts int")
         numbers = F.array(*[F.lit(i) for i in shards.tolist()])
         asked = self._sent(queries, k, shards, "shard")
-        shape = shape.join(asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("chunks")), "shard")
+        shape = shape.join(asked.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / F.lit(asked_rows)).cast("int").alias("chunks")), "shard")
         key = ["shard", "part", "chunk"]
         left = (self.cells.withColumn("shard", numbers[F.col("cell")]).join(shape, "shard")
                 .withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
@@ -488,16 +506,21 @@ class CellIndex:
         centres, held, margin = self.centres, self.held, self.margin(k)
 
         def fn(rows: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
-            found = [pd.DataFrame({"qid": [], "vid": [], "cosine": []}).astype({"qid": "int64", "vid": "int64"})]
+            out = [pd.DataFrame({"qid": [], "vid": [], "cosine": []}).astype({"qid": "int64", "vid": "int64"})]
             if len(rows) and len(qs):
-                q, v = _unit(qs["vec"]), _unit(rows["vec"])
-                wanted = np.concatenate([_probed(q[at:at + TILE_QUERIES], centres, held, margin, k) for at in range(0, len(q), TILE_QUERIES)])
-                for cell, at in rows.groupby("cell").indices.items():
-                    ask = np.flatnonzero(wanted[:, cell])
-                    if len(ask):
-                        found.append(_best(qs["qid"].to_numpy()[ask], q[ask], rows["vid"].to_numpy()[at], v[at], k))
-            hits = pd.concat(found[1:] or found)
-            return hits.sort_values(["qid", "cosine", "vid"], ascending=[True, False, True], na_position="last").groupby("qid").head(k)
+                v, vids, cells = _unit(rows["vec"]), rows["vid"].to_numpy(), list(rows.groupby("cell").indices.items())
+                for at in range(0, len(qs), TILE_QUERIES):
+                    tile = qs.iloc[at:at + TILE_QUERIES]
+                    q, qids, found = _unit(tile["vec"]), tile["qid"].to_numpy(), []
+                    wanted = _probed(q, centres, held, margin, k)
+                    for cell, mine in cells:
+                        ask = np.flatnonzero(wanted[:, cell])
+                        if len(ask):
+                            found.append(_best(qids[ask], q[ask], vids[mine], v[mine], k))
+                    if found:
+                        hits = pd.concat(found)
+                        out.append(hits.sort_values(["qid", "cosine", "vid"], ascending=[True, False, True], na_position="last").groupby("qid").head(k))
+            return pd.concat(out[1:] or out)
         return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(fn, _HITS)
 
 

@@ -325,3 +325,17 @@ def test_cell_index_search_is_exact_in_the_probed_cells(spark):
     shards = np.arange(len(index.centres)) // 5
     sent = index._sent(q, 3, shards, "shard").groupBy("qid", "shard").count()
     assert sent.where("count > 1").count() == 0 and sent.count() < sum(map(len, probed.values()))
+
+
+def test_copies_of_vectors_stay_few(spark):
+    """Without a block size, shards grow with the corpus: the copies sent of a vector and of a query
+    depend on the cores until a task is full, and single precision stays single."""
+    for vectors in (50_000, 200_000):
+        rows, asked = K._grid(vectors, vectors, 6)
+        assert -(-vectors // rows) <= 4 and -(-vectors // asked) <= 4
+    assert K._grid(10 ** 7, 10 ** 7, 6) == (K.SHARD_ROWS, K.ASKED_ROWS)
+    c = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(200)], "vid long, vec array<float>")
+    index, q = K.CellIndex(c, sample=16), c.select(F.col("vid").alias("qid"), "vec")
+    assert index.probes(q, 3).schema["vec"].dataType.simpleString() == "array<float>"
+    shards = index.search(q, 3).collect()
+    assert len(shards) == 200 * 3
